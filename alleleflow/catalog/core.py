@@ -27,8 +27,9 @@ def query(name, sql=None):
     return register
 
 
-def rounded_all(df, keep):
-    return df.select(*keep, *[rounded(c).alias(c) for c in df.columns if c not in keep])
+def rounded_all(df, keep, nudge=0.0):
+    return df.select(*keep, *[rounded(c, 6, nudge).alias(c) for c in df.columns
+                              if c not in keep])
 
 
 def deep_counts(spark, sf):
@@ -163,22 +164,22 @@ cells AS (""" + " UNION ALL ".join(
     f"SELECT locus, {i} AS allele, {j} AS pop_index, {v.n_sql(j)} AS n, c{i}_{j} AS copies "
     f"FROM counts" for i in (1, 2) for j in (1, 2, 3)) + f""")
 SELECT locus, allele, pop_index, n, copies, CAST(g AS INTEGER) AS g,
-       round({v.absent_sql('n', 'copies')}, 6) + 0.0 AS q
+       round({v.absent_sql('n', 'copies')} + 1e-9, 6) AS q
 FROM cells, depths WHERE g <= n""")
 def absence_probability(spark, sf):
     a = rf.absence_table(shallow_counts(spark, sf), DEPTHS)
-    return rounded_all(a, ["locus", "allele", "pop_index", "n", "copies", "g"])
+    return rounded_all(a, ["locus", "allele", "pop_index", "n", "copies", "g"], 1e-9)
 
 
 def _locus_query(name, stats):
     sql = (SHALLOW + ",\n" + DEPTHS_SQL + ",\n" + v.per_locus_sql("counts", "s", stats=stats)
            + " SELECT locus, CAST(g AS INTEGER) AS g, "
-           + ", ".join(f"round({s}, 6) + 0.0 AS {s}" for s in stats) + " FROM s")
+           + ", ".join(f"round({s} + 1e-9, 6) AS {s}" for s in stats) + " FROM s")
 
     @query(name, sql)
     def run(spark, sf):
         s = rf.per_locus(shallow_counts(spark, sf).drop("chrom", "pos"), max(DEPTHS), stats)
-        return rounded_all(s, ["locus", "g"])
+        return rounded_all(s, ["locus", "g"], 1e-9)
 
 
 _locus_query("allelic_richness", [b for b in BLOCKS if b.startswith("alpha")])

@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Below this size log-factorials are looked up, above it Stirling's series is exact to
-# double precision, so no operator needs to know the largest sample size beforehand.
-_TABLE_SIZE = 1024
+# Log-factorials of smaller numbers come from one array literal, larger ones from Stirling's
+# series, so no operator needs to know the largest sample size beforehand.
+_TABLE_SIZE = 2048
 
 
 def col(c: str | Column) -> Column:
@@ -35,9 +35,10 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / den)
 
 
-def rounded(c: str | Column, digits: int = 6) -> Column:
-    """Round to `digits` decimals and turn -0.0 into 0.0."""
-    return F.round(col(c).cast("double"), digits) + F.lit(0.0)
+def rounded(c: str | Column, digits: int = 6, nudge: float = 0.0) -> Column:
+    """Round to `digits` decimals and turn -0.0 into 0.0. `nudge` moves values off a rounding
+    edge, so that engines that differ in the last bit round alike."""
+    return F.round(col(c).cast("double") + nudge, digits) + F.lit(0.0)
 
 
 def nan_to_null(c: str | Column) -> Column:
@@ -66,31 +67,34 @@ def poisson_one(u: Column) -> Column:
     return add([(u > F.lit(c)).cast("int") for c in cumulative])
 
 
-def _log_factorial_table() -> Column:
+def _series(x: str) -> str:
+    """Stirling's series for ln(x!), exact to double precision from x = 64 on."""
+    return (f"((({x}) + 0.5D) * ln({x}) - ({x}) + {0.5 * math.log(2 * math.pi)!r}D + (1D / ({x}))"
+            f" * (1D/12 - (1D/360 - 1D/1260 / (({x}) * ({x}))) / (({x}) * ({x}))))")
+
+
+def log_factorials(largest: str) -> str:
+    """SQL for an array whose element n is ln(n!), covering 0 ... `largest` of a row. Rows
+    within the table share one literal; only rows beyond it build an array of their own."""
     values = ",".join(repr(math.lgamma(k + 1.0)) for k in range(_TABLE_SIZE))
     # a string literal folds to one array literal, which keeps the plan small
-    return F.split(F.lit(values), ",").cast("array<double>")
-
-
-def log_factorial(n: Column) -> Column:
-    """ln(n!) for integer n >= 0, O(1) per row for any n."""
-    x = n.cast("double")
-    series = (
-        x * F.log(x) - x + F.lit(0.5) * F.log(F.lit(2 * math.pi) * x)
-        + F.lit(1.0) / (F.lit(12.0) * x) - F.lit(1.0) / (F.lit(360.0) * x * x * x)
-    )
-    return F.when(n < _TABLE_SIZE, F.get(_log_factorial_table(), n)).otherwise(series)
-
-
-def absence_probability(total: Column, copies: Column, depth: Column) -> Column:
-    """C(total - copies, depth) / C(total, depth): chance that an allele with `copies` of
-    `total` gene copies is missing from a subsample of `depth`; 0 if it cannot be missed."""
-    rest = total - copies
-    exponent = (
-        (log_factorial(rest) - log_factorial(total))
-        + (log_factorial(total - depth) - log_factorial(rest - depth))
-    )
-    return F.when(rest >= depth, F.exp(exponent)).otherwise(F.lit(0.0))
+    table = f"cast(split('{values}', ',') as array<double>)"
+    beyond = (f"transform(sequence({_TABLE_SIZE}, greatest({largest}, {_TABLE_SIZE})), "
+              f"n -> {_series('n')})")
+    return f"if({largest} < {_TABLE_SIZE}, {table}, concat({table}, {beyond}))"
+
+
+def absent(table: str, total: str, copies: str, depth: str) -> str:
+    """SQL for C(total - copies, depth) / C(total, depth): the chance that an allele with
+    `copies` of `total` gene copies is missing from a subsample of `depth`; 0 if it cannot be
+    missed. `table` is a `log_factorials` array."""
+    rest = f"({total} - {copies})"
+
+    def lf(n):
+        return f"get({table}, {n})"
+    exponent = (f"({lf(rest)} - {lf(total)}) + ({lf(f'{total} - {depth}')}"
+                f" - {lf(f'{rest} - {depth}')})")
+    return f"coalesce(if({rest} >= {depth}, exp({exponent}), 0D), 0D)"
 
 
 def argmax_label(scores, labels) -> Column:

@@ -38,15 +38,25 @@ def shape_of(counts: DataFrame) -> tuple[int, int]:
     return max(int(i) for i, _ in ij), max(int(j) for _, j in ij)
 
 
+def total_sql(n_alleles: int, j: int) -> str:
+    return "(" + " + ".join(f"c{i}_{j}" for i in range(1, n_alleles + 1)) + ")"
+
+
 def total_copies(n_alleles: int, j: int) -> Column:
-    return add([F.col(f"c{i}_{j}") for i in range(1, n_alleles + 1)])
+    return F.expr(total_sql(n_alleles, j))
 
 
 def allele_table(obs: DataFrame, pop_order, alleles=(0, 1), locus=("locus",),
                  keys=()) -> DataFrame:
     """Counts table of long observations or diploid calls."""
-    aggs = [F.sum(F.when(F.col("pop") == p, copies_of(obs, a)).otherwise(0)).cast("int")
-            .alias(f"c{i}_{j}")
+    def copies(p, a):
+        # literals are quoted by repr; populations and alleles are plain names and codes
+        if "allele" in obs.columns:
+            weight = "n" if "n" in obs.columns else "1"
+            return f"if(pop = {p!r} AND allele = {a!r}, {weight}, 0)"
+        return (f"if(pop = {p!r}, coalesce(int(a1 = {a!r}), 0) + coalesce(int(a2 = {a!r}), 0),"
+                " 0)")
+    aggs = [F.expr(f"int(coalesce(sum({copies(p, a)}), 0))").alias(f"c{i}_{j}")
             for i, a in enumerate(alleles, 1) for j, p in enumerate(pop_order, 1)]
     return obs.where(F.col("pop").isin(list(pop_order))).groupBy(*keys, *locus).agg(*aggs)
 
@@ -118,15 +128,13 @@ def joint_sfs(counts: DataFrame, keys=(), fold: bool = False) -> DataFrame:
     names = count_columns(k, pops)
     weight = F.sum("n_loci") if "n_loci" in counts.columns else F.count(F.lit(1))
     if fold:
-        alleles = F.array_sort(F.array(*[
-            F.struct(*[F.col(f"c{i}_{j}").alias(f"p{j}") for j in range(1, pops + 1)])
-            for i in range(1, k + 1)]))
-        counts = counts.select(*keys, *[c for c in counts.columns if c == "n_loci"],
-                               alleles.alias("_a"))
-        counts = counts.select(
-            *keys, *[c for c in counts.columns if c == "n_loci"],
-            *[F.col("_a")[i - 1][f"p{j}"].alias(f"c{i}_{j}")
-              for i in range(1, k + 1) for j in range(1, pops + 1)])
+        first, second = ([f"c{i}_{j}" for j in range(1, pops + 1)] for i in (1, 2))
+        swap = (f"struct({', '.join(f'{c} AS p{j}' for j, c in enumerate(first))}) > "
+                f"struct({', '.join(f'{c} AS p{j}' for j, c in enumerate(second))})")
+        held = [c for c in counts.columns if c == "n_loci"]
+        counts = counts.selectExpr(
+            *keys, *held, *[f"if({swap}, {b}, {a}) AS {a}" for a, b in zip(first, second)],
+            *[f"if({swap}, {a}, {b}) AS {b}" for a, b in zip(first, second)])
     return counts.groupBy(*keys, *names).agg(weight.alias("n_loci"))
 
 

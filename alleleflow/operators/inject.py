@@ -7,58 +7,58 @@ from pyspark.sql import functions as F
 
 from alleleflow.functions.exprs import hash_order
 from alleleflow.functions.ordered import hash_rank
-from alleleflow.operators.counts import copies_of, count_columns
+from alleleflow.operators.counts import count_columns
 
 
-def pick_migrants(samples: DataFrame, donor: str, recipient: str, fraction: float,
-                  seed: int) -> DataFrame:
-    """max(1, round(fraction * n)) recipients in md5 order, each with a donor drawn with
-    replacement. Works on the sample table, not on genotypes."""
-    recipients = samples.where(F.col("pop") == recipient).select("sample")
-    donors = samples.where(F.col("pop") == donor).select(F.col("sample").alias("donor"))
-    ranked = hash_rank(recipients.withColumn("_h", hash_order(seed, "sample")), "_h")
-    n_recip = recipients.agg(F.greatest(F.lit(1), F.bround(fraction * F.count(F.lit(1)))
-                                        .cast("bigint")).alias("_k"))
-    n_donor = donors.agg(F.count(F.lit(1)).alias("_d"))
-    pool = hash_rank(donors.withColumn("_h", hash_order(seed, "donor")), "_h", name="_i")
-    one = F.broadcast(n_recip.crossJoin(n_donor))          # a single row
-    draw = F.conv(F.substring(hash_order(f"{seed}:draw", "sample"), 1, 8), 16, 10)
-    return (ranked.crossJoin(one).where(F.col("rank") <= F.col("_k"))
-            .withColumn("_i", draw.cast("bigint") % F.col("_d") + 1)
-            .join(pool.select("_i", "donor"), "_i")
-            .select("sample", "donor", F.lit(recipient).alias("pop")))
+def pick_migrants(samples: DataFrame, experiments) -> DataFrame:
+    """(experiment, sample, donor, pop): for each experiment (name, donor population, recipient
+    population, fraction, seed) the first max(1, round(fraction * n)) recipients in md5 order,
+    each with a donor drawn with replacement. Works on the sample table, for all experiments
+    at once."""
+    plan = ", ".join(f"named_struct('experiment', {n!r}, 'donor_pop', {d!r}, 'pop', {r!r}, "
+                     f"'fraction', {float(f)!r}D, 'seed', {s!r})" for n, d, r, f, s in experiments)
+    rows = samples.selectExpr("sample", "pop AS _own", f"inline(array({plan}))")
+    rows = rows.withColumn("_h", hash_order(F.col("seed"), "sample"))
+    recipients = rows.where("_own = pop")
+    donors = rows.where("_own = donor_pop")
+    sizes = rows.groupBy("experiment").agg(F.expr(
+        "greatest(1, bigint(bround(max(fraction) * count_if(_own = pop)))) AS _k"),
+        F.expr("count_if(_own = donor_pop) AS _d"))
+    pool = hash_rank(donors, "_h", ["experiment"], name="_i").selectExpr(
+        "experiment", "_i", "sample AS donor")
+    draw = "bigint(conv(substr(md5(concat_ws(':', seed, 'draw', sample)), 1, 8), 16, 10))"
+    return (hash_rank(recipients, "_h", ["experiment"]).join(sizes, "experiment")
+            .where("rank <= _k").withColumn("_i", F.expr(f"{draw} % _d + 1"))
+            .join(pool, ["experiment", "_i"]).select("experiment", "sample", "donor", "pop"))
 
 
 def inject_migrants(genotypes: DataFrame, migrants: DataFrame) -> DataFrame:
     """Genotypes with each migrant's calls replaced by its donor's at every locus.
-    `migrants` has (sample, donor, pop), pop being the recipient population. Donor rows are
+    `migrants` has (sample, donor, pop) of one experiment, pop being the recipient's. Donor rows are
     copied under the migrant's name, so the genotypes are joined with the short migrant table
     only, never with themselves."""
     others = genotypes.join(migrants.select("sample"), "sample", "left_anti")
     copied = (genotypes.withColumnRenamed("sample", "donor").drop("pop")
-              .join(migrants, "donor"))
+              .join(migrants.select("sample", "donor", "pop"), "donor"))
     return others.unionByName(copied.select(*genotypes.columns))
 
 
-def injected_counts(genotypes: DataFrame, base: DataFrame, migrants: DataFrame, pop_order,
-                    alleles=(0, 1), locus=("locus",)) -> DataFrame:
+def injected_counts(genotypes: DataFrame, base: DataFrame, migrants: DataFrame, experiments,
+                    pop_order, alleles=(0, 1), locus=("locus",)) -> DataFrame:
     """Counts tables of many experiments at once. Counts are additive, so only the rows of
     migrants (minus) and donors (plus) are touched per experiment; the base counts, computed
-    once, take the difference. `migrants` has (experiment, sample, donor, pop)."""
+    once, take the difference. `experiments` names all experiments, so that one without
+    migrants keeps its base counts."""
     names = count_columns(len(alleles), len(pop_order))
     swaps = (migrants.select("experiment", "sample", "pop", F.lit(-1).alias("_sign"))
              .unionByName(migrants.select("experiment", F.col("donor").alias("sample"), "pop",
                                           F.lit(1).alias("_sign"))))
     rows = genotypes.drop("pop").join(swaps, "sample")
-    aggs = [F.sum(F.when(F.col("pop") == p, copies_of(rows, a) * F.col("_sign")).otherwise(0))
-            .cast("int").alias(f"_d{i}_{j}")
+    aggs = [F.expr(f"int(sum(if(pop = {p!r}, _sign * (coalesce(int(a1 = {a!r}), 0) "
+                   f"+ coalesce(int(a2 = {a!r}), 0)), 0))) AS _d{i}_{j}")
             for i, a in enumerate(alleles, 1) for j, p in enumerate(pop_order, 1)]
     delta = rows.groupBy("experiment", *locus).agg(*aggs)
-    # delta covers every locus at which a swapped sample has a row; the rest is unchanged,
-    # but each experiment needs all loci, so base loci are repeated per experiment
-    experiments = migrants.select("experiment").distinct()
-    grid = base.crossJoin(F.broadcast(experiments))        # one row per designed experiment
-    return (grid.join(delta, ["experiment", *locus], "left")
-            .select("experiment", *locus, *[
-                (F.col(c) + F.coalesce(F.col("_d" + c[1:]), F.lit(0))).cast("int").alias(c)
-                for c in names]))
+    name = F.explode(F.array(*[F.lit(e) for e in experiments])).alias("experiment")
+    grid = base.select(name, *locus, *names)
+    return grid.join(delta, ["experiment", *locus], "left").selectExpr(
+        "experiment", *locus, *[f"int({c} + coalesce(_d{c[1:]}, 0)) AS {c}" for c in names])

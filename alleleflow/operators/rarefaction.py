@@ -13,8 +13,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alleleflow.functions.exprs import absence_probability, add, multiply, smallest
-from alleleflow.operators.counts import joint_sfs, shape_of, total_copies
+from alleleflow.functions.exprs import absent, log_factorials
+from alleleflow.operators.counts import (
+    count_columns, joint_sfs, shape_of, total_copies, total_sql)
 from alleleflow.plans.contract import BLOCKS, FEATURES
 
 
@@ -24,31 +25,23 @@ def _is_cells(counts: DataFrame) -> bool:
 
 def cells_total(name: str) -> Column:
     """Copies of all alleles of a `cells` array in the population held by field `name`."""
-    return F.aggregate("cells", F.lit(0), lambda acc, c: acc + c[name])
+    return F.expr(f"aggregate(cells, 0, (acc, c) -> acc + c.{name})")
 
 
-def _subset_name(subset) -> str:
-    return "".join(str(j) for j in subset)
-
-
-def _statistics_of(absent, pops: int, wanted) -> dict[str, Column]:
-    """Contribution of one allele to each statistic, from its absence probabilities."""
-    q = {j: absent[j - 1] for j in range(1, pops + 1)}
-
-    def only(subset):
-        return multiply([(1 - q[j]) if j in subset else q[j] for j in q])
-
-    out = {}
-    for name in wanted:
-        kind, _, who = name.rpartition("_")
-        subset = [int(c) for c in who]
-        out[name] = 1 - q[subset[0]] if kind == "alpha" else only(subset)
-    return out
+def _contribution(statistic: str, absent: list[str]) -> str:
+    """SQL of one allele's contribution to a statistic, from its absence probabilities.
+    `alpha_j`: present in j; `<kind>_jk..`: present in exactly the listed populations."""
+    kind, _, who = statistic.rpartition("_")
+    subset = [int(c) for c in who]
+    if kind == "alpha":
+        return f"(1D - {absent[subset[0] - 1]})"
+    return "(" + " * ".join(f"(1D - {q})" if j in subset else q
+                            for j, q in enumerate(absent, 1)) + ")"
 
 
 def combination_names(pops: int) -> list[str]:
     """`private_<populations>` for all 2**pops - 1 subsets (up to nine populations)."""
-    return [f"private_{_subset_name(s)}" for r in range(1, pops + 1)
+    return ["private_" + "".join(str(j) for j in s) for r in range(1, pops + 1)
             for s in combinations(range(1, pops + 1), r)]
 
 
@@ -60,50 +53,49 @@ def per_locus(counts: DataFrame, max_depth: int | None = None, statistics=BLOCKS
         fields = counts.schema["cells"].dataType.elementType.names
         pops = len(fields)
         keep = [c for c in counts.columns if c != "cells"]
-        n = [cells_total(f) for f in fields]
+        held = ["cells"]
+        totals = [cells_total(f) for f in fields]
     else:
         k, pops = shape_of(counts)
-        cells = [f"c{i}_{j}" for i in range(1, k + 1) for j in range(1, pops + 1)]
-        keep = [c for c in counts.columns if c not in cells]
-        n = [total_copies(k, j) for j in range(1, pops + 1)]
-    rows = counts.select("*", *[x.alias(f"_n{j}") for j, x in enumerate(n, 1)])
-    deepest = smallest(F.col(f"_n{j}") for j in range(1, pops + 1))
-    if max_depth is not None:
-        deepest = F.least(deepest, F.lit(max_depth))
-    rows = (rows.where(deepest >= first_depth)
-            .withColumn("g", F.explode(F.sequence(F.lit(first_depth), deepest))))
-
+        held = count_columns(k, pops)
+        keep = [c for c in counts.columns if c not in held]
+        totals = [total_copies(k, j) for j in range(1, pops + 1)]
+    n = [f"_n{j}" for j in range(1, pops + 1)]
+    rows = counts.select(*keep, *held, *[t.alias(x) for t, x in zip(totals, n)])
+    both = ", ".join(n)
+    deepest = f"least({both}, {max_depth})" if max_depth is not None else f"least({both})"
+    # the table is a column of the row, so it is built once, before the row is expanded
+    rows = (rows.where(f"{deepest} >= {first_depth}")
+            .selectExpr(*keep, *held, *n, f"{log_factorials(f'greatest({both})')} AS _lf",
+                        f"explode(sequence({first_depth}, {deepest})) AS g"))
     if _is_cells(counts):
-        rows = rows.withColumn("_q", F.transform("cells", lambda c: F.struct(*[
-            absence_probability(F.col(f"_n{j}"), c[f], F.col("g")).alias(f"q{j}")
-            for j, f in enumerate(fields, 1)])))
-
-        def total(name):
-            return F.aggregate("_q", F.lit(0.0), lambda acc, q: acc + _statistics_of(
-                [q[f"q{j}"] for j in range(1, pops + 1)], pops, [name])[name])
-
-        return rows.select(*keep, "g", *[total(s).alias(s) for s in statistics])
-
-    rows = rows.select(*keep, "g", *[
-        absence_probability(F.col(f"_n{j}"), F.col(f"c{i}_{j}"), F.col("g")).alias(f"_q{i}_{j}")
+        qs = ", ".join(f"{absent('_lf', x, f'c.{f}', 'g')} AS q{j}"
+                       for j, (x, f) in enumerate(zip(n, fields), 1))
+        rows = rows.selectExpr(*keep, "g", f"transform(cells, c -> struct({qs})) AS _q")
+        per_allele = [f"q.q{j}" for j in range(1, pops + 1)]
+        return rows.selectExpr(*keep, "g", *[
+            f"aggregate(_q, 0D, (acc, q) -> acc + {_contribution(s, per_allele)}) AS {s}"
+            for s in statistics])
+    rows = rows.selectExpr(*keep, "g", *[
+        f"{absent('_lf', f'_n{j}', f'c{i}_{j}', 'g')} AS _q{i}_{j}"
         for i in range(1, k + 1) for j in range(1, pops + 1)])
-    parts = [_statistics_of([F.col(f"_q{i}_{j}") for j in range(1, pops + 1)], pops, statistics)
-             for i in range(1, k + 1)]
-    return rows.select(*keep, "g", *[add([p[s] for p in parts]).alias(s) for s in statistics])
+    parts = [[f"_q{i}_{j}" for j in range(1, pops + 1)] for i in range(1, k + 1)]
+    return rows.selectExpr(*keep, "g", *[
+        " + ".join(_contribution(s, p) for p in parts) + f" AS {s}" for s in statistics])
 
 
 def absence_table(counts: DataFrame, depths) -> DataFrame:
     """Absence probability of every allele and population of a counts table, long form."""
     k, pops = shape_of(counts)
-    cells = [f"c{i}_{j}" for i in range(1, k + 1) for j in range(1, pops + 1)]
-    keep = [c for c in counts.columns if c not in cells]
-    long = F.array(*[F.struct(F.lit(i).alias("allele"), F.lit(j).alias("pop_index"),
-                              total_copies(k, j).alias("n"), F.col(f"c{i}_{j}").alias("copies"))
-                     for i in range(1, k + 1) for j in range(1, pops + 1)])
-    return (counts.select(*keep, F.inline(long))
-            .withColumn("g", F.explode(F.array(*[F.lit(d) for d in depths])))
-            .where(F.col("g") <= F.col("n"))
-            .withColumn("q", absence_probability(F.col("n"), F.col("copies"), F.col("g"))))
+    keep = [c for c in counts.columns if c not in count_columns(k, pops)]
+    cells = ", ".join(f"struct({i} AS allele, {j} AS pop_index, {total_sql(k, j)} AS n, "
+                      f"c{i}_{j} AS copies)" for i in range(1, k + 1) for j in range(1, pops + 1))
+    wanted = ", ".join(str(d) for d in depths)
+    return (counts.selectExpr(*keep, f"inline(array({cells}))")
+            .selectExpr("*", f"{log_factorials('n')} AS _lf",
+                        f"explode(filter(array({wanted}), d -> d <= n)) AS g")
+            .selectExpr(*keep, "allele", "pop_index", "n", "copies", "g",
+                        f"{absent('_lf', 'n', 'copies', 'g')} AS q"))
 
 
 def depth_grid(counts: DataFrame, max_depth: int | None = None, keys=()) -> DataFrame:
@@ -137,12 +129,11 @@ def depth_sums(counts: DataFrame, max_depth: int | None = None, keys=(), statist
     else:
         rows = counts if "n_loci" in counts.columns else counts.withColumn("n_loci", F.lit(1))
     stats = per_locus(rows, max_depth, statistics, first_depth=0)
-    w = F.col("n_loci")
-    aggs = [F.sum(w).alias("n_loci")]
+    aggs = ["sum(n_loci) AS n_loci"]
     for s in statistics:
-        x = F.col(s) - _shift(s)
-        aggs += [F.sum(w * x).alias(f"{s}_s1"), F.sum(w * x * x).alias(f"{s}_s2")]
-    return stats.groupBy(*keys, "g").agg(*aggs)
+        x = f"({s} - {_shift(s)}D)"
+        aggs += [f"sum(n_loci * {x}) AS {s}_s1", f"sum(n_loci * {x} * {x}) AS {s}_s2"]
+    return stats.groupBy(*keys, "g").agg(*[F.expr(a) for a in aggs])
 
 
 def finalise(sums: DataFrame, keys=(), statistics=BLOCKS, per_depth_loci: bool = False,
@@ -154,15 +145,14 @@ def finalise(sums: DataFrame, keys=(), statistics=BLOCKS, per_depth_loci: bool =
         # at most max_depth + 1 rows per key
         sums = (sums.withColumn("_all", F.max("n_loci").over(Window.partitionBy(*keys)))
                 .where(F.col("n_loci") == F.col("_all")))
-    n = F.col("n_loci")
     cols = []
     for s in statistics:
-        s1, s2 = F.col(f"{s}_s1"), F.col(f"{s}_s2")
-        variance = F.when(n > 1, F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / (n - 1))
-        cols += [(s1 / n + _shift(s)).alias(f"{s}_mean"), variance.alias(f"{s}_variance"),
-                 F.sqrt(variance / n).alias(f"{s}_se")]
+        s1, s2 = f"{s}_s1", f"{s}_s2"
+        variance = f"if(n_loci > 1, greatest({s2} - {s1} * {s1} / n_loci, 0D) / (n_loci - 1), NULL)"
+        cols += [f"{s1} / n_loci + {_shift(s)}D AS {s}_mean", f"{variance} AS {s}_variance",
+                 f"sqrt({variance} / n_loci) AS {s}_se"]
     head = [] if drop_n else ["n_loci"]
-    return sums.where(F.col("g") >= 2).select(*keys, *head, "g", *cols)
+    return sums.where("g >= 2").selectExpr(*keys, *head, "g", *cols)
 
 
 def feature_matrix(counts: DataFrame, max_depth: int | None = None, keys=(),
@@ -175,13 +165,13 @@ def feature_matrix(counts: DataFrame, max_depth: int | None = None, keys=(),
 def moments(stats: DataFrame, keys=(), statistics=BLOCKS, higher: bool = False) -> DataFrame:
     """Moments of per-locus statistics without collapsing; `higher` adds skewness and excess
     kurtosis (population forms)."""
-    aggs = [F.count(F.lit(1)).alias("n_loci")]
+    aggs = ["count(1) AS n_loci"]
     for s in statistics:
-        aggs += [F.avg(s).alias(f"{s}_mean"), F.var_samp(s).alias(f"{s}_variance"),
-                 (F.stddev_samp(s) / F.sqrt(F.count(s))).alias(f"{s}_se")]
+        aggs += [f"avg({s}) AS {s}_mean", f"var_samp({s}) AS {s}_variance",
+                 f"stddev_samp({s}) / sqrt(count({s})) AS {s}_se"]
         if higher:
-            aggs += [F.skewness(s).alias(f"{s}_skewness"), F.kurtosis(s).alias(f"{s}_kurtosis")]
-    return stats.groupBy(*keys, "g").agg(*aggs)
+            aggs += [f"skewness({s}) AS {s}_skewness", f"kurtosis({s}) AS {s}_kurtosis"]
+    return stats.groupBy(*keys, "g").agg(*[F.expr(a) for a in aggs])
 
 
 def pair_private_ratio(features: DataFrame, keys=()) -> DataFrame:
