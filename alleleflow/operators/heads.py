@@ -120,8 +120,8 @@ def moment_sums(df: DataFrame, features, keys, seeds=None) -> DataFrame:
     """Count, sums and cross products of `features` per key, long: (keys, i, j, value) with
     i <= j; index 0 is the constant 1, so (0, 0) is the count and (0, j) are the sums.
 
-    Each Arrow batch is reduced to its Gram matrices with numpy; only those are shuffled, so
-    the data moved depends on the number of keys and features, not on rows. With `seeds`,
+    A task reduces its Arrow batches to Gram matrices with numpy; only those are shuffled, so
+    the data moved depends on tasks, keys and features, not on rows. With `seeds`,
     the key `fold` is taken from every `fold_<seed>` column and `seed` is added."""
     keys = list(keys)
     features = list(features)
@@ -140,23 +140,28 @@ def moment_sums(df: DataFrame, features, keys, seeds=None) -> DataFrame:
     schema = ", ".join([*(x for pair in key_schema for x in pair),
                         *[f"{k} {types[k]}" for k in keys], "_g array<double>"])
 
+    def flush(held):
+        return pd.DataFrame([[*key, g[upper]] for key, g in held.items()],
+                            columns=[*out_keys, "_g"])
+
     def reduce_batches(batches):
+        held: dict = {}
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.column_stack([np.ones(len(pdf)),
-                                 pdf[features].to_numpy(dtype=float)])
+            x = np.column_stack([np.ones(len(pdf)), pdf[features].to_numpy(dtype=float)])
             for seed, fold in (fold_cols or {None: None}).items():
                 by = ([fold] if fold else []) + keys
-                groups = pdf.groupby(by, sort=False, dropna=False).indices if by else {
-                    (): np.arange(len(pdf))}
-                rows = []
+                groups = (pdf.groupby(by, sort=False, dropna=False).indices if by
+                          else {(): np.arange(len(pdf))})
                 for key, at in groups.items():
                     key = key if isinstance(key, tuple) else (key,)
+                    key = (seed, *key) if fold else key
                     part = x[at]
-                    rows.append([*([seed] if fold else []), *key,
-                                 (part.T @ part)[upper]])
-                yield pd.DataFrame(rows, columns=[*out_keys, "_g"])
+                    held[key] = held.get(key, 0) + part.T @ part
+            if len(held) > 256:              # keep memory flat for many keys
+                yield flush(held)
+                held = {}
+        if held:
+            yield flush(held)
 
     gram = source.mapInPandas(reduce_batches, schema)
     index = F.split(F.lit(",".join(str(i) for i in upper[0])), ",").cast("array<int>")
@@ -310,26 +315,22 @@ def _assembled(df: DataFrame, features) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
 
 
-def fit_logistic(train: DataFrame, features, label: str, labels=None, c: float = 1.0,
-                 max_iter: int = 400, eps: float = 0.0) -> LinearHead:
-    """Logistic head on standardised features. The penalty is on the summed loss, so MLlib's
-    mean-loss parameter is 1 / (c * n). The scaling is folded into the coefficients."""
+def fit_logistic_mllib(train: DataFrame, features, label: str, mean, sd, labels=None,
+                       c: float = 1.0, max_iter: int = 400) -> LinearHead:
+    """Logistic head by MLlib on standardised features. The penalty is on the summed loss, so
+    MLlib's mean-loss parameter is 1 / (c * n). The scaling is folded into the coefficients."""
     from pyspark.ml.classification import LogisticRegression
-    s = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m_{x}") for x in features],
-                  *[F.stddev_pop(x).alias(f"s_{x}") for x in features]).first()
-    mean = np.array([s[f"m_{x}"] for x in features])
-    sd = np.array([s[f"s_{x}"] for x in features]) + eps
-    sd[sd == 0] = 1.0
     binary = labels is None
     y = F.col(label).cast("double") if binary else F.coalesce(*[
         F.when(F.col(label) == x, F.lit(float(i))) for i, x in enumerate(labels)])
-    z = train.select(y.alias("_y"), *[((F.col(x) - float(m)) / float(d)).alias(x)
-                                      for x, m, d in zip(features, mean, sd)])
+    z = train.select(y.alias("_y"), *[f"`{x}`" for x in features]).selectExpr(
+        "_y", *[f"(`{x}` - {float(m)!r}D) / {float(d)!r}D AS `{x}`"
+                for x, m, d in zip(features, mean, sd)])
     rows = _assembled(z, features).select("_y", "_x").persist()
     try:
         model = LogisticRegression(
             featuresCol="_x", labelCol="_y", maxIter=max_iter, tol=1e-8,
-            regParam=1.0 / (c * s["n"]), elasticNetParam=0.0, standardization=False,
+            regParam=1.0 / (c * rows.count()), elasticNetParam=0.0, standardization=False,
             family="binomial" if binary else "multinomial").fit(rows)
     finally:
         rows.unpersist()
@@ -340,6 +341,151 @@ def fit_logistic(train: DataFrame, features, label: str, labels=None, c: float =
     return LinearHead(list(features), list(labels)[:len(w)], w, b)
 
 
+def _scale_of(m: np.ndarray, eps: float = 0.0):
+    """Mean and population sd from a moment matrix; constant columns get scale 1."""
+    mean = m[0, 1:] / m[0, 0]
+    sd = np.sqrt(np.clip(np.diag(m)[1:] / m[0, 0] - mean ** 2, 0, None))
+    sd[sd <= 1e-9 * np.maximum(np.abs(mean), 1e-300)] = 0.0
+    sd = sd + eps
+    sd[sd == 0] = 1.0
+    return mean, sd
+
+
+def fit_logistic(train: DataFrame, features, label: str, labels=None, c: float = 1.0,
+                 max_iter: int = 50, eps: float = 0.0,
+                 scale_on: DataFrame | None = None) -> LinearHead:
+    """One logistic head on all rows of `train`, standardised by `scale_on` (by `train` if not
+    given). `labels=None` fits a binary head on a 0/1 label."""
+    base = train if scale_on is None else scale_on
+    m = collect_moments(moment_sums(base.withColumn("_one", F.lit(1)), features, ["_one"]),
+                        ["_one"], len(features) + 1)[(1,)]
+    mean, sd = _scale_of(m, eps)
+    if (len(features) + 1) * (1 if labels is None else len(labels)) > _NEWTON_SIZE:
+        return fit_logistic_mllib(train, features, label, mean, sd, labels, c)
+    rows = train.select(F.lit(-1).alias("fold_0"), label, *features)
+    return _newton(rows, features, label, labels, [0], {(0, 0): (mean, sd)}, c, max_iter)[(0, 0)]
+
+
+# Beyond this many coefficients a Hessian per task is larger than what MLlib's gradients need.
+_NEWTON_SIZE = 400
+
+
+def logistic_by_fold(df: DataFrame, features, label: str, labels=None, seeds=(0,), k: int = 5,
+                     c: float = 1.0, max_iter: int = 50, eps: float = 0.0) -> dict:
+    """Logistic heads of every (seed, fold), each standardised by its own training rows and
+    fitted together. `labels=None` fits a binary head on a 0/1 label."""
+    features = list(features)
+    seeds = [int(s) for s in seeds]
+    rows = df.select(*[f"fold_{s}" for s in seeds], label, *features)
+    held = collect_moments(moment_sums(rows.withColumn("_one", F.lit(1)), features, ["_one"],
+                                       seeds), ["seed", "fold", "_one"], len(features) + 1)
+    fits = {sf: _scale_of(m[1], eps) for sf, m in leave_fold_out(held).items()}
+    if (len(features) + 1) * (1 if labels is None else len(labels)) > _NEWTON_SIZE:
+        return {(s, f): fit_logistic_mllib(rows.where(F.col(f"fold_{s}") != f), features, label,
+                                           mean, sd, labels, c)
+                for (s, f), (mean, sd) in fits.items()}
+    return _newton(rows, features, label, labels, seeds, fits, c, max_iter)
+
+
+def _newton(rows: DataFrame, features, label: str, labels, seeds, fits: dict, c: float,
+            max_iter: int, tol: float = 1e-6) -> dict:
+    """Penalised logistic fits by Newton's method, one per key (seed, fold) of `fits`, trained
+    on the rows outside the fold. One pass over the rows gives loss, gradient and Hessian of
+    all fits, so the number of jobs is the number of Newton steps (about ten), whatever the
+    number of folds and seeds. Only coefficients are held on the driver."""
+    features = list(features)
+    p, binary = len(features), labels is None
+    names = [1] if binary else list(labels)
+    n_rows = len(names)
+    size = n_rows * (p + 1)
+    upper = np.triu_indices(size)
+    penalty = np.ones((n_rows, p + 1)) / c
+    penalty[:, 0] = 0.0
+    penalty = penalty.ravel()
+
+    def passes(theta):
+        """[loss, gradient, Hessian] of the data term for each fit, summed over tasks."""
+        def work(batches):
+            total: dict = {}
+            for pdf in batches:
+                x = pdf[features].to_numpy(dtype=float)
+                y = np.column_stack([(pdf[label] == v).to_numpy(dtype=float) for v in names])
+                for seed in seeds:
+                    fold = pdf[f"fold_{seed}"].to_numpy()
+                    for (s, f), t in theta.items():
+                        if s != seed:
+                            continue
+                        train = fold != f
+                        if not train.any():
+                            continue
+                        mean, sd = fits[(s, f)]
+                        z = np.column_stack([np.ones(train.sum()), (x[train] - mean) / sd])
+                        yt = y[train]
+                        score = z @ t.reshape(n_rows, p + 1).T
+                        if binary:
+                            loss = np.logaddexp(0, score).sum() - (yt * score).sum()
+                            prob = 1 / (1 + np.exp(-score))
+                        else:
+                            top = score.max(1, keepdims=True)
+                            norm = top + np.log(np.exp(score - top).sum(1, keepdims=True))
+                            loss = (norm.sum() - (yt * score).sum())
+                            prob = np.exp(score - norm)
+                        grad = ((prob - yt).T @ z).ravel()
+                        hess = np.zeros((size, size))
+                        for a in range(n_rows):
+                            for b in range(a, n_rows):
+                                w = prob[:, a] * ((a == b) - prob[:, b])
+                                block = (z * w[:, None]).T @ z
+                                ra, rb = a * (p + 1), b * (p + 1)
+                                hess[ra:ra + p + 1, rb:rb + p + 1] = block
+                        out = np.concatenate([[loss], grad, hess[upper]])
+                        total[(s, f)] = total.get((s, f), 0) + out
+            if total:
+                yield pd.DataFrame([[s, f, v] for (s, f), v in total.items()],
+                                   columns=["seed", "fold", "v"])
+        summed = (rows.mapInPandas(work, "seed int, fold int, v array<double>")
+                  .select("seed", "fold", F.posexplode("v").alias("k", "x"))
+                  .groupBy("seed", "fold", "k").agg(F.sum("x").alias("x")).toPandas())
+        return {sf: part.sort_values("k")["x"].to_numpy()
+                for sf, part in summed.groupby(["seed", "fold"])}
+
+    theta = {sf: np.zeros(size) for sf in fits}
+    best: dict = {}                                  # accepted point, its value, Newton step
+    active = set(theta)
+    for _ in range(max_iter):
+        for sf, v in passes({sf: theta[sf] for sf in active}).items():
+            t = theta[sf]
+            value = v[0] + 0.5 * (penalty * t * t).sum()
+            if sf in best and not value <= best[sf][1] + 1e-12 * abs(best[sf][1]):
+                best[sf][2] = best[sf][2] / 2        # too far: halve the step
+                if np.abs(best[sf][2]).max() < 1e-12:
+                    theta[sf] = best[sf][0]
+                    active.discard(sf)
+                    continue
+                theta[sf] = best[sf][0] - best[sf][2]
+                continue
+            grad = v[1:1 + size] + penalty * t
+            hess = np.zeros((size, size))
+            hess[upper] = v[1 + size:]
+            hess = hess + np.triu(hess, 1).T + np.diag(penalty)
+            step = np.linalg.lstsq(hess, grad, rcond=1e-12)[0]
+            best[sf] = [t, value, step]
+            if np.abs(grad).max() < tol * max(1.0, abs(value)):
+                active.discard(sf)
+            else:
+                theta[sf] = t - step
+        if not active:
+            break
+    out = {}
+    for sf, (mean, sd) in fits.items():
+        t = theta[sf].reshape(n_rows, p + 1)
+        w = t[:, 1:] / sd
+        b = t[:, 0] - w @ mean
+        out[sf] = LinearHead(features, ["gate"] if binary else names, w, b,
+                             "logistic" if binary else "softmax")
+    return out
+
+
 def fit_boosted(train: DataFrame, features, label: str, labels, max_iter: int = 150,
                 step: float = 0.08, depth: int = 5, seed: int = 0):
     """One boosted binary model per class (MLlib's is binary); scores are normalised."""
