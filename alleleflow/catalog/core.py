@@ -28,8 +28,8 @@ def query(name, sql=None):
 
 
 def rounded_all(df, keep, nudge=0.0):
-    return df.select(*keep, *[rounded(c, 6, nudge).alias(c) for c in df.columns
-                              if c not in keep])
+    return df.selectExpr(*keep, *[f"round(double({c}) + {nudge!r}D, 6) + 0D AS {c}"
+                                  for c in df.columns if c not in keep])
 
 
 def deep_counts(spark, sf):

@@ -20,16 +20,16 @@ from alleleflow.functions.session import checkpointed
 
 def scaler_of(df: DataFrame, cols) -> DataFrame:
     """One row: mean and population sd per column; a constant column keeps scale 1."""
-    return df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                  *[F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0).alias(f"s_{c}")
+    return df.agg(*[F.expr(f"avg(`{c}`) AS `m_{c}`") for c in cols],
+                  *[F.expr(f"if(stddev_pop(`{c}`) > 0, stddev_pop(`{c}`), 1D) AS `s_{c}`")
                     for c in cols])
 
 
 def standardise(train: DataFrame, apply: DataFrame, cols) -> DataFrame:
     """Columns of `apply` centred and scaled by the moments of `train`."""
     rest = [c for c in apply.columns if c not in cols]
-    return apply.crossJoin(F.broadcast(scaler_of(train, cols))).select(    # one row
-        *rest, *[((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias(c) for c in cols])
+    return apply.crossJoin(F.broadcast(scaler_of(train, cols))).selectExpr(    # one row
+        *rest, *[f"(`{c}` - `m_{c}`) / `s_{c}` AS `{c}`" for c in cols])
 
 
 def weight_features(df: DataFrame, cols, heavy, weight: float = 5.0) -> DataFrame:
@@ -50,16 +50,17 @@ class LinearHead:
     kind: str = "softmax"
     meta: dict = field(default_factory=dict)
 
-    def scores(self) -> list[Column]:
-        return [add([F.col(c) * float(w) for c, w in zip(self.features, row)])
-                + F.lit(float(b)) for row, b in zip(self.coef, self.intercept)]
+    def scores(self) -> list[str]:
+        """SQL of each score; one parsed expression is far cheaper to build than a tree."""
+        return [" + ".join([f"`{c}` * {float(w)!r}D" for c, w in zip(self.features, row)]
+                           + [f"{float(b)!r}D"]) for row, b in zip(self.coef, self.intercept)]
 
     def output_columns(self, prefix: str = "p") -> list[str]:
         return [f"{prefix}_{x}" for x in self.labels]
 
     def apply(self, df: DataFrame, prefix: str = "p") -> DataFrame:
         names = [f"_s{i}" for i in range(len(self.coef))]
-        scored = df.select("*", *[s.alias(n) for s, n in zip(self.scores(), names)])
+        scored = df.selectExpr("*", *[f"{s} AS {n}" for s, n in zip(self.scores(), names)])
         return _probabilities(scored, names, self.labels, self.kind, prefix)
 
     def to_dict(self) -> dict:
@@ -99,10 +100,10 @@ def apply_by_fold(df: DataFrame, heads: dict, prefix: str = "p") -> DataFrame:
         + ", _b array<double>")
     names = [f"_s{i}" for i in range(k)]
     # the heads were just collected: seeds x folds rows
-    scored = df.join(F.broadcast(table), ["seed", "fold"]).select(
-        *df.columns, *[(add([F.col(c) * F.get(f"_w{i}", F.lit(j))
-                             for j, c in enumerate(some.features)])
-                        + F.get("_b", F.lit(i))).alias(names[i]) for i in range(k)])
+    scored = df.join(F.broadcast(table), ["seed", "fold"]).selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[" + ".join([f"`{c}` * get(_w{i}, {j})" for j, c in enumerate(some.features)])
+          + f" + get(_b, {i}) AS {names[i]}" for i in range(k)])
     return _probabilities(scored, names, some.labels, some.kind, prefix)
 
 
@@ -174,7 +175,7 @@ def moment_sums(df: DataFrame, features, keys, seeds=None) -> DataFrame:
 
 def collect_moments(sums: DataFrame, keys, p: int) -> dict[tuple, np.ndarray]:
     """Moment matrices on the driver: keys x p x p numbers, never rows of data."""
-    pdf = sums.toPandas()
+    pdf = sums.toArrow().to_pandas()
     out: dict[tuple, np.ndarray] = {}
     for key, part in pdf.groupby(list(keys), sort=True):
         key = key if isinstance(key, tuple) else (key,)
@@ -367,7 +368,7 @@ def fit_logistic(train: DataFrame, features, label: str, labels=None, c: float =
 
 
 # Beyond this many coefficients a Hessian per task is larger than what MLlib's gradients need.
-_NEWTON_SIZE = 400
+_NEWTON_SIZE = 800
 
 
 def logistic_by_fold(df: DataFrame, features, label: str, labels=None, seeds=(0,), k: int = 5,
@@ -445,7 +446,8 @@ def _newton(rows: DataFrame, features, label: str, labels, seeds, fits: dict, c:
                                    columns=["seed", "fold", "v"])
         summed = (rows.mapInPandas(work, "seed int, fold int, v array<double>")
                   .select("seed", "fold", F.posexplode("v").alias("k", "x"))
-                  .groupBy("seed", "fold", "k").agg(F.sum("x").alias("x")).toPandas())
+                  .groupBy("seed", "fold", "k").agg(F.sum("x").alias("x"))
+                  .toArrow().to_pandas())
         return {sf: part.sort_values("k")["x"].to_numpy()
                 for sf, part in summed.groupby(["seed", "fold"])}
 
@@ -596,6 +598,8 @@ def residual_correction(preds: DataFrame, vector: str, key: str, cols, residuals
     similarities. One pass of moments serves all folds and residuals."""
     from alleleflow.operators.protocol import with_folds
     fold_seed = seed + 137
+    outer = {c: f"_outer_{c}" for c in ("seed", "fold") if c in preds.columns}
+    preds = preds.withColumnsRenamed(outer)
     marks = landmark_rows(preds, vector, key, n_landmarks, seed)
     s = scale * median_distance(marks)
     names = [f"_k{i}" for i in range(len(marks))]
@@ -616,9 +620,10 @@ def residual_correction(preds: DataFrame, vector: str, key: str, cols, residuals
                                np.vstack([p.coef for p in parts]),
                                np.concatenate([p.intercept for p in parts]), "identity")
     scored = apply_by_fold(explode_seeds(rows, [fold_seed]), heads, "_fit")
-    return scored.select(*[c for c in preds.columns if c not in residuals],
-                         *[(F.col(c) + F.col(f"_fit_{i}")).alias(f"corrected_{c}")
-                           for i, c in enumerate(cols)])
+    out = scored.select(*[c for c in preds.columns if c not in residuals],
+                        *[(F.col(c) + F.col(f"_fit_{i}")).alias(f"corrected_{c}")
+                          for i, c in enumerate(cols)])
+    return out.withColumnsRenamed({b: a for a, b in outer.items()})
 
 
 # ------------------------------------------------------------------ curves
@@ -639,6 +644,5 @@ def curve_features(rows: DataFrame, statistics, k: int = 8, group: str = "replic
         raise ValueError("replicates have unequal depth grids")
     depths = [grid[i] for i in curve_depths(n, k)]
     return rows.groupBy(group, *extra).agg(
-        *[F.max(F.when(F.col("g") == d, F.col(s))).alias(f"{s}_at{d}")
-          for d in depths for s in statistics],
-        *[F.avg(s).alias(f"{s}_curve") for s in statistics])
+        *[F.expr(f"max(if(g = {d}, {s}, NULL)) AS {s}_at{d}") for d in depths for s in statistics],
+        *[F.expr(f"avg({s}) AS {s}_curve") for s in statistics])

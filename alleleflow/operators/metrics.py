@@ -141,13 +141,12 @@ def bootstrap_interval(hits: DataFrame, hit: str = "hit", unit: str = "replicate
 
 def feature_shift(real: DataFrame, train: DataFrame, features) -> DataFrame:
     """Median over features of |mean_real - mean_train| / sd_train."""
-    t = train.agg(*[F.avg(c).alias(f"m_{c}") for c in features],
-                  *[F.stddev_pop(c).alias(f"s_{c}") for c in features])
-    r = real.agg(*[F.avg(c).alias(f"r_{c}") for c in features])
+    t = train.agg(*[F.expr(f"avg({c}) AS m_{c}") for c in features],
+                  *[F.expr(f"stddev_pop({c}) AS s_{c}") for c in features])
+    r = real.agg(*[F.expr(f"avg({c}) AS r_{c}") for c in features])
     both = t.crossJoin(F.broadcast(r))                    # one row each
-    shift = F.array(*[ratio(F.abs(F.col(f"r_{c}") - F.col(f"m_{c}")), F.col(f"s_{c}"))
-                      for c in features])
-    return both.select(F.explode(shift).alias("_z")).agg(
+    shift = ", ".join(f"abs(r_{c} - m_{c}) / if(s_{c} <> 0, s_{c}, NULL)" for c in features)
+    return both.selectExpr(f"explode(array({shift})) AS _z").agg(
         F.percentile("_z", F.lit(0.5)).alias("median_shift"), F.count("_z").alias("n_features"))
 
 
