@@ -212,6 +212,18 @@ def major_minor_recode(spark, sf):
     return coded.join(sites.select("chrom", "pos", "n_ref", "n_alt"), ["chrom", "pos"])
 
 
+@query("major_minor_counts", MAJOR_MINOR + """,
+coded AS (SELECT b.chrom, b.pos, b.pop, mm.ref, mm.alt, b1, b2 FROM base_calls b
+  JOIN mm ON b.chrom = mm.chrom AND b.pos = mm.pos)
+SELECT chrom, pos, ref, alt, """ + ", ".join(
+    f"CAST(count(*) FILTER (pop = 'P{j}' AND b1 = {a}) + count(*) FILTER (pop = 'P{j}' AND b2 = {a})"
+    f" AS INTEGER) AS c{i}_{j}" for i, a in ((1, "ref"), (2, "alt")) for j in (1, 2, 3, 4))
+    + " FROM coded GROUP BY ALL")
+def major_minor_counts(spark, sf):
+    """Recode and count in one shuffle, without returning to the calls."""
+    return ql.major_minor_counts(v.base_calls(spark, sf), ["P1", "P2", "P3", "P4"])
+
+
 @query("ancestral_allele", "WITH " + v.VARIANTS + """,
 a AS (SELECT *, upper(trim(regexp_extract(info, '(?:^|;)AA=([^;|]*)', 1))) AS aa FROM variants)
 SELECT chrom, pos, ref, alt, aa FROM a

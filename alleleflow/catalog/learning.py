@@ -302,20 +302,17 @@ def diversity_report(spark, sf):
 def archaic_report(spark, sf):
     """Panel calls: an order is a site, its line items are the calls of suppliers."""
     site = v.variants(spark, sf).drop("site_id").withColumnRenamed("pos", "p")
-    pops = v.samples(spark, sf).select(F.col("sample").alias("s"), "pop")
     k = F.col("l_orderkey")
     calls = v.table(spark, sf, "lineitem").select(
         (k * 1000).alias("pos"), F.col("l_suppkey").alias("sample"),
-        F.col("l_suppkey").alias("sample_idx"),
         (F.col("l_quantity") > 25).cast("int").alias("a1"),
         (F.col("l_linestatus") == "O").cast("int").alias("a2"))
-    modern = (calls.join(site, F.col("pos") == F.col("p")).drop("p")
-              .join(pops, F.col("sample") == F.col("s")).drop("s"))
+    modern = calls.join(site, F.col("pos") == F.col("p")).drop("p")
     sets = {}
     for tag, o in (("x", 0), ("y", 1)):
         a = ql.resolve_bases(ql.last_call(v.archaic(spark, sf, o), "line_no").drop("line_no"))
         sets[tag] = a.select("chrom", "pos", F.col("ref").alias("call_ref"), "n1", "n2")
-    return an.archaic_report(modern, sets, [("P1", "P2"), ("P1", "P3"), ("P2", "P3")],
+    return an.archaic_report(modern, v.samples(spark, sf), sets, [("P1", "P2"), ("P1", "P3"), ("P2", "P3")],
                              frozen(spark, sf), n_per_pop=50)
 
 

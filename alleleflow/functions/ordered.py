@@ -37,7 +37,7 @@ def bucket_rank(df: DataFrame, bucket: str, order, keys=(), limit: int | None =
 
 
 def hash_rank(df: DataFrame, order_hash: str, keys=(), limit: int | None = None,
-              digits: int = 3, name: str = "rank") -> DataFrame:
+              digits: int = 4, name: str = "rank") -> DataFrame:
     """Rank by a hexadecimal hash column. Its leading digits are uniform buckets, so every
     bucket holds about 1/16**digits of the rows. The hash must come from a unique key."""
     b = df.withColumn("_bucket", F.substring(order_hash, 1, digits))
@@ -51,15 +51,18 @@ def site_rank(df: DataFrame, keys=("chrom",), pos: str = "pos", bin_size: int =
     return bucket_rank(b, "_bin", [pos, *ties], keys, limit, name).drop("_bin")
 
 
-def value_splits(df: DataFrame, value: str, n: int = 64) -> list[float]:
-    """At most n-1 approximate quantiles of `value`: the only thing that reaches the driver."""
+def value_splits(df: DataFrame, value: str, n: int | None = None) -> list[float]:
+    """At most n-1 approximate quantiles of `value`: the only thing that reaches the driver.
+    By default there are more buckets than shuffle partitions."""
+    if n is None:
+        n = max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = [i / n for i in range(1, n)]
     got = df.agg(F.percentile_approx(F.col(value).cast("double"), at, 20 * n)).first()[0]
     return sorted(set(got or []))
 
 
 def prefix_sums(df: DataFrame, value: str, sums: dict[str, Column], keys=(),
-                n_splits: int = 64, splits: list[float] | None = None) -> DataFrame:
+                n_splits: int | None = None, splits: list[float] | None = None) -> DataFrame:
     """One row per distinct (keys, value) with each sum, the sum over smaller values
     (`<name>_below`) and the sum over the whole key (`<name>_total`).
 

@@ -1,10 +1,11 @@
-"""Session helpers: cluster-safe lineage cuts."""
+"""Session helpers: cluster-safe lineage cuts and size-checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -19,3 +20,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """`df` marked for broadcast if it has at most `max_rows` rows, otherwise unchanged, so that
+    the join falls back to a shuffle. Meant for tables derived from sample lists, which are
+    cheap to count."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from alleleflow.functions.exprs import hash_order
 from alleleflow.functions.ordered import hash_rank
+from alleleflow.functions.session import small_side
 from alleleflow.operators.counts import count_columns
 
 
@@ -37,9 +38,10 @@ def inject_migrants(genotypes: DataFrame, migrants: DataFrame) -> DataFrame:
     `migrants` has (sample, donor, pop) of one experiment, pop being the recipient's. Donor rows are
     copied under the migrant's name, so the genotypes are joined with the short migrant table
     only, never with themselves."""
+    migrants = small_side(migrants.select("sample", "donor", "pop"))
     others = genotypes.join(migrants.select("sample"), "sample", "left_anti")
     copied = (genotypes.withColumnRenamed("sample", "donor").drop("pop")
-              .join(migrants.select("sample", "donor", "pop"), "donor"))
+              .join(migrants, "donor"))
     return others.unionByName(copied.select(*genotypes.columns))
 
 
@@ -53,7 +55,7 @@ def injected_counts(genotypes: DataFrame, base: DataFrame, migrants: DataFrame,
     swaps = (migrants.select("experiment", "sample", "pop", F.lit(-1).alias("_sign"))
              .unionByName(migrants.select("experiment", F.col("donor").alias("sample"), "pop",
                                           F.lit(1).alias("_sign"))))
-    rows = genotypes.drop("pop").join(swaps, "sample")
+    rows = genotypes.drop("pop").join(small_side(swaps), "sample")
     aggs = [F.expr(f"int(sum(if(pop = {p!r}, _sign * (coalesce(int(a1 = {a!r}), 0) "
                    f"+ coalesce(int(a2 = {a!r}), 0)), 0))) AS _d{i}_{j}")
             for i, a in enumerate(alleles, 1) for j, p in enumerate(pop_order, 1)]

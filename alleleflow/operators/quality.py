@@ -41,6 +41,30 @@ def major_minor(calls: DataFrame, site=("chrom", "pos"), order: str = "sample_id
                     (-F.col("_r")[0]["k"]).alias("n_ref"), (-F.col("_r")[1]["k"]).alias("n_alt")))
 
 
+def major_minor_counts(calls: DataFrame, pop_order, site=("chrom", "pos"),
+                       order: str = "sample_idx") -> DataFrame:
+    """Counts table of the recoded sites without going back to the calls: copies of each base
+    per population are enough to choose ref and alt and to count them, so one shuffle by site
+    does both `major_minor` and the counting."""
+    aggs = []
+    for b in BASES:
+        seen = f"coalesce(if(b1 = '{b}', {order} * 2, NULL), if(b2 = '{b}', {order} * 2 + 1, NULL))"
+        aggs.append(f"min({seen}) AS _f{b}")
+        for j, p in enumerate(pop_order, 1):
+            aggs.append(f"sum(if(pop = {p!r}, coalesce(int(b1 = '{b}'), 0) + "
+                        f"coalesce(int(b2 = '{b}'), 0), 0)) AS _n{b}{j}")
+    pops = range(1, len(pop_order) + 1)
+    entries = ", ".join(
+        f"struct(-({' + '.join(f'_n{b}{j}' for j in pops)}) AS k, _f{b} AS f, '{b}' AS base, "
+        f"array({', '.join(f'_n{b}{j}' for j in pops)}) AS n)" for b in BASES)
+    return (calls.where(F.col("pop").isin(list(pop_order)))
+            .groupBy(*site).agg(*[F.expr(a) for a in aggs])
+            .selectExpr(*site, f"array_sort(filter(array({entries}), x -> x.k < 0)) AS _r")
+            .where("size(_r) = 2")
+            .selectExpr(*site, "_r[0].base AS ref", "_r[1].base AS alt", *[
+                f"int(_r[{i - 1}].n[{j - 1}]) AS c{i}_{j}" for i in (1, 2) for j in pops]))
+
+
 def recode_to_sites(calls: DataFrame, sites: DataFrame, site=("chrom", "pos")) -> DataFrame:
     """Base calls of the kept sites as 0 (ref), 1 (alt) or NULL."""
     def code(b):

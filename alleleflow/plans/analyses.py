@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alleleflow.functions.session import checkpointed
+from alleleflow.functions.session import checkpointed, small_side
 from alleleflow.operators import classical, counts as ct, heads as hd, inject
 from alleleflow.operators import metrics as mt, protocol as pr, quality, rarefaction as rf
 from alleleflow.plans.contract import (
-    APPRECIABLE, CLASSES, CONTROL, FEATURES, MOMENT_SETS, STATISTICS)
+    APPRECIABLE, CLASSES, CONTROL, FEATURES, MOMENT_SETS, STATISTICS, validate_populations)
 from alleleflow.sources import text
 
 P = [f"p_{c}" for c in CLASSES]
@@ -304,6 +304,23 @@ def heldout_batches(train: DataFrame, batches: dict, gate: str = "all") -> DataF
     return accuracy.unionByName(auc).unionByName(ece)
 
 
+# ------------------------------------------------------------------ features from files
+
+def build_matrix(spark, vcf: str, popmap: str, pop_order, max_depth: int | None = None,
+                 biallelic: bool = False) -> DataFrame:
+    """The 28-column matrix of a VCF and a sample map. Populations must be exactly the three of
+    `pop_order`. Loci may have any number of alleles; `biallelic` takes the faster column path
+    when no code above 1 occurs."""
+    mapping = text.read_popmap(spark, popmap)
+    present = [r["pop"] for r in mapping.select("pop").distinct().limit(100).collect()]
+    order = validate_populations(pop_order, present)
+    names = text.vcf_samples(spark, vcf)
+    variants = text.read_vcf(spark, vcf, names)
+    read = text.counts_from_vcf if biallelic else text.cells_from_vcf
+    counts = read(variants, names, mapping, order)
+    return rf.feature_matrix(counts.drop("chrom", "pos", "ref", "alt", "info"), max_depth)
+
+
 # ------------------------------------------------------------------ real data
 
 def trio_report(counts: DataFrame, model: dict, keys=(), max_depth: int = 100,
@@ -356,8 +373,7 @@ def trio_counts(calls: DataFrame, popmap: DataFrame, labels, min_copies: int = 1
     names = ["P1", "P2", "P3", "P4"]
     chosen = text.join_popmap(calls, text.select_populations(
         popmap, {n: [x] if isinstance(x, str) else list(x) for n, x in zip(names, labels)}))
-    coded = quality.recode_to_sites(chosen, quality.major_minor(chosen))
-    counts = ct.allele_table(coded, names, locus=("chrom", "pos"))
+    counts = quality.major_minor_counts(chosen, names).drop("ref", "alt")
     return ct.polymorphic(ct.min_copies(counts, min_copies, exempt=(4,)), (1, 2, 3))
 
 
@@ -417,14 +433,16 @@ def diversity_report(genotypes: DataFrame, references, recipient: str, donor: st
             .join(het, "reference"))
 
 
-def archaic_counts(modern: DataFrame, call_sets: dict, pops, n_per_pop: int = 50) -> DataFrame:
+def archaic_counts(modern: DataFrame, samples: DataFrame, call_sets: dict, pops,
+                   n_per_pop: int = 50) -> DataFrame:
     """Counts of (pops[0], pops[1], archaic) at sites where all call sets have a call that fits
     the panel's alleles, with the ancestral base `aa`. `modern` has long calls with ref, alt,
-    info, sample and pop; a call set has one row per position (n1, n2, call_ref)."""
-    panel = quality.biallelic_snps(modern.where(F.col("pop").isin(list(pops))))
-    chosen = quality.first_n_per_population(
-        panel.select("sample", "sample_idx", "pop").distinct(), n_per_pop).select("sample")
-    counts = ct.allele_table(panel.join(chosen, "sample", "left_semi"), pops,
+    info and sample, `samples` (sample, sample_idx, pop); a call set has one row per position
+    (n1, n2, call_ref)."""
+    chosen = quality.first_n_per_population(samples.where(F.col("pop").isin(list(pops))),
+                                            n_per_pop).select("sample", "pop")
+    panel = quality.biallelic_snps(modern).drop("pop").join(small_side(chosen), "sample")
+    counts = ct.allele_table(panel, pops,
                              locus=("chrom", "pos", "ref", "alt", "info"))
     counts = quality.ancestral_allele(counts).drop("info")
     site = ["chrom", "pos"]
@@ -445,12 +463,12 @@ def archaic_counts(modern: DataFrame, call_sets: dict, pops, n_per_pop: int = 50
         "c2_1", "c2_2", F.col("_a").alias("c2_3")).where("c1_1 + c2_1 > 0 AND c1_2 + c2_2 > 0")
 
 
-def archaic_report(modern: DataFrame, call_sets: dict, trios, model: dict,
+def archaic_report(modern: DataFrame, samples: DataFrame, call_sets: dict, trios, model: dict,
                    n_per_pop: int = 50, max_depth: int = 100) -> DataFrame:
     """D, gate and direction for several (P1, P2, archaic) trios."""
     out = None
     for p1, p2 in trios:
-        one = archaic_counts(modern, call_sets, [p1, p2], n_per_pop).withColumn(
+        one = archaic_counts(modern, samples, call_sets, [p1, p2], n_per_pop).withColumn(
             "trio", F.lit(f"{p1}/{p2}"))
         out = one if out is None else out.unionByName(one)
     return trio_report(checkpointed(out), model, ["trio"], max_depth, ancestral=True)

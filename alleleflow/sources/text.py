@@ -68,10 +68,10 @@ def genotypes_from_vcf(variants: DataFrame, samples: list[str], popmap: DataFram
     return rows.withColumn("a1", a1).withColumn("a2", a2).drop("cell")
 
 
-def counts_from_vcf(variants: DataFrame, samples: list[str], popmap: DataFrame, pop_order,
-                    alleles=(0, 1)) -> DataFrame:
-    """Counts table straight from variant rows. A VCF line holds its whole locus, so the
-    copies are counted inside the row and nothing is shuffled."""
+def _tokens_per_population(variants: DataFrame, samples: list[str], popmap: DataFrame,
+                           pop_order):
+    """Rows with one array `_t{j}` of allele codes per population. A VCF line holds its whole
+    locus, so the codes are gathered inside the row and nothing is shuffled."""
     spark = variants.sparkSession
     header = spark.createDataFrame(list(enumerate(samples)), "sample_idx int, sample string")
     per_pop = header.join(popmap, "sample").agg(*[
@@ -79,10 +79,27 @@ def counts_from_vcf(variants: DataFrame, samples: list[str], popmap: DataFrame,
         for j, p in enumerate(pop_order, 1)])
     rows = variants.crossJoin(F.broadcast(per_pop))       # one row of column numbers
     names = [f"_t{j}" for j in range(1, len(pop_order) + 1)]
-    rows = rows.select("chrom", "pos", "ref", "alt", "info", *[
+    return names, rows.select("chrom", "pos", "ref", "alt", "info", *[
         F.flatten(F.transform(f"_s{j}", lambda i: F.split(F.get("cells", i), "/"))).alias(n)
         for j, n in enumerate(names, 1)])
 
+
+def cells_from_vcf(variants: DataFrame, samples: list[str], popmap: DataFrame,
+                   pop_order) -> DataFrame:
+    """Counts of every allele of a locus as a sorted `cells` array, for any number of
+    alternatives."""
+    names, rows = _tokens_per_population(variants, samples, popmap, pop_order)
+    copies = ", ".join(f"size(filter({n}, t -> t = string(a))) AS c_{j}"
+                       for j, n in enumerate(names, 1))
+    return rows.selectExpr("chrom", "pos", f"""array_sort(transform(
+        sequence(0, size(split(alt, ','))), a -> struct({copies}))) AS cells""")
+
+
+def counts_from_vcf(variants: DataFrame, samples: list[str], popmap: DataFrame, pop_order,
+                    alleles=(0, 1)) -> DataFrame:
+    """Counts table straight from variant rows, for the listed allele codes."""
+    names, rows = _tokens_per_population(variants, samples, popmap, pop_order)
+
     def copies(tokens, allele):
         return F.size(F.filter(tokens, lambda t: t == F.lit(str(allele))))
     return rows.select("chrom", "pos", "ref", "alt", "info", *[

@@ -171,3 +171,43 @@ def test_injection_by_difference_equals_replacement(spark):
                 == sorted(map(tuple, slow.collect())))
     assert (sorted(map(tuple, fast.where("experiment = 'none'").drop("experiment").collect()))
             == sorted(map(tuple, ct.allele_table(g, order).collect())))
+
+
+def test_build_matrix_from_files(spark):
+    from alleleflow.plans.analyses import build_matrix
+    from alleleflow.plans.contract import FEATURES
+    rng = np.random.default_rng(7)
+    names = [f"s{i}" for i in range(12)]
+    head = "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(names) + "\n"
+
+    def line(pos, alleles):
+        gts = ["%d/%d" % tuple(rng.integers(0, alleles, 2)) for _ in names]
+        alt = ",".join("CGT"[:alleles - 1])
+        return f"1\t{pos}\t.\tA\t{alt}\t.\tPASS\t.\tGT\t" + "\t".join(gts) + "\n"
+    popmap = write("".join(f"{s}\tp{i % 3}\n" for i, s in enumerate(names)))
+    two = write(head + "".join(line(i, 2) for i in range(20)))
+    a = build_matrix(spark, two, popmap, ["p2", "p0", "p1"], 6).orderBy("g").collect()
+    b = build_matrix(spark, two, popmap, ["p2", "p0", "p1"], 6, True).orderBy("g").collect()
+    assert [r["g"] for r in a] == [2, 3, 4, 5, 6] and list(a[0].asDict()) == FEATURES
+    for x, y in zip(a, b):
+        assert list(x) == pytest.approx(list(y), abs=1e-12)
+    many = write(head + "".join(line(i, 4) for i in range(20)))
+    richer = build_matrix(spark, many, popmap, ["p2", "p0", "p1"]).orderBy("g").collect()
+    assert richer[-1]["g"] == 8 and richer[-1]["alpha_1_mean"] > 2
+    with pytest.raises(ValueError):
+        build_matrix(spark, two, popmap, ["p2", "p0", "other"])
+
+
+def test_recode_and_count_in_one_shuffle(spark):
+    rng = np.random.default_rng(8)
+    bases = np.array(["A", "C", "G", None], dtype=object)
+    rows = [("1", pos, s, f"P{1 + s % 3}", *(bases[i] for i in rng.choice(4, 2, p=[.5, .3, .02, .18])))
+            for pos in range(40) for s in range(9)]
+    calls = spark.createDataFrame(rows, "chrom string, pos int, sample_idx int, pop string, "
+                                        "b1 string, b2 string")
+    pops = ["P1", "P2", "P3"]
+    slow = ct.allele_table(ql.recode_to_sites(calls, ql.major_minor(calls)), pops,
+                           locus=("chrom", "pos", "ref", "alt"))
+    fast = ql.major_minor_counts(calls, pops)
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
+    assert 0 < fast.count() < 40
