@@ -435,43 +435,44 @@ def diversity_report(genotypes: DataFrame, references, recipient: str, donor: st
 
 def archaic_counts(modern: DataFrame, samples: DataFrame, call_sets: dict, pops,
                    n_per_pop: int = 50) -> DataFrame:
-    """Counts of (pops[0], pops[1], archaic) at sites where all call sets have a call that fits
-    the panel's alleles, with the ancestral base `aa`. `modern` has long calls with ref, alt,
-    info and sample, `samples` (sample, sample_idx, pop); a call set has one row per position
-    (n1, n2, call_ref)."""
-    chosen = quality.first_n_per_population(samples.where(F.col("pop").isin(list(pops))),
+    """Counts of the populations `pops` and, last, of the archaic call sets together, at sites
+    where all call sets have a call that fits the panel's alleles, with the ancestral base
+    `aa`. `modern` has long calls with ref, alt, info and sample, `samples` (sample, sample_idx,
+    pop); a call set has one row per position (n1, n2, call_ref)."""
+    site, pops = ["chrom", "pos"], list(pops)
+    chosen = quality.first_n_per_population(samples.where(F.col("pop").isin(pops)),
                                             n_per_pop).select("sample", "pop")
     panel = quality.biallelic_snps(modern).drop("pop").join(small_side(chosen), "sample")
-    counts = ct.allele_table(panel, pops,
-                             locus=("chrom", "pos", "ref", "alt", "info"))
-    counts = quality.ancestral_allele(counts).drop("info")
-    site = ["chrom", "pos"]
-    third = None
-    for calls in call_sets.values():
-        fit = quality.recode_against(
-            counts.select(*site, "ref", "alt").join(calls, site)).select(
-            *site, (F.lit(2) - F.col("a1") - F.col("a2")).alias("_r"),
-            (F.col("a1") + F.col("a2")).alias("_a"))
-        if third is None:
-            third = fit
-        else:
-            third = (third.join(fit.withColumnsRenamed({"_r": "_r2", "_a": "_a2"}), site)
-                     .select(*site, (F.col("_r") + F.col("_r2")).alias("_r"),
-                             (F.col("_a") + F.col("_a2")).alias("_a")))
-    return counts.join(third, site).select(
-        *site, "ref", "alt", "aa", "c1_1", "c1_2", F.col("_r").alias("c1_3"),
-        "c2_1", "c2_2", F.col("_a").alias("c2_3")).where("c1_1 + c2_1 > 0 AND c1_2 + c2_2 > 0")
+    out = quality.ancestral_allele(ct.allele_table(
+        panel, pops, locus=(*site, "ref", "alt", "info"))).drop("info")
+    alternate = []
+    for i, calls in enumerate(call_sets.values()):
+        out = quality.recode_against(out.join(calls, site)).withColumn(
+            f"_a{i}", F.col("a1") + F.col("a2")).drop("call_ref", "n1", "n2", "a1", "a2")
+        alternate.append(f"_a{i}")
+    last, copies = len(pops) + 1, 2 * len(alternate)
+    total = " + ".join(alternate)
+    return out.selectExpr(
+        *site, "ref", "alt", "aa", *ct.count_columns(2, len(pops)),
+        f"int({copies} - ({total})) AS c1_{last}", f"int({total}) AS c2_{last}")
 
 
 def archaic_report(modern: DataFrame, samples: DataFrame, call_sets: dict, trios, model: dict,
                    n_per_pop: int = 50, max_depth: int = 100) -> DataFrame:
-    """D, gate and direction for several (P1, P2, archaic) trios."""
-    out = None
+    """D, gate and direction for several (P1, P2, archaic) trios. Sites are intersected and
+    counted once for all populations; each trio then picks its columns from the row."""
+    pops = sorted({p for trio in trios for p in trio})
+    counts = checkpointed(archaic_counts(modern, samples, call_sets, pops, n_per_pop))
+    last = len(pops) + 1
+    picks = []
     for p1, p2 in trios:
-        one = archaic_counts(modern, samples, call_sets, [p1, p2], n_per_pop).withColumn(
-            "trio", F.lit(f"{p1}/{p2}"))
-        out = one if out is None else out.unionByName(one)
-    return trio_report(checkpointed(out), model, ["trio"], max_depth, ancestral=True)
+        j = [pops.index(p1) + 1, pops.index(p2) + 1, last]
+        fields = ", ".join(f"c{i}_{x} AS c{i}_{y}" for i in (1, 2) for y, x in enumerate(j, 1))
+        picks.append(f"struct('{p1}/{p2}' AS trio, {fields})")
+    rows = counts.selectExpr("chrom", "pos", "ref", "alt", "aa",
+                             f"inline(array({', '.join(picks)}))")
+    called = rows.where("c1_1 + c2_1 > 0 AND c1_2 + c2_2 > 0")
+    return trio_report(called, model, ["trio"], max_depth, ancestral=True)
 
 
 def injection_grid(genotypes: DataFrame, samples: DataFrame, roles: dict, model: dict,

@@ -227,3 +227,38 @@ def test_frozen_model_and_batches(features):
     v = {(r["batch"], r["metric"]): r["value"] for r in b}
     assert v[("pooled", "accuracy_overall")] > .8
     assert {k[0] for k in v} == {"one", "two", "pooled"}
+
+
+def test_archaic_counts_by_hand(spark):
+    modern = spark.createDataFrame(
+        [("1", p, "A", "C", info, s, a, b) for p, info in ((1, "AA=A"), (2, "AA=c|"), (3, "AA=G"),
+                                                           (4, "AA=A"), (5, "AA=A"))
+         for s, a, b in (("x", 0, 1), ("y", 1, 1), ("z", 0, None), ("w", 1, 1))],
+        "chrom string, pos long, ref string, alt string, info string, sample string, a1 int, a2 int")
+    samples = spark.createDataFrame([("x", 0, "P1"), ("w", 1, "P1"), ("y", 2, "P2"), ("z", 3, "P3")],
+                                    "sample string, sample_idx int, pop string")
+    schema = "chrom string, pos long, call_ref string, n1 string, n2 string"
+    sets = {"a": spark.createDataFrame([("1", p, "T" if p == 4 else "A", "A", "C")
+                                        for p in (1, 2, 3, 4, 5)], schema),
+            "b": spark.createDataFrame([("1", p, "A", "C", "C") for p in (1, 2, 3, 4)], schema)}
+    # 3: ancestral base fits neither allele; 4: other reference; 5: missing in one call set
+    got = an.archaic_counts(modern, samples, sets, ["P1", "P2", "P3"], 1).orderBy("pos").collect()
+    assert [r["pos"] for r in got] == [1, 2] and got[1]["aa"] == "C"
+    r = got[0]           # w is the second sample of P1 and left out
+    assert [r[f"c1_{j}"] for j in (1, 2, 3, 4)] == [1, 0, 1, 1]
+    assert [r[f"c2_{j}"] for j in (1, 2, 3, 4)] == [1, 2, 0, 3]
+
+
+def test_injected_flow_is_reported_per_condition(spark, features):
+    rng = np.random.default_rng(2)
+    pops = [f"P{1 + s // 8}" for s in range(24)]
+    g = spark.createDataFrame([(s, pops[s], loc, *map(int, rng.integers(0, 2, 2)))
+                               for s in range(24) for loc in range(15)],
+                              "sample int, pop string, locus int, a1 int, a2 int")
+    samples = spark.createDataFrame(list(enumerate(pops)), "sample int, pop string")
+    model = an.train_frozen(features, cap=100)
+    r = an.injection_grid(g, samples, {"B": ("P2", "P3")}, model, (0.1, 0.5), 2, max_depth=5)
+    got = {(x["inject"], x["fraction"]): x for x in r.collect()}
+    assert set(got) == {("B", 0.1), ("B", 0.5), ("D", 0.0)}
+    assert all(x["n"] == 2 and 0 <= x["mean_gate"] <= 1 for x in got.values())
+    assert got[("D", 0.0)]["direction_accuracy"] is None
