@@ -9,7 +9,7 @@ from alleleflow.catalog.core import rounded_all
 from alleleflow.functions.exprs import rounded
 from alleleflow.operators import metrics as mt
 from alleleflow.operators import protocol as pr
-from alleleflow.plans.contract import CHANNELS, CLASSES, FEATURES, STATISTICS, feature_subset
+from alleleflow.plans.contract import CHANNELS, CLASSES, FEATURES, feature_subset
 
 QUERIES: dict = {}
 ORACLES: dict = {}

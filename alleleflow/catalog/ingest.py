@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alleleflow.catalog import views as v
-from alleleflow.catalog.core import rounded_all
-from alleleflow.functions.exprs import rounded
 from alleleflow.operators import counts as ct
 from alleleflow.operators import inject as inj
 from alleleflow.operators import quality as ql
-from alleleflow.operators import rarefaction as rf
-from alleleflow.plans.contract import BLOCKS
 from alleleflow.sources import text as tx
 
 QUERIES: dict = {}

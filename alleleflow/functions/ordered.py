@@ -51,14 +51,15 @@ def site_rank(df: DataFrame, keys=("chrom",), pos: str = "pos", bin_size: int =
     return bucket_rank(b, "_bin", [pos, *ties], keys, limit, name).drop("_bin")
 
 
-def value_splits(df: DataFrame, value: str, n: int | None = None) -> list[float]:
-    """At most n-1 approximate quantiles of `value`: the only thing that reaches the driver.
-    By default there are more buckets than shuffle partitions."""
+def value_splits(df: DataFrame, values, n: int | None = None) -> list[list[float]]:
+    """At most n-1 approximate quantiles of each column, in one pass: the only thing that
+    reaches the driver. By default there are more buckets than shuffle partitions."""
     if n is None:
         n = max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = [i / n for i in range(1, n)]
-    got = df.agg(F.percentile_approx(F.col(value).cast("double"), at, 20 * n)).first()[0]
-    return sorted(set(got or []))
+    got = df.agg(*[F.percentile_approx(F.col(v).cast("double"), at, 20 * n)
+                   for v in values]).first()
+    return [sorted(set(q or [])) for q in got]
 
 
 def prefix_sums(df: DataFrame, value: str, sums: dict[str, Column], keys=(),
@@ -71,7 +72,7 @@ def prefix_sums(df: DataFrame, value: str, sums: dict[str, Column], keys=(),
     keys, names = list(keys), list(sums)
     rows = df.where(F.col(value).isNotNull())
     if splits is None:
-        splits = value_splits(rows, value, n_splits)
+        splits = value_splits(rows, [value], n_splits)[0]
     distinct = rows.groupBy(*keys, value).agg(*[e.alias(n) for n, e in sums.items()])
     distinct = distinct.withColumn("_v", F.col(value).cast("double"))
     inner = splits or [0.0]

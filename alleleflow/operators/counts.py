@@ -6,10 +6,10 @@ shuffle by locus is all the data movement it costs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alleleflow.functions.exprs import add, nan_to_null, ratio, smallest
+from alleleflow.functions.exprs import add, nan_to_null, smallest
 
 
 def copies_of(df: DataFrame, allele) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alleleflow.functions.exprs import hash_order, poisson_one, ratio
-from alleleflow.functions.ordered import exact_median, prefix_sums
+from alleleflow.functions.ordered import exact_median, prefix_sums, value_splits
 from alleleflow.operators.protocol import rate_bands
 
 
@@ -93,8 +93,10 @@ def spearman(df: DataFrame, x: str, y: str, keys=()) -> DataFrame:
              .groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
              .agg(F.count(F.lit(1)).alias("_w")))
 
+    cuts = dict(zip(("_x", "_y"), value_splits(df.where(F.col(x).isNotNull()), [x, y])))
+
     def ranks(value):
-        p = prefix_sums(pairs, value, {"n": F.sum("_w")}, keys)
+        p = prefix_sums(pairs, value, {"n": F.sum("_w")}, keys, splits=cuts[value])
         centred = F.col("n_below") + (F.col("n") + 1) / 2 - (F.col("n_total") + 1) / 2
         return p.select(*keys, value, centred.alias(f"{value}_r"))
 
