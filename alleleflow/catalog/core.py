@@ -201,6 +201,25 @@ def combination_private_richness(spark, sf):
     return rounded_all(rf.finalise(sums, (), COMBOS), ["g"])
 
 
+REGIONS = ["R0", "R1", "R2", "R3", "R4"]
+COMBOS5 = rf.combination_names(5)
+REGION_DEPTH = 48
+
+
+@query("region_combinations", "WITH " + v.OBS5 + ",\n" + v.counts_sql(
+    "obs5", "counts", pops=REGIONS, alleles=(1, 2, 3, 4, 5)) + f""",
+depths AS (SELECT unnest(range(2, least({REGION_DEPTH}, (SELECT min({v.least_n(5, 5)})
+  FROM counts))::BIGINT + 1)) AS g),
+""" + v.per_locus_sql("counts", "s", k=5, pops=5, stats=COMBOS5) + f"""
+SELECT CAST(g AS INTEGER) AS g, {v.moments_sql(COMBOS5)} FROM s GROUP BY g""")
+def region_combinations(spark, sf):
+    """All 31 combinations of five regions at every depth up to 48, alleles not known
+    beforehand: the shape of the published rarefaction timing."""
+    cells = ct.allele_cells(v.obs5(spark, sf), REGIONS).drop("locus")
+    sums = rf.depth_sums(cells, REGION_DEPTH, (), COMBOS5)
+    return rounded_all(rf.finalise(sums, (), COMBOS5), ["g"])
+
+
 @query("depth_grid", SHALLOW + f"""
 SELECT CAST(unnest(range(2, (SELECT min({v.least_n()}) FROM counts)::BIGINT + 1)) AS INTEGER) AS g
 """)

@@ -98,6 +98,23 @@ OBS4 = """obs4 AS (
       JOIN region ON n_regionkey = r_regionkey) WHERE pop IS NOT NULL)"""
 
 
+def obs5(spark, sf):
+    """Multi-allelic observations of all five regions as populations R0 ... R4."""
+    return (table(spark, sf, "lineitem")
+            .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .selectExpr("l_suppkey AS locus", "concat('R', n_regionkey) AS pop",
+                        "int(ceil(l_quantity / 10)) AS allele"))
+
+
+OBS5 = """obs5 AS (
+  SELECT l_suppkey AS locus, 'R' || n_regionkey AS pop,
+         CAST(ceil(l_quantity / 10) AS INTEGER) AS allele
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
 def samples(spark, sf):
     """(sample, pop, sample_idx): suppliers as samples, their region as population."""
     return (table(spark, sf, "supplier")

@@ -126,6 +126,10 @@ def depth_sums(counts: DataFrame, max_depth: int | None = None, keys=(), statist
         else:
             k, _ = shape_of(counts)
             rows = joint_sfs(counts, keys, fold=k == 2)
+        # configurations are few bytes but each is expanded over all depths: spread them over
+        # all tasks, where adaptive execution would merge them into few by size
+        rows = rows.repartition(
+            int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     else:
         rows = counts if "n_loci" in counts.columns else counts.withColumn("n_loci", F.lit(1))
     stats = per_locus(rows, max_depth, statistics, first_depth=0)

@@ -35,8 +35,10 @@ def test_flagship_reads_three_columns_and_stays_in_the_jvm(spark):
     df = entry.queries()["feature_matrix"](spark, SF)
     p = plan(df)
     assert "ReadSchema: struct<l_suppkey:bigint,l_returnflag:string,l_linestatus:string>" in p
-    # by locus, by configuration, by depth; the fourth is the single-row-per-depth window
-    assert shuffles(df) == 3 and p.count("Exchange SinglePartition") == 1
+    # by locus, by configuration (then spread evenly), by depth; the window is over one row per
+    # depth
+    assert shuffles(df) == 3 and p.count("Exchange RoundRobinPartitioning") == 1
+    assert p.count("Exchange SinglePartition") == 1
     assert "Python" not in p and "Join" not in p
 
 
