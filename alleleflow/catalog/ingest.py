@@ -81,12 +81,9 @@ def geno_parse(spark, sf):
     """Base calls written as `.geno` lines and parsed back; missing cells are 'N'."""
     names = header(spark, sf)
     cell = F.when(F.col("b1").isNull(), "N").otherwise(F.concat_ws("/", "b1", "b2"))
-    wide = v.base_calls(spark, sf).groupBy("chrom", "pos").agg(F.map_from_entries(
-        F.collect_list(F.struct(F.col("sample").cast("string"), cell))).alias("m"))
-    cells = F.transform(F.split(F.lit("\t".join(names)), "\t"),
-                        lambda s: F.coalesce(F.element_at("m", s), F.lit("N")))
-    lines = wide.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"),
-                                    F.array_join(cells, "\t")).alias("value"))
+    wide = tx.wide_cells(v.base_calls(spark, sf), names, cell, ["chrom", "pos"], "N")
+    lines = wide.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "line")
+                        .alias("value"))
     parsed = tx.parse_geno_lines(lines, names)
     return (parsed.where(F.col("b1").isNotNull() | F.col("b2").isNotNull())
             .drop("sample_idx"))

@@ -198,23 +198,31 @@ def vcf_header(samples: list[str]) -> list[str]:
             "#" + "\t".join([*VCF_COLUMNS, *samples])]
 
 
+def wide_cells(calls: DataFrame, samples: list[str], cell, site, missing: str) -> DataFrame:
+    """One row per site with `line`, the cells of all samples in header order, tab-separated. A
+    sample without a row gets `missing`. Cells are sorted by header position and gaps filled in
+    between, so the work per site is linear in the width of the header."""
+    header = calls.sparkSession.createDataFrame(
+        list(enumerate(samples)), "_idx int, _name string")
+    placed = calls.withColumn("_name", F.col("sample").cast("string")).join(header, "_name")
+    entries = F.array_sort(F.collect_list(F.struct(F.col("_idx"), cell.alias("_cell"))))
+    gap = f"repeat('{missing}\\t', e._idx - if(i = 0, -1, get(_e, i - 1)._idx) - 1)"
+    tail = f"repeat('\\t{missing}', {len(samples) - 1} - element_at(_e, -1)._idx)"
+    return placed.groupBy(*site).agg(entries.alias("_e")).selectExpr(
+        *site, f"concat(array_join(transform(_e, (e, i) -> concat({gap}, e._cell)), '\\t'), "
+               f"{tail}) AS line")
+
+
 def format_vcf(genotypes: DataFrame, samples: list[str]) -> DataFrame:
     """One VCF line per site (`value`), cells in header order; a sample without a row is
     './.'. A line is as wide as the header, whatever the number of sites."""
     cell = F.concat_ws("/", *[F.coalesce(F.col(a).cast("string"), F.lit("."))
                               for a in ("a1", "a2")])
-    spark = genotypes.sparkSession
-    header = F.split(F.lit("\t".join(samples)), "\t")
-    name = F.col("sample").cast("string")
-    sites = genotypes.groupBy("chrom", "pos", "ref", "alt").agg(
-        F.map_from_entries(F.collect_list(F.struct(name.alias("k"), cell.alias("v"))))
-        .alias("_m"))
-    cells = F.transform(header, lambda s: F.coalesce(F.element_at("_m", s), F.lit("./.")))
+    sites = wide_cells(genotypes, samples, cell, ["chrom", "pos", "ref", "alt"], "./.")
     return sites.select(
         "chrom", "pos",
         F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alt",
-                    F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"),
-                    F.array_join(cells, "\t")).alias("value"))
+                    F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), "line").alias("value"))
 
 
 def write_vcf(genotypes: DataFrame, samples: list[str], path: str) -> None:

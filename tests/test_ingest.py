@@ -211,3 +211,14 @@ def test_recode_and_count_in_one_shuffle(spark):
     fast = ql.major_minor_counts(calls, pops)
     assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
     assert 0 < fast.count() < 40
+
+
+def test_missing_rows_become_missing_cells(spark):
+    g = spark.createDataFrame([("1", 1, "A", "C", "b", 0, 1), ("1", 1, "A", "C", "e", 1, None),
+                               ("1", 2, "A", "C", "a", 1, 1), ("1", 2, "A", "C", "f", 0, 0)],
+                              "chrom string, pos int, ref string, alt string, sample string, "
+                              "a1 int, a2 int")
+    lines = {r["pos"]: r["value"].split("\t")[9:]
+             for r in tx.format_vcf(g, list("abcdef")).collect()}
+    assert lines[1] == ["./.", "0/1", "./.", "./.", "1/.", "./."]
+    assert lines[2] == ["1/1", "./.", "./.", "./.", "./.", "0/0"]
