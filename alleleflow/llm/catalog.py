@@ -5,19 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alleleflow.llm import packing, sharding, wavelet
+from alleleflow.llm import decontaminate, lines, packing, sharding, simhash, substrings, wavelet
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark, sf_dir):
+    """Benchmark items that documents contain."""
+    return decontaminate.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_packing(spark, sf_dir):
     """All documents in sequences of at most 4096 tokens."""
     pieces = packing.pack_documents(_read(spark, sf_dir, "documents"), with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_substring_dedup(spark, sf_dir):
+    """Words of all documents that no repeated 35-word window covers."""
+    return substrings.remove_repeats(_read(spark, sf_dir, "documents"), 35).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op4_line_dedup(spark, sf_dir):
+    """All documents, one line kept of each component of similar lines."""
+    return lines.remove_similar_lines(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_simhash(spark, sf_dir):
+    """Components of documents whose fingerprints differ in at most four bits."""
+    return simhash.components(_read(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_sharding(spark, sf_dir):
     """All documents in 24 shards of near-equal bytes."""
     return sharding.assign(_read(spark, sf_dir, "documents"), 24).select(
@@ -30,5 +53,6 @@ def op9_wavelet(spark, sf_dir):
     return wavelet.digests(wavelet.read_documents(wavelet.write_shards(_read(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op8_sharding, op9_wavelet)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_substring_dedup, op4_line_dedup, op5_simhash,
+                                    op8_sharding, op9_wavelet)}
 ORACLES: dict[str, str] = {}

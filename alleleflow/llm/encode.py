@@ -10,7 +10,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Word and id string of a cached word take about 180 bytes: at most about 200 MB a worker.
-CACHED_WORDS = 1_100_000
+CACHED_WORDS = 1_000_000
 
 
 def default_path() -> str:
@@ -61,6 +61,13 @@ class WordEncoder:
         todo, parts = list(seen.new), set()
         seen.new.clear()
         for word in todo:
+            if word.isalpha():  # in bytes: ASCII letters alone
+                parts.add(word)
+                continue
+            if word[:-1].isalpha() and word[-1] in b".,;:!?":
+                pair = plain[word] = [word[:-1], word[-1:]]
+                parts.update(pair)
+                continue
             text = word.decode("utf-8", "surrogateescape").lower()
             m = _PLAIN.fullmatch(text)
             if m and m[1].isalpha() and "\u03c2" not in text and unicodedata.is_normalized("NFC", text):
@@ -71,7 +78,9 @@ class WordEncoder:
         parts = [p for p in parts if p not in seen]
         seen.new.clear()
         if parts:
-            ids = np.array(self.tokenizer.encode(b" ".join(parts).decode(), add_special_tokens=False).ids, dtype=self.dtype)
+            joined = [b" ".join(parts[k:k + 2000]).decode() for k in range(0, len(parts), 2000)]
+            got = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+            ids = np.array([i for e in got for i in e.ids], dtype=self.dtype)
             cuts = np.flatnonzero(self.word_end[ids]) + 1
             if len(cuts) == len(parts):
                 raw, at = ids.tobytes(), [0, *(cuts * self.dtype.itemsize).tolist()]

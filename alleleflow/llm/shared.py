@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +50,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) ->
     offsets = batch.column(column).buffers()[1]
     if offsets is None or batch.num_rows == 0:
         return
-    import numpy as np
-
     array = batch.column(column)
-    kind = np.int64 if pa.types.is_large_string(array.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type) else np.int32
     ends = np.frombuffer(offsets, dtype=kind)[array.offset:array.offset + len(array) + 1].astype(np.int64)
     at = 0
     while at < batch.num_rows:
@@ -68,3 +68,21 @@ def in_slices(f, column: str = "text", limit: int = 2 << 20):
             for part in slices(batch, column, limit):
                 yield from f(part)
     return run
+
+
+def packed_text(name: str = "text") -> Column:
+    """The text (null: empty) as a zstd frame, for shuffles of whole texts."""
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return texts.map(lambda t: squeeze((t or "").encode("utf-8", "surrogatepass")))
+
+    return pack(F.col(name)).alias(name)
+
+
+def unpack(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
