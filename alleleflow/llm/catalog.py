@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alleleflow.llm import decontaminate, lines, packing, sharding, simhash, substrings, wavelet
+from alleleflow.llm import (
+    decontaminate, lines, multi_index, packing, pii, sharding, simhash, substrings, toxicity, wavelet)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,20 @@ def op5_simhash(spark, sf_dir):
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark, sf_dir):
+    """Personal data in all documents."""
+    return pii.digest(pii.find(_read(spark, sf_dir, "documents")))
+
+
+def op7_toxicity(spark, sf_dir):
+    """Toxicity scores of all documents."""
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, _read(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return toxicity.scores(docs, model, "doc_id").select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_sharding(spark, sf_dir):
     """All documents in 24 shards of near-equal bytes."""
     return sharding.assign(_read(spark, sf_dir, "documents"), 24).select(
@@ -53,6 +68,11 @@ def op9_wavelet(spark, sf_dir):
     return wavelet.digests(wavelet.read_documents(wavelet.write_shards(_read(spark, sf_dir, "documents"))))
 
 
+def op10_multi_index(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth one."""
+    return multi_index.search(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_substring_dedup, op4_line_dedup, op5_simhash,
-                                    op8_sharding, op9_wavelet)}
+                                    op6_pii, op7_toxicity, op8_sharding, op9_wavelet, op10_multi_index)}
 ORACLES: dict[str, str] = {}
