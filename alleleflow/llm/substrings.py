@@ -129,7 +129,7 @@ def edges(docs: DataFrame, branching: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     """row (of `keyed`), start, n: windows start to start + n - 1 occur elsewhere, too. `docs` must
     be a stored table."""
-    every = paths(docs, window)
+    every = table(paths(docs, window), "every-path")
     buckets = table(every.groupBy("minimizer").agg(F.count("*").alias("places"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
                     .where("places > 1").select("minimizer", (F.col("lo") == F.col("hi")).alias("single")), "buckets")
     found = table(every.join(buckets, "minimizer").select("row", "start", "n", "single"), "paths")
