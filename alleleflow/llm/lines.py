@@ -5,7 +5,8 @@ once and links lines that share a band to the band's first line in the task; onl
 shuffled to meet its likes from other tasks. So a band holds a tree of links, not all its pairs,
 and a line or band that fills a third of the table costs a row per task. Links are verified by
 exact Jaccard similarity. A line that fails against its band's first line is compared with every
-other line of that band, so that no link is lost that a band can show."""
+other line of that band that is not joined to it already, so that no component is split whose
+links a band can show."""
 
 from __future__ import annotations
 
@@ -173,22 +174,34 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -
 
 
 def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The table of first places (line, row, position) and the links (a, b) between different
-    lines at `threshold` or more. A pair at 0.8 is found with a probability of 0.997."""
+    """The table of first places (line, row, position), and (line, component) of the lines that
+    links at `threshold` or more join to other lines. A pair at 0.8 shares a band with a
+    probability of 0.997."""
     places = table(first_lines(docs), "places")
     found = table(candidates(docs, width, bands, rows), "candidates")
     wanted = found.select(F.explode(F.array("line", "first")).alias("line")).distinct()
     where = places.groupBy("line").agg(F.min(F.struct("row", "position")).alias("at"))
     texts = table(line_texts(docs, where.join(wanted, "line").select("line", "at.row", "at.position")), "lines")
     tested = table(verified(found.select("line", "first").distinct(), texts, width, threshold), "tested")
-    # lines unlike their band's first one, against all others of that band
-    failed = found.join(tested.where("not similar"), ["line", "first"]).select("band", "line", "first")
-    members = found.select("band", F.col("line").alias("other"))
-    again = (failed.join(members, "band").where("other <> line and other <> first")
-             .select(F.greatest("line", "other").alias("line"), F.least("line", "other").alias("first")).distinct())
-    more = verified(again, texts, width, threshold)
-    links = tested.unionByName(more).where("similar").select(F.col("line").alias("a"), F.col("first").alias("b"))
-    return places, links
+    grouped = table(connected_components(tested.where("similar").select(F.col("line").alias("a"), F.col("first").alias("b"))), "grouped")
+    # lines unlike their band's first one, against all of that band that are not yet linked to them
+    own, other = grouped.toDF("line", "own"), grouped.toDF("other", "others")
+    failed = (found.join(tested.where("not similar"), ["line", "first"]).select("band", "line").distinct()
+              .join(own, "line", "left").select("band", "line", F.coalesce("own", "line").alias("own")))
+    members = (found.select("band", F.explode(F.array("line", "first")).alias("other")).distinct()
+               .join(other, "other", "left").select("band", "other", F.coalesce("others", "other").alias("others")))
+    failed = failed.toDF("failed_band", "line", "own")
+    again = (failed.join(members, (F.col("failed_band") == F.col("band")) & (F.col("own") != F.col("others")))
+             .select(F.greatest("line", "other").alias("line"), F.least("line", "other").alias("first")).distinct()
+             .join(tested.select("line", "first"), ["line", "first"], "left_anti"))
+    more = verified(again, texts, width, threshold).where("similar")
+    joined = (more.join(grouped.toDF("line", "a"), "line", "left").join(grouped.toDF("first", "b"), "first", "left")
+              .select(F.coalesce("a", "line").alias("a"), F.coalesce("b", "first").alias("b")))
+    merged = connected_components(joined).toDF("component", "least")
+    # a line of a merged component may have no link of the first kind
+    nodes = grouped.toDF("line", "component").unionByName(merged.join(grouped.select("component").distinct(), "component", "left_anti")
+                                                          .select(F.col("component").alias("line"), "component"))
+    return places, nodes.join(merged, "component", "left").select("line", F.coalesce("least", "component").alias("component"))
 
 
 def remove_similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3, threshold: float = 0.8) -> DataFrame:
@@ -197,8 +210,7 @@ def remove_similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows:
     stay, null texts stay null). All columns are kept, n_chars is not recomputed. Lines shorter
     than `width` characters are similar only if equal. Repeated rows lose their lines to the first
     of them; an empty table gives an empty one. `docs` must be a stored table."""
-    places, links = similar_lines(docs, width, bands, rows, threshold)
-    groups = connected_components(links).withColumnRenamed("node", "line")
+    places, groups = similar_lines(docs, width, bands, rows, threshold)
     least = places.groupBy("line").agg(F.min(F.struct("row", "position")).alias("at"))
     kept = (least.join(groups, "line", "left").groupBy(F.coalesce("component", "line").alias("component"))
             .agg(F.min("at").alias("at")).groupBy("at.row").agg(F.collect_list("at.position").alias("kept")))
