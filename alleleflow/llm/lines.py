@@ -19,6 +19,8 @@ from alleleflow.llm.components import connected_components
 from alleleflow.llm.shared import in_slices, keyed, packed_text, table, unpack
 
 _TASK_LINES, _TASK_BANDS = 300_000, 600_000     # remembered in a task; beyond, rows repeat
+_WORDS = 16                                     # of 64 bits in a line's bitmap
+_MAP = [f"m{k}" for k in range(_WORDS)]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,18 +131,34 @@ def banded_lines(docs: DataFrame, width: int, bands: int, rows: int) -> DataFram
     return keyed(docs, "text").where("text is not null").mapInArrow(run, "band long, line long, first long")
 
 
-def candidates(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """band, line, first for the lines that share a band, `first` being another line."""
-    rows_ = banded_lines(docs, width, bands, rows)
-    heads = rows_.where("first is null")
+def candidates(docs: DataFrame, places: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """band, line, first for the lines that share a band, `first` being the line of the band that
+    most tasks hold (of equals the smallest hash): a text that was copied and edited is nearer to
+    its copies than these to one another."""
+    banded = table(banded_lines(docs, width, bands, rows), "banded")
     own = Window.partitionBy("band")
-    met = (heads.select("band", "line", F.min("line").over(own).alias("first"))
-           .where("first <> line"))
-    return rows_.where("first is not null").unionByName(met)
+    met = (banded.where("first is null").select("band", "line", F.min("line").over(own).alias("first"), F.max("line").over(own).alias("last"))
+           .where("first <> last").select("band", "line"))
+    local = banded.where("first is not null").select("band", F.explode(F.array("line", "first")).alias("line"))
+    members = table(met.unionByName(local).distinct(), "members")
+    often = places.groupBy("line").count().join(members.select("line").distinct(), "line")
+    first = (members.join(often, "line").groupBy("band").agg(F.max(F.struct("count", -F.col("line").cast("decimal(20,0)"), "line")).alias("m"))
+             .select("band", F.col("m.line").alias("first")))
+    return members.join(table(first, "firsts"), "band").where("line <> first")
+
+
+def bitmaps(lines: list[str], width: int) -> np.ndarray:
+    """Each line's shingles as bits of a map. Two lines differ in at least as many shingles as
+    their maps differ in bits."""
+    h, starts = shingle_hashes(lines, width)
+    owner = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(h))))
+    bits = np.zeros((len(lines), 64 * _WORDS), dtype=bool)
+    bits[owner, h % np.uint32(64 * _WORDS)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
 
-def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """line, text of the lines in `wanted` (line, row, position)."""
+def line_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """line, its normal form and number of distinct shingles, of the lines in `wanted` (line, row, position)."""
     def run(batch):
         out: dict[int, str] = {}
         for data, positions in zip(batch.column("text").to_pylist(), batch.column("positions").to_pylist()):
@@ -148,11 +166,15 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for k in positions:
                 line = _normal(lines[k])
                 out[_line_hash(line)] = line
-        yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.string())], names=["line", "line_text"])
+        size = [len({t[k:k + width] for k in range(len(t) - width + 1)}) for t in out.values()]
+        maps = bitmaps(list(out.values()), width)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.string()), pa.array(size, pa.int32())]
+            + [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(_WORDS)], names=["line", "line_text", "size", *_MAP])
 
     by_row = wanted.groupBy("row").agg(F.collect_list("position").alias("positions"))
     texts = keyed(docs, "text").where("text is not null").select("row", packed_text())
-    return texts.join(by_row, "row").mapInArrow(in_slices(run, limit=1 << 20), "line long, line_text string")
+    return texts.join(by_row, "row").mapInArrow(in_slices(run, limit=1 << 20), "line long, line_text string, size int, " + ", ".join(f"{m} long" for m in _MAP))
 
 
 def _jaccard(a: str, b: str, width: int) -> float:
@@ -160,17 +182,16 @@ def _jaccard(a: str, b: str, width: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """line, first, similar: the exact test of `pairs` (line, first)."""
+def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """line, first, jaccard: the exact similarity of `pairs` (line, first)."""
     def run(batch):
-        line, first, a, b = (batch.column(c).to_pylist() for c in ("line", "first", "line_text", "first_text"))
-        # sizes alone rule many pairs out
-        similar = [min(len(x), len(y)) >= 0.5 * threshold * max(len(x), len(y)) and _jaccard(x, y, width) >= threshold for x, y in zip(a, b)]
-        yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(first, pa.int64()), pa.array(similar)], names=["line", "first", "similar"])
+        a, b = batch.column("line_text").to_pylist(), batch.column("first_text").to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column("line"), batch.column("first"), pa.array([_jaccard(x, y, width) for x, y in zip(a, b)], pa.float64())],
+                                         names=["line", "first", "jaccard"])
 
-    other = texts.toDF("first", "first_text")
-    return (pairs.join(other, "first").join(texts, "line")
-            .mapInArrow(in_slices(run, "line_text", 1 << 20), "line long, first long, similar boolean"))
+    texts = texts.select("line", "line_text")
+    return (pairs.join(texts.toDF("first", "first_text"), "first").join(texts, "line").select("line", "first", "line_text", "first_text")
+            .mapInArrow(in_slices(run, "line_text", 1 << 20), "line long, first long, jaccard double"))
 
 
 def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -178,23 +199,29 @@ def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3
     links at `threshold` or more join to other lines. A pair at 0.8 shares a band with a
     probability of 0.997."""
     places = table(first_lines(docs), "places")
-    found = table(candidates(docs, width, bands, rows), "candidates")
+    found = table(candidates(docs, places, width, bands, rows), "candidates")
     wanted = found.select(F.explode(F.array("line", "first")).alias("line")).distinct()
     where = places.groupBy("line").agg(F.min(F.struct("row", "position")).alias("at"))
-    texts = table(line_texts(docs, where.join(wanted, "line").select("line", "at.row", "at.position")), "lines")
-    tested = table(verified(found.select("line", "first").distinct(), texts, width, threshold), "tested")
-    grouped = table(connected_components(tested.where("similar").select(F.col("line").alias("a"), F.col("first").alias("b"))), "grouped")
-    # lines unlike their band's first one, against all of that band that are not yet linked to them
-    own, other = grouped.toDF("line", "own"), grouped.toDF("other", "others")
-    failed = (found.join(tested.where("not similar"), ["line", "first"]).select("band", "line").distinct()
-              .join(own, "line", "left").select("band", "line", F.coalesce("own", "line").alias("own")))
-    members = (found.select("band", F.explode(F.array("line", "first")).alias("other")).distinct()
-               .join(other, "other", "left").select("band", "other", F.coalesce("others", "other").alias("others")))
-    failed = failed.toDF("failed_band", "line", "own")
-    again = (failed.join(members, (F.col("failed_band") == F.col("band")) & (F.col("own") != F.col("others")))
-             .select(F.greatest("line", "other").alias("line"), F.least("line", "other").alias("first")).distinct()
-             .join(tested.select("line", "first"), ["line", "first"], "left_anti"))
-    more = verified(again, texts, width, threshold).where("similar")
+    texts = table(line_texts(docs, where.join(wanted, "line").select("line", "at.row", "at.position"), width), "lines")
+    tested = table(verified(found.select("line", "first").distinct(), texts, width), "tested")
+    similar = F.col("jaccard") >= threshold
+    grouped = table(connected_components(tested.where(similar).select(F.col("line").alias("a"), F.col("first").alias("b"))), "grouped")
+    # Lines unlike their band's first one, against all of that band that are not joined to them
+    # yet. Two lines can be similar only if their sizes are, if their distances from the first one
+    # differ by no more than their own distance may, and if few bits of their maps differ.
+    members = table(found.join(tested, ["line", "first"]).join(texts.drop("line_text"), "line")
+                    .join(grouped.toDF("line", "own"), "line", "left")
+                    .select("band", "line", "size", "jaccard", F.coalesce("own", "line").alias("own"), *_MAP), "members")
+    failed = members.where(~similar)
+    other = members.toDF("other_band", "other", "other_size", "other_jaccard", "other_own", *[f"other_{m}" for m in _MAP])
+    room = 1 - threshold + 1e-9
+    unlike = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"other_{m}"))) for m in _MAP), F.lit(0))
+    again = (failed.join(other, (F.col("band") == F.col("other_band")) & (F.col("own") != F.col("other_own"))
+                         & (F.abs(F.col("jaccard") - F.col("other_jaccard")) <= room)
+                         & (F.least("size", "other_size") >= (threshold - 1e-9) * F.greatest("size", "other_size"))
+                         & (unlike <= room / (1 + threshold) * (F.col("size") + F.col("other_size"))))
+             .select(F.greatest("line", "other").alias("line"), F.least("line", "other").alias("first")).distinct())
+    more = verified(again, texts, width).where(similar)
     joined = (more.join(grouped.toDF("line", "a"), "line", "left").join(grouped.toDF("first", "b"), "first", "left")
               .select(F.coalesce("a", "line").alias("a"), F.coalesce("b", "first").alias("b")))
     merged = connected_components(joined).toDF("component", "least")
