@@ -234,13 +234,15 @@ def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3
 def remove_similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3, threshold: float = 0.8) -> DataFrame:
     """`docs` with the first line of each component of equal or similar lines, in table order, and
     without the others; n_lines and n_removed are added (of lines that are not blank; blank lines
-    stay, null texts stay null). All columns are kept, n_chars is not recomputed. Lines shorter
+    stay, null texts stay null). All columns are kept, n_chars is not
+    recomputed; columns named n_lines and n_removed are replaced. Lines shorter
     than `width` characters are similar only if equal. Repeated rows lose their lines to the first
     of them; an empty table gives an empty one. `docs` must be a stored table."""
     places, groups = similar_lines(docs, width, bands, rows, threshold)
     least = places.groupBy("line").agg(F.min(F.struct("row", "position")).alias("at"))
     kept = (least.join(groups, "line", "left").groupBy(F.coalesce("component", "line").alias("component"))
             .agg(F.min("at").alias("at")).groupBy("at.row").agg(F.collect_list("at.position").alias("kept")))
+    docs = docs.drop("n_lines", "n_removed")
     columns = docs.columns
 
     def run(batch):
@@ -259,7 +261,7 @@ def remove_similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows:
         arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
         yield pa.RecordBatch.from_arrays(arrays + [pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*columns, "n_lines", "n_removed"])
 
-    texts = keyed(docs, *columns).select("row", *[c for c in columns if c != "text"], F.col("text").isNull().alias("_null"), packed_text().alias("_packed"))
-    joined = texts.join(kept.withColumnRenamed("kept", "_kept"), "row", "left").drop("row")
+    texts = keyed(docs, *columns, key="_row").select("_row", *[c for c in columns if c != "text"], F.col("text").isNull().alias("_null"), packed_text().alias("_packed"))
+    joined = texts.join(kept.toDF("_row", "_kept"), "_row", "left").drop("_row")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_lines long, n_removed long"])
     return joined.mapInArrow(in_slices(run, "_packed", 1 << 20), schema)

@@ -34,11 +34,11 @@ def table(df: DataFrame, what: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """`columns` of `docs` and `row`, a number for each row. A stored table that is read twice in
+def keyed(docs: DataFrame, *columns: str, key: str = "row") -> DataFrame:
+    """`columns` of `docs` and `key`, a number for each row. A stored table that is read twice in
     the same partitions gives the same numbers, and no shuffle is needed for them: `docs` must be
     such a table, or be written as one first."""
-    return docs.select(*columns, F.monotonically_increasing_id().alias("row"))
+    return docs.select(*columns, F.monotonically_increasing_id().alias(key))
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -100,5 +100,5 @@ def components(docs: DataFrame, bits: int = 4, blocks: int = 6, width: int = 4)
 
 def drop_near_duplicates(docs: DataFrame, bits: int = 4, width: int = 5) -> DataFrame:
     """`docs`, a stored table, with the first row of each component only; all its columns."""
-    kept = components(docs, bits, width=width).where("row = keep").select("row")
-    return keyed(docs, *docs.columns).join(kept, "row", "left_semi").drop("row")
+    kept = components(docs, bits, width=width).where("row = keep").select(F.col("row").alias("_row"))
+    return keyed(docs, *docs.columns, key="_row").join(kept, "_row", "left_semi").drop("_row")

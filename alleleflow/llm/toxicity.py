@@ -181,19 +181,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
     return float(w[0]), float(w[1])
 
 
-def scores(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
-    """`columns` of `docs` and score, 0 to 1. Null and empty texts have no hits. Repeated rows each
+def scores(docs: DataFrame, model: Model, *columns: str, name: str = "score") -> DataFrame:
+    """`columns` of `docs` and a score named `name`, 0 to 1. Null and empty texts have no hits. Repeated rows each
     have a row; an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch):
         got = [shared.value.score(t) for t in batch.column("_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(got, pa.float64())], names=[*columns, "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(got, pa.float64())], names=[*columns, name])
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + ["score double"])
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + [f"{name} double"])
     return docs.select(*columns, text_or_empty().alias("_text")).mapInArrow(in_slices(run, "_text"), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """`docs` without the rows whose score reaches `threshold`."""
-    return scores(docs, learn(docs, labels), *docs.columns).where(F.col("score") < threshold).drop("score")
+    scored = scores(docs, learn(docs, labels), *docs.columns, name="_score")
+    return scored.where(F.col("_score") < threshold).drop("_score")
