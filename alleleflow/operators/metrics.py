@@ -164,7 +164,8 @@ def banded_relative_error(df: DataFrame, pred_log: str, true_log: str,
 def histogram(df: DataFrame, value: str, bins: int, pad: float = 0.0) -> DataFrame:
     """Counts over `bins` equal bins between min - pad and max + pad."""
     edges = df.agg((F.min(value) - pad).alias("_lo"), (F.max(value) + pad).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
+    spread = F.col("_hi") - F.col("_lo")
+    width = F.when(spread == 0, F.lit(1.0)).otherwise(spread) / bins      # one value: the first bin
     b = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
     return (df.crossJoin(F.broadcast(edges))              # one row
             .groupBy(b.alias("bin"), (F.col("_lo") + b * width).alias("left_edge"))

@@ -134,11 +134,16 @@ def first_n_per_population(samples: DataFrame, n: int, order: str = "sample_idx"
     return samples.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def _alleles(sites: DataFrame) -> list[str]:
+    """Columns that tell sites at one position apart."""
+    return [c for c in ("ref", "alt") if c in sites.columns]
+
+
 def cap_per_window(sites: DataFrame, per_window: int, target: int,
                    window: str = "window_id", pos: str = "pos") -> DataFrame:
     """At most `per_window` sites per window by position and at most `target` overall, windows
     taken in order."""
-    ranked = site_rank(sites, [window], pos, limit=per_window)
+    ranked = site_rank(sites, [window], pos, ties=_alleles(sites), limit=per_window)
     kept = sites.groupBy(window).agg(
         F.least(F.count(F.lit(1)), F.lit(per_window)).alias("_k"))
     before = (Window.partitionBy().orderBy(window)          # one row per window
@@ -158,8 +163,10 @@ def thin_evenly(sites: DataFrame, n: int, chrom: str = "chrom", pos: str = "pos"
               .rowsBetween(Window.unboundedPreceding, -1))
     starts = per_chrom.select(chrom, F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_s"),
                               F.sum("_k").over(Window.partitionBy()).alias("_total"))
-    indexed = (site_rank(sites, [chrom], pos, bin_size).join(starts, chrom)
+    indexed = (site_rank(sites, [chrom], pos, bin_size, ties=_alleles(sites)).join(starts, chrom)
                .withColumn("_i", F.col("_s") + F.col("rank") - 1))
+    if n < 2:
+        return indexed.where(F.col("_i") < n).drop("_s", "_total", "_i", "rank")
     step = (F.col("_total") - 1).cast("double") / F.lit(float(n - 1))
     guess = F.ceil(F.col("_i") / step)
     hits = [F.floor((guess + d) * step) == F.col("_i") for d in (-1, 0, 1)]

@@ -30,9 +30,10 @@ def cells_total(name: str) -> Column:
 
 def _contribution(statistic: str, absent: list[str]) -> str:
     """SQL of one allele's contribution to a statistic, from its absence probabilities.
-    `alpha_j`: present in j; `<kind>_jk..`: present in exactly the listed populations."""
-    kind, _, who = statistic.rpartition("_")
-    subset = [int(c) for c in who]
+    `alpha_j`: present in j; `<kind>_jk..`, or `<kind>_j_k_..` from ten populations on: present in exactly
+    the listed populations."""
+    kind, *who = statistic.split("_")
+    subset = [int(c) for c in (who[0] if len(absent) < 10 else who)]
     if kind == "alpha":
         return f"(1D - {absent[subset[0] - 1]})"
     return "(" + " * ".join(f"(1D - {q})" if j in subset else q
@@ -40,8 +41,10 @@ def _contribution(statistic: str, absent: list[str]) -> str:
 
 
 def combination_names(pops: int) -> list[str]:
-    """`private_<populations>` for all 2**pops - 1 subsets (up to nine populations)."""
-    return ["private_" + "".join(str(j) for j in s) for r in range(1, pops + 1)
+    """`private_<populations>` for all 2**pops - 1 subsets, the numbers set apart by `_`
+    from ten populations on."""
+    between = "" if pops < 10 else "_"
+    return ["private_" + between.join(str(j) for j in s) for r in range(1, pops + 1)
             for s in combinations(range(1, pops + 1), r)]
 
 

@@ -286,11 +286,12 @@ def heldout_batches(train: DataFrame, batches: dict, gate: str = "all") -> DataF
     for name, df in batches.items():
         df = df.withColumn("batch", F.lit(name))
         rows = df if rows is None else rows.unionByName(df)
-    rows = rows.withColumn("batch", F.explode(F.array(F.col("batch"), F.lit("pooled"))))
     scored = model["direction"].apply(model["gate"].apply(rows, "gate"), "p")
     reps = scored.groupBy("batch", "replicate").agg(
         *[F.avg(c).alias(c) for c in (*P, "gate_gate")],
         *[F.min_by(c, "g").alias(c) for c in ("direction", "magnitude")])
+    # replicates first, as ids can repeat in other batches
+    reps = reps.withColumn("batch", F.explode(F.array(F.col("batch"), F.lit("pooled"))))
     flows = (F.col("direction") != CONTROL) & (F.col("magnitude") >= APPRECIABLE)
     reps = checkpointed(pr.replicate_call(reps, P).withColumn("y", flows.cast("int")))
     hit = (F.col("call") == F.col("direction")).cast("int")

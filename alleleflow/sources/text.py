@@ -10,12 +10,14 @@ VCF_COLUMNS = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FO
 
 
 def vcf_samples(spark: SparkSession, path: str) -> list[str]:
-    """Sample names from the header line. Stops at the first header found; parsing then
-    checks every row against it."""
-    head = spark.read.text(path).where(F.col("value").startswith("#CHROM")).first()
-    if head is None:
+    """Sample names from the header lines of all files, which must be the same."""
+    heads = spark.read.text(path).where(F.col("value").startswith("#CHROM")).agg(
+        F.min("value").alias("value"), F.max("value").alias("other")).first()
+    if heads["value"] is None:
         raise ValueError(f"no #CHROM header in {path}")
-    return head["value"].rstrip("\r\n").split("\t")[len(VCF_COLUMNS):]
+    if heads["value"] != heads["other"]:
+        raise ValueError(f"files with different samples in {path}")
+    return heads["value"].rstrip("\r\n").split("\t")[len(VCF_COLUMNS):]
 
 
 def parse_vcf_lines(lines: DataFrame, n_samples: int) -> DataFrame:
@@ -45,7 +47,7 @@ def allele_codes(cell):
     halves = F.split(cell, "/")
 
     def code(i):
-        return F.try_to_number(F.get(halves, F.lit(i)), F.lit("999")).cast("int")
+        return F.get(halves, F.lit(i)).try_cast("int")
     return code(0), code(1)
 
 
