@@ -4,15 +4,16 @@ Lines are compared without outer white space and in lower case. A task handles e
 once and links lines that share a band to the band's first line in the task; only that one is
 shuffled to meet its likes from other tasks. So a band holds a tree of links, not all its pairs,
 and a line or band that fills a third of the table costs a row per task. Links are verified by
-exact Jaccard similarity. A line that fails against its band's first line is compared with every
-other line of that band that is not joined to it already, so that no component is split whose
-links a band can show."""
+exact Jaccard similarity. A line that fails against its band's first line is compared with a few
+others of the band, which join nearly all of a group of near copies, and then, if it is still
+apart from the first line, with every line of the band that is not joined to it already, so that
+no component is split whose links a band can show."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alleleflow.llm.components import connected_components
@@ -194,7 +195,31 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             .mapInArrow(in_slices(run, "line_text", 1 << 20), "line long, first long, jaccard double"))
 
 
-def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def _drawn(near: DataFrame, probes: int) -> DataFrame:
+    """band, line: up to `probes` lines of each band, those nearest to fixed draws. Lines are hashes,
+    so any line is as likely as another, and a band costs a task one row."""
+    draws = np.random.default_rng(9).integers(-(1 << 63), 1 << 63, probes, dtype=np.int64).tolist()
+    least = near.groupBy("band").agg(*[F.min(F.col("line").bitwiseXOR(F.lit(d))).alias(f"d{k}") for k, d in enumerate(draws)])
+    return least.select("band", F.explode(F.array_distinct(F.array(
+        *[F.col(f"d{k}").bitwiseXOR(F.lit(d)) for k, d in enumerate(draws)]))).alias("line"))
+
+
+def _comparable(left: DataFrame, right: DataFrame, condition: Column, threshold: float) -> DataFrame:
+    """line, first: pairs of a band that can reach the threshold. Two lines can only if their sizes
+    do, if their distances from the band's first line differ by no more than their own distance may,
+    and if few bits of their maps differ. `condition` sees the right side's columns as other_*."""
+    other = right.toDF(*[f"other_{c}" for c in right.columns])
+    room = 1 - threshold + 1e-9
+    unlike = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"other_{m}"))) for m in _MAP), F.lit(0))
+    return (left.join(other, (F.col("band") == F.col("other_band")) & condition
+                      & (F.abs(F.col("jaccard") - F.col("other_jaccard")) <= room)
+                      & (F.least("size", "other_size") >= (threshold - 1e-9) * F.greatest("size", "other_size"))
+                      & (unlike <= room / (1 + threshold) * (F.col("size") + F.col("other_size"))))
+            .select(F.greatest("line", "other_line").alias("line"), F.least("line", "other_line").alias("first")).distinct())
+
+
+def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3, threshold: float = 0.8,
+                  probes: int = 8) -> tuple[DataFrame, DataFrame]:
     """The table of first places (line, row, position), and (line, component) of the lines that
     links at `threshold` or more join to other lines. A pair at 0.8 shares a band with a
     probability of 0.997."""
@@ -205,22 +230,20 @@ def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3
     texts = table(line_texts(docs, where.join(wanted, "line").select("line", "at.row", "at.position"), width), "lines")
     tested = table(verified(found.select("line", "first").distinct(), texts, width), "tested")
     similar = F.col("jaccard") >= threshold
-    grouped = table(connected_components(tested.where(similar).select(F.col("line").alias("a"), F.col("first").alias("b"))), "grouped")
-    # Lines unlike their band's first one, against all of that band that are not joined to them
-    # yet. Two lines can be similar only if their sizes are, if their distances from the first one
-    # differ by no more than their own distance may, and if few bits of their maps differ.
-    members = table(found.join(tested, ["line", "first"]).join(texts.drop("line_text"), "line")
-                    .join(grouped.toDF("line", "own"), "line", "left")
-                    .select("band", "line", "size", "jaccard", F.coalesce("own", "line").alias("own"), *_MAP), "members")
-    failed = members.where(~similar)
-    other = members.toDF("other_band", "other", "other_size", "other_jaccard", "other_own", *[f"other_{m}" for m in _MAP])
-    room = 1 - threshold + 1e-9
-    unlike = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"other_{m}"))) for m in _MAP), F.lit(0))
-    again = (failed.join(other, (F.col("band") == F.col("other_band")) & (F.col("own") != F.col("other_own"))
-                         & (F.abs(F.col("jaccard") - F.col("other_jaccard")) <= room)
-                         & (F.least("size", "other_size") >= (threshold - 1e-9) * F.greatest("size", "other_size"))
-                         & (unlike <= room / (1 + threshold) * (F.col("size") + F.col("other_size"))))
-             .select(F.greatest("line", "other").alias("line"), F.least("line", "other").alias("first")).distinct())
+    near = table(found.join(tested, ["line", "first"]).join(texts.drop("line_text"), "line"), "near")
+    # Lines unlike their band's first one, against a few others of it drawn by hash ...
+    drawn = near.join(_drawn(near, probes), ["band", "line"])
+    pairs = _comparable(near.where(~similar), drawn, F.col("line") != F.col("other_line"), threshold)
+    probed = table(verified(pairs, texts, width), "probed")
+    links = tested.where(similar).unionByName(probed.where(similar))
+    grouped = table(connected_components(links.select(F.col("line").alias("a"), F.col("first").alias("b"))), "grouped")
+    # ... and those that are not yet joined to the first one, against all that are not joined to
+    # them. Of two lines in different components one at least is not joined to the first one.
+    own = grouped.toDF("line", "own")
+    members = table(near.join(own, "line", "left").join(own.toDF("first", "first_own"), "first", "left")
+                    .withColumns({"own": F.coalesce("own", "line"), "first_own": F.coalesce("first_own", "first")}), "members")
+    again = (_comparable(members.where("own <> first_own"), members, F.col("own") != F.col("other_own"), threshold)
+             .join(probed, ["line", "first"], "left_anti"))
     more = verified(again, texts, width).where(similar)
     joined = (more.join(grouped.toDF("line", "a"), "line", "left").join(grouped.toDF("first", "b"), "first", "left")
               .select(F.coalesce("a", "line").alias("a"), F.coalesce("b", "first").alias("b")))
