@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Log-factorials of smaller numbers come from one array literal, larger ones from Stirling's
-# series, so no operator needs to know the largest sample size beforehand.
-_TABLE_SIZE = 2048
+# Log-factorials below come from a literal, the others from Stirling's series, which is exact to
+# double precision from there on. So no operator needs to know the largest sample size beforehand.
+_SERIES_FROM = 64
 
 
 def col(c: str | Column) -> Column:
@@ -67,33 +67,23 @@ def poisson_one(u: Column) -> Column:
     return add([(u > F.lit(c)).cast("int") for c in cumulative])
 
 
-def _series(x: str) -> str:
-    """Stirling's series for ln(x!), exact to double precision from x = 64 on."""
-    return (f"((({x}) + 0.5D) * ln({x}) - ({x}) + {0.5 * math.log(2 * math.pi)!r}D + (1D / ({x}))"
-            f" * (1D/12 - (1D/360 - 1D/1260 / (({x}) * ({x}))) / (({x}) * ({x}))))")
-
-
-def log_factorials(largest: str) -> str:
-    """SQL for an array whose element n is ln(n!), covering 0 ... `largest` of a row. Rows
-    within the table share one literal; only rows beyond it build an array of their own."""
-    values = ",".join(repr(math.lgamma(k + 1.0)) for k in range(_TABLE_SIZE))
+def log_factorial(n: str) -> str:
+    """SQL for ln(n!) of a count: plain arithmetic, the same at every size, with no array in the row."""
+    x = f"cast({n} AS double)"
     # a string literal folds to one array literal, which keeps the plan small
-    table = f"cast(split('{values}', ',') as array<double>)"
-    beyond = (f"transform(sequence({_TABLE_SIZE}, greatest({largest}, {_TABLE_SIZE})), "
-              f"n -> {_series('n')})")
-    return f"if({largest} < {_TABLE_SIZE}, {table}, concat({table}, {beyond}))"
-
-
-def absent(table: str, total: str, copies: str, depth: str) -> str:
-    """SQL for C(total - copies, depth) / C(total, depth): the chance that an allele with
-    `copies` of `total` gene copies is missing from a subsample of `depth`; 0 if it cannot be
-    missed. `table` is a `log_factorials` array."""
-    rest = f"({total} - {copies})"
-
-    def lf(n):
-        return f"get({table}, {n})"
-    exponent = (f"({lf(rest)} - {lf(total)}) + ({lf(f'{total} - {depth}')}"
-                f" - {lf(f'{rest} - {depth}')})")
+    values = ",".join(repr(math.lgamma(k + 1.0)) for k in range(_SERIES_FROM))
+    table = f"cast(split('{values}', ',') AS array<double>)"
+    series = (f"(({x} + 0.5D) * ln({x}) - {x} + {0.5 * math.log(2 * math.pi)!r}D + (1D / {x})"
+              f" * (1D/12 - (1D/360 - 1D/1260 / ({x} * {x})) / ({x} * {x})))")
+    return f"if({n} < {_SERIES_FROM}, get({table}, cast({n} AS int)), {series})"
+
+
+def absent(rest: str, depth: str, log_rest: str, log_all: str) -> str:
+    """SQL for C(rest, depth) / C(total, depth): the chance that an allele is missing from a
+    subsample of `depth` when `rest` of `total` gene copies are of other alleles; 0 if it cannot be
+    missed. `log_rest` is ln(rest!) and `log_all` ln(total!) - ln((total - depth)!); both are the
+    caller's columns, so that neither is computed once per allele and depth."""
+    exponent = f"{log_rest} - {log_all} - {log_factorial(f'({rest} - {depth})')}"
     return f"coalesce(if({rest} >= {depth}, exp({exponent}), 0D), 0D)"
 
 

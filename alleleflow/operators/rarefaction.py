@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alleleflow.functions.exprs import absent, log_factorials
+from alleleflow.functions.exprs import absent, log_factorial
 from alleleflow.operators.counts import (
     count_columns, joint_sfs, shape_of, total_copies, total_sql)
 from alleleflow.plans.contract import BLOCKS, FEATURES
@@ -48,39 +48,53 @@ def combination_names(pops: int) -> list[str]:
             for s in combinations(range(1, pops + 1), r)]
 
 
-def per_locus(counts: DataFrame, max_depth: int | None = None, statistics=BLOCKS,
+def _copies(counts: DataFrame) -> list[Column]:
+    """Copies of all alleles, one column per population."""
+    if _is_cells(counts):
+        return [cells_total(f) for f in counts.schema["cells"].dataType.elementType.names]
+    k, pops = shape_of(counts)
+    return [total_copies(k, j) for j in range(1, pops + 1)]
+
+
+def per_locus(counts: DataFrame, max_depth: int | str | None = None, statistics=BLOCKS,
               first_depth: int = 2) -> DataFrame:
     """Every statistic of every row at each depth from `first_depth` to the row's own smallest
-    copy number (or `max_depth`). Works on `c{i}_{j}` columns or on `cells` arrays."""
+    copy number (or `max_depth`, a number or the name of a column, which is dropped). Works on
+    `c{i}_{j}` columns or on `cells` arrays."""
+    totals = _copies(counts)
+    pops = len(totals)
     if _is_cells(counts):
         fields = counts.schema["cells"].dataType.elementType.names
-        pops = len(fields)
-        keep = [c for c in counts.columns if c != "cells"]
         held = ["cells"]
-        totals = [cells_total(f) for f in fields]
     else:
-        k, pops = shape_of(counts)
+        k, _ = shape_of(counts)
         held = count_columns(k, pops)
-        keep = [c for c in counts.columns if c not in held]
-        totals = [total_copies(k, j) for j in range(1, pops + 1)]
+    keep = [c for c in counts.columns if c not in (*held, max_depth)]
     n = [f"_n{j}" for j in range(1, pops + 1)]
-    rows = counts.select(*keep, *held, *[t.alias(x) for t, x in zip(totals, n)])
+    top = [max_depth] if isinstance(max_depth, str) else []
+    rows = counts.select(*keep, *held, *top, *[t.alias(x) for t, x in zip(totals, n)])
     both = ", ".join(n)
     deepest = f"least({both}, {max_depth})" if max_depth is not None else f"least({both})"
-    # the table is a column of the row, so it is built once, before the row is expanded
+    # what does not depend on the depth is computed before the row is expanded
+    fixed = [f"{log_factorial(x)} AS _l{x}" for x in n]
+    if not _is_cells(counts):
+        fixed += [f"{log_factorial(f'(_n{j} - c{i}_{j})')} AS _l{i}_{j}"
+                  for i in range(1, k + 1) for j in range(1, pops + 1)]
     rows = (rows.where(f"{deepest} >= {first_depth}")
-            .selectExpr(*keep, *held, *n, f"{log_factorials(f'greatest({both})')} AS _lf",
-                        f"explode(sequence({first_depth}, {deepest})) AS g"))
+            .selectExpr(*keep, *held, *n, *fixed, f"{deepest} AS _deepest")
+            .selectExpr("*", f"explode(sequence({first_depth}, _deepest)) AS g"))
+    rows = rows.selectExpr("*", *[f"_l{x} - {log_factorial(f'({x} - g)')} AS _a{x}" for x in n])
     if _is_cells(counts):
-        qs = ", ".join(f"{absent('_lf', x, f'c.{f}', 'g')} AS q{j}"
-                       for j, (x, f) in enumerate(zip(n, fields), 1))
+        qs = ", ".join(
+            absent(f"({x} - c.{f})", "g", log_factorial(f"({x} - c.{f})"), f"_a{x}") + f" AS q{j}"
+            for j, (x, f) in enumerate(zip(n, fields), 1))
         rows = rows.selectExpr(*keep, "g", f"transform(cells, c -> struct({qs})) AS _q")
         per_allele = [f"q.q{j}" for j in range(1, pops + 1)]
         return rows.selectExpr(*keep, "g", *[
             f"aggregate(_q, 0D, (acc, q) -> acc + {_contribution(s, per_allele)}) AS {s}"
             for s in statistics])
     rows = rows.selectExpr(*keep, "g", *[
-        f"{absent('_lf', f'_n{j}', f'c{i}_{j}', 'g')} AS _q{i}_{j}"
+        f"{absent(f'(_n{j} - c{i}_{j})', 'g', f'_l{i}_{j}', f'_a_n{j}')} AS _q{i}_{j}"
         for i in range(1, k + 1) for j in range(1, pops + 1)])
     parts = [[f"_q{i}_{j}" for j in range(1, pops + 1)] for i in range(1, k + 1)]
     return rows.selectExpr(*keep, "g", *[
@@ -94,11 +108,12 @@ def absence_table(counts: DataFrame, depths) -> DataFrame:
     cells = ", ".join(f"struct({i} AS allele, {j} AS pop_index, {total_sql(k, j)} AS n, "
                       f"c{i}_{j} AS copies)" for i in range(1, k + 1) for j in range(1, pops + 1))
     wanted = ", ".join(str(d) for d in depths)
+    chance = absent("(n - copies)", "g", "_rest", f"(_all - {log_factorial('(n - g)')})")
     return (counts.selectExpr(*keep, f"inline(array({cells}))")
-            .selectExpr("*", f"{log_factorials('n')} AS _lf",
-                        f"explode(filter(array({wanted}), d -> d <= n)) AS g")
-            .selectExpr(*keep, "allele", "pop_index", "n", "copies", "g",
-                        f"{absent('_lf', 'n', 'copies', 'g')} AS q"))
+            .selectExpr("*", f"{log_factorial('n')} AS _all",
+                        f"{log_factorial('(n - copies)')} AS _rest")
+            .selectExpr("*", f"explode(filter(array({wanted}), d -> d <= n)) AS g")
+            .selectExpr(*keep, "allele", "pop_index", "n", "copies", "g", f"{chance} AS q"))
 
 
 def depth_grid(counts: DataFrame, max_depth: int | None = None, keys=()) -> DataFrame:
@@ -116,11 +131,12 @@ def _shift(name: str) -> float:
 
 
 def depth_sums(counts: DataFrame, max_depth: int | None = None, keys=(), statistics=BLOCKS,
-               collapse: bool = True) -> DataFrame:
+               collapse: bool = True, shared_only: bool = False) -> DataFrame:
     """Weighted count, sum and sum of squares of each statistic per (keys, g).
 
     Depth 0 carries the number of all loci, so that `finalise` can tell which depths every
-    locus reaches without a pass over the loci beforehand."""
+    locus reaches. With `shared_only` no locus is expanded beyond the deepest depth that all loci
+    of some key reach, which comes as one row (minima are combined before the shuffle)."""
     keys = list(keys)
     if collapse:
         if _is_cells(counts):
@@ -135,6 +151,10 @@ def depth_sums(counts: DataFrame, max_depth: int | None = None, keys=(), statist
             int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     else:
         rows = counts if "n_loci" in counts.columns else counts.withColumn("n_loci", F.lit(1))
+    if shared_only:
+        least = counts.groupBy(*keys).agg(F.min(F.least(*_copies(counts), F.lit(max_depth))).alias("_top"))
+        rows = rows.crossJoin(F.broadcast(least.agg(F.max("_top").alias("_top"))))      # one row
+        max_depth = "_top"
     stats = per_locus(rows, max_depth, statistics, first_depth=0)
     aggs = ["sum(n_loci) AS n_loci"]
     for s in statistics:
@@ -165,7 +185,7 @@ def finalise(sums: DataFrame, keys=(), statistics=BLOCKS, per_depth_loci: bool =
 def feature_matrix(counts: DataFrame, max_depth: int | None = None, keys=(),
                    collapse: bool = True, per_depth_loci: bool = False) -> DataFrame:
     """The 28 contract columns per key and depth of a three-population counts table."""
-    sums = depth_sums(counts, max_depth, keys, BLOCKS, collapse)
+    sums = depth_sums(counts, max_depth, keys, BLOCKS, collapse, shared_only=not per_depth_loci)
     return finalise(sums, keys, BLOCKS, per_depth_loci).select(*keys, *FEATURES)
 
 

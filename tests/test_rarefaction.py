@@ -163,3 +163,33 @@ def test_population_validation():
         contract.validate_populations(["a", "b", "x"], ["a", "b", "c"])
     with pytest.raises(ValueError):
         contract.validate_populations(["a", "b", "c", "d"])
+
+
+def test_no_size_changes_the_formula(spark):
+    n, a, g = 120_000, 60_000, 3        # n * n does not fit into 32 bits
+    r = rf.per_locus(table(spark, [(1, a, a, a, n - a, n - a, n - a)]), g).where(f"g = {g}")
+    q = math.comb(n - a, g) / math.comb(n, g)
+    assert r.collect()[0]["alpha_1"] == pytest.approx(2 - 2 * q, rel=1e-8)
+    for n in (62, 63, 64, 65, 66):
+        r = rf.per_locus(table(spark, [(1, 20, 20, 20, n - 20, n - 20, n - 20)]), 7).where("g = 7")
+        q1, q2 = (math.comb(x, 7) / math.comb(n, 7) for x in (n - 20, 20))
+        assert r.collect()[0]["alpha_1"] == pytest.approx(2 - q1 - q2, rel=1e-12)
+
+
+def test_depths_are_bounded_by_the_shallowest_locus(spark):
+    t = table(spark, [(1, 9, 9, 9, 20, 20, 20), (2, 1, 2, 1, 3, 2, 3)])
+    sums = rf.depth_sums(t, shared_only=True)
+    assert sorted(r["g"] for r in sums.collect()) == [0, 1, 2, 3, 4]
+    a = rf.finalise(sums).orderBy("g").collect()
+    b = rf.finalise(rf.depth_sums(t)).orderBy("g").collect()
+    assert [list(x) for x in a] == [pytest.approx(list(y), nan_ok=True) for y in b]
+    assert [r["g"] for r in a] == [2, 3, 4]
+    keyed = rf.feature_matrix(t.withColumnRenamed("locus", "k"), keys=["k"])
+    assert {r["k"]: r["count"] for r in keyed.groupBy("k").count().collect()} == {1: 28, 2: 3}
+
+
+def test_no_table_is_carried_through_the_expansion(spark):
+    stats = rf.per_locus(table(spark, [(1, 2, 2, 2, 2, 2, 2)]), 2)
+    plan = stats._jdf.queryExecution().executedPlan()
+    below = plan.toString().split("Generate explode")[1]
+    assert "transform(" not in below and "concat(" not in below
