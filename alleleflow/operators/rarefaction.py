@@ -136,7 +136,8 @@ def depth_sums(counts: DataFrame, max_depth: int | None = None, keys=(), statist
 
     Depth 0 carries the number of all loci, so that `finalise` can tell which depths every
     locus reaches. With `shared_only` no locus is expanded beyond the deepest depth that all loci
-    of some key reach, which comes as one row (minima are combined before the shuffle)."""
+    of some key reach, which comes as one row (minima are combined before the shuffle, but
+    `counts` is read once more)."""
     keys = list(keys)
     if collapse:
         if _is_cells(counts):
@@ -183,9 +184,11 @@ def finalise(sums: DataFrame, keys=(), statistics=BLOCKS, per_depth_loci: bool =
 
 
 def feature_matrix(counts: DataFrame, max_depth: int | None = None, keys=(),
-                   collapse: bool = True, per_depth_loci: bool = False) -> DataFrame:
-    """The 28 contract columns per key and depth of a three-population counts table."""
-    sums = depth_sums(counts, max_depth, keys, BLOCKS, collapse, shared_only=not per_depth_loci)
+                   collapse: bool = True, per_depth_loci: bool = False, shared_only: bool = False) -> DataFrame:
+    """The 28 contract columns per key and depth of a three-population counts table. With
+    `shared_only` a second pass over the loci finds the deepest shared depth first; worth it on a
+    stored table where the smallest copy number lies far below the others."""
+    sums = depth_sums(counts, max_depth, keys, BLOCKS, collapse, shared_only)
     return finalise(sums, keys, BLOCKS, per_depth_loci).select(*keys, *FEATURES)
 
 
