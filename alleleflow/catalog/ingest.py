@@ -101,19 +101,19 @@ def popmap_join(spark, sf):
 
 
 @query("prefix_population", """
-SELECT CASE split_part(name, '_', 1) WHEN 'Mmm' THEN 'musculus' WHEN 'Mmd' THEN 'domesticus'
-         WHEN 'Ms' THEN 'spretus' END AS pop, count(*) AS n
-FROM (SELECT CASE c_nationkey % 5 WHEN 0 THEN 'Mmm_' WHEN 1 THEN 'Mmd_' WHEN 2 THEN 'Ms_'
-               WHEN 3 THEN 'Mmc_' ELSE 'Mmd' END || c_custkey AS name FROM customer)
-WHERE split_part(name, '_', 1) IN ('Mmm', 'Mmd', 'Ms') AND name LIKE '%\\_%' ESCAPE '\\'
+SELECT CASE split_part(name, '_', 1) WHEN 'Wa' THEN 'first' WHEN 'Wb' THEN 'second'
+         WHEN 'Wc' THEN 'third' END AS pop, count(*) AS n
+FROM (SELECT CASE c_nationkey % 5 WHEN 0 THEN 'Wa_' WHEN 1 THEN 'Wb_' WHEN 2 THEN 'Wc_'
+               WHEN 3 THEN 'Wd_' ELSE 'Wb' END || c_custkey AS name FROM customer)
+WHERE split_part(name, '_', 1) IN ('Wa', 'Wb', 'Wc') AND name LIKE '%\\_%' ESCAPE '\\'
 GROUP BY 1""")
 def prefix_population(spark, sf):
     k = F.col("c_nationkey") % 5
-    name = F.concat(F.when(k == 0, "Mmm_").when(k == 1, "Mmd_").when(k == 2, "Ms_")
-                    .when(k == 3, "Mmc_").otherwise("Mmd"), F.col("c_custkey").cast("string"))
+    name = F.concat(F.when(k == 0, "Wa_").when(k == 1, "Wb_").when(k == 2, "Wc_")
+                    .when(k == 3, "Wd_").otherwise("Wb"), F.col("c_custkey").cast("string"))
     s = v.table(spark, sf, "customer").select(name.alias("sample"))
     p = tx.population_from_prefix(
-        s, {"Mmm": "musculus", "Mmd": "domesticus", "Ms": "spretus"})
+        s, {"Wa": "first", "Wb": "second", "Wc": "third"})
     return p.groupBy("pop").agg(F.count(F.lit(1)).alias("n"))
 
 

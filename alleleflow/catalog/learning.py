@@ -19,8 +19,8 @@ from alleleflow.plans.contract import CHANNELS, CLASSES, FEATURES, STATISTICS
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-SEEDS = (0,)
-N_LANDMARKS = 16
+SEEDS = (0, 1, 2)
+N_LANDMARKS = 64
 
 
 def query(name, sql=None):
@@ -59,11 +59,12 @@ def standardise(spark, sf):
 
 
 @query("class_moments", "WITH " + VECTORS + """,
-folds AS (SELECT replicate, CAST((row_number() OVER (ORDER BY md5('0:' || replicate)) - 1) % 5
-            AS INTEGER) AS fold FROM (SELECT DISTINCT replicate FROM vectors)),
-y AS (SELECT fold, class, [1.0::DOUBLE] || x AS x FROM vectors JOIN folds USING (replicate)),
+folds AS (SELECT seed, replicate, CAST((row_number() OVER (PARTITION BY seed
+            ORDER BY md5(seed || ':' || replicate)) - 1) % 5 AS INTEGER) AS fold
+          FROM (SELECT DISTINCT replicate FROM vectors), (SELECT unnest([0, 1, 2]) AS seed)),
+y AS (SELECT seed, fold, class, [1.0::DOUBLE] || x AS x FROM vectors JOIN folds USING (replicate)),
 ij AS (SELECT a.i AS i, b.i AS j FROM range(65) a(i), range(65) b(i) WHERE a.i <= b.i)
-SELECT 0 AS seed, fold, class, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+SELECT seed, fold, class, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
        round(sum(x[i + 1] * x[j + 1]), 6) + 0.0 AS value
 FROM y, ij GROUP BY ALL""")
 def class_moments(spark, sf):
@@ -106,7 +107,7 @@ l AS (SELECT id AS l, x AS z, row_number() OVER (ORDER BY md5('0:' || id)) - 1 A
       FROM vectors ORDER BY md5('0:' || id) LIMIT {N_LANDMARKS}),
 d AS (SELECT a.k AS a, b.k AS b, list_sum(list_transform(range(1, 65),
         lambda i: pow(a.z[i] - b.z[i], 2))) AS d2 FROM l a, l b WHERE a.k < b.k),
-s AS (SELECT sqrt(median(d2) + 1e-12) AS s FROM d),
+s AS (SELECT sqrt(avg(d2)) AS s FROM d),
 r AS (SELECT id, k, list_sum(list_transform(range(1, 65), lambda i: pow(x[i] - z[i], 2)))
         / (s * s) AS r2 FROM vectors, l, s)
 SELECT id, CAST(k AS INTEGER) AS landmark, round((1 + sqrt(5 * r2) + 5.0::DOUBLE / 3 * r2)
@@ -115,7 +116,7 @@ def landmark_similarity(spark, sf):
     rows = v.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
     marks = hd.landmark_rows(rows, "x", "id", N_LANDMARKS)
-    s = hd.landmark_similarity(rows, "x", marks, hd.median_distance(marks))
+    s = hd.landmark_similarity(rows, "x", marks, hd.landmark_spread(marks))
     return s.select("id", F.posexplode("similarity").alias("landmark", "s")).select(
         "id", "landmark", rounded("s", 5).alias("similarity"))
 
@@ -143,7 +144,7 @@ def direction_logistic(spark, sf):
 
 @query("direction_boosted")
 def direction_boosted(spark, sf):
-    return an.direction_table(v.features(spark, sf), "boosted", SEEDS, k=2, max_iter=3, depth=3)
+    return an.direction_table(v.features(spark, sf), "boosted", (0,), k=2, max_iter=3, depth=3)
 
 
 @query("gate_logistic")
@@ -203,10 +204,14 @@ def residual_correction(spark, sf):
     fitted = hd.discriminant_by_fold(rows, X, "class", SEEDS)
     p = ["p_0", "p_1", "p_2"]
     preds = hd.apply_by_fold(hd.explode_seeds(rows, SEEDS), fitted)
-    preds = checkpointed(preds.select("id", "replicate", "class", F.array(*X).alias("x"), *p))
-    res = hd.residual_targets(preds, "class", p, [0, 1, 2])
-    return hd.residual_correction(res, "x", "id", p, [f"residual_{i}" for i in range(3)],
-                                  "replicate", n_landmarks=N_LANDMARKS).drop("x")
+    preds = checkpointed(preds.select("seed", "id", "replicate", "class", F.array(*X).alias("x"), *p))
+    out = None
+    for s in SEEDS:
+        res = hd.residual_targets(preds.where(F.col("seed") == s), "class", p, [0, 1, 2])
+        one = hd.residual_correction(res, "x", "id", p, [f"residual_{i}" for i in range(3)],
+                                     "replicate", s, n_landmarks=N_LANDMARKS).drop("x")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("pca_projection")
@@ -241,7 +246,7 @@ def frozen(spark, sf, **options):
 
 @query("frozen_model_apply")
 def frozen_model_apply(spark, sf):
-    f = rf.feature_matrix(ct.allele_table(v.deep_obs(spark, sf), v.POPS), 20)
+    f = rf.feature_matrix(ct.allele_table(v.deep_obs(spark, sf), v.POPS), 100)
     model = frozen(spark, sf)
     return model["direction"].apply(model["gate"].apply(f, "gate")).select(
         "g", "gate_gate", *[f"p_{c}" for c in CLASSES])
@@ -251,7 +256,7 @@ def frozen_model_apply(spark, sf):
 def detect_then_orient(spark, sf):
     obs = v.deep_obs(spark, sf)
     c = ct.allele_table(obs, v.POPS, keys=["chrom"])
-    return an.detect_then_orient(rf.feature_matrix(c, 20, ["chrom"]),
+    return an.detect_then_orient(rf.feature_matrix(c, 100, ["chrom"]),
                                  frozen(spark, sf, gate="all", cap=1000), ["chrom"])
 
 
@@ -260,8 +265,7 @@ def trio_report(spark, sf):
     c = ct.allele_table(v.obs4(spark, sf), ["P1", "P2", "P3", "P4"],
                         locus=("chrom", "pos"))
     c = ct.polymorphic(ct.min_copies(c, 4, exempt=(4,)), (1, 2, 3))
-    c = ql.thin_evenly(c, 1000)
-    return an.trio_report(checkpointed(c), frozen(spark, sf))
+    return an.trio_report(checkpointed(c), frozen(spark, sf), max_depth=100)
 
 
 @query("robustness_report")
@@ -270,19 +274,20 @@ def robustness_report(spark, sf):
     trios = {"123": ["P1", "P2", "P3", "P4"], "213": ["P2", "P1", "P3", "P4"],
              "132": ["P1", "P3", "P2", "P4"]}
     return an.robustness_report(checkpointed(calls), v.samples(spark, sf).select("sample", "pop"),
-                                trios, frozen(spark, sf), target=40, min_copies=10)
+                                trios, frozen(spark, sf), min_copies=10,
+                                max_depth=100)
 
 
 @query("leave_one_chromosome_out")
 def leave_one_chromosome_out(spark, sf):
     c = ct.allele_table(v.deep_obs(spark, sf), v.POPS, locus=("locus", "chrom"))
-    return an.leave_one_chromosome_out(c, frozen(spark, sf), 20, min_loci=50)
+    return an.leave_one_chromosome_out(c, frozen(spark, sf), 100, min_loci=50)
 
 
 @query("locus_report")
 def locus_report(spark, sf):
-    w = [(f"chr{i}", 0, 60_000) for i in range(4)]
-    return an.locus_report(v.genotypes(spark, sf), w, frozen(spark, sf), v.POPS, 10, 8, 30)
+    w = [(f"chr{i}", 0, 60_000) for i in range(5)]
+    return an.locus_report(v.genotypes(spark, sf), w, frozen(spark, sf), v.POPS, 10, max_depth=100)
 
 
 @query("depth_sweep_report")
@@ -295,7 +300,7 @@ def depth_sweep_report(spark, sf):
 @query("diversity_report")
 def diversity_report(spark, sf):
     return an.diversity_report(v.genotypes(spark, sf), ["P1", "P4"], "P2", "P3",
-                               frozen(spark, sf), 10, max_depth=20)
+                               frozen(spark, sf), 10, max_depth=100)
 
 
 @query("archaic_report")
@@ -313,16 +318,16 @@ def archaic_report(spark, sf):
         a = ql.resolve_bases(ql.last_call(v.archaic(spark, sf, o), "line_no").drop("line_no"))
         sets[tag] = a.select("chrom", "pos", F.col("ref").alias("call_ref"), "n1", "n2")
     return an.archaic_report(modern, v.samples(spark, sf), sets, [("P1", "P2"), ("P1", "P3"), ("P2", "P3")],
-                             frozen(spark, sf), n_per_pop=50)
+                             frozen(spark, sf), max_depth=100)
 
 
 @query("injection_grid")
 def injection_grid(spark, sf):
     return an.injection_grid(v.genotypes(spark, sf), v.samples(spark, sf),
                              {"B": ("P2", "P3"), "C": ("P3", "P2")}, frozen(spark, sf),
-                             repeats=2, max_depth=20)
+                             repeats=4, max_depth=100)
 
 
 @query("curve_comparison")
 def curve_comparison(spark, sf):
-    return an.curve_comparison(checkpointed(v.features(spark, sf)), SEEDS, n_landmarks=16)
+    return an.curve_comparison(checkpointed(v.features(spark, sf)), SEEDS, n_landmarks=N_LANDMARKS)

@@ -1,4 +1,4 @@
-"""Model heads. Linear heads are fitted either by MLlib or from moment matrices gathered in
+"""Model heads. Linear heads are fitted by Newton steps or from moment matrices gathered in
 one pass for all seeds and folds; both become a `LinearHead`, a few coefficients applied as
 plain column arithmetic."""
 
@@ -316,32 +316,6 @@ def _assembled(df: DataFrame, features) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
 
 
-def fit_logistic_mllib(train: DataFrame, features, label: str, mean, sd, labels=None,
-                       c: float = 1.0, max_iter: int = 400) -> LinearHead:
-    """Logistic head by MLlib on standardised features. The penalty is on the summed loss, so
-    MLlib's mean-loss parameter is 1 / (c * n). The scaling is folded into the coefficients."""
-    from pyspark.ml.classification import LogisticRegression
-    binary = labels is None
-    y = F.col(label).cast("double") if binary else F.coalesce(*[
-        F.when(F.col(label) == x, F.lit(float(i))) for i, x in enumerate(labels)])
-    z = train.select(y.alias("_y"), *[f"`{x}`" for x in features]).selectExpr(
-        "_y", *[f"(`{x}` - {float(m)!r}D) / {float(d)!r}D AS `{x}`"
-                for x, m, d in zip(features, mean, sd)])
-    rows = _assembled(z, features).select("_y", "_x").persist()
-    try:
-        model = LogisticRegression(
-            featuresCol="_x", labelCol="_y", maxIter=max_iter, tol=1e-8,
-            regParam=1.0 / (c * rows.count()), elasticNetParam=0.0, standardization=False,
-            family="binomial" if binary else "multinomial").fit(rows)
-    finally:
-        rows.unpersist()
-    w = model.coefficientMatrix.toArray() / sd
-    b = np.array(model.interceptVector.toArray()) - w @ mean
-    if binary:
-        return LinearHead(list(features), ["gate"], w, b, "logistic")
-    return LinearHead(list(features), list(labels)[:len(w)], w, b)
-
-
 def _scale_of(m: np.ndarray, eps: float = 0.0):
     """Mean and population sd from a moment matrix; constant columns get scale 1."""
     mean = m[0, 1:] / m[0, 0]
@@ -361,16 +335,10 @@ def fit_logistic(train: DataFrame, features, label: str, labels=None, c: float =
     m = collect_moments(moment_sums(base.withColumn("_one", F.lit(1)), features, ["_one"]),
                         ["_one"], len(features) + 1)[(1,)]
     mean, sd = _scale_of(m, eps)
-    if (len(features) + 1) * (1 if labels is None else len(labels)) > _NEWTON_SIZE:
-        return fit_logistic_mllib(train, features, label, mean, sd, labels, c)
     rows = train.select(F.lit(-1).alias("fold_0"), label, *features)
     return _newton(rows, features, label, labels, [0], {(0, 0): (mean, sd)}, c, max_iter)[(0, 0)]
 
 
-# Beyond this many coefficients a Hessian per task is larger than what MLlib's gradients need.
-_NEWTON_SIZE = 800
-
-
 def logistic_by_fold(df: DataFrame, features, label: str, labels=None, seeds=(0,), k: int = 5,
                      c: float = 1.0, max_iter: int = 50, eps: float = 0.0) -> dict:
     """Logistic heads of every (seed, fold), each standardised by its own training rows and
@@ -381,10 +349,6 @@ def logistic_by_fold(df: DataFrame, features, label: str, labels=None, seeds=(0,
     held = collect_moments(moment_sums(rows.withColumn("_one", F.lit(1)), features, ["_one"],
                                        seeds), ["seed", "fold", "_one"], len(features) + 1)
     fits = {sf: _scale_of(m[1], eps) for sf, m in leave_fold_out(held).items()}
-    if (len(features) + 1) * (1 if labels is None else len(labels)) > _NEWTON_SIZE:
-        return {(s, f): fit_logistic_mllib(rows.where(F.col(f"fold_{s}") != f), features, label,
-                                           mean, sd, labels, c)
-                for (s, f), (mean, sd) in fits.items()}
     return _newton(rows, features, label, labels, seeds, fits, c, max_iter)
 
 
@@ -478,13 +442,15 @@ def _newton(rows: DataFrame, features, label: str, labels, seeds, fits: dict, c:
                 theta[sf] = t - step
         if not active:
             break
+    for sf in active:                                # ran out of passes: the best point so far
+        theta[sf] = best[sf][0] if sf in best else theta[sf]
     out = {}
     for sf, (mean, sd) in fits.items():
         t = theta[sf].reshape(n_rows, p + 1)
         w = t[:, 1:] / sd
         b = t[:, 0] - w @ mean
         out[sf] = LinearHead(features, ["gate"] if binary else names, w, b,
-                             "logistic" if binary else "softmax")
+                             "logistic" if binary else "softmax", {"converged": sf not in active})
     return out
 
 
@@ -554,33 +520,37 @@ def load_heads(spark: SparkSession, path: str) -> dict[str, LinearHead]:
 # ------------------------------------------------------------------ landmark similarity
 
 def landmark_rows(df: DataFrame, vector: str, key: str, n: int = 64, seed: int = 0) -> np.ndarray:
-    """n (at most 64) rows with the smallest md5(seed:key), collected as landmarks."""
+    """The n rows with the smallest md5(seed:key), collected as landmarks. Their number is a
+    parameter of the model, like its features."""
     from alleleflow.functions.exprs import hash_order
-    if n > 64:
-        raise ValueError("at most 64 landmarks")
     top = df.select(vector, hash_order(seed, key).alias("_h")).orderBy("_h").limit(n).collect()
     return np.array([r[vector] for r in top], dtype=float)
 
 
-def median_distance(landmarks: np.ndarray) -> float:
-    d2 = ((landmarks[:, None, :] - landmarks[None, :, :]) ** 2).sum(-1)
-    return float(np.sqrt(np.median(d2[np.triu_indices(len(landmarks), 1)]) + 1e-12))
+def landmark_spread(landmarks: np.ndarray) -> float:
+    """Root mean square distance between two landmarks: the mean squared distance over pairs is
+    twice the sum of the columns' sample variances. 1 where all landmarks are equal."""
+    if len(landmarks) < 2:
+        return 1.0
+    return float(np.sqrt(2 * landmarks.var(axis=0, ddof=1).sum())) or 1.0
+
+
+def _similarity(vector: str, landmarks: str, scale: str) -> str:
+    """SQL of the Matern similarity of order 5/2, (1 + t + t^2 / 3) exp(-t) at t = sqrt(5) times
+    distance over scale, of an array to each of an array of landmarks."""
+    squares = f"zip_with({vector}, _mark, (_a, _b) -> power(_a - _b, 2))"
+    t = f"sqrt(5 * aggregate({squares}, 0D, (_sum, _d) -> _sum + _d)) / {scale}"
+    return f"transform(transform({landmarks}, _mark -> {t}), _t -> (1 + _t * (1 + _t / 3)) * exp(-_t))"
 
 
 def landmark_similarity(df: DataFrame, vector: str, landmarks: np.ndarray, scale: float,
                         out: str = "similarity") -> DataFrame:
-    """Matern-5/2 similarity of every row's vector to each landmark, as an array. Vectorised
-    over Arrow batches; the landmarks travel with the task."""
-    squared = (landmarks ** 2).sum(1)
-
-    @F.pandas_udf("array<double>")
-    def similarity(vectors: pd.Series) -> pd.Series:
-        x = np.stack(vectors.to_numpy()).astype(float)
-        d2 = np.maximum((x * x).sum(1)[:, None] + squared[None, :] - 2 * x @ landmarks.T, 0.0)
-        r2 = d2 / (scale * scale)
-        a = np.sqrt(5.0 * r2)
-        return pd.Series(list((1 + a + 5.0 / 3.0 * r2) * np.exp(-a)))
-    return df.withColumn(out, similarity(F.col(vector)))
+    """Similarity of every row's vector to each landmark, as an array of column arithmetic; the
+    landmarks come as one broadcast row."""
+    marks = df.sparkSession.createDataFrame([(landmarks.tolist(),)], "_marks array<array<double>>")
+    return df.crossJoin(F.broadcast(marks)).selectExpr(
+        *[f"`{c}`" for c in df.columns if c != out],
+        f"{_similarity(f'`{vector}`', '_marks', f'{float(scale)!r}D')} AS `{out}`")
 
 
 def residual_targets(preds: DataFrame, truth: str, cols, labels=None) -> DataFrame:
@@ -591,35 +561,83 @@ def residual_targets(preds: DataFrame, truth: str, cols, labels=None) -> DataFra
                                .alias(f"residual_{x}") for c, x in zip(cols, labels)])
 
 
+def _outside_moments(rows: DataFrame, vector: str, fold: str) -> dict:
+    """{fold: (mean, sd)} of a vector's entries over the rows outside the fold."""
+    parts = (rows.select(fold, F.posexplode(vector).alias("i", "x")).groupBy(fold, "i")
+             .agg(F.count("x").alias("n"), F.sum("x").alias("s"),
+                  F.sum(F.col("x") * F.col("x")).alias("q")).toArrow().to_pandas())
+    wide = {c: parts.pivot(index=fold, columns="i", values=c).fillna(0) for c in ("n", "s", "q")}
+    n, s, q = ((w.sum() - w).to_numpy(dtype=float) for w in wide.values())
+    n = np.maximum(n, 1)
+    mean = s / n
+    sd = np.sqrt(np.clip(q / n - mean ** 2, 0, None))
+    sd[sd <= 1e-9 * np.abs(mean)] = 0.0
+    sd[sd == 0] = 1.0
+    return dict(zip(wide["n"].index, zip(mean, sd)))
+
+
+def _outside_landmarks(rows: DataFrame, vector: str, key: str, fold: str, folds, n: int,
+                       seed: int) -> dict:
+    """{fold: the n rows outside the fold with the smallest md5(seed:key)}. They are among the n
+    first of each other fold, so folds x n rows are collected."""
+    from functools import reduce
+
+    from alleleflow.functions.exprs import hash_order
+    first = [rows.where(F.col(fold) == f).select(fold, vector, hash_order(seed, key).alias("_h"))
+             .orderBy("_h").limit(n) for f in folds]
+    drawn = sorted(reduce(DataFrame.unionByName, first).collect(), key=lambda r: r["_h"])
+    return {f: np.array([r[vector] for r in drawn if r[fold] != f][:n], dtype=float) for f in folds}
+
+
 def residual_correction(preds: DataFrame, vector: str, key: str, cols, residuals, group: str,
                         seed: int = 0, k: int = 5, n_landmarks: int = 32, scale: float = 1.0,
-                        alpha: float = 1.0) -> DataFrame:
+                        alpha: float = 1.0, standardise: bool = False) -> DataFrame:
     """base + residual fitted out of fold (new folds, seed + 137) by ridge on landmark
-    similarities. One pass of moments serves all folds and residuals."""
+    similarities. Landmarks, bandwidth and, with `standardise`, the scaling of the vector come
+    from the rows outside the fold. One pass of moments serves all folds and residuals."""
     from alleleflow.operators.protocol import with_folds
     fold_seed = seed + 137
+    own = f"fold_{fold_seed}"
     outer = {c: f"_outer_{c}" for c in ("seed", "fold") if c in preds.columns}
     preds = preds.withColumnsRenamed(outer)
-    marks = landmark_rows(preds, vector, key, n_landmarks, seed)
-    s = scale * median_distance(marks)
-    names = [f"_k{i}" for i in range(len(marks))]
-    rows = landmark_similarity(preds, vector, marks, s, "_sim")
-    rows = rows.select(*preds.columns, *[F.get("_sim", F.lit(i)).alias(n)
-                                         for i, n in enumerate(names)])
-    rows = checkpointed(with_folds(rows, group, k, [fold_seed]))
+    rows = checkpointed(with_folds(preds, group, k, [fold_seed]))
+    folds = sorted(r[0] for r in rows.select(own).distinct().collect())
+    marks = _outside_landmarks(rows, vector, key, own, folds, n_landmarks, seed)
+    moments = _outside_moments(rows, vector, own) if standardise else {
+        f: (np.zeros(m.shape[-1]), np.ones(m.shape[-1])) for f, m in marks.items()}
+    n = min(len(m) for m in marks.values())
+    names = [f"_k{i}" for i in range(n)]
+    models = []
+    for f in folds:
+        mean, sd = moments[f]
+        z = (marks[f][:n] - mean) / sd
+        models.append((int(f), mean.tolist(), sd.tolist(), z.tolist(), scale * landmark_spread(z)))
+    models = preds.sparkSession.createDataFrame(
+        models, "_model int, _mean array<double>, _sd array<double>, "
+                "_marks array<array<double>>, _scale double")
+    # k rows, just collected
+    scaled = rows.crossJoin(F.broadcast(models)).selectExpr(
+        *[f"`{c}`" for c in rows.columns], "_model", "_marks", "_scale",
+        f"zip_with(zip_with(`{vector}`, _mean, (_a, _m) -> _a - _m), _sd, (_a, _s) -> _a / _s) AS _v")
+    near = scaled.selectExpr(*[f"`{c}`" for c in rows.columns], "_model",
+                             f"{_similarity('_v', '_marks', '_scale')} AS _sim")
+    near = near.select(*rows.columns, "_model", *[F.get("_sim", F.lit(i)).alias(x)
+                                                  for i, x in enumerate(names)])
     cols_all = [*names, *residuals]
-    sums = moment_sums(rows.withColumn("_one", F.lit(1)), cols_all, ["_one"], [fold_seed])
-    train = leave_fold_out(collect_moments(sums, ["seed", "fold", "_one"], len(cols_all) + 1))
+    train = collect_moments(moment_sums(near.where(F.col(own) != F.col("_model")), cols_all,
+                                        ["_model"]), ["_model"], len(cols_all) + 1)
     heads = {}
-    for sf, m in train.items():
+    for (f,), m in train.items():
         parts = []
         for r in range(len(residuals)):
-            at = [*range(len(names) + 1), len(names) + 1 + r]
-            parts.append(ridge_from_moments(m[1][np.ix_(at, at)], names, alpha))
-        heads[sf] = LinearHead(names, list(range(len(residuals))),
-                               np.vstack([p.coef for p in parts]),
-                               np.concatenate([p.intercept for p in parts]), "identity")
-    scored = apply_by_fold(explode_seeds(rows, [fold_seed]), heads, "_fit")
+            at = [*range(n + 1), n + 1 + r]
+            parts.append(ridge_from_moments(m[np.ix_(at, at)], names, alpha))
+        heads[(fold_seed, f)] = LinearHead(names, list(range(len(residuals))),
+                                           np.vstack([p.coef for p in parts]),
+                                           np.concatenate([p.intercept for p in parts]), "identity")
+    held = near.where(F.col(own) == F.col("_model")).withColumns(
+        {"seed": F.lit(fold_seed), "fold": F.col("_model")})
+    scored = apply_by_fold(held, heads, "_fit")
     out = scored.select(*[c for c in preds.columns if c not in residuals],
                         *[(F.col(c) + F.col(f"_fit_{i}")).alias(f"corrected_{c}")
                           for i, c in enumerate(cols)])
@@ -629,8 +647,9 @@ def residual_correction(preds: DataFrame, vector: str, key: str, cols, residuals
 # ------------------------------------------------------------------ curves
 
 def curve_depths(n_depths: int, k: int = 8) -> list[int]:
-    """Zero-based positions of k log-spaced depths, duplicates removed."""
-    return [int(i) for i in np.unique(np.round(np.geomspace(1, n_depths - 1, k)).astype(int))]
+    """Zero-based positions (n_depths - 1)^(j / (k - 1)) for j below k, rounded, each once."""
+    last = n_depths - 1
+    return sorted({min(last, round(last ** (j / max(k - 1, 1)))) for j in range(k)})
 
 
 def curve_features(rows: DataFrame, statistics, k: int = 8, group: str = "replicate",

@@ -3,6 +3,8 @@ that grows with the data stays a DataFrame."""
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,19 +205,18 @@ def curve_comparison(rows: DataFrame, seeds=(0,), k: int = 5, depths: int = 8,
     linear = hd.apply_by_fold(hd.explode_seeds(curves, seeds), hd.logistic_by_fold(
         curves, cols, "direction", CLASSES, seeds, k, eps=1e-9))
     keep = ["seed", "replicate", *labelled, "log_rate", "_curve"]
-    scaled = hd.standardise(curves, curves, cols).select(
-        "replicate", F.array(*cols).alias("_z"))
-    linear = checkpointed(linear.select(*keep, *P).join(scaled, "replicate"))
+    linear = checkpointed(linear.select(*keep, *P))
     rate = hd.apply_by_fold(hd.explode_seeds(curves, seeds), hd.ridge_by_fold(
         curves, cols, "log_rate", seeds=seeds, eps=1e-9))
-    rate = checkpointed(rate.select(*keep, "p_log_rate").join(scaled, "replicate"))
+    rate = checkpointed(rate.select(*keep, "p_log_rate"))
 
     direction = magnitude = None
     for s in seeds:
         one = linear.where(F.col("seed") == s)
         fixed = hd.residual_correction(
-            hd.residual_targets(one, "direction", P, CLASSES), "_z", "replicate", P,
-            [f"residual_{c}" for c in CLASSES], "replicate", s, k, n_landmarks)
+            hd.residual_targets(one, "direction", P, CLASSES), "_curve", "replicate", P,
+            [f"residual_{c}" for c in CLASSES], "replicate", s, k, n_landmarks,
+            standardise=True)
         both = (pr.replicate_call(one, P).select("seed", *labelled, "call")
                 .withColumn("arm", F.lit("linear"))
                 .unionByName(pr.replicate_call(fixed, [f"corrected_{c}" for c in P])
@@ -224,8 +225,8 @@ def curve_comparison(rows: DataFrame, seeds=(0,), k: int = 5, depths: int = 8,
         direction = both if direction is None else direction.unionByName(both)
         one = rate.where(F.col("seed") == s)
         fixed = hd.residual_correction(
-            hd.residual_targets(one, "log_rate", ["p_log_rate"]), "_z", "replicate",
-            ["p_log_rate"], ["residual"], "replicate", s, k, n_landmarks)
+            hd.residual_targets(one, "log_rate", ["p_log_rate"]), "_curve", "replicate",
+            ["p_log_rate"], ["residual"], "replicate", s, k, n_landmarks, standardise=True)
         both = (one.select("replicate", "magnitude", "log_rate", F.col("p_log_rate").alias("pred"))
                 .withColumn("arm", F.lit("linear"))
                 .unionByName(fixed.select("replicate", "magnitude", "log_rate",
@@ -260,7 +261,8 @@ def train_frozen(rows: DataFrame, gate: str = "band", cap: int | None = None,
     rows = checkpointed(rows)
     flows = rows.where((F.col("direction") != CONTROL) & (F.col("magnitude") >= APPRECIABLE))
     if cap is not None:
-        flows = quality.sample_fixed(flows, cap, list(row_key))
+        # every Newton pass reads the sample
+        flows = checkpointed(quality.sample_fixed(flows, cap, list(row_key)))
     return {
         "gate": hd.fit_logistic(pr.gate_rows(rows, gate), FEATURES, "y", scale_on=rows),
         "direction": hd.fit_logistic(flows, FEATURES, "direction", CLASSES, scale_on=rows)}
@@ -313,7 +315,8 @@ def build_matrix(spark, vcf: str, popmap: str, pop_order, max_depth: int | None
     `pop_order`. Loci may have any number of alleles; `biallelic` takes the faster column path
     when no code above 1 occurs."""
     mapping = text.read_popmap(spark, popmap)
-    present = [r["pop"] for r in mapping.select("pop").distinct().limit(100).collect()]
+    present = [r["pop"] for r in mapping.select("pop").distinct()
+               .limit(len(pop_order) + 1).collect()]        # one too many is enough to refuse
     order = validate_populations(pop_order, present)
     names = text.vcf_samples(spark, vcf)
     variants = text.read_vcf(spark, vcf, names)
@@ -324,7 +327,7 @@ def build_matrix(spark, vcf: str, popmap: str, pop_order, max_depth: int | None
 
 # ------------------------------------------------------------------ real data
 
-def trio_report(counts: DataFrame, model: dict, keys=(), max_depth: int = 100,
+def trio_report(counts: DataFrame, model: dict, keys=(), max_depth: int | None = None,
                 ancestral: bool = False, boosted=None) -> DataFrame:
     """D with its chromosome jackknife, gate and direction for a trio: populations 1-3 of a
     counts table, polarised by population 4 or, with `ancestral`, by the column `aa`. One
@@ -354,14 +357,16 @@ def _beside(a: DataFrame, b: DataFrame, keys) -> DataFrame:
 
 
 def robustness_report(calls: DataFrame, popmap: DataFrame, trios: dict, model: dict,
-                      target: int = 15_000, min_copies: int = 16, seed: int = 100,
-                      max_depth: int = 100) -> DataFrame:
+                      target: int | None = None, min_copies: int = 16, seed: int = 100,
+                      max_depth: int | None = None) -> DataFrame:
     """Several trios of labels from one base-call table. `trios` maps a tag to the labels that
-    play P1, P2, P3 and the outgroup. Sites are recoded, filtered and sampled per trio."""
+    play P1, P2, P3 and the outgroup. Sites are recoded and filtered per trio; `target` draws so
+    many of them."""
     out = None
     for i, (tag, labels) in enumerate(trios.items()):
         counts = trio_counts(calls, popmap, labels, min_copies)
-        counts = quality.sample_fixed(counts, target, ["chrom", "pos"], seed + i)
+        if target is not None:
+            counts = quality.sample_fixed(counts, target, ["chrom", "pos"], seed + i)
         one = counts.withColumn("trio", F.lit(tag))
         out = one if out is None else out.unionByName(one)
     return classical.d_decision(trio_report(checkpointed(out), model, ["trio"], max_depth)
@@ -378,7 +383,7 @@ def trio_counts(calls: DataFrame, popmap: DataFrame, labels, min_copies: int = 1
     return ct.polymorphic(ct.min_copies(counts, min_copies, exempt=(4,)), (1, 2, 3))
 
 
-def leave_one_chromosome_out(counts: DataFrame, model: dict, max_depth: int = 100,
+def leave_one_chromosome_out(counts: DataFrame, model: dict, max_depth: int | None = None,
                              min_loci: int = 1000) -> DataFrame:
     """Direction call with each chromosome left out, by subtraction of power sums."""
     three = counts.select("chrom", *ct.count_columns(2, 3))
@@ -387,13 +392,17 @@ def leave_one_chromosome_out(counts: DataFrame, model: dict, max_depth: int = 10
 
 
 def locus_report(genotypes: DataFrame, windows, model: dict, pops, min_copies: int = 16,
-                 per_window: int = 2000, target: int = 15_000, max_depth: int = 100
-                 ) -> DataFrame:
-    """Direction and model-free ratio over genomic windows (genome-wide or a single locus)."""
+                 per_window: int | None = None, target: int | None = None,
+                 max_depth: int | None = None) -> DataFrame:
+    """Direction and model-free ratio over genomic windows (genome-wide or a single locus), from
+    all sites or from `per_window` of each window and `target` in all."""
     scanned = text.scan_windows(quality.biallelic_snps(genotypes), windows)
     counts = ct.allele_table(scanned, pops, locus=("window_id", "chrom", "pos"))
     counts = ct.min_copies(counts, min_copies)
-    counts = quality.cap_per_window(counts, per_window, target)
+    if per_window is not None:
+        counts = quality.cap_per_window(counts, per_window, 1 << 60 if target is None else target)
+    elif target is not None:
+        raise ValueError("target needs per_window")
     counts = checkpointed(counts.withColumn("region", F.lit("all")))
     f = rf.feature_matrix(counts, max_depth, ["region"])
     call = detect_then_orient(f, model, ["region"])
@@ -412,7 +421,7 @@ def depth_sweep_report(counts: DataFrame, model: dict, caps=(6, 8, 10, 12, 14, 1
 
 
 def diversity_report(genotypes: DataFrame, references, recipient: str, donor: str, model: dict,
-                     min_copies: int = 16, het_copies: int = 12, max_depth: int = 100
+                     min_copies: int = 16, het_copies: int = 12, max_depth: int | None = None
                      ) -> DataFrame:
     """The same recipient and donor against several references: call, ratio, and the
     heterozygosity of reference and recipient over all biallelic sites."""
@@ -435,14 +444,16 @@ def diversity_report(genotypes: DataFrame, references, recipient: str, donor: st
 
 
 def archaic_counts(modern: DataFrame, samples: DataFrame, call_sets: dict, pops,
-                   n_per_pop: int = 50) -> DataFrame:
+                   n_per_pop: int | None = None) -> DataFrame:
     """Counts of the populations `pops` and, last, of the archaic call sets together, at sites
     where all call sets have a call that fits the panel's alleles, with the ancestral base
     `aa`. `modern` has long calls with ref, alt, info and sample, `samples` (sample, sample_idx,
     pop); a call set has one row per position (n1, n2, call_ref)."""
     site, pops = ["chrom", "pos"], list(pops)
-    chosen = quality.first_n_per_population(samples.where(F.col("pop").isin(pops)),
-                                            n_per_pop).select("sample", "pop")
+    chosen = samples.where(F.col("pop").isin(pops))
+    if n_per_pop is not None:
+        chosen = quality.first_n_per_population(chosen, n_per_pop)
+    chosen = chosen.select("sample", "pop")
     panel = quality.biallelic_snps(modern).drop("pop").join(small_side(chosen), "sample")
     out = quality.ancestral_allele(ct.allele_table(
         panel, pops, locus=(*site, "ref", "alt", "info"))).drop("info")
@@ -459,7 +470,7 @@ def archaic_counts(modern: DataFrame, samples: DataFrame, call_sets: dict, pops,
 
 
 def archaic_report(modern: DataFrame, samples: DataFrame, call_sets: dict, trios, model: dict,
-                   n_per_pop: int = 50, max_depth: int = 100) -> DataFrame:
+                   n_per_pop: int | None = None, max_depth: int | None = None) -> DataFrame:
     """D, gate and direction for several (P1, P2, archaic) trios. Sites are intersected and
     counted once for all populations; each trio then picks its columns from the row."""
     pops = sorted({p for trio in trios for p in trio})
@@ -478,11 +489,11 @@ def archaic_report(modern: DataFrame, samples: DataFrame, call_sets: dict, trios
 
 def injection_grid(genotypes: DataFrame, samples: DataFrame, roles: dict, model: dict,
                    fractions=(0.05, 0.1, 0.2), repeats: int = 4, pop_order=("P1", "P2", "P3"),
-                   max_depth: int = 100) -> DataFrame:
+                   max_depth: int | None = None) -> DataFrame:
     """Mean gate and direction accuracy per injected direction and fraction. `roles` maps a
     class to (donor, recipient); the control has no migrants."""
-    experiments = [(f"{c}|{f}|{r}", d, q, f, 1000 * r + int(round(f * 100)))
-                   for c, (d, q) in roles.items() for f in fractions for r in range(repeats)]
+    experiments = [(f"{c}|{f}|{r}", d, q, f, draw) for draw, ((c, (d, q)), f, r) in enumerate(
+        product(*[roles.items(), fractions, range(repeats)]))]
     names = [e[0] for e in experiments] + [f"{CONTROL}|0.0|{r}" for r in range(repeats)]
     base = ct.polymorphic(ct.allele_table(genotypes, pop_order))
     moved = inject.pick_migrants(samples, experiments)

@@ -195,6 +195,7 @@ def write_variants(variants: DataFrame, path: str) -> None:
 
 
 def vcf_header(samples: list[str]) -> list[str]:
+    # The header lines of the format.
     return ["##fileformat=VCFv4.2",
             '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
             "#" + "\t".join([*VCF_COLUMNS, *samples])]

@@ -49,15 +49,33 @@ def test_logistic_reaches_the_optimum(rows, data):
     assert np.abs(gw).max() < 1e-4 and np.abs(gb).max() < 1e-4
 
 
+def mllib(rows, y, x):
+    """MLlib's coefficients for standardised features; its penalty is on the mean loss."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    mean, sd = x.mean(0), x.std(0)
+    z = rows.select(y.cast("double").alias("_y"), *[((F.col(c) - float(m)) / float(d)).alias(c)
+                                                    for c, m, d in zip(X, mean, sd)])
+    model = LogisticRegression(
+        featuresCol="_x", labelCol="_y", maxIter=400, tol=1e-8, regParam=1 / len(x),
+        standardization=False).fit(VectorAssembler(inputCols=X, outputCol="_x").transform(z))
+    w = model.coefficientMatrix.toArray() / sd
+    return w, np.array(model.interceptVector.toArray()) - w @ mean
+
+
 def test_newton_agrees_with_mllib(rows, data):
     x, _ = data
     a = hd.fit_logistic(rows, X, "y", CLASSES)
-    b = hd.fit_logistic_mllib(rows, X, "y", x.mean(0), x.std(0), CLASSES)
-    assert np.abs(a.coef - b.coef).max() < 1e-3
-    g = rows.withColumn("t", (F.col("y") == "A").cast("int"))
-    a = hd.fit_logistic(g, X, "t")
-    b = hd.fit_logistic_mllib(g, X, "t", x.mean(0), x.std(0))
-    assert np.abs(a.coef - b.coef).max() < 1e-3 and abs(a.intercept - b.intercept).max() < 1e-3
+    w, _ = mllib(rows, F.coalesce(*[F.when(F.col("y") == c, F.lit(i)) for i, c in enumerate(CLASSES)]), x)
+    assert np.abs(a.coef - w).max() < 1e-3 and a.meta["converged"]
+    y = (F.col("y") == "A").cast("int")
+    a = hd.fit_logistic(rows.withColumn("t", y), X, "t")
+    w, b = mllib(rows, y, x)
+    assert np.abs(a.coef - w).max() < 1e-3 and abs(a.intercept - b).max() < 1e-3
+
+
+def test_newton_tells_when_it_ends_early(rows):
+    assert not hd.fit_logistic(rows, X, "y", CLASSES, max_iter=1).meta["converged"]
 
 
 def test_folds_fitted_together_equal_single_fits(rows):
@@ -139,13 +157,37 @@ def test_landmarks(spark, data):
     df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)],
                                "id int, v array<double>")
     marks = hd.landmark_rows(df, "v", "id", 8)
-    s = hd.median_distance(marks)
+    s = hd.landmark_spread(marks)
+    apart = ((marks[:, None] - marks[None]) ** 2).sum(-1)[np.triu_indices(8, 1)]
+    assert s == pytest.approx(np.sqrt(apart.mean()))
     got = hd.landmark_similarity(df, "v", marks, s).orderBy("id").collect()
     d = np.sqrt(((x[:, None] - marks[None]) ** 2).sum(-1)) / s
     want = (1 + np.sqrt(5) * d + 5 / 3 * d ** 2) * np.exp(-np.sqrt(5) * d)
     assert np.array([r["similarity"] for r in got]) == pytest.approx(want)
-    with pytest.raises(ValueError):
-        hd.landmark_rows(df, "v", "id", 65)
+    assert len(hd.landmark_rows(df, "v", "id", 100)) == min(100, len(x))
+
+
+def test_correction_is_fitted_outside_the_fold(spark, data):
+    """Another vector and truth in one fold leave that fold's landmarks, scale and fit alone."""
+    x, _ = data
+    rows = [(i, i // 2, list(map(float, v)), 0.1, float(v[0])) for i, v in enumerate(x)]
+    kind = "id int, replicate int, v array<double>, p double, residual double"
+
+    def run(rows):
+        out = hd.residual_correction(spark.createDataFrame(rows, kind), "v", "id", ["p"],
+                                     ["residual"], "replicate", n_landmarks=6, standardise=True)
+        return {r["id"]: r["corrected_p"] for r in out.collect()}
+    from alleleflow.operators.protocol import with_folds
+    fold = {r["id"]: r["fold_137"] for r in with_folds(
+        spark.createDataFrame(rows, kind), "replicate", 5, [137]).collect()}
+    odd = max(i for i, f in fold.items() if f == 2)
+    moved = [(i, r, [9 * c for c in v] if i == odd else v, p, 5e3 if i == odd else t)
+             for i, r, v, p, t in rows]
+    a, b = run(rows), run(moved)
+    assert len(a) == len(rows)
+    same = [i for i, f in fold.items() if f == 2 and i != odd]
+    assert same and all(a[i] == pytest.approx(b[i], rel=1e-9, abs=1e-12) for i in same)
+    assert any(abs(a[i] - b[i]) > 1e-6 for i, f in fold.items() if f != 2)
 
 
 def test_saved_heads_apply_alike(spark, rows):
