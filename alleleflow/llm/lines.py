@@ -56,11 +56,15 @@ def shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray
 
 def band_keys(lines: list[str], width: int, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key per line and band."""
-    h, starts = shingle_hashes(lines, width)
+    return minima(*shingle_hashes(lines, width), bands, rows)
+
+
+def minima(h: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band keys of the sets of 32-bit hashes in `h` that begin at `starts`."""
     draw = np.random.default_rng(4)
     multiply = draw.integers(1, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
     add = draw.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
-    keys = np.zeros((len(lines), bands), dtype=np.uint64)
+    keys = np.zeros((len(starts), bands), dtype=np.uint64)
     for f in range(bands * rows):
         least = np.minimum.reduceat(h * multiply[f] + add[f], starts)
         b = f // rows
@@ -150,9 +154,13 @@ def candidates(docs: DataFrame, places: DataFrame, width: int, bands: int, rows:
 def bitmaps(lines: list[str], width: int) -> np.ndarray:
     """Each line's shingles as bits of a map. Two lines differ in at least as many shingles as
     their maps differ in bits."""
-    h, starts = shingle_hashes(lines, width)
-    owner = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(h))))
-    bits = np.zeros((len(lines), 64 * _WORDS), dtype=bool)
+    return maps_of(*shingle_hashes(lines, width))
+
+
+def maps_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bitmaps of the sets of 32-bit hashes in `h` that begin at `starts`."""
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+    bits = np.zeros((len(starts), 64 * _WORDS), dtype=bool)
     bits[owner, h % np.uint32(64 * _WORDS)] = True
     return np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
