@@ -475,3 +475,40 @@ FROM cb a JOIN cb b ON a.chrom <> b.chrom GROUP BY a.chrom HAVING sum(b.n) >= 10
 def leave_one_block_out(spark, sf):
     b = cl.leave_one_block_out(cl.block_sums(sites4(spark, sf), None), min_sites=1000)
     return rounded_all(b, ["dropped", "n_left"])
+
+
+# ------------------------------------------------------------------ whole depth range
+# The queries above stop at small depths; these run to each locus' own depth, DEEP at most.
+
+ALL_DEPTHS_SQL = f"depths AS (SELECT unnest(range(2, {DEEP + 1})) AS g)"
+
+
+@query("absence_probability_full", ORACLES["absence_probability"].replace(DEPTHS_SQL, ALL_DEPTHS_SQL))
+def absence_probability_full(spark, sf):
+    a = rf.absence_table(shallow_counts(spark, sf), range(2, DEEP + 1))
+    return rounded_all(a, ["locus", "allele", "pop_index", "n", "copies", "g"], 1e-9)
+
+
+def _full_locus_query(name, stats):
+    sql = (SHALLOW + ",\n" + ALL_DEPTHS_SQL + ",\n" + v.per_locus_sql(
+        "counts", "s", stats=stats, source=f"counts JOIN depths ON g <= {v.least_n()}")
+        + " SELECT locus, CAST(g AS INTEGER) AS g, " + ", ".join(f"round({s} + 1e-9, 6) AS {s}" for s in stats) + " FROM s")
+
+    @query(name, sql)
+    def run(spark, sf):
+        s = rf.per_locus(shallow_counts(spark, sf).drop("chrom", "pos"), DEEP, stats)
+        return rounded_all(s, ["locus", "g"], 1e-9)
+
+
+_full_locus_query("allelic_richness_full", [b for b in BLOCKS if b.startswith("alpha")])
+_full_locus_query("private_richness_full", [b for b in BLOCKS if b.startswith("pi_")])
+_full_locus_query("pairwise_private_richness_full", [b for b in BLOCKS if b.startswith("pihat")])
+
+
+@query("leave_one_block_out_features_full", _loo_sql().replace(
+    "depths AS (SELECT unnest(range(2, 11)) AS g)",
+    f"lim AS (SELECT chrom, min({v.least_n()}) AS d FROM counts GROUP BY chrom),\n" + ALL_DEPTHS_SQL).replace(
+    "WHERE chrom <> dropped", "WHERE chrom <> dropped AND g <= (SELECT min(d) FROM lim WHERE lim.chrom <> dropped)"))
+def leave_one_block_out_features_full(spark, sf):
+    c = ct.allele_table(v.deep_obs(spark, sf), v.POPS, locus=("locus", "chrom"))
+    return rounded_all(rf.leave_one_out(c, "chrom", DEEP), ["chrom", "n_loci", "g"])

@@ -331,3 +331,49 @@ def feature_shift(spark, sf):
     f = v.features(spark, sf)
     z = mt.feature_shift(f.where("direction = 'D'"), f.where("direction <> 'D'"), SHIFT)
     return rounded_all(z, ["n_features"])
+
+
+# ------------------------------------------------------------------ every seed
+# The queries above are held to seed 0; here the seed is a key.
+
+def _every_vote_sql(name, key):
+    return (ORACLES[name].replace(" WHERE seed = 0", "").replace(f"GROUP BY {key})", f"GROUP BY seed, {key})")
+            .replace(f"SELECT {key}, ", f"SELECT seed, {key}, "))
+
+
+def every_row_call(spark, sf):
+    return pr.replicate_call(v.eval_preds(spark, sf), P)
+
+
+@query("majority_vote_by_seed", _every_vote_sql("majority_vote", "replicate"))
+def majority_vote_by_seed(spark, sf):
+    return pr.majority_vote(every_row_call(spark, sf), keys=("seed", "replicate"))
+
+
+@query("modal_class_by_block_by_seed", _every_vote_sql("modal_class_by_block", "block"))
+def modal_class_by_block_by_seed(spark, sf):
+    blocks = every_row_call(spark, sf).withColumn("block", F.expr("event_id div 500"))
+    return pr.majority_vote(blocks, keys=("seed", "block"))
+
+
+def every_band(spark, sf):
+    return pr.rate_bands(v.rep_probs(spark, sf).where("direction <> 'D'"))
+
+
+@query("selective_accuracy_by_seed", ORACLES["selective_accuracy"].replace(" WHERE seed = 0", "")
+       .replace("SELECT band", "SELECT seed, band").replace("PARTITION BY band", "PARTITION BY seed, band")
+       .replace("GROUP BY band", "GROUP BY seed, band"))
+def selective_accuracy_by_seed(spark, sf):
+    m = every_band(spark, sf).withColumn("confidence", F.greatest(*P))
+    return rounded_all(mt.selective_accuracy(m, keys=("seed", "band")), ["seed", "band", "dropped", "n_kept"])
+
+
+ROUNDS = 200            # default of the operator
+
+
+@query("bootstrap_interval_by_seed", ORACLES["bootstrap_interval"].replace(" WHERE seed = 0", "")
+       .replace("range(1, 101)", f"range(1, {ROUNDS + 1})").replace("md5('0:' ||", "md5(seed || ':' ||")
+       .replace("SELECT band", "SELECT seed, band").replace("GROUP BY band", "GROUP BY seed, band"))
+def bootstrap_interval_by_seed(spark, sf):
+    m = every_band(spark, sf).withColumn("hit", (F.col("call") == F.col("direction")).cast("int"))
+    return rounded_all(mt.bootstrap_interval(m, rounds=ROUNDS, seed=F.col("seed"), keys=("seed", "band")), ["seed", "band"])
