@@ -146,7 +146,7 @@ def _blocks(items: DataFrame, block: int):
         return
     parts = table(items.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block")), "items")
     for k in range(n):
-        yield [tuple(r) for r in parts.where(F.col("block") == k).select("item_id", "text").distinct().collect()]
+        yield [tuple(r) for r in parts.where(F.col("block") == k).select("item_id", "text").collect()]
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, functions: int = 64,
