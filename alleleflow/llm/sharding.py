@@ -2,7 +2,7 @@
 
 Groups (rows of equal text) are ordered by the hash of their text and never split. The capacity is
 the smallest one for which a greedy pass needs no more shards than there are; it is found by binary
-search. The driver never sees all groups: it starts from sums over 2^16 hash ranges and, level by
+search. Under it, cuts are placed so that what is left is spread evenly over the shards left. The driver never sees all groups: it starts from sums over 2^16 hash ranges and, level by
 level, opens only those ranges in which a cut can still fall, until these are single groups. A
 level gives the driver a number of rows that depends on the number of shards alone."""
 
@@ -32,6 +32,27 @@ def greedy(ends: np.ndarray, capacity: int, shards: int) -> list[int] | None:
     return None
 
 
+def even(ends: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Cuts as of `greedy`, none above a feasible `capacity`, each shard as near as can be to the bytes
+    left over the shards left. No shard is empty if there are units enough."""
+    n = len(ends)
+    starts = np.concatenate([[0], ends])
+    least = [n]         # from behind: a cut before these leaves more than the shards left can hold
+    for _ in range(shards - 1):
+        least.append(int(np.searchsorted(starts, starts[least[-1]] - capacity, side="left")))
+    cuts, at = [], 0
+    for left, low in zip(range(shards, 0, -1), reversed(least)):
+        before = int(starts[at])
+        aim = before + (int(starts[-1]) - before) / left
+        near = int(np.searchsorted(starts, aim, side="left"))
+        if near > at and aim - starts[near - 1] < starts[min(near, n)] - aim:
+            near -= 1
+        near = max(min(near, n - left + 1), at + 1, low)
+        at = min(near, int(np.searchsorted(starts, before + capacity, side="right")) - 1)
+        cuts.append(at)
+    return cuts
+
+
 def smallest_capacity(sizes: np.ndarray, shards: int) -> int:
     """Binary search of the least feasible capacity over units that stay whole."""
     ends = np.cumsum(sizes.astype(np.int64))
@@ -75,7 +96,7 @@ def cut_keys(groups: DataFrame, shards: int) -> list[int]:
     if not units:
         return []
     sizes = np.array([u[1] for u in units], dtype=np.int64)
-    cuts = greedy(np.cumsum(sizes), smallest_capacity(sizes, shards), shards)
+    cuts = even(np.cumsum(sizes), smallest_capacity(sizes, shards), shards)
     return [units[c][0] if c < len(units) else 1 << _ALL for c in cuts[:-1]]
 
 
