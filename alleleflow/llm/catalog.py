@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alleleflow.llm import (
-    decontaminate, lines, multi_index, packing, pii, sharding, simhash, substrings, toxicity, wavelet)
+    decontaminate, lines, manifest, manifest_sql, multi_index, packing, pii, sharding, simhash, substrings, toxicity, wavelet)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,11 @@ def op10_multi_index(spark, sf_dir):
     return multi_index.search(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_manifest(spark, sf_dir):
+    """Merkle manifest of all documents, each leaf folded up to the root after tampering."""
+    return manifest.audit(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_substring_dedup, op4_line_dedup, op5_simhash,
-                                    op6_pii, op7_toxicity, op8_sharding, op9_wavelet, op10_multi_index)}
-ORACLES: dict[str, str] = {}
+                                    op6_pii, op7_toxicity, op8_sharding, op9_wavelet, op10_multi_index, op11_manifest)}
+ORACLES: dict[str, str] = {"op11_manifest": manifest_sql.AUDIT}
