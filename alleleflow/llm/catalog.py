@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alleleflow.llm import (
-    decontaminate, divergence, lines, manifest, manifest_sql, multi_index, packing, pii, sharding, simhash, substrings, toxicity, wavelet)
+    decontaminate, divergence, licences, lines, manifest, manifest_sql, multi_index, packing, pii, sharding, simhash, substrings, toxicity, wavelet)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +111,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 WHERE part = 'pair' OR rank <= 50"""
 
 
+def op13_licences(spark, sf_dir):
+    """Licences of all documents."""
+    return licences.digest(licences.scan(_read(spark, sf_dir, "documents"), "doc_id"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_substring_dedup, op4_line_dedup, op5_simhash,
-                                    op6_pii, op7_toxicity, op8_sharding, op9_wavelet, op10_multi_index, op11_manifest, op12_divergence)}
+                                    op6_pii, op7_toxicity, op8_sharding, op9_wavelet, op10_multi_index, op11_manifest, op12_divergence, op13_licences)}
 ORACLES: dict[str, str] = {"op11_manifest": manifest_sql.AUDIT, "op12_divergence": DIVERGENCE_SQL}

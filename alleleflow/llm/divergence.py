@@ -76,7 +76,7 @@ def frequency(count: str, total: str, terms: str) -> F.Column:
     return F.expr(f"1 + cast(({SCALE} * cast({count} + {SMOOTH} as decimal(20,0))) div (cast({total} as decimal(20,0)) + {SMOOTH} * {terms}) as long)")
 
 
-def kept_terms(counts: DataFrame, least: int) -> DataFrame:
+def kept_terms(counts: DataFrame, least: int, slots: int = _SLOTS) -> DataFrame:
     """lang, term, total, block, bit: terms in at least `least` documents of a language, dealt into
     blocks by falling frequency. Blocks are cut inside range partitions, so no language's terms
     meet in one task."""
@@ -87,8 +87,8 @@ def kept_terms(counts: DataFrame, least: int) -> DataFrame:
     order = [F.col("lang"), F.desc("total"), F.col("term")]
     at = F.monotonically_increasing_id()
     return table(kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                 .withColumn("_at", at).select("lang", "term", "total", F.expr(f"_at div {_SLOTS}").alias("block"),
-                                               (F.col("_at") % _SLOTS).cast("int").alias("bit")), "terms")
+                 .withColumn("_at", at).select("lang", "term", "total", F.expr(f"_at div {slots}").alias("block"),
+                                               (F.col("_at") % slots).cast("int").alias("bit")), "terms")
 
 
 def _spans(sorted_keys: list[np.ndarray]) -> list[int]:
@@ -99,36 +99,42 @@ def _spans(sorted_keys: list[np.ndarray]) -> list[int]:
     return [*np.flatnonzero(change).tolist(), len(change)]
 
 
-def pair_sums(numbers, levels, p, maps, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def pair_sums(numbers, levels, p, maps, left: np.ndarray, right: np.ndarray, chunk: int) -> np.ndarray:
     """What one block adds to the pairs (left source, right source), beyond what its terms would
     add if both sources lacked them. `numbers`, `levels`' frequencies `p` and bitmaps `maps` (four
     words) stand for the sources' count levels in the block, sorted by source; `left` and `right`
-    map places to the frequency at count 0; a source's place is its number % 64."""
+    map places to the frequency at count 0; a source's place is its number % chunk."""
     out = np.zeros((len(left), len(right)), np.int64)
     none = np.abs(left[:, None] - right[None, :])
     size = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
     first, second = levels
     # terms of one source, as if the other lacked them
     for k in first:
-        a = numbers[k] % _CHUNK
+        a = numbers[k] % chunk
         out[a] += size[k] * (np.abs(p[k] - right) - none[a])
     for k in second:
-        b = numbers[k] % _CHUNK
+        b = numbers[k] % chunk
         out[:, b] += size[k] * (np.abs(left - p[k]) - none[:, b])
     if not len(first) or not len(second):
         return out
     # terms of both: what they add instead
-    b = numbers[second] % _CHUNK
+    b = numbers[second] % chunk
     cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     for k in first:
-        a = numbers[k] % _CHUNK
+        a = numbers[k] % chunk
         joint = np.bitwise_count(maps[second] & maps[k]).sum(axis=1, dtype=np.int64)
         change = np.abs(p[k] - p[second]) - np.abs(p[k] - right[b]) - np.abs(left[a] - p[second]) + none[a, b]
         out[a, b[cuts]] += np.add.reduceat(joint * change, cuts)
     return out
 
 
-def _pair_task(batches):
+def _pair_task(chunk: int):
+    def run(batches):
+        yield from _pair_rows(batches, chunk)
+    return run
+
+
+def _pair_rows(batches, chunk: int):
     """Sums per pair of sources from sorted rows: a head with the chunks' frequencies at count 0,
     then the levels of both chunks. One pair of chunks is held at a time."""
     key, sums, held = None, None, []
@@ -139,7 +145,7 @@ def _pair_task(batches):
         keep = (i != j) | (a < b)
         a, b = a[keep], b[keep]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(a), pa.string()), pa.array(a + i * _CHUNK, pa.int64()), pa.array(b + j * _CHUNK, pa.int64()), pa.array(sums[0][a, b])],
+            [pa.array([lang] * len(a), pa.string()), pa.array(a + i * chunk, pa.int64()), pa.array(b + j * chunk, pa.int64()), pa.array(sums[0][a, b])],
             names=["lang", "a", "b", "part"])
 
     def work(t):
@@ -158,8 +164,8 @@ def _pair_task(batches):
                     yield from flush()
                 key, sums = now, [np.zeros((len(left), len(right)), np.int64)]
             rows = np.arange(x + 1, y)
-            chunk = number[rows] // _CHUNK
-            sums[0] += pair_sums(number, (rows[chunk == now[1]], rows[chunk == now[2]]), p, maps, left, right)
+            side = number[rows] // chunk
+            sums[0] += pair_sums(number, (rows[side == now[1]], rows[side == now[2]]), p, maps, left, right, chunk)
 
     rows = 0
     for batch in batches:
@@ -180,15 +186,16 @@ def _pair_task(batches):
         yield from flush()
 
 
-def divergence(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
+def divergence(docs: DataFrame, least: int = 30, top: int = 50, slots: int = _SLOTS, sources: int = _CHUNK) -> DataFrame:
     """lang, source, part, item, value, rank. Part `pair`: every other source of the language, with
     the summed distance of their terms' frequencies. Part `term`: the `top` terms that the source
     uses more often than its language, with the difference. A term counts if at least `least`
     documents of the language hold it. Null lang, source and text are ''; a group without terms
     has all counts 0; a language without kept terms has pairs of value 0; repeated rows count
-    each; an empty table gives an empty one; other columns are ignored."""
+    each; an empty table gives an empty one; other columns are ignored. A bitmap
+    has `slots` bits, 256 at most; a task pairs `sources` sources with as many."""
     counts = table(term_counts(docs), "term-counts")
-    terms = kept_terms(counts, least)
+    terms = kept_terms(counts, least, slots)
     spoken = counts.select("lang", "source").distinct()
     used = table(counts.where("term is not null").join(terms, ["lang", "term"])
                  .select("lang", "source", "term", "n", "total", "block", "bit"), "used")
@@ -207,7 +214,7 @@ def divergence(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
         *[F.bit_or(F.when(word == k, one).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(4)])
     levels = (maps.join(groups.select("lang", "source", "number", "v", "group_n"), ["lang", "source"])
               .select("lang", "block", "number", frequency("n", "group_n", "v").alias("p"), *[f"w{k}" for k in range(4)]))
-    chunk = F.expr(f"number div {_CHUNK}")
+    chunk = F.expr(f"number div {sources}")
     chunks = groups.groupBy("lang", chunk.alias("chunk")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("number", "zero"))), lambda x: x["zero"]).alias("zeros"))
     last = groups.groupBy("lang").agg(F.max(chunk).alias("last"))
@@ -222,7 +229,7 @@ def divergence(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
         "lang", "i", "j", "block", F.lit(-1).cast("long").alias("number"), F.lit(0).cast("long").alias("p"),
         *[F.lit(0).cast("long").alias(f"w{k}") for k in range(4)], "zero_i", "zero_j"))
     parts = (rows.repartition("lang", "i", "j", "block").sortWithinPartitions("lang", "i", "j", "block", "number")
-             .mapInArrow(_pair_task, "lang string, a long, b long, part long")
+             .mapInArrow(_pair_task(sources), "lang string, a long, b long, part long")
              .groupBy("lang", "a", "b").agg(F.sum("part").alias("part")))
     names = groups.select("lang", "number", "source", "zero", "v")
     # every pair of sources of a language is a row of the result

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from alleleflow.llm.shared import table
 
-ARITY, DEPTH = 3, 8
-BLOCK = ARITY ** DEPTH
+ARITY = 3
+#: Levels in a block.
+DEPTH = 8
 _STEP = np.dtype([("count", "u1"), ("slot", "u1"), ("state", "u1", 32), ("others", "u1", 64)])
 _PARENT = np.dtype([("digest", "u1", 32), ("states", "u1", 64)])
 
@@ -203,7 +204,7 @@ def _height(total: Column) -> Column:
     return F.coalesce(*[F.when(total <= ARITY ** h, F.lit(h)) for h in range(40)])
 
 
-def whole_groups(batches, least: int = BLOCK):
+def whole_groups(batches, least: int = ARITY ** DEPTH):
     """Batches of sorted rows that hold whole (source, block) groups, `least` rows or more each
     but for the last; and where in them each group begins."""
     held: list = []
@@ -234,7 +235,7 @@ def _digests(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "u1").reshape(-1, 32)
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, depth: int) -> DataFrame:
     """One row per block of (source, pos, digest, height): source, block, n, levels, height (left
     above it), digest (the block's root) and body."""
     def run(batches):
@@ -243,28 +244,28 @@ def _blocks(rows: DataFrame) -> DataFrame:
             sources, blocks = t.column("source"), t.column("block")
             heights = t.column("height").to_numpy()
             for a, b in zip(starts, ends):
-                levels = min(DEPTH, int(heights[a]))
+                levels = min(depth, int(heights[a]))
                 root, body = build_block(digests[a:b], levels)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([sources[int(a)].as_py()], pa.string()), pa.array([blocks[int(a)].as_py()]), pa.array([int(b - a)], pa.int32()),
                      pa.array([levels], pa.int32()), pa.array([int(heights[a]) - levels], pa.int32()), pa.array([root], pa.binary()), pa.array([body], pa.binary())],
                     names=["source", "block", "n", "levels", "height", "digest", "body"])
 
-    cut = rows.select("source", F.expr(f"pos div {BLOCK}").alias("block"), "pos", "digest", "height")
+    cut = rows.select("source", F.expr(f"pos div {ARITY ** depth}").alias("block"), "pos", "digest", "height")
     return (cut.repartition("source", "block").sortWithinPartitions("source", "block", "pos")
             .mapInArrow(run, "source string, block long, n int, levels int, height int, digest binary, body binary"))
 
 
-def _layers(rows: DataFrame, highest: int) -> list[DataFrame]:
+def _layers(rows: DataFrame, highest: int, depth: int) -> list[DataFrame]:
     """Tables of blocks, from the leaves up to one block per source."""
     out = []
-    for _ in range(max(1, -(-highest // DEPTH))):
-        out.append(table(_blocks(rows), "blocks", compression="none"))
+    for _ in range(max(1, -(-highest // depth))):
+        out.append(table(_blocks(rows, depth), "blocks", compression="none"))
         rows = out[-1].select("source", F.col("block").alias("pos"), "digest", "height")
     return out
 
 
-def _child_paths(blocks: DataFrame) -> DataFrame:
+def _child_paths(blocks: DataFrame, depth: int) -> DataFrame:
     """source, pos, path of the nodes below `blocks`, which carry their own `path`."""
     def run(batches):
         for batch in batches:
@@ -273,7 +274,7 @@ def _child_paths(blocks: DataFrame) -> DataFrame:
                     at = np.arange(first, min(first + 512, row["n"]))
                     steps = block_steps(row["body"], row["n"], row["levels"], at)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["source"]] * len(at), pa.string()), pa.array(row["block"] * BLOCK + at),
+                        [pa.array([row["source"]] * len(at), pa.string()), pa.array(row["block"] * ARITY ** depth + at),
                          pa.array([s.tobytes() + row["path"] for s in steps], pa.binary())], names=["source", "pos", "path"])
 
     return blocks.select("source", "block", "n", "levels", "body", "path").mapInArrow(run, "source string, pos long, path binary")
@@ -284,10 +285,10 @@ def _with_paths(blocks: DataFrame, paths: DataFrame) -> DataFrame:
     return blocks.join(p, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_p"))).drop("_s", "_p")
 
 
-def _down(layers: list[DataFrame], paths: DataFrame) -> DataFrame:
+def _down(layers: list[DataFrame], paths: DataFrame, depth: int) -> DataFrame:
     """Blocks of the lowest layer with their paths, from the paths of the highest layer's blocks."""
     for blocks in reversed(layers[1:]):
-        paths = _child_paths(_with_paths(blocks, paths))
+        paths = _child_paths(_with_paths(blocks, paths), depth)
     return _with_paths(layers[0], paths)
 
 
@@ -299,9 +300,10 @@ class Manifest:
     leaves: DataFrame
     blocks: DataFrame
     root: bytes | None
+    depth: int = DEPTH
 
 
-def build(rows: DataFrame) -> Manifest:
+def build(rows: DataFrame, depth: int = DEPTH) -> Manifest:
     """The manifest of `rows`: source, doc_id, digest (32 bytes) and any other columns. Leaves of a
     source ascend by doc_id (null first), rows of one doc_id by digest; equal rows are leaves of
     their own. An empty table has no root."""
@@ -310,25 +312,25 @@ def build(rows: DataFrame) -> Manifest:
     if tallest is None:
         empty = leaves.select("source", F.col("pos").alias("block"), F.lit(0).alias("n"), F.lit(0).alias("levels"),
                               F.col("digest").alias("body"), F.col("digest").alias("path"), F.col("digest").alias("subroot"))
-        return Manifest(leaves, empty, None)
+        return Manifest(leaves, empty, None, depth)
 
     def height(n):
         return next(h for h in range(40) if n <= ARITY ** h)
 
-    low = _layers(leaves.select("source", "pos", "digest", _height(F.col("total")).alias("height")), height(tallest))
+    low = _layers(leaves.select("source", "pos", "digest", _height(F.col("total")).alias("height")), height(tallest), depth)
     sub = numbered(low[-1].select("source", "digest"), [], ["source"])
     n_sources = sub.agg(F.max("total")).first()[0]
     one = F.lit(None).cast("string")
-    top = _layers(sub.select(one.alias("source"), "pos", "digest", _height(F.col("total")).alias("height")), height(n_sources))
+    top = _layers(sub.select(one.alias("source"), "pos", "digest", _height(F.col("total")).alias("height")), height(n_sources), depth)
     root = bytes(top[-1].first()["digest"])
     roof = top[-1].select("source", F.col("block").alias("pos"), F.lit(b"").alias("path"))
-    above = _child_paths(_down(top, roof)).select(F.col("pos").alias("_pos"), "path")
+    above = _child_paths(_down(top, roof, depth), depth).select(F.col("pos").alias("_pos"), "path")
     subroots = sub.join(above, F.col("pos") == F.col("_pos")).select("source", F.lit(0).cast("long").alias("pos"), "path", F.col("digest").alias("subroot"))
     subroots = table(subroots, "subroots", compression="none")
-    blocks = _down(low, subroots.drop("subroot"))
+    blocks = _down(low, subroots.drop("subroot"), depth)
     named = subroots.select(F.col("source").alias("_s"), "subroot")
     blocks = blocks.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    return Manifest(leaves, blocks, root)
+    return Manifest(leaves, blocks, root, depth)
 
 
 def fold(manifest: Manifest, replacement: str = "digest", columns=("doc_id",)) -> DataFrame:
@@ -336,33 +338,33 @@ def fold(manifest: Manifest, replacement: str = "digest", columns=("doc_id",)) -
     from the leaf up) and folded_root, all hexadecimal: the root that results when the column
     `replacement` (32 bytes) stands in the leaf's place. A block and its leaves meet in one task,
     the block first."""
-    columns = list(columns)
+    columns, depth = list(columns), manifest.depth
     rows = manifest.leaves
     types = {c: rows.schema[c].dataType.simpleString() for c in columns}
     heads = manifest.blocks.selectExpr(
         "source", "block", "-1L AS pos", "body", "n", "levels", "path", "subroot",
         *[f"CAST(NULL AS {t}) AS `{c}`" for c, t in types.items() if c != "source"], "CAST(NULL AS BINARY) AS _new")
     body = rows.select(
-        "source", F.expr(f"pos div {BLOCK}").alias("block"), "pos", F.lit(None).cast("binary").alias("body"), F.lit(None).cast("int").alias("n"),
+        "source", F.expr(f"pos div {ARITY ** depth}").alias("block"), "pos", F.lit(None).cast("binary").alias("body"), F.lit(None).cast("int").alias("n"),
         F.lit(None).cast("int").alias("levels"), F.lit(None).cast("binary").alias("path"), F.lit(None).cast("binary").alias("subroot"),
         *[c for c in columns if c != "source"], F.col(replacement).alias("_new"))
 
     def run(batches):
         for t, starts in whole_groups(batches):
-            yield from _fold_rows(t, starts, columns)
+            yield from _fold_rows(t, starts, columns, ARITY ** depth)
 
     schema = ", ".join([f"`{c}` {types[c]}" for c in columns] + ["leaf string", "subroot string", "proof_sha256 string", "folded_root string"])
     return (heads.unionByName(body).repartition("source", "block").sortWithinPartitions("source", "block", "pos")
             .mapInArrow(run, schema))
 
 
-def _fold_rows(t: pa.Table, starts, columns):
+def _fold_rows(t: pa.Table, starts, columns, size: int):
     ends = [*starts[1:], t.num_rows]
     kept, steps, subroots, leaves = [], [], [], []
     for a, b in zip(starts, ends):
         a, b = int(a), int(b)
         head = {c: t.column(c)[a].as_py() for c in ("body", "n", "levels", "path", "subroot")}
-        at = t.column("pos").slice(a + 1, b - a - 1).to_numpy() % BLOCK
+        at = t.column("pos").slice(a + 1, b - a - 1).to_numpy() % size
         inside = block_steps(head["body"], head["n"], head["levels"], at)
         above = np.frombuffer(head["path"], _STEP)
         steps.append(np.concatenate([inside, np.broadcast_to(above, (len(at), len(above)))], axis=1))
@@ -394,7 +396,7 @@ def _fold_rows(t: pa.Table, starts, columns):
         names=[*columns, "leaf", "subroot", "proof_sha256", "folded_root"])
 
 
-def audit(docs: DataFrame) -> DataFrame:
+def audit(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every row of `docs`
     (columns doc_id, source, lang, n_chars, text; others are ignored). Rows whose doc_id has an
     even CRC-32 are folded as if the line feeds of their text were gone; a null doc_id or text is
@@ -404,7 +406,7 @@ def audit(docs: DataFrame) -> DataFrame:
     changed = F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))
     rows = table(docs.select("doc_id", "source", leaf_digest().alias("digest"), leaf_digest(changed).alias("fresh")),
                  "leaves", compression="none")
-    manifest = build(rows)
+    manifest = build(rows, depth)
     root = manifest.root.hex() if manifest.root else None
     out = fold(manifest, "fresh")
     return out.select("doc_id", "leaf", "subroot", F.lit(root).cast("string").alias("root"), "proof_sha256", "folded_root",
