@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from alleleflow.catalog import views as v
@@ -9,6 +10,7 @@ from alleleflow.catalog.core import rounded_all
 from alleleflow.catalog.evaluation import RATE_PREDS, rate_preds
 from alleleflow.functions.exprs import rounded
 from alleleflow.functions.session import checkpointed
+from alleleflow.operators import boosting as bo
 from alleleflow.operators import counts as ct
 from alleleflow.operators import heads as hd
 from alleleflow.operators import protocol as pr
@@ -69,8 +71,9 @@ SELECT seed, fold, class, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
 FROM y, ij GROUP BY ALL""")
 def class_moments(spark, sf):
     rows = pr.with_folds(vectors(spark, sf), "replicate", 5, SEEDS)
-    return rounded_all(hd.moment_sums(rows, X, ["class"], SEEDS),
-                       ["seed", "fold", "class", "i", "j"])
+    keys = ["seed", "fold", "class"]
+    return rounded_all(hd.moment_entries(hd.moment_sums(rows, X, ["class"], SEEDS), keys, len(X) + 1),
+                       [*keys, "i", "j"])
 
 
 HEAVY = ["g"] + [c for c in STATISTICS if c.startswith("pihat")]
@@ -144,7 +147,7 @@ def direction_logistic(spark, sf):
 
 @query("direction_boosted")
 def direction_boosted(spark, sf):
-    return an.direction_table(v.features(spark, sf), "boosted", (0,), k=2, max_iter=3, depth=3)
+    return an.direction_table(v.features(spark, sf), "boosted", SEEDS, rounds=150)
 
 
 @query("gate_logistic")
@@ -247,9 +250,59 @@ def frozen(spark, sf, **options):
 @query("frozen_model_apply")
 def frozen_model_apply(spark, sf):
     f = rf.feature_matrix(ct.allele_table(v.deep_obs(spark, sf), v.POPS), 100)
-    model = frozen(spark, sf)
-    return model["direction"].apply(model["gate"].apply(f, "gate")).select(
-        "g", "gate_gate", *[f"p_{c}" for c in CLASSES])
+    return an.score_frozen(f, frozen(spark, sf, boosted={"rounds": 200})).select(
+        "g", "gate_gate", *[f"{p}_{c}" for p in "pb" for c in CLASSES])
+
+
+# A small fixed model, so that applying heads can be held against SQL.
+FIXED_LINEAR = {"gate": ([[0.04, 0.9, -0.7]], [-0.3]),
+                "direction": ([[0.02, 1.1, -0.4], [-0.03, 0.2, 0.8], [0.01, -1.3, 0.5]], [0.1, -0.2, 0.05])}
+FIXED_COLUMNS = ["g", "alpha_1_mean", "pihat_12_mean"]
+#: feature (-1: leaf), threshold and value of the heap's nodes; two trees per class.
+FIXED_TREES = [
+    ([0, 1, 2, -1, -1, -1, -1], [4.5, 1.6, 0.08, 0, 0, 0, 0], [0, 0, 0, 0.4, -0.2, 0.1, 0.3]),
+    ([2, -1, 1, 0, 0, -1, -1], [0.02, 0, 1.9, 0, 0, 0, 0], [0, -0.3, 0, 0, 0, 0.2, 0.6]),
+    ([1, 2, -1, -1, -1, 0, 0], [1.75, 0.05, 0, 0, 0, 0, 0], [0, 0, 0.5, -0.1, 0.25, 0, 0]),
+    ([0, -1, -1, 0, 0, 0, 0], [6.5, 0, 0, 0, 0, 0, 0], [0, 0.15, -0.15, 0, 0, 0, 0]),
+    ([2, 0, 0, -1, -1, -1, -1], [0.04, 3.5, 7.5, 0, 0, 0, 0], [0, 0, 0, 0.3, 0.05, -0.25, 0.45]),
+    ([-1, 0, 0, 0, 0, 0, 0], [0] * 7, [0.07, 0, 0, 0, 0, 0, 0])]
+FIXED_BASE = [-1.0, -1.2, -1.1]
+
+
+def fixed_model() -> dict:
+    heads = {n: hd.LinearHead(FIXED_COLUMNS, ["gate"] if n == "gate" else CLASSES, np.array(w), np.array(b),
+                              "logistic" if n == "gate" else "softmax") for n, (w, b) in FIXED_LINEAR.items()}
+    trees = [[tuple(map(np.array, t)) for t in FIXED_TREES[2 * k:2 * k + 2]] for k in range(3)]
+    return heads | {"boosted": bo.BoostedHead(FIXED_COLUMNS, CLASSES, FIXED_BASE, trees)}
+
+
+def linear_sql(weights, intercept) -> str:
+    return "(" + " + ".join([f"{w}::DOUBLE * {c}" for w, c in zip(weights, FIXED_COLUMNS)] + [f"{intercept}::DOUBLE"]) + ")"
+
+
+def tree_sql(tree) -> str:
+    """Walk of one fixed tree in DuckDB, two steps from the root."""
+    f, h, value = ("[" + ", ".join(map(str, a)) + "]" for a in tree)
+    at = (f"list_reduce([0, 1, 2], lambda n, k: CASE WHEN ({f})[n + 1] < 0 THEN n WHEN x[({f})[n + 1] + 1] <= ({h})[n + 1]::DOUBLE "
+          f"THEN 2 * n + 1 ELSE 2 * n + 2 END)")
+    return f"({value})[{at} + 1]::DOUBLE"
+
+
+def softmax_sql(scores: list[str], prefix: str) -> str:
+    total = " + ".join(f"exp({s})" for s in scores)
+    return ", ".join(f"round(exp({s}) / ({total}), 6) + 0.0 AS {prefix}_{c}" for s, c in zip(scores, CLASSES))
+
+
+BOOSTED_SCORES = [f"({FIXED_BASE[k]}::DOUBLE + {tree_sql(FIXED_TREES[2 * k])} + {tree_sql(FIXED_TREES[2 * k + 1])})" for k in range(3)]
+
+
+@query("fixed_model_apply", "WITH " + v.features_sql() + f""",
+x AS (SELECT *, [{", ".join(f"CAST({c} AS DOUBLE)" for c in FIXED_COLUMNS)}] AS x FROM features)
+SELECT replicate, g, round(1 / (1 + exp(-{linear_sql(FIXED_LINEAR["gate"][0][0], FIXED_LINEAR["gate"][1][0])})), 6) + 0.0 AS gate_gate,
+  {softmax_sql([linear_sql(w, b) for w, b in zip(*FIXED_LINEAR["direction"])], "p")}, {softmax_sql(BOOSTED_SCORES, "b")} FROM x""")
+def fixed_model_apply(spark, sf):
+    scored = an.score_frozen(v.features(spark, sf), fixed_model())
+    return rounded_all(scored.select("replicate", "g", "gate_gate", *[f"{p}_{c}" for p in "pb" for c in CLASSES]), ["replicate", "g"])
 
 
 @query("detect_then_orient")
@@ -265,7 +318,7 @@ def trio_report(spark, sf):
     c = ct.allele_table(v.obs4(spark, sf), ["P1", "P2", "P3", "P4"],
                         locus=("chrom", "pos"))
     c = ct.polymorphic(ct.min_copies(c, 4, exempt=(4,)), (1, 2, 3))
-    return an.trio_report(checkpointed(c), frozen(spark, sf), max_depth=100)
+    return an.trio_report(checkpointed(c), frozen(spark, sf, boosted={"rounds": 200}), max_depth=100)
 
 
 @query("robustness_report")

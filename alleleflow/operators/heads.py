@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alleleflow.functions.arrays import sum_arrays
 from alleleflow.functions.exprs import add
 from alleleflow.functions.session import checkpointed
 
@@ -118,12 +119,13 @@ def explode_seeds(df: DataFrame, seeds) -> DataFrame:
 # ------------------------------------------------------------------ moment matrices
 
 def moment_sums(df: DataFrame, features, keys, seeds=None) -> DataFrame:
-    """Count, sums and cross products of `features` per key, long: (keys, i, j, value) with
-    i <= j; index 0 is the constant 1, so (0, 0) is the count and (0, j) are the sums.
+    """Count, sums and cross products of `features` per key: one row per key with the upper triangle
+    of the moment matrix as the array `gram`; index 0 is the constant 1, so (0, 0) is the count and
+    (0, j) are the sums. `moment_entries` takes it apart.
 
-    A task reduces its Arrow batches to Gram matrices with numpy; only those are shuffled, so
-    the data moved depends on tasks, keys and features, not on rows. With `seeds`,
-    the key `fold` is taken from every `fold_<seed>` column and `seed` is added."""
+    A task reduces its Arrow batches to Gram matrices with numpy, and whole matrices are added up in
+    levels, so the data moved depends on tasks, keys and features, not on rows. With `seeds`, the
+    key `fold` is taken from every `fold_<seed>` column and `seed` is added."""
     keys = list(keys)
     features = list(features)
     p = len(features) + 1
@@ -139,11 +141,11 @@ def moment_sums(df: DataFrame, features, keys, seeds=None) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
     key_schema = [("seed int", "fold int")] if seeds is not None else []
     schema = ", ".join([*(x for pair in key_schema for x in pair),
-                        *[f"{k} {types[k]}" for k in keys], "_g array<double>"])
+                        *[f"{k} {types[k]}" for k in keys], "gram array<double>"])
 
     def flush(held):
         return pd.DataFrame([[*key, g[upper]] for key, g in held.items()],
-                            columns=[*out_keys, "_g"])
+                            columns=[*out_keys, "gram"])
 
     def reduce_batches(batches):
         held: dict = {}
@@ -164,25 +166,25 @@ def moment_sums(df: DataFrame, features, keys, seeds=None) -> DataFrame:
         if held:
             yield flush(held)
 
-    gram = source.mapInPandas(reduce_batches, schema)
-    index = F.split(F.lit(",".join(str(i) for i in upper[0])), ",").cast("array<int>")
-    other = F.split(F.lit(",".join(str(i) for i in upper[1])), ",").cast("array<int>")
-    return (gram.select(*out_keys, F.posexplode("_g").alias("_k", "_v"))
-            .groupBy(*out_keys, "_k").agg(F.sum("_v").alias("value"))
-            .select(*out_keys, F.get(index, F.col("_k")).alias("i"),
-                    F.get(other, F.col("_k")).alias("j"), "value"))
+    return sum_arrays(source.mapInPandas(reduce_batches, schema), out_keys, "gram")
+
+
+def moment_entries(sums: DataFrame, keys, p: int) -> DataFrame:
+    """The entries of summed moment matrices: (keys, i, j, value) with i <= j."""
+    upper = np.triu_indices(p)
+    index, other = (F.split(F.lit(",".join(map(str, u))), ",").cast("array<int>") for u in upper)
+    return (sums.select(*keys, F.posexplode("gram").alias("_k", "value"))
+            .select(*keys, F.get(index, F.col("_k")).alias("i"), F.get(other, F.col("_k")).alias("j"), "value"))
 
 
 def collect_moments(sums: DataFrame, keys, p: int) -> dict[tuple, np.ndarray]:
-    """Moment matrices on the driver: keys x p x p numbers, never rows of data."""
-    pdf = sums.toArrow().to_pandas()
+    """Moment matrices on the driver: one row per key, never rows of data."""
+    upper = np.triu_indices(p)
     out: dict[tuple, np.ndarray] = {}
-    for key, part in pdf.groupby(list(keys), sort=True):
-        key = key if isinstance(key, tuple) else (key,)
+    for row in sorted(sums.collect(), key=lambda r: tuple(r[k] for k in keys)):
         m = np.zeros((p, p))
-        m[part["i"], part["j"]] = part["value"]
-        m[part["j"], part["i"]] = part["value"]
-        out[key] = m
+        m[upper] = row["gram"]
+        out[tuple(row[k] for k in keys)] = m + np.triu(m, 1).T
     return out
 
 
@@ -311,11 +313,6 @@ def separation_table(by_class: dict, control, loci: float = 1.0) -> list[dict]:
 
 # ------------------------------------------------------------------ iterative heads
 
-def _assembled(df: DataFrame, features) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
-
-
 def _scale_of(m: np.ndarray, eps: float = 0.0):
     """Mean and population sd from a moment matrix; constant columns get scale 1."""
     mean = m[0, 1:] / m[0, 0]
@@ -408,12 +405,9 @@ def _newton(rows: DataFrame, features, label: str, labels, seeds, fits: dict, c:
             if total:
                 yield pd.DataFrame([[s, f, v] for (s, f), v in total.items()],
                                    columns=["seed", "fold", "v"])
-        summed = (rows.mapInPandas(work, "seed int, fold int, v array<double>")
-                  .select("seed", "fold", F.posexplode("v").alias("k", "x"))
-                  .groupBy("seed", "fold", "k").agg(F.sum("x").alias("x"))
-                  .toArrow().to_pandas())
-        return {sf: part.sort_values("k")["x"].to_numpy()
-                for sf, part in summed.groupby(["seed", "fold"])}
+        per_task = rows.mapInPandas(work, "seed int, fold int, v array<double>")
+        return {(r["seed"], r["fold"]): np.array(r["v"])
+                for r in sum_arrays(per_task, ["seed", "fold"], "v").collect()}
 
     theta = {sf: np.zeros(size) for sf in fits}
     best: dict = {}                                  # accepted point, its value, Newton step
@@ -454,57 +448,6 @@ def _newton(rows: DataFrame, features, label: str, labels, seeds, fits: dict, c:
     return out
 
 
-def fit_boosted(train: DataFrame, features, label: str, labels, max_iter: int = 150,
-                step: float = 0.08, depth: int = 5, seed: int = 0):
-    """One boosted binary model per class (MLlib's is binary); scores are normalised."""
-    from pyspark.ml.classification import GBTClassifier
-    rows = _assembled(train, features).select("_x", label).persist()
-    models = []
-    try:
-        for x in labels:
-            y = rows.withColumn("_y", (F.col(label) == x).cast("double"))
-            models.append(GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=max_iter,
-                                        stepSize=step, maxDepth=depth, seed=seed).fit(y))
-    finally:
-        rows.unpersist()
-    return BoostedHead(list(features), list(labels), models)
-
-
-@dataclass
-class BoostedHead:
-    features: list[str]
-    labels: list
-    models: list
-
-    def apply(self, df: DataFrame, prefix: str = "p") -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-        out = _assembled(df, self.features)
-        for i, m in enumerate(self.models):
-            m = m.copy()
-            m.setFeaturesCol("_x").setProbabilityCol(f"_pr{i}").setRawPredictionCol(f"_rw{i}")
-            m.setPredictionCol(f"_pd{i}")
-            out = m.transform(out).withColumn(f"_s{i}", vector_to_array(f"_pr{i}")[1])
-        scores = [F.col(f"_s{i}") for i in range(len(self.models))]
-        return out.select(*df.columns, *[(s / add(scores)).alias(f"{prefix}_{x}")
-                                         for s, x in zip(scores, self.labels)])
-
-
-def out_of_fold(rows: DataFrame, fit, seeds=(0,), k: int = 5) -> DataFrame:
-    """Scores of held-out rows for every seed and fold. `rows` carries `fold_<seed>` columns;
-    `fit(train)` returns a head. Linear heads are applied together in one pass."""
-    rows = checkpointed(rows)
-    heads = {(s, f): fit(rows.where(F.col(f"fold_{s}") != f)) for s in seeds for f in range(k)}
-    if all(isinstance(h, LinearHead) for h in heads.values()):
-        return apply_by_fold(explode_seeds(rows, seeds), heads)
-    parts = None
-    for (s, f), h in heads.items():
-        one = h.apply(rows.where(F.col(f"fold_{s}") == f)).select(
-            *[c for c in rows.columns if not c.startswith("fold_")],
-            F.lit(s).alias("seed"), F.lit(f).alias("fold"), *[f"p_{x}" for x in h.labels])
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
-
-
 # ------------------------------------------------------------------ frozen model
 
 def save_heads(spark: SparkSession, heads: dict[str, LinearHead], path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alleleflow.functions.session import checkpointed, small_side
-from alleleflow.operators import classical, counts as ct, heads as hd, inject
+from alleleflow.operators import boosting as bo, classical, counts as ct, heads as hd, inject
 from alleleflow.operators import metrics as mt, protocol as pr, quality, rarefaction as rf
 from alleleflow.plans.contract import (
     APPRECIABLE, CLASSES, CONTROL, FEATURES, MOMENT_SETS, STATISTICS, validate_populations)
@@ -22,11 +22,10 @@ P = [f"p_{c}" for c in CLASSES]
 
 def out_of_fold(rows: DataFrame, features, label: str, labels, head: str = "logistic",
                 seeds=(0, 1, 2), k: int = 5, **options) -> DataFrame:
-    """Scores of held-out rows. `rows` carries `fold_<seed>` columns. Linear heads of all seeds
-    and folds are fitted together."""
+    """Scores of held-out rows. `rows` carries `fold_<seed>` columns. Heads of all seeds and folds
+    are fitted together."""
     if head == "boosted":
-        return hd.out_of_fold(rows, lambda t: hd.fit_boosted(t, features, label, labels,
-                                                             **options), seeds, k)
+        return bo.boosted_out_of_fold(rows, features, label, labels, seeds, k, **options)
     if head == "discriminant":
         fitted = hd.discriminant_by_fold(rows, features, label, seeds)
     elif head == "logistic":
@@ -255,17 +254,40 @@ def curve_comparison(rows: DataFrame, seeds=(0,), k: int = 5, depths: int = 8,
 # ------------------------------------------------------------------ frozen model
 
 def train_frozen(rows: DataFrame, gate: str = "band", cap: int | None = None,
-                 row_key=("replicate", "g")) -> dict:
+                 row_key=("replicate", "g"), boosted: dict | None = None) -> dict:
     """Gate and direction heads for use on other data. Both are scaled by all rows; direction
-    is fitted on appreciable rows, at most `cap` of them (a seeded sample)."""
+    is fitted on appreciable rows, at most `cap` of them (a seeded sample). With `boosted`, options
+    of the boosting, a boosted direction head is fitted on the same rows and stands beside it."""
     rows = checkpointed(rows)
     flows = rows.where((F.col("direction") != CONTROL) & (F.col("magnitude") >= APPRECIABLE))
     if cap is not None:
         # every Newton pass reads the sample
         flows = checkpointed(quality.sample_fixed(flows, cap, list(row_key)))
-    return {
+    model = {
         "gate": hd.fit_logistic(pr.gate_rows(rows, gate), FEATURES, "y", scale_on=rows),
         "direction": hd.fit_logistic(flows, FEATURES, "direction", CLASSES, scale_on=rows)}
+    if boosted is not None:
+        model["boosted"] = bo.fit_boosted(flows, FEATURES, "direction", CLASSES, **boosted)
+    return model
+
+
+def save_frozen(spark, model: dict, path: str) -> None:
+    """Linear heads as JSON, boosted ones as a Parquet table of trees, each in its own folder."""
+    hd.save_heads(spark, {n: h for n, h in model.items() if isinstance(h, hd.LinearHead)}, f"{path}/linear")
+    for name, head in model.items():
+        if isinstance(head, bo.BoostedHead):
+            bo.save_ensemble(spark, head, f"{path}/trees_{name}")
+
+
+def load_frozen(spark, path: str, boosted=()) -> dict:
+    """A saved model; `boosted` names the heads stored as trees."""
+    return hd.load_heads(spark, f"{path}/linear") | {n: bo.load_ensemble(spark, f"{path}/trees_{n}") for n in boosted}
+
+
+def score_frozen(features: DataFrame, model: dict) -> DataFrame:
+    """`features` with gate_gate, p_<class> and, if the model has a boosted head, b_<class>."""
+    scored = model["direction"].apply(model["gate"].apply(features, "gate"), "p")
+    return model["boosted"].apply(scored, "b") if "boosted" in model else scored
 
 
 def detect_then_orient(features: DataFrame, model: dict, keys=(), threshold: float = 0.5
@@ -331,7 +353,8 @@ def trio_report(counts: DataFrame, model: dict, keys=(), max_depth: int | None =
                 ancestral: bool = False, boosted=None) -> DataFrame:
     """D with its chromosome jackknife, gate and direction for a trio: populations 1-3 of a
     counts table, polarised by population 4 or, with `ancestral`, by the column `aa`. One
-    counts table feeds both sides."""
+    counts table feeds both sides. A boosted head, given or in the model, adds its mean class
+    probabilities b_<class>."""
     keys = list(keys)
     if ancestral:
         sites = classical.abba_baba(ct.polarise_ancestral(counts), outgroup=False)
@@ -344,6 +367,7 @@ def trio_report(counts: DataFrame, model: dict, keys=(), max_depth: int | None =
     call = detect_then_orient(features, model, keys)
     ratio = rf.pair_private_ratio(features, keys)
     report = _beside(_beside(d, call, keys), ratio, keys)
+    boosted = boosted or model.get("boosted")
     if boosted is not None:
         b = boosted.apply(features, "b").groupBy(*keys).agg(
             *[F.avg(f"b_{c}").alias(f"b_{c}") for c in CLASSES])

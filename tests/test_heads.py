@@ -235,8 +235,8 @@ def test_direction_table(features, head):
 
 
 def test_boosted_head(features):
-    t = an.direction_table(features, "boosted", (0,), 2, max_iter=3, depth=2).collect()
-    assert {r["band"]: r["accuracy"] for r in t}["overall"] > 60
+    t = an.direction_table(features, "boosted", (0,), 3, rounds=10, depth=2, least=5).collect()
+    assert {r["band"]: r["accuracy"] for r in t}["overall"] > 90
 
 
 def test_gate_report(features):
