@@ -13,6 +13,7 @@ from alleleflow.functions.session import checkpointed
 from alleleflow.operators import boosting as bo
 from alleleflow.operators import counts as ct
 from alleleflow.operators import heads as hd
+from alleleflow.operators import kernel as kn
 from alleleflow.operators import protocol as pr
 from alleleflow.operators import quality as ql
 from alleleflow.operators import rarefaction as rf
@@ -22,7 +23,8 @@ from alleleflow.plans.contract import CHANNELS, CLASSES, FEATURES, STATISTICS
 QUERIES: dict = {}
 ORACLES: dict = {}
 SEEDS = (0, 1, 2)
-N_LANDMARKS = 64
+#: Landmarks of the similarity query, and the basis of the corrections.
+N_LANDMARKS, BASIS = 64, 1500
 
 
 def query(name, sql=None):
@@ -211,8 +213,8 @@ def residual_correction(spark, sf):
     out = None
     for s in SEEDS:
         res = hd.residual_targets(preds.where(F.col("seed") == s), "class", p, [0, 1, 2])
-        one = hd.residual_correction(res, "x", "id", p, [f"residual_{i}" for i in range(3)],
-                                     "replicate", s, n_landmarks=N_LANDMARKS).drop("x")
+        one = kn.residual_correction(res, "x", "id", p, [f"residual_{i}" for i in range(3)],
+                                     "replicate", s, n_landmarks=BASIS).drop("x")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -383,4 +385,4 @@ def injection_grid(spark, sf):
 
 @query("curve_comparison")
 def curve_comparison(spark, sf):
-    return an.curve_comparison(checkpointed(v.features(spark, sf)), SEEDS, n_landmarks=N_LANDMARKS)
+    return an.curve_comparison(checkpointed(v.features(spark, sf)), SEEDS, n_landmarks=BASIS)

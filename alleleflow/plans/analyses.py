@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alleleflow.functions.session import checkpointed, small_side
-from alleleflow.operators import boosting as bo, classical, counts as ct, heads as hd, inject
+from alleleflow.operators import boosting as bo, classical, counts as ct, heads as hd, inject, kernel as kn
 from alleleflow.operators import metrics as mt, protocol as pr, quality, rarefaction as rf
 from alleleflow.plans.contract import (
     APPRECIABLE, CLASSES, CONTROL, FEATURES, MOMENT_SETS, STATISTICS, validate_populations)
@@ -191,7 +191,7 @@ def two_stage(rows: DataFrame, seeds=(0,), k: int = 5) -> DataFrame:
 
 
 def curve_comparison(rows: DataFrame, seeds=(0,), k: int = 5, depths: int = 8,
-                     n_landmarks: int = 32) -> DataFrame:
+                     n_landmarks: int = 1500) -> DataFrame:
     """Replicate curves: linear against landmark-corrected predictions, for direction (accuracy
     per band) and rate (relative error and rank correlation)."""
     labelled = ("direction", "magnitude")
@@ -212,7 +212,7 @@ def curve_comparison(rows: DataFrame, seeds=(0,), k: int = 5, depths: int = 8,
     direction = magnitude = None
     for s in seeds:
         one = linear.where(F.col("seed") == s)
-        fixed = hd.residual_correction(
+        fixed = kn.residual_correction(
             hd.residual_targets(one, "direction", P, CLASSES), "_curve", "replicate", P,
             [f"residual_{c}" for c in CLASSES], "replicate", s, k, n_landmarks,
             standardise=True)
@@ -223,7 +223,7 @@ def curve_comparison(rows: DataFrame, seeds=(0,), k: int = 5, depths: int = 8,
                              .withColumn("arm", F.lit("corrected"))))
         direction = both if direction is None else direction.unionByName(both)
         one = rate.where(F.col("seed") == s)
-        fixed = hd.residual_correction(
+        fixed = kn.residual_correction(
             hd.residual_targets(one, "log_rate", ["p_log_rate"]), "_curve", "replicate",
             ["p_log_rate"], ["residual"], "replicate", s, k, n_landmarks, standardise=True)
         both = (one.select("replicate", "magnitude", "log_rate", F.col("p_log_rate").alias("pred"))

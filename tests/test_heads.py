@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alleleflow.operators import heads as hd
+from alleleflow.operators import kernel as kn
 from alleleflow.operators import protocol as pr
 from alleleflow.plans import analyses as an
 from alleleflow.plans.contract import CLASSES, FEATURES, STATISTICS
@@ -174,7 +175,7 @@ def test_correction_is_fitted_outside_the_fold(spark, data):
     kind = "id int, replicate int, v array<double>, p double, residual double"
 
     def run(rows):
-        out = hd.residual_correction(spark.createDataFrame(rows, kind), "v", "id", ["p"],
+        out = kn.residual_correction(spark.createDataFrame(rows, kind), "v", "id", ["p"],
                                      ["residual"], "replicate", n_landmarks=6, standardise=True)
         return {r["id"]: r["corrected_p"] for r in out.collect()}
     from alleleflow.operators.protocol import with_folds
