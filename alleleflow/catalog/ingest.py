@@ -8,6 +8,7 @@ from alleleflow.catalog import views as v
 from alleleflow.operators import counts as ct
 from alleleflow.operators import inject as inj
 from alleleflow.operators import quality as ql
+from alleleflow.sources import packed as pk
 from alleleflow.sources import text as tx
 
 QUERIES: dict = {}
@@ -352,3 +353,30 @@ def injected_counts(spark, sf):
     return inj.injected_counts(g, ct.allele_table(g, v.POPS), m, ["P3>P2"], v.POPS)
 
 
+
+
+# ------------------------------------------------------------------ packed panels
+
+@query("packed_site_counts", ORACLES["vcf_site_counts"])
+def packed_site_counts(spark, sf):
+    """Calls packed to two bits a call, counted by population masks."""
+    header = pk.panel_header(v.samples(spark, sf))
+    return pk.packed_counts(pk.pack_calls(v.calls(spark, sf), header), header, v.samples(spark, sf), v.POPS)
+
+
+@query("packed_vcf_counts", ORACLES["vcf_site_counts"])
+def packed_vcf_counts(spark, sf):
+    """The same from VCF lines, packed inside each line."""
+    lines = tx.format_vcf(v.calls(spark, sf), header(spark, sf)).select("value")
+    names = header(spark, sf)
+    numbers = spark.createDataFrame(list(enumerate(names)), "number int, sample string")
+    return pk.packed_counts(pk.pack_vcf(tx.parse_vcf_lines(lines, len(names))), numbers, named_samples(spark, sf), v.POPS)
+
+
+@query("packed_injected_counts", ORACLES["injected_counts"])
+def packed_injected_counts(spark, sf):
+    """An injection experiment counted inside the packed sites."""
+    samples = v.samples(spark, sf)
+    header = pk.panel_header(samples)
+    panel = pk.pack_calls(v.calls(spark, sf), header, ("locus",))
+    return pk.packed_injected_counts(panel, header, samples, inj.pick_migrants(samples, [EXPERIMENT]), ["P3>P2"], v.POPS)
