@@ -380,3 +380,21 @@ def packed_injected_counts(spark, sf):
     header = pk.panel_header(samples)
     panel = pk.pack_calls(v.calls(spark, sf), header, ("locus",))
     return pk.packed_injected_counts(panel, header, samples, inj.pick_migrants(samples, [EXPERIMENT]), ["P3>P2"], v.POPS)
+
+
+# ------------------------------------------------------------------ windows as data
+
+@query("window_join", "WITH " + v.VARIANTS + """,
+windows AS (SELECT o_orderkey AS window_id, 'chr' || (o_orderkey % 22) AS chrom, o_orderkey * 1000 - 3000 * (o_orderkey % 7) AS beg,
+  o_orderkey * 1000 + (CASE WHEN o_orderkey % 97 = 0 THEN 900000 ELSE 40000 END) * (o_custkey % 50) AS fin FROM orders)
+SELECT window_id, count(*) AS n_sites, min(pos) AS first_pos, max(pos) AS last_pos, sum(pos) AS position_sum
+FROM variants v JOIN windows w ON v.chrom = w.chrom AND pos BETWEEN beg AND fin GROUP BY window_id""")
+def window_join(spark, sf):
+    """One overlapping window per order, from 20 kb to 45 Mb wide, as a table joined with the sites."""
+    k = F.col("o_orderkey")
+    wide = F.when(k % 97 == 0, 900000).otherwise(40000) * (F.col("o_custkey") % 50)
+    windows = v.table(spark, sf, "orders").select(
+        k.alias("window_id"), F.concat(F.lit("chr"), k % 22).alias("chrom"), (k * 1000 - 3000 * (k % 7)).alias("beg"), (k * 1000 + wide).alias("end"))
+    hits = tx.scan_windows(v.variants(spark, sf), windows)
+    return hits.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_sites"), F.min("pos").alias("first_pos"),
+                                         F.max("pos").alias("last_pos"), F.sum("pos").alias("position_sum"))

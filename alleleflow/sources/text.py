@@ -177,8 +177,13 @@ def scan_region(variants: DataFrame, chrom: str, beg: int, end: int) -> DataFram
 
 
 def scan_windows(variants: DataFrame, windows) -> DataFrame:
-    """Union of disjoint regions [(chrom, beg, end), ...] with the index of the region. The
-    regions become one predicate, so the scan is pruned and nothing is joined."""
+    """Sites inside regions, both ends inclusive. A short list [(chrom, beg, end), ...] of disjoint
+    regions becomes one predicate with the index of the region as `window_id`, so that the scan is
+    pruned and nothing is joined. A DataFrame (window_id, chrom, beg, end) of any number of regions,
+    overlapping or not, is joined: a site has a row for each window that holds it."""
+    if isinstance(windows, DataFrame):
+        from alleleflow.operators.intervals import join_windows
+        return join_windows(variants, windows)
     inside = [(F.col("chrom") == c) & F.col("pos").between(b, e) for c, b, e in windows]
     index = F.coalesce(*[F.when(x, F.lit(i)) for i, x in enumerate(inside)])
     any_of = inside[0]
