@@ -9,6 +9,7 @@ from alleleflow.operators import counts as ct
 from alleleflow.operators import inject as inj
 from alleleflow.operators import quality as ql
 from alleleflow.sources import packed as pk
+from alleleflow.sources import sitestore as ss
 from alleleflow.sources import text as tx
 
 QUERIES: dict = {}
@@ -263,7 +264,7 @@ FROM variants v JOIN a ON v.chrom = a.chrom AND v.pos = a.pos
   JOIN b ON v.chrom = b.chrom AND v.pos = b.pos""")
 def position_intersect(spark, sf):
     panel = v.variants(spark, sf).select("chrom", "pos", "ref", "alt")
-    sets = {t: archaic_last(spark, sf, o).select("chrom", "pos", "n1", "n2")
+    sets = {t: ql.last_bases(v.archaic(spark, sf, o), "line_no").drop("call_ref")
             for t, o in (("x", 0), ("y", 1))}
     return ql.intersect_positions(panel, sets)
 
@@ -398,3 +399,16 @@ def window_join(spark, sf):
     hits = tx.scan_windows(v.variants(spark, sf), windows)
     return hits.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_sites"), F.min("pos").alias("first_pos"),
                                          F.max("pos").alias("last_pos"), F.sum("pos").alias("position_sum"))
+
+
+# ------------------------------------------------------------------ stored sites
+
+@query("site_store_intersect", ORACLES["position_intersect"])
+def site_store_intersect(spark, sf):
+    """Panel and call sets stored by position, then joined bucket by bucket."""
+    panel = v.variants(spark, sf).select("chrom", "pos", "ref", "alt")
+    names = {t: f"alleleflow_store_{t}" for t in ("panel", "x", "y")}
+    ss.write_store(panel, names["panel"], 8)
+    for t, o in (("x", 0), ("y", 1)):
+        ss.write_store(ql.last_bases(v.archaic(spark, sf, o), "line_no").drop("call_ref"), names[t], 8)
+    return ss.intersect_stores(spark, names["panel"], {t: names[t] for t in ("x", "y")})

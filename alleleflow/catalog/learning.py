@@ -19,6 +19,7 @@ from alleleflow.operators import quality as ql
 from alleleflow.operators import rarefaction as rf
 from alleleflow.plans import analyses as an
 from alleleflow.plans.contract import CHANNELS, CLASSES, FEATURES, STATISTICS
+from alleleflow.sources import labelled as lb
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -140,6 +141,31 @@ def curve_features(spark, sf):
     return rounded_all(hd.curve_features(f, STATISTICS), ["replicate"])
 
 
+# ------------------------------------------------------------------ labelled dataset
+
+LABELLED_SQL = v.features_sql() + """,
+-- every eleventh replicate loses a depth, every thirteenth has another label at one depth
+f AS (SELECT * REPLACE (CASE WHEN replicate % 13 = 5 AND g = 4 THEN 'Q' ELSE direction END AS direction)
+      FROM features WHERE NOT (replicate % 11 = 3 AND g = 6)),
+r AS (SELECT count(*) AS n_rows, count(*) FILTER (replicate IS NULL) AS null_replicate,
+  count(*) FILTER (direction NOT IN ('A', 'B', 'C', 'D')) AS bad_direction, count(*) FILTER (magnitude IS NULL OR magnitude < 0) AS bad_magnitude,
+  count(*) FILTER (direction = 'D' AND magnitude > 0) AS control_with_flow, count(*) FILTER (direction <> 'D' AND magnitude = 0) AS direction_without_flow,
+  count(*) FILTER (g < 2) AS bad_depth, count(*) FILTER (""" + " OR ".join(f"{c} IS NULL OR isnan({c})" for c in STATISTICS) + """) AS missing_feature FROM f),
+p AS (SELECT replicate, list(DISTINCT g ORDER BY g) AS grid, count(*) AS n, count(DISTINCT g) AS d,
+  count(DISTINCT direction) > 1 OR count(DISTINCT magnitude) > 1 AS two FROM f GROUP BY replicate),
+q AS (SELECT sum(k) AS n_replicates, sum(t) AS two_labels, sum(m) AS repeated_depth, sum(k) - max(k) AS unequal_grid FROM (
+  SELECT count(*) AS k, count(*) FILTER (two) AS t, count(*) FILTER (n > d) AS m FROM p GROUP BY grid))
+SELECT "check", CAST(failures AS BIGINT) AS failures FROM (SELECT COLUMNS(*)::BIGINT FROM r, q) UNPIVOT (failures FOR "check" IN (COLUMNS(*)))"""
+
+
+@query("labelled_checks", "WITH " + LABELLED_SQL)
+def labelled_checks(spark, sf):
+    """Failures of every check on a labelled table with some planted faults."""
+    wrong = F.when(F.expr("replicate % 13 = 5 AND g = 4"), F.lit("Q")).otherwise(F.col("direction"))
+    rows = v.features(spark, sf).where("NOT (replicate % 11 = 3 AND g = 6)").withColumn("direction", wrong)
+    return lb.check_report(checkpointed(rows))
+
+
 # ------------------------------------------------------------------ heads
 
 @query("direction_logistic")
@@ -370,8 +396,7 @@ def archaic_report(spark, sf):
     modern = calls.join(site, F.col("pos") == F.col("p")).drop("p")
     sets = {}
     for tag, o in (("x", 0), ("y", 1)):
-        a = ql.resolve_bases(ql.last_call(v.archaic(spark, sf, o), "line_no").drop("line_no"))
-        sets[tag] = a.select("chrom", "pos", F.col("ref").alias("call_ref"), "n1", "n2")
+        sets[tag] = ql.last_bases(v.archaic(spark, sf, o), "line_no")
     return an.archaic_report(modern, v.samples(spark, sf), sets, [("P1", "P2"), ("P1", "P3"), ("P2", "P3")],
                              frozen(spark, sf), max_depth=100)
 

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def ship(module: str) -> None:
+    """Send the functions of an imported module to tasks as they are, so that executors need not
+    have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+ship(__name__)
+
+
 def doubles(values: pa.Array) -> list[np.ndarray]:
     """The rows of an Arrow column of double arrays, or of their bytes."""
     if pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type):

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alleleflow.functions.arrays import doubles, sum_arrays
+from alleleflow.functions.arrays import doubles, ship, sum_arrays
 from alleleflow.functions.session import checkpointed
 
 TREE = "label_no int, label string, base double, round int, feature array<int>, threshold array<double>, value array<double>"
 
+ship(__name__)
+
 
 # ------------------------------------------------------------------ trees
 

@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alleleflow.functions.arrays import sum_arrays
+from alleleflow.functions.arrays import ship, sum_arrays
 from alleleflow.functions.exprs import hash_order
 from alleleflow.functions.session import checkpointed
 from alleleflow.operators.heads import landmark_spread
 from alleleflow.operators.protocol import with_folds
 
+ship(__name__)
+
 SIDE = 256
 
 
@@ -31,17 +33,22 @@ def similarities(x: np.ndarray, marks: np.ndarray, scale: float) -> np.ndarray:
 
 
 class Basis:
-    """A fit's scaling, landmarks and bandwidth."""
+    """A fit's scaling, scaled landmarks and bandwidth."""
 
-    def __init__(self, mean, sd, marks, scale: float):
-        self.mean, self.sd = np.asarray(mean, float), np.asarray(sd, float)
-        self.marks = (np.asarray(marks, float) - self.mean) / self.sd
-        self.scale = scale * landmark_spread(self.marks)
+    def __init__(self, mean: np.ndarray, sd: np.ndarray, marks: np.ndarray, scale: float):
+        self.mean, self.sd, self.marks, self.scale = mean, sd, marks, scale
 
     def of(self, x: np.ndarray) -> np.ndarray:
         return similarities((x - self.mean) / self.sd, self.marks, self.scale)
 
 
+def basis_of(mean, sd, marks, scale: float) -> Basis:
+    """The basis of some landmarks; the bandwidth is `scale` times their spread."""
+    mean, sd = np.asarray(mean, float), np.asarray(sd, float)
+    scaled = (np.asarray(marks, float) - mean) / sd
+    return Basis(mean, sd, scaled, scale * landmark_spread(scaled))
+
+
 def _vectors(batch, name: str) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
 
@@ -229,7 +236,7 @@ def residual_correction(preds: DataFrame, vector: str, key: str, cols, residuals
     bases = {}
     for f in folds:
         d = marks[f].shape[-1]
-        bases[int(f)] = Basis(*scaling.get(f, (np.zeros(d), np.ones(d))), marks[f][:n], scale)
+        bases[int(f)] = basis_of(*scaling.get(f, (np.zeros(d), np.ones(d))), marks[f][:n], scale)
     fits = fit_by_blocks(block_moments(rows, vector, residuals, own, bases, side), n, len(residuals), alpha, side)
 
     kept = [c for c in rows.columns if c not in (*residuals, own)]

@@ -115,6 +115,27 @@ def last_call(calls: DataFrame, order, site=("chrom", "pos")) -> DataFrame:
             .select(*site, "_v.*"))
 
 
+def last_bases(calls: DataFrame, order: str, site=("chrom", "pos")) -> DataFrame:
+    """The last row of each position in `order` (whole numbers from 0 below 2^51) of a single-sample
+    call set, resolved to bases: site, call_ref, n1, n2. Positions whose last row `resolve_bases`
+    would drop are dropped. Order and bases are packed into one long, so the last row is a plain
+    maximum that hashes and combines before the shuffle, with no sort of the calls."""
+    def resolved(code):
+        return f"CASE WHEN {code} = 0 THEN ref WHEN {code} > 0 THEN get(split(alt, ','), {code} - 1) END"
+
+    def base(b):
+        return f"bigint(if(length({b}) = 1, coalesce(instr('ACGT', {b}), 0), 0))"
+    n1, n2 = resolved("a1"), resolved("a2")
+    held = (f"if({order} >= 0 AND {order} < shiftleft(1L, 51), shiftleft(bigint({order}), 12), "
+            f"bigint(raise_error('order does not fit 51 bits'))) + 256 * {base('ref')} + 16 * {base(n1)} + {base(n2)}")
+    last = calls.select(*site, F.expr(held).alias("_v")).groupBy(*site).agg(F.max("_v").alias("_v"))
+
+    def shown(shift):
+        return f"substr('ACGT', int(shiftright(_v, {shift}) & 15), 1)"
+    return (last.where("_v & 15 > 0 AND _v & 240 > 0 AND _v & 3840 > 0")
+            .selectExpr(*site, f"{shown(8)} AS call_ref", f"{shown(4)} AS n1", f"{shown(0)} AS n2"))
+
+
 def intersect_positions(panel: DataFrame, call_sets: dict[str, DataFrame],
                         site=("chrom", "pos")) -> DataFrame:
     """Panel sites present in every call set (each with one row per position), carrying the

@@ -248,9 +248,3 @@ def write_popmap(popmap: DataFrame, path: str) -> None:
 def write_records(results: DataFrame, path: str) -> None:
     """Result records as JSON lines."""
     results.write.json(path)
-
-
-def load_features(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled feature table: replicate, direction, magnitude and the 28 columns."""
-    from alleleflow.plans.contract import FEATURES
-    return spark.read.parquet(path).select("replicate", "direction", "magnitude", *FEATURES)

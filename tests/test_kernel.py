@@ -25,7 +25,7 @@ def preds(spark, data):
 
 def dense(x, y, train, marks, alpha):
     """Predictions of a dense ridge on the similarities of all rows."""
-    basis = kn.Basis(np.zeros(x.shape[1]), np.ones(x.shape[1]), marks, 1.0)
+    basis = kn.basis_of(np.zeros(x.shape[1]), np.ones(x.shape[1]), marks, 1.0)
     d = np.sqrt(((x[:, None] - marks[None]) ** 2).sum(-1)) / basis.scale
     phi = (1 + np.sqrt(5) * d + 5 / 3 * d ** 2) * np.exp(-np.sqrt(5) * d)
     out = []
