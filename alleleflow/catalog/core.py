@@ -512,3 +512,40 @@ _full_locus_query("pairwise_private_richness_full", [b for b in BLOCKS if b.star
 def leave_one_block_out_features_full(spark, sf):
     c = ct.allele_table(v.deep_obs(spark, sf), v.POPS, locus=("locus", "chrom"))
     return rounded_all(rf.leave_one_out(c, "chrom", DEEP), ["chrom", "n_loci", "g"])
+
+
+# ------------------------------------------------------------------ every subset of many populations
+
+N_POPS = 12
+
+
+def obs12(spark, sf):
+    """Multi-allelic observations of twelve populations: nations modulo twelve."""
+    return (v.table(spark, sf, "lineitem").join(v.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(v.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .selectExpr("l_suppkey AS locus", f"concat('N', c_nationkey % {N_POPS}) AS pop", "int(ceil(l_quantity / 10)) AS allele"))
+
+
+@query("subset_lattice_richness", f"""WITH o AS (
+  SELECT l_suppkey AS locus, c_nationkey % {N_POPS} AS pop, CAST(ceil(l_quantity / 10) AS INTEGER) AS allele, count(*) AS n
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+loci AS (SELECT DISTINCT locus FROM o), alleles AS (SELECT DISTINCT locus, allele FROM o),
+pops AS (SELECT unnest(range({N_POPS})) AS pop),
+full_ AS (SELECT a.locus, a.allele, p.pop, coalesce(o.n, 0) AS c FROM alleles a, pops p
+  LEFT JOIN o ON o.locus = a.locus AND o.allele = a.allele AND o.pop = p.pop),
+totals AS (SELECT locus, pop, sum(c) AS n FROM full_ GROUP BY ALL),
+grid AS (SELECT unnest(range(2, CAST(least(min(n), 30) AS BIGINT) + 1)) AS g FROM totals),
+q AS (SELECT locus, allele, g, list(CASE WHEN n - c < g THEN 0.0::DOUBLE ELSE
+    exp(lgamma(n - c + 1) - lgamma(n - c - g + 1) + lgamma(n - g + 1) - lgamma(n + 1)) END ORDER BY pop) AS q
+  FROM full_ JOIN totals USING (locus, pop), grid GROUP BY ALL),
+l AS (SELECT locus, g, allele, list_reduce(list_prepend([1.0::DOUBLE], list_transform(q, lambda x: [x])),
+    lambda v, x: list_concat(list_transform(v, lambda y: y * x[1]), list_transform(v, lambda y: y * (1 - x[1])))) AS v FROM q),
+e AS (SELECT locus, g, m, v[m + 1] AS x FROM l, (SELECT unnest(range(1, {2 ** N_POPS})) AS m)),
+s AS (SELECT locus, g, m, sum(x) AS x FROM e GROUP BY ALL)
+SELECT CAST(g AS INTEGER) AS g, CAST(m AS INTEGER) AS subset, count(*) AS n_loci, round(avg(x), 5) + 0.0 AS mean,
+  round(var_samp(x), 5) + 0.0 AS variance FROM s GROUP BY ALL""")
+def subset_lattice_richness(spark, sf):
+    """Private richness of all 4,095 subsets of twelve populations at every shared depth, 30 at most."""
+    c = ct.allele_cells(obs12(spark, sf), [f"N{k}" for k in range(N_POPS)]).drop("locus")
+    m = rf.subset_moments(c, 30)
+    return m.select("g", "subset", "n_loci", rounded("mean", 5).alias("mean"), rounded("variance", 5).alias("variance"))

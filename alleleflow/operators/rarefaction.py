@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alleleflow.functions.exprs import absent, log_factorial
+from alleleflow.functions.arrays import sum_arrays
+from alleleflow.functions.exprs import absent, log_factorial, smallest
 from alleleflow.operators.counts import (
     count_columns, joint_sfs, shape_of, total_copies, total_sql)
 from alleleflow.plans.contract import BLOCKS, FEATURES
@@ -101,6 +104,115 @@ def per_locus(counts: DataFrame, max_depth: int | str | None = None, statistics=
         " + ".join(_contribution(s, p) for p in parts) + f" AS {s}" for s in statistics])
 
 
+def subset_lattice(q: str) -> str:
+    """SQL of the chances of all 2^J presence patterns from an array of absence probabilities: entry
+    m is the chance that exactly the populations of m's bits are present. Each population doubles
+    the array, so a prefix's products are shared by all subsets that begin with it: 2^(J + 1)
+    multiplications instead of J 2^J, and an expression that does not grow with J."""
+    return (f"aggregate({q}, array(1D), (_v, _q) -> concat(transform(_v, _x -> _x * _q), "
+            f"transform(_v, _x -> _x * (1D - _q))))")
+
+
+def _as_cells(counts: DataFrame) -> DataFrame:
+    """Counts as `cells`, one array of counts per allele."""
+    if _is_cells(counts):
+        return counts
+    k, pops = shape_of(counts)
+    alleles = ", ".join("struct(" + ", ".join(f"c{i}_{j} AS c_{j}" for j in range(1, pops + 1)) + ")" for i in range(1, k + 1))
+    return counts.withColumn("cells", F.expr(f"array({alleles})")).drop(*count_columns(k, pops))
+
+
+def absences(counts: DataFrame, max_depth: int | None = None, first_depth: int = 2) -> DataFrame:
+    """Per row and depth `_q`: for each allele the array of its absence probabilities in the
+    populations. What does not depend on the depth is computed before the row is expanded."""
+    counts = _as_cells(counts)
+    fields = counts.schema["cells"].dataType.elementType.names
+    keep = [c for c in counts.columns if c != "cells"]
+    cap = "array_min(_n)" if max_depth is None else f"least(array_min(_n), {max_depth})"
+    rows = counts.select(*keep, F.transform("cells", lambda c: F.array(*[c[f] for f in fields])).alias("_c"),
+                         F.array(*_copies(counts)).alias("_n"))
+    rows = rows.where(f"{cap} >= {first_depth}").selectExpr(
+        *keep, "_n", f"transform(_n, n -> {log_factorial('n')}) AS _ln", "transform(_c, c -> zip_with(_n, c, (n, x) -> n - x)) AS _rest",
+        f"explode(sequence({first_depth}, {cap})) AS g")
+    rows = rows.selectExpr(*keep, "g", f"transform(_rest, r -> transform(r, x -> {log_factorial('x')})) AS _lr", "_rest",
+                           f"zip_with(_ln, _n, (l, n) -> l - {log_factorial('(n - g)')}) AS _all")
+    q = absent("y", "g", "_lr[i][j]", "_all[j]")
+    return rows.selectExpr(*keep, "g", f"transform(_rest, (r, i) -> transform(r, (y, j) -> {q})) AS _q")
+
+
+def subset_richness(counts: DataFrame, max_depth: int | None = None, first_depth: int = 2) -> DataFrame:
+    """Per row and depth `_subsets`, an array of the private richness of every subset of the
+    populations (entry m: alleles present in exactly the populations of m's bits)."""
+    rows = absences(counts, max_depth, first_depth)
+    pops = len(_copies(counts))
+    total = f"aggregate(_q, array_repeat(0D, {2 ** pops}), (_sum, _p) -> zip_with(_sum, {subset_lattice('_p')}, (_a, _b) -> _a + _b))"
+    return rows.selectExpr(*[c for c in rows.columns if c != "_q"], f"{total} AS _subsets")
+
+
+def subset_moments(counts: DataFrame, max_depth: int | None = None, keys=(), rows_at_once: int = 256) -> DataFrame:
+    """Mean and variance over loci of every subset's private richness at every depth that all loci of
+    a key reach: (keys, g, subset, n_loci, mean, variance), `subset` as the number of its bits.
+
+    A task forms the lattices of some rows at a time and adds them up; one array of sums per task,
+    key and depth is shuffled, so what moves depends on depths and subsets, not on loci."""
+    keys = list(keys)
+    wanted = counts.select(*keys, *[c for c in counts.columns if c == "cells" or (c[0] == "c" and c[1:2].isdigit())])
+    pops = len(_copies(wanted))
+    rows = absences(wanted, max_depth).select(*keys, "g", "_q")
+
+    def add_up(batches):
+        held: dict = {}
+        types = None
+        for whole in batches:
+            for first in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(first, rows_at_once)
+                types = batch.schema
+                alleles = batch.column("_q")
+                owner = np.repeat(np.arange(batch.num_rows), alleles.value_lengths().to_numpy(zero_copy_only=False))
+                q = alleles.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, pops)
+                v = np.ones((len(q), 1))
+                for j in range(pops):
+                    v = np.concatenate([v * q[:, j:j + 1], v * (1 - q[:, j:j + 1])], axis=1)
+                x = np.add.reduceat(v, np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), axis=0)
+                groups: dict = {}
+                for k, key in enumerate(zip(*[batch.column(c).to_pylist() for c in (*keys, "g")])):
+                    groups.setdefault(key, []).append(k)
+                for key, at in groups.items():
+                    part = np.concatenate([[len(at)], x[at].sum(0), (x[at] ** 2).sum(0)])
+                    held[key] = held[key] + part if key in held else part
+        for key, part in held.items():
+            yield pa.RecordBatch.from_arrays([*[pa.array([k], types.field(c).type) for k, c in zip(key, (*keys, "g"))], pa.array([part.tobytes()], pa.binary())],
+                                             names=[*keys, "g", "v"])
+
+    def finish(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                v = np.frombuffer(batch.column("v")[k].as_buffer())
+                n, mean = v[0], v[1:1 + 2 ** pops] / v[0]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    variance = np.maximum(v[1 + 2 ** pops:] - n * mean ** 2, 0) / (n - 1)
+                size = 2 ** pops - 1
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array([batch.column(c)[k].as_py()] * size, batch.schema.field(c).type) for c in (*keys, "g")], pa.array(np.arange(1, size + 1, dtype=np.int32)),
+                     pa.array(np.full(size, int(n))), pa.array(mean[1:]), pa.array(variance[1:], mask=np.isnan(variance[1:]))],
+                    names=[*keys, "g", "subset", "n_loci", "mean", "variance"])
+
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in (*keys, "g"))
+    sums = sum_arrays(rows.mapInArrow(add_up, kinds + "v binary"), [*keys, "g"], "v")
+    # only depths that all loci reach: few rows per key, so they are compared before entries are made
+    shared = sums.join(depth_grid_of(wanted, max_depth, keys), [*keys, "g"]).select(*keys, "g", "v")
+    return shared.mapInArrow(finish, kinds + "subset int, n_loci long, mean double, variance double")
+
+
+def depth_grid_of(counts: DataFrame, max_depth: int | None = None, keys=()) -> DataFrame:
+    """Depths 2 ... the smallest copy number over loci and populations (at most `max_depth`), for
+    columns and cells alike."""
+    top = smallest(_copies(counts))
+    if max_depth is not None:
+        top = F.least(top, F.lit(max_depth))
+    return counts.groupBy(*keys).agg(F.min(top).alias("_top")).where("_top >= 2").select(*keys, F.explode(F.sequence(F.lit(2), F.col("_top").cast("int"))).alias("g"))
+
+
 def absence_table(counts: DataFrame, depths) -> DataFrame:
     """Absence probability of every allele and population of a counts table, long form."""
     k, pops = shape_of(counts)
