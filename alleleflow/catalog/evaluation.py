@@ -167,7 +167,8 @@ def roc_auc_by_type(spark, sf):
 
 
 BINS_SQL = "WITH " + v.SCORES + """,
-bins AS (SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(y) AS mean_y,
+bins AS (SELECT CAST(least(floor(p * 10) - CAST(p < floor(p * 10) * 0.1::DOUBLE AS INTEGER)
+    + CAST(p >= (floor(p * 10) + 1) * 0.1::DOUBLE AS INTEGER), 9) AS INTEGER) AS bin, count(*) AS n, avg(y) AS mean_y,
     avg(p) AS mean_p FROM scores GROUP BY 1)"""
 
 
@@ -271,7 +272,7 @@ def selective_accuracy(spark, sf):
 
 
 @query("bootstrap_interval", BANDED + """,
-cum AS (SELECT sum(exp(-1) / gamma(k + 1)) OVER (ORDER BY k) AS c FROM range(9) t(k)),
+cum AS (SELECT sum(exp(-1) / gamma(k + 1)) OVER (ORDER BY k) AS c FROM range(13) t(k)),
 b AS (SELECT unnest(range(1, 101)) AS b),
 draws AS (SELECT band, hit, b, CAST('0x' || substr(md5('0:' || replicate || ':' || b), 1, 8) AS BIGINT)
     / 4294967296.0::DOUBLE AS u FROM banded, b WHERE seed = 0),

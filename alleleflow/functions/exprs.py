@@ -59,9 +59,10 @@ def hash_uniform(seed, *keys) -> Column:
 
 
 def poisson_one(u: Column) -> Column:
-    """Poisson(1) quantile of a uniform number, by comparing with the cumulative mass."""
+    """Poisson(1) quantile of a uniform number, by comparing with the cumulative mass. What lies
+    above the last entry is less than 2^-32, the step of the uniform numbers, so no weight is cut."""
     cumulative, total = [], 0.0
-    for k in range(9):
+    for k in range(13):
         total += math.exp(-1) / math.factorial(k)
         cumulative.append(total)
     return add([(u > F.lit(c)).cast("int") for c in cumulative])

@@ -23,8 +23,12 @@ def roc_auc(df: DataFrame, y: str = "y", p: str = "p", keys=(),
 
 def calibration_bins(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10,
                      keys=()) -> DataFrame:
-    """Size, mean outcome and mean score per equal-width bin; the last bin includes 1."""
-    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
+    """Size, mean outcome and mean score per equal-width bin; the last bin includes 1. Lower edges are
+    k * (1 / bins) in double precision, so 0.3 lies below the fourth of ten bins."""
+    step = 1.0 / bins
+    near = F.floor(F.col(p) * bins)
+    exact = near - (F.col(p) < near * step).cast("int") + (F.col(p) >= (near + 1) * step).cast("int")
+    b = F.least(exact, F.lit(bins - 1)).cast("int")
     return (df.withColumn("bin", b).groupBy(*keys, "bin")
             .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("mean_y"),
                  F.avg(p).alias("mean_p")))

@@ -48,6 +48,22 @@ def test_calibration_edges(spark):
     assert mt.brier_score(df).collect()[0][0] == pytest.approx((.01 + .0025) / 4)
 
 
+def test_calibration_edges_are_those_of_even_steps(spark):
+    p = [i / 10 for i in range(11)] + [np.nextafter(i * 0.1, d) for i in range(1, 10) for d in (0, 1)]
+    edges = np.linspace(0, 1, 11)
+    want = [min(int((edges <= x).sum()) - 1, 9) for x in p]
+    got = mt.calibration_bins(frame(spark, [0] * len(p), p)).collect()
+    assert {r["bin"]: r["n"] for r in got} == {b: want.count(b) for b in set(want)} and want[3] == 2
+
+
+def test_poisson_weights_are_not_cut(spark):
+    from alleleflow.functions.exprs import poisson_one
+    step = 2.0 ** -32
+    got = [r[0] for r in spark.createDataFrame([(0.0,), (0.5,), (1 - 1000 * step,), (1 - step,)], "u double").select(poisson_one(F.col("u"))).collect()]
+    mass = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(20)])
+    assert got == [int((u > mass).sum()) for u in (0.0, 0.5, 1 - 1000 * step, 1 - step)] and got[-1] > 9
+
+
 def test_prefix_sums_per_key(spark):
     rng = np.random.default_rng(2)
     rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 300), rng.integers(0, 40, 300))]
