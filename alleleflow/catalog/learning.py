@@ -9,7 +9,7 @@ from alleleflow.catalog import views as v
 from alleleflow.catalog.core import rounded_all
 from alleleflow.catalog.evaluation import RATE_PREDS, rate_preds
 from alleleflow.functions.exprs import rounded
-from alleleflow.functions.session import checkpointed
+from alleleflow.functions.session import checkpointed, shared_path
 from alleleflow.operators import boosting as bo
 from alleleflow.operators import counts as ct
 from alleleflow.operators import heads as hd
@@ -18,6 +18,7 @@ from alleleflow.operators import protocol as pr
 from alleleflow.operators import quality as ql
 from alleleflow.operators import rarefaction as rf
 from alleleflow.plans import analyses as an
+from alleleflow.plans import batches as bt
 from alleleflow.plans.contract import CHANNELS, CLASSES, FEATURES, STATISTICS
 from alleleflow.sources import labelled as lb
 
@@ -411,3 +412,33 @@ def injection_grid(spark, sf):
 @query("curve_comparison")
 def curve_comparison(spark, sf):
     return an.curve_comparison(checkpointed(v.features(spark, sf)), SEEDS, n_landmarks=BASIS)
+
+
+# ------------------------------------------------------------------ batches added one by one
+
+@query("pooled_batches", "WITH " + v.features_sql() + """
+SELECT replicate, """ + ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in FEATURES) + " FROM features")
+def pooled_batches(spark, sf):
+    """Feature matrices of every replicate from three batches of loci, stored as power sums one after
+    the other and pooled."""
+    path = shared_path(spark, "moments")
+    obs = v.rep_obs(spark, sf)
+    for k in range(3):
+        counts = ct.min_copies(ct.allele_table(obs.where(F.col("locus") % 3 == k), v.POPS, keys=["replicate"]), v.FEATURE_DEPTH)
+        bt.add_batch(bt.moment_state(counts.drop("locus"), v.FEATURE_DEPTH, ["replicate"]), path, str(k))
+    return rounded_all(bt.pooled_matrix(spark, path, ["replicate"]), ["replicate"])
+
+
+@query("pooled_scores", "WITH " + v.SCORES + """,
+r AS (SELECT y, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM scores),
+b AS (SELECT least(floor(p * 10) - CAST(p < floor(p * 10) * 0.1::DOUBLE AS INTEGER)
+    + CAST(p >= (floor(p * 10) + 1) * 0.1::DOUBLE AS INTEGER), 9) AS bin, count(*) AS n, avg(y) AS my, avg(p) AS mp FROM scores GROUP BY 1)
+SELECT round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0)
+    / (count(*) FILTER (y = 1)::DOUBLE * count(*) FILTER (y = 0)), 6) AS auc,
+  (SELECT round(sum(abs(my - mp) * n) / sum(n), 6) FROM b) AS ece, round(avg(pow(p - y, 2)), 6) AS brier FROM r""")
+def pooled_scores(spark, sf):
+    """AUC, calibration error and Brier score of three stored batches of scores together."""
+    path = shared_path(spark, "scores")
+    for k in range(3):
+        bt.add_batch(bt.score_state(v.scores(spark, sf).where(F.col("id") % 3 == k)), path, str(k))
+    return rounded_all(bt.score_metrics(bt.pooled(spark, path, ["p"])).drop("n"), [])
