@@ -1,16 +1,18 @@
 """Approximate nearest neighbours by largest inner product: an inverted multi-index.
 
 Both halves of the vectors are quantised separately (k-means on a bounded sample); a pair of
-centroids is a cell. A query walks the cell pairs by summed inner product, the largest first, with
-a heap. It stops where cells fall below the score that its k-th neighbour should have, less a
-margin: both come from the same bounded sample, the margin as a quantile of what the cells of true
-neighbours lack. Every vector is indexed, and all entries of the cells walked are ranked exactly.
-Entries and queries meet by groups of cells, in blocks of bounded size: a cell that holds a third
-of all vectors is spread over many blocks."""
+centroids is a cell, and the number of cells grows with the table. A query walks the cell pairs by
+summed inner product, the largest first, with a heap, until the cells walked hold `reach` entries.
+`reach` is fitted at every size anew: a bounded number of queries is held against the whole table,
+and each of their true neighbours tells how many entries lie in the cells walked before its own.
+Every vector is indexed, and all entries of the cells walked are ranked exactly. Entries and queries
+meet by blocks of neighbouring cells, of bounded size: a cell that holds a third of all vectors is
+spread over many blocks, and a block is repeated only for as many parts as its own queries fill."""
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -37,51 +39,111 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres ** 2).sum(1)[None] - 2 * points @ centres.T, axis=1)
 
 
+def centroids_for(total: int) -> int:
+    """Centroids per half: about 16 entries a cell, 64 to 512 centroids."""
+    return min(512, max(64, 1 << math.ceil(math.log2(max(1, total / 16)) / 2)))
+
+
 class Codebook:
-    """Centroids of both halves, the sample, and the margin of the stop rule."""
+    """Centroids of both halves."""
 
-    def __init__(self, sample: np.ndarray, centroids: int, k: int, share: float, probes: int = 200):
-        self.dim = sample.shape[1]
-        self.half = self.dim // 2
+    def __init__(self, sample: np.ndarray, centroids: int):
+        self.half = sample.shape[1] // 2
         self.left = _kmeans(sample[:, :self.half], centroids)
         self.right = _kmeans(sample[:, self.half:], centroids)
-        self.sample = sample
-        a, b = self.assign(sample)
-        lacking = [0.0]
-        for q in sample[:: max(1, len(sample) // probes)]:
-            scores = sample @ q
-            top = np.argsort(-scores)[1:k + 1]
-            if len(top):
-                cell = self.left[a[top]] @ q[:self.half] + self.right[b[top]] @ q[self.half:]
-                lacking.extend((scores[top[-1]] - cell).tolist())
-        self.margin = float(np.quantile(lacking, share))
-
-    def assign(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _nearest(vectors[:, :self.half], self.left), _nearest(vectors[:, self.half:], self.right)
-
-    def walk(self, q: np.ndarray, counts: dict[tuple[int, int], int], total: int, k: int) -> list[tuple[int, int]]:
-        """Cells with entries, by falling summed inner product, as far as the stop rule goes. At
-        least the query itself and k more entries lie in them, if there are so many."""
-        scores = self.sample @ q
-        rank = min(len(scores) - 1, max(1, round(k * len(scores) / max(total, 1))))
-        floor = float(-np.partition(-scores, rank)[rank]) - self.margin
+        self.shape = len(self.left), len(self.right)
+
+    def cells(self, vectors: np.ndarray) -> np.ndarray:
+        """The cell of each vector, left centroid times the number of right ones plus right one."""
+        return _nearest(vectors[:, :self.half], self.left) * self.shape[1] + _nearest(vectors[:, self.half:], self.right)
+
+    def walk(self, q: np.ndarray, counts: np.ndarray, reach: int) -> list[int]:
+        """Cells with entries, by falling summed inner product, until they hold `reach` entries."""
         l, r = self.left @ q[:self.half], self.right @ q[self.half:]
         lo, ro = np.argsort(-l, kind="stable"), np.argsort(-r, kind="stable")
-        heap, seen, cells, held = [(-(l[lo[0]] + r[ro[0]]), 0, 0)], {(0, 0)}, [], 0
-        while heap:
-            value, i, j = heapq.heappop(heap)
-            if -value < floor and held > k:
-                break
-            cell = (int(lo[i]), int(ro[j]))
-            if n := counts.get(cell, 0):
+        l, r, lo, ro = (x.tolist() for x in (l[lo], r[ro], lo, ro))
+        # (i, j + 1) follows (i, j); a new row begins from column 0 alone, so no pair comes twice
+        heap, cells, held, width = [(-(l[0] + r[0]), 0, 0)], [], 0, self.shape[1]
+        while heap and held < reach:
+            _, i, j = heapq.heappop(heap)
+            cell = lo[i] * width + ro[j]
+            if n := counts[cell]:
                 cells.append(cell)
-                held += n
-            for x, y in ((i + 1, j), (i, j + 1)):
-                if x < len(lo) and y < len(ro) and (x, y) not in seen:
-                    seen.add((x, y))
-                    heapq.heappush(heap, (-(l[lo[x]] + r[ro[y]]), x, y))
+                held += int(n)
+            if j + 1 < len(ro):
+                heapq.heappush(heap, (-(l[i] + r[j + 1]), i, j + 1))
+            if j == 0 and i + 1 < len(lo):
+                heapq.heappush(heap, (-(l[i + 1] + r[0]), i + 1, 0))
         return cells
 
+    def held_before(self, q: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """For each cell the entries in the cells that come before it."""
+        order = np.argsort(-(self.left @ q[:self.half])[:, None] - (self.right @ q[self.half:])[None], axis=None, kind="stable")
+        out = np.empty(len(counts), dtype=np.int64)
+        out[order] = np.cumsum(counts[order]) - counts[order]
+        return out
+
+
+def exact(entries: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """query (its number in `queries`), vec_id, cell, score: the k best of all entries for each of a bounded
+    number of queries, but for its own id. A task keeps k rows a query."""
+    shared = entries.sparkSession.sparkContext.broadcast((query_ids, queries))
+
+    def best(batches):
+        own, q = shared.value
+        kept = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at:at + 4096]
+                ids, cells = part["vec_id"].to_numpy(), part["cell"].to_numpy()
+                score = q @ np.stack(part["v"].to_numpy()).T
+                score[own[:, None] == ids[None]] = -np.inf
+                ids, cells = np.broadcast_to(ids, score.shape), np.broadcast_to(cells, score.shape)
+                if kept is not None:
+                    score, ids, cells = (np.concatenate(x, axis=1) for x in zip(kept, (score, ids, cells)))
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                kept = [np.take_along_axis(x, top, axis=1) for x in (score, ids, cells)]
+        if kept is not None:
+            score, ids, cells = kept
+            number = np.repeat(np.arange(len(q)), score.shape[1])
+            out = pd.DataFrame({"query": number, "vec_id": ids.ravel(), "cell": cells.ravel(), "score": score.ravel()})
+            yield out[out["score"] > -np.inf]
+
+    found = entries.mapInPandas(best, "query int, vec_id long, cell int, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+
+
+def fitted_reach(book: Codebook, entries: DataFrame, counts: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float) -> int:
+    """Entries to walk so that the cells walked hold `share` of the true neighbours of the given
+    queries, k and the query itself at least."""
+    before = []
+    near: dict[int, list[int]] = {}
+    for r in exact(entries, query_ids, queries, k).collect():      # k rows a query
+        near.setdefault(r["query"], []).append(r["cell"])
+    for number, cells in near.items():
+        before.extend(book.held_before(queries[number], counts)[cells].tolist())
+    return max(k + 1, math.ceil(np.quantile(before, share, method="higher")) + 1) if before else k + 1
+
+
+def blocks_of(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its first block and its number of blocks: neighbouring cells share a block of
+    about `block` entries, a larger cell has blocks of its own."""
+    first, spread, at, room = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), -1, 0
+    for cell in np.flatnonzero(counts).tolist():
+        n = int(counts[cell])
+        if n > block:
+            first[cell], spread[cell] = at + 1, -(-n // block)
+            at, room = at + spread[cell], 0
+        else:
+            if n > room:
+                at, room = at + 1, block
+            first[cell] = at
+            room -= n
+    return first, spread
+
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, v (doubles): rows with an id and a vector that is neither null, empty nor zero and
@@ -92,62 +154,73 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
             .where(F.forall("v", fine) & F.exists("v", lambda x: x != 0)))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = 64, sample: int = 8192,
-           share: float = 0.97, block: int = 8192, groups: int = 16) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int | None = None, sample: int = 8192,
+           share: float = 0.97, probes: int = 256, block: int = 8192, together: int = 8192) -> DataFrame:
     """The k vectors of largest inner product for each query (vec_id divisible by `every`) among
     all other rows: query_id, rank from 1, vec_id, score (double precision, on the original
     vectors); equal scores by smaller vec_id. Takes vec_id and embedding; extra columns are
-    ignored. Vectors whose length is not the sample's most frequent one take no part, as those
-    that `valid_vectors` drops. An empty table gives an empty one. The codebook is fitted on at
-    most `sample` vectors; `share` is the part of true neighbours that the margin is to cover."""
+    ignored. Repeated rows are entries and queries of their own. Vectors whose length is not the sample's most
+    frequent one take no part, as those that `valid_vectors` drops. An empty table gives an empty one.
+
+    The codebook is fitted on at most `sample` vectors, the walk on at most `probes` queries: it reaches
+    `share` of their true neighbours. A task meets about `block` entries with `together` queries."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = valid_vectors(vectors)
     drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(10)), "vec_id").limit(sample).collect()
     if not drawn:
         return spark.createDataFrame([], schema)
-    lengths = pd.Series([len(r["v"]) for r in drawn])
-    dim = int(lengths.mode().iloc[0])
-    book = spark.sparkContext.broadcast(Codebook(np.array([r["v"] for r in drawn if len(r["v"]) == dim]), centroids, k, share))
+    dim = int(pd.Series([len(r["v"]) for r in drawn]).mode().iloc[0])
+    rows = table(rows.where(F.size("v") == dim), "vectors")
+    fitted = Codebook(np.array([r["v"] for r in drawn if len(r["v"]) == dim]), centroids or centroids_for(rows.count()))
+    book = spark.sparkContext.broadcast(fitted)
 
     def index(batches):
         for pdf in batches:
             if len(pdf):
-                a, b = book.value.assign(np.stack(pdf["v"].to_numpy()))
-                yield pdf.assign(a=a.astype(np.int32), b=b.astype(np.int32))
-
-    entries = table(rows.where(F.size("v") == dim).mapInPandas(index, "vec_id long, v array<double>, a int, b int"), "entries")
-    sizes = entries.groupBy("a", "b").count().collect()       # at most centroids squared
-    counts = {(r["a"], r["b"]): r["count"] for r in sizes}
-    total = sum(counts.values())
-    per = -(-centroids // groups)
-    held = [sum(n for (a, _), n in counts.items() if a // per == g) for g in range(groups)]
-    blocks = [max(1, -(-n // block)) for n in held]
+                yield pdf.assign(cell=book.value.cells(np.stack(pdf["v"].to_numpy())).astype(np.int32))
+
+    entries = table(rows.mapInPandas(index, "vec_id long, v array<double>, cell int"), "entries")
+    counts = np.zeros(fitted.shape[0] * fitted.shape[1], dtype=np.int64)
+    for r in entries.groupBy("cell").count().collect():       # at most 512 squared
+        counts[r["cell"]] = r["count"]
     queries = entries.where(F.col("vec_id") % every == 0)
-    chunks = max(1, -(-queries.count() // (2 * block)))
-    known = spark.sparkContext.broadcast(counts)
+    probe = queries.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(probes).collect()
+    if not probe:
+        return spark.createDataFrame([], schema)
+    reach = fitted_reach(fitted, entries, counts, np.array([r["vec_id"] for r in probe]), np.array([r["v"] for r in probe]), k, share)
+    known = spark.sparkContext.broadcast((counts, *blocks_of(counts, block)))
 
     def route(batches):
+        counts, first, spread = known.value
+        names = ["block", "query_id", "q", "cells"]
         for pdf in batches:
             out = []
             for vec_id, v in zip(pdf["vec_id"], pdf["v"]):
-                by_group: dict[int, list[int]] = {}
-                for a, b in book.value.walk(np.asarray(v), known.value, total, k):
-                    by_group.setdefault(a // per, []).append(a * centroids + b)
-                out += [(g, n, vec_id % chunks, vec_id, v, cells) for g, cells in by_group.items() for n in range(blocks[g])]
+                met: dict[int, list[int]] = {}
+                for cell in book.value.walk(np.asarray(v), counts, reach):
+                    for n in range(first[cell], first[cell] + spread[cell]):
+                        met.setdefault(int(n), []).append(cell)
+                out += [(n, vec_id, v, sorted(cells)) for n, cells in met.items()]
                 if len(out) > 2000:
-                    yield pd.DataFrame(out, columns=["g", "n", "chunk", "query_id", "q", "cells"])
+                    yield pd.DataFrame(out, columns=names)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["g", "n", "chunk", "query_id", "q", "cells"])
+                yield pd.DataFrame(out, columns=names)
+
+    def place(batches):
+        _, first, spread = known.value
+        for pdf in batches:
+            cell = pdf["cell"].to_numpy()
+            yield pdf.assign(block=first[cell] + pdf.pop("h").to_numpy() % spread[cell])
 
-    asked = queries.select("vec_id", "v").repartition("vec_id").mapInPandas(
-        route, "g int, n int, chunk long, query_id long, q array<double>, cells array<int>")
-    group = F.floor(F.col("a") / per).cast("int")
-    spread = F.element_at(F.lit(blocks).cast("array<int>"), group + 1)
-    dealt = entries.select(group.alias("g"), F.pmod(F.xxhash64("vec_id"), spread).cast("int").alias("n"),
-                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"),
-                           (F.col("a") * centroids + F.col("b")).alias("cell"), "vec_id", "v")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(queries.count()) // 1000))
+    asked = table(queries.select("vec_id", "v").repartition(tasks, "vec_id")
+                  .mapInPandas(route, "block long, query_id long, q array<double>, cells array<int>"), "asked")
+    parts = asked.groupBy("block").agg(F.ceil(F.count("*") / together).alias("parts"))
+    dealt = (entries.withColumn("h", F.xxhash64("vec_id", F.lit(12))).mapInPandas(place, "vec_id long, v array<double>, cell int, block long")
+             .join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "cell", "vec_id", "v"))
+    asked = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(13)), F.col("parts"))).drop("parts")
 
     def rank(asked: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -166,7 +239,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = 64
                 found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at[best]], "score": score[best]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    keys = ["g", "n", "chunk"]
+    keys = ["block", "part"]
     found = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(rank, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
