@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alleleflow.llm.shared import in_slices, table, text_or_empty
+from alleleflow.llm.shared import in_slices, own_cache, table, text_or_empty
 
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -50,6 +50,8 @@ def shingles(text: str, width: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     if len(_hashes) > _CACHED_WORDS:
         _hashes.clear()
+    if not _hashes:
+        own_cache("decontaminate", _hashes.clear)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = len(h) - width + 1
     out = h[:n].copy()

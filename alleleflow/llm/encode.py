@@ -9,6 +9,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from alleleflow.llm.shared import own_cache
+
 #: Word and id string of a cached word take about 180 bytes: at most about 200 MB a worker.
 CACHED_WORDS = 1_000_000
 
@@ -120,7 +122,8 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process, whose cache lasts over its tasks."""
+    """One encoder per worker process, whose cache lasts over tasks that encode."""
+    own_cache("encode", lambda: [e.seen.clear() for e in _encoders.values()])
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]

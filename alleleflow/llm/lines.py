@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alleleflow.llm.components import connected_components
-from alleleflow.llm.shared import in_slices, keyed, packed_text, table, unpack
+from alleleflow.llm.shared import free_name, in_slices, keyed, own_cache, packed_text, table, unpack
 
 _TASK_LINES, _TASK_BANDS = 300_000, 600_000     # remembered in a task; beyond, rows repeat
 _WORDS = 16                                     # of 64 bits in a line's bitmap
@@ -83,6 +83,7 @@ def _occurrences(text: str):
 def first_lines(docs: DataFrame) -> DataFrame:
     """line (hash), row, position: where each line first stands in a task's rows."""
     def run(batches):
+        own_cache("lines")
         seen: set[int] = set()
 
         def each(batch):
@@ -106,6 +107,7 @@ def first_lines(docs: DataFrame) -> DataFrame:
 def banded_lines(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """band, line, first: `first` is the first line in the task with that band, null for itself."""
     def run(batches):
+        own_cache("lines")
         seen: set[int] = set()
         firsts: dict[int, int] = {}
 
@@ -252,10 +254,11 @@ def remove_similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows:
             .agg(F.min("at").alias("at")).groupBy("at.row").agg(F.collect_list("at.position").alias("kept")))
     docs = docs.drop("n_lines", "n_removed")
     columns = docs.columns
+    own_row, packed, null_text, stay_at = (free_name(n, columns) for n in ("_row", "_packed", "_null", "_kept"))
 
     def run(batch):
         texts, total, gone = [], [], []
-        for data, null, kept in zip(batch.column("_packed").to_pylist(), batch.column("_null").to_pylist(), batch.column("_kept").to_pylist()):
+        for data, null, kept in zip(batch.column(packed).to_pylist(), batch.column(null_text).to_pylist(), batch.column(stay_at).to_pylist()):
             stay, n, out = set(kept or ()), 0, []
             for k, line in enumerate(unpack(data).decode("utf-8", "surrogatepass").split("\n")):
                 if _normal(line):
@@ -269,7 +272,7 @@ def remove_similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows:
         arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
         yield pa.RecordBatch.from_arrays(arrays + [pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*columns, "n_lines", "n_removed"])
 
-    texts = keyed(docs, *columns, key="_row").select("_row", *[c for c in columns if c != "text"], F.col("text").isNull().alias("_null"), packed_text().alias("_packed"))
-    joined = texts.join(kept.toDF("_row", "_kept"), "_row", "left").drop("_row")
+    texts = keyed(docs, *columns, key=own_row).select(own_row, *[c for c in columns if c != "text"], F.col("text").isNull().alias(null_text), packed_text().alias(packed))
+    joined = texts.join(kept.toDF(own_row, stay_at), own_row, "left").drop(own_row)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_lines long, n_removed long"])
-    return joined.mapInArrow(in_slices(run, "_packed", 1 << 20), schema)
+    return joined.mapInArrow(in_slices(run, packed, 1 << 20), schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,10 +45,33 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 
 
+def free_name(stem: str, columns: list[str]) -> str:
+    """`stem`, lengthened until no column of that name, in any case, is there."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+_filled: dict[str, Callable[[], None]] = {}
+
+
+def own_cache(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """A reused Python worker keeps the word cache of one owner at a time: those that others
+    filled are emptied. `clear` empties the owner's."""
+    for other in [name for name in _filled if name != owner]:
+        _filled.pop(other)()
+    if clear:
+        _filled[owner] = clear
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice's texts hold about `limit` bytes, one row at least."""
     offsets = batch.column(column).buffers()[1]
-    if offsets is None or batch.num_rows == 0:
+    if batch.num_rows == 0:
+        return
+    if offsets is None:      # no text at all
+        yield batch
         return
     array = batch.column(column)
     kind = np.int64 if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type) else np.int32

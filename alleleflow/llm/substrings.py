@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alleleflow.llm.shared import in_slices, keyed, packed_text, table, unpack
+from alleleflow.llm.shared import in_slices, keyed, own_cache, packed_text, table, unpack
 
 _RUN = 5               # words of a minimizer
 _CACHED_WORDS = 400_000
@@ -40,6 +40,8 @@ def _minimizers(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray
     """The minimizer of each window, and the word where it first stands."""
     if len(_hashes) > _CACHED_WORDS:
         _hashes.clear()
+    if not _hashes:
+        own_cache("substrings", _hashes.clear)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     run = min(_RUN, window)
     n = len(h) - run + 1
