@@ -5,8 +5,9 @@ once and links lines that share a band to the band's first line in the task; onl
 shuffled to meet its likes from other tasks. So a band holds a tree of links, not all its pairs,
 and a line or band that fills a third of the table costs a row per task. Links are verified by
 exact Jaccard similarity. A line that fails against its band's first line is compared with every
-other line of that band that is not joined to it already, so that no component is split whose
-links a band can show."""
+other line that has the same first one and is not joined to it already, so that no component is
+split whose links a band can show. Sizes and odd maps (1,024 bits, each the parity of the shingles
+that fall on it) rule most unlike pairs out before texts are read."""
 
 from __future__ import annotations
 
@@ -19,7 +20,8 @@ from alleleflow.llm.components import connected_components
 from alleleflow.llm.shared import free_name, in_slices, keyed, own_cache, packed_text, table, unpack
 
 _TASK_LINES, _TASK_BANDS = 300_000, 600_000     # remembered in a task; beyond, rows repeat
-_WORDS = 16                                     # of 64 bits in a line's bitmap
+_PART = 1000                                    # lines or pairs compared at once
+_WORDS = 16                                     # of 64 bits in a line's map
 _MAP = [f"m{k}" for k in range(_WORDS)]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,6 +40,12 @@ def _line_hash(line: str) -> int:
 def shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of all lines' shingles, one after the other, and where each line begins. Lines
     have `width` characters at least."""
+    h, starts = wide_hashes(lines, width)
+    return (h >> np.uint64(32)).astype(np.uint32), starts
+
+
+def wide_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with all 64 bits."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     n = len(points) - width + 1
@@ -45,7 +53,6 @@ def shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray
     for k in range(1, width):
         h = h * _BASE + points[k:k + n]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h >> np.uint64(32)).astype(np.uint32)
     ends = np.cumsum(lengths)
     inside = np.ones(len(points), dtype=bool)
     for k in range(1, width):
@@ -80,32 +87,10 @@ def _occurrences(text: str):
             yield k, normal
 
 
-def first_lines(docs: DataFrame) -> DataFrame:
-    """line (hash), row, position: where each line first stands in a task's rows."""
-    def run(batches):
-        own_cache("lines")
-        seen: set[int] = set()
-
-        def each(batch):
-            out = []
-            if len(seen) > _TASK_LINES:
-                seen.clear()
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-                for k, line in _occurrences(text):
-                    if (h := _line_hash(line)) not in seen:
-                        seen.add(h)
-                        out.append((h, row, k))
-            if out:
-                h, rows, k = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(rows, pa.int64()), pa.array(k, pa.int32())], names=["line", "row", "position"])
-
-        yield from in_slices(each, limit=1 << 20)(batches)
-
-    return keyed(docs, "text").where("text is not null").mapInArrow(run, "line long, row long, position int")
-
-
-def banded_lines(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """band, line, first: `first` is the first line in the task with that band, null for itself."""
+def lines_of_tasks(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """line (hash), row, position: where each line first stands in a task's rows. bands holds its
+    band keys and firsts the task's first line of each band, null for itself; both are null for
+    lines shorter than `width`."""
     def run(batches):
         own_cache("lines")
         seen: set[int] = set()
@@ -116,32 +101,44 @@ def banded_lines(docs: DataFrame, width: int, bands: int, rows: int) -> DataFram
                 seen.clear()
             if len(firsts) > _TASK_BANDS:
                 firsts.clear()
-            new: dict[int, str] = {}
-            for text in batch.column("text").to_pylist():
-                for _, line in _occurrences(text):
-                    if len(line) >= width and (h := _line_hash(line)) not in seen:
+            places, long = [], {}
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+                for k, line in _occurrences(text):
+                    if (h := _line_hash(line)) not in seen:
                         seen.add(h)
-                        new[h] = line
-            if not new:
+                        if len(line) >= width:
+                            long[len(places)] = line
+                        places.append((h, row, k))
+            if not places:
                 return
-            hashes = list(new)
-            keys = band_keys(list(new.values()), width, bands, rows)
-            flat = keys.ravel().tolist()
-            lines = np.repeat(np.array(hashes, dtype=np.int64), bands)
-            first = [firsts.setdefault(k, h) for k, h in zip(flat, lines.tolist())]
-            first = np.array(first, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(lines), pa.array(first, mask=first == lines)], names=["band", "line", "first"])
+            h, at, k = (np.array(c, dtype=np.int64) for c in zip(*places))
+            keys = np.zeros((len(h), bands), dtype=np.int64)
+            first = np.zeros((len(h), bands), dtype=np.int64)
+            banded = np.zeros(len(h), dtype=bool)
+            if long:
+                where = list(long)
+                banded[where] = True
+                keys[where] = band_keys(list(long.values()), width, bands, rows)
+                own = np.repeat(h[where], bands).tolist()
+                first[where] = np.array([firsts.setdefault(b, x) for b, x in zip(keys[where].ravel().tolist(), own)], dtype=np.int64).reshape(-1, bands)
+            ends = np.concatenate([[0], np.cumsum(banded * bands)])
+            offsets = pa.array(ends, pa.int32(), mask=np.append(~banded, False))
+            itself = (first == h[:, None])[banded].ravel()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), pa.array(at), pa.array(k, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(keys[banded].ravel())),
+                 pa.ListArray.from_arrays(offsets, pa.array(first[banded].ravel(), mask=itself))], names=["line", "row", "position", "bands", "firsts"])
 
         yield from in_slices(each, limit=1 << 20)(batches)
 
-    return keyed(docs, "text").where("text is not null").mapInArrow(run, "band long, line long, first long")
+    return (keyed(docs, "text").where("text is not null")
+            .mapInArrow(run, "line long, row long, position int, bands array<long>, firsts array<long>"))
 
 
-def candidates(docs: DataFrame, places: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """band, line, first for the lines that share a band, `first` being the line of the band that
+def candidates(places: DataFrame) -> DataFrame:
+    """line, first for the lines that share a band, `first` being the line of the band that
     most tasks hold (of equals the smallest hash): a text that was copied and edited is nearer to
     its copies than these to one another."""
-    banded = table(banded_lines(docs, width, bands, rows), "banded")
+    banded = places.where("bands is not null").select("line", F.inline(F.arrays_zip(F.col("bands").alias("band"), F.col("firsts").alias("first"))))
     own = Window.partitionBy("band")
     met = (banded.where("first is null").select("band", "line", F.min("line").over(own).alias("first"), F.max("line").over(own).alias("last"))
            .where("first <> last").select("band", "line"))
@@ -150,25 +147,45 @@ def candidates(docs: DataFrame, places: DataFrame, width: int, bands: int, rows:
     often = places.groupBy("line").count().join(members.select("line").distinct(), "line")
     first = (members.join(often, "line").groupBy("band").agg(F.max(F.struct("count", -F.col("line").cast("decimal(20,0)"), "line")).alias("m"))
              .select("band", F.col("m.line").alias("first")))
-    return members.join(table(first, "firsts"), "band").where("line <> first")
+    return members.join(table(first, "firsts"), "band").where("line <> first").select("line", "first").distinct()
+
 
+def distinct_shingles(lines: list[str], width: int) -> np.ndarray:
+    """Number of the line (at most 2^20 of them) in the upper 20 bits and 44 bits of hash below,
+    for all lines' distinct shingles, in ascending order."""
+    return distinct(*wide_hashes(lines, width))
 
-def bitmaps(lines: list[str], width: int) -> np.ndarray:
-    """Each line's shingles as bits of a map. Two lines differ in at least as many shingles as
-    their maps differ in bits."""
-    return maps_of(*shingle_hashes(lines, width))
 
+def distinct(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The same for the sets of 64-bit hashes in `h` that begin at `starts`."""
+    owner = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.append(starts, len(h))))
+    both = np.sort(owner << np.uint64(44) | h >> np.uint64(20))
+    return both[np.append(True, both[1:] != both[:-1])]
 
-def maps_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Bitmaps of the sets of 32-bit hashes in `h` that begin at `starts`."""
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
-    bits = np.zeros((len(starts), 64 * _WORDS), dtype=bool)
-    bits[owner, h % np.uint32(64 * _WORDS)] = True
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+def odd_maps(shingles: np.ndarray, n: int) -> np.ndarray:
+    """Maps of the `n` sets in `shingles` (as from `distinct_shingles`); their bits tell whether an
+    odd number of hashes falls on them. Two sets differ in at least as many shingles as their maps
+    differ in bits, and only what differs fills the maps, however much the sets share."""
+    size = 64 * _WORDS
+    maps = np.empty((n, _WORDS), dtype=np.int64)
+    for part in range(0, n, _PART):
+        stop = min(part + _PART, n)
+        some = shingles[slice(*np.searchsorted(shingles, np.array([part, stop], dtype=np.uint64) << np.uint64(44)))]
+        spots = ((some >> np.uint64(44)) - np.uint64(part)) * np.uint64(size) + some % np.uint64(size)
+        bits = np.bincount(spots.astype(np.int64), minlength=(stop - part) * size).astype(np.uint8) & 1
+        maps[part:stop] = np.packbits(bits.reshape(-1, size), axis=1, bitorder="little").view("<i8")
+    return maps
+
+
+def sizes(shingles: np.ndarray, n: int) -> np.ndarray:
+    """Number of elements of each of the `n` sets in `shingles`."""
+    return np.bincount((shingles >> np.uint64(44)).astype(np.int64), minlength=n)
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """line, its normal form and number of distinct shingles, of the lines in `wanted` (line, row, position)."""
+    """line, its normal form, number of distinct shingle hashes and odd map, of the lines in
+    `wanted` (line, row, position)."""
     def run(batch):
         out: dict[int, str] = {}
         for data, positions in zip(batch.column("text").to_pylist(), batch.column("positions").to_pylist()):
@@ -176,62 +193,90 @@ def line_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for k in positions:
                 line = _normal(lines[k])
                 out[_line_hash(line)] = line
-        size = [len({t[k:k + width] for k in range(len(t) - width + 1)}) for t in out.values()]
-        maps = bitmaps(list(out.values()), width)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.string()), pa.array(size, pa.int32())]
-            + [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(_WORDS)], names=["line", "line_text", "size", *_MAP])
+        texts = list(out.values())
+        for part in range(0, len(texts), _PART):
+            some = texts[part:part + _PART]
+            shingles = distinct_shingles(some, width)
+            size, maps = sizes(shingles, len(some)), odd_maps(shingles, len(some))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(out)[part:part + _PART], pa.int64()), pa.array(some, pa.string()), pa.array(size, pa.int32())]
+                + [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(_WORDS)], names=["line", "line_text", "size", *_MAP])
 
     by_row = wanted.groupBy("row").agg(F.collect_list("position").alias("positions"))
     texts = keyed(docs, "text").where("text is not null").select("row", packed_text())
     return texts.join(by_row, "row").mapInArrow(in_slices(run, limit=1 << 20), "line long, line_text string, size int, " + ", ".join(f"{m} long" for m in _MAP))
 
 
-def _jaccard(a: str, b: str, width: int) -> float:
+def _exact(a: str, b: str, width: int) -> float:
     x, y = ({s[k:k + width] for k in range(len(s) - width + 1)} for s in (a, b))
     return len(x & y) / len(x | y)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """line, first, jaccard: the exact similarity of `pairs` (line, first)."""
+def jaccards(a: list[str], b: list[str], width: int, threshold: float) -> np.ndarray:
+    """Jaccard similarities of the shingle sets of a[k] and b[k]. 44-bit hashes settle what is
+    clear; pairs within 0.02 of `threshold`, and small sets, are counted on the shingles themselves."""
+    x, y = distinct_shingles(a, width), distinct_shingles(b, width)
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = sizes(both[1:][both[1:] == both[:-1]], len(a))
+    union = sizes(x, len(a)) + sizes(y, len(a)) - shared
+    out = shared / union
+    for k in np.flatnonzero((np.abs(out - threshold) <= 0.02) | (union <= 50)).tolist():
+        out[k] = _exact(a[k], b[k], width)
+    return out
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """line, first, jaccard: the similarity of `pairs` (line, first)."""
     def run(batch):
-        a, b = batch.column("line_text").to_pylist(), batch.column("first_text").to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column("line"), batch.column("first"), pa.array([_jaccard(x, y, width) for x, y in zip(a, b)], pa.float64())],
-                                         names=["line", "first", "jaccard"])
+        for part in range(0, batch.num_rows, _PART):
+            some = batch.slice(part, _PART)
+            found = jaccards(some.column("line_text").to_pylist(), some.column("first_text").to_pylist(), width, threshold)
+            yield pa.RecordBatch.from_arrays([some.column("line"), some.column("first"), pa.array(found)], names=["line", "first", "jaccard"])
 
     texts = texts.select("line", "line_text")
     return (pairs.join(texts.toDF("first", "first_text"), "first").join(texts, "line").select("line", "first", "line_text", "first_text")
             .mapInArrow(in_slices(run, "line_text", 1 << 20), "line long, first long, jaccard double"))
 
 
+def _may_be_similar(threshold: float, one: str, other: str):
+    """Condition on sizes and odd maps that all pairs at `threshold` or more meet; the names of the
+    columns begin with `one` and `other`."""
+    size, size_2 = F.col(f"{one}size"), F.col(f"{other}size")
+    unlike = sum((F.bit_count(F.col(f"{one}{m}").bitwiseXOR(F.col(f"{other}{m}"))) for m in _MAP), F.lit(0))
+    return ((F.least(size, size_2) >= (threshold - 1e-9) * F.greatest(size, size_2))
+            & (unlike <= (1 - threshold + 1e-9) / (1 + threshold) * (size + size_2)))
+
+
 def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """The table of first places (line, row, position), and (line, component) of the lines that
     links at `threshold` or more join to other lines. A pair at 0.8 shares a band with a
     probability of 0.997."""
-    places = table(first_lines(docs), "places")
-    found = table(candidates(docs, places, width, bands, rows), "candidates")
+    places = table(lines_of_tasks(docs, width, bands, rows), "places")
+    found = table(candidates(places), "candidates")
     wanted = found.select(F.explode(F.array("line", "first")).alias("line")).distinct()
     where = places.groupBy("line").agg(F.min(F.struct("row", "position")).alias("at"))
     texts = table(line_texts(docs, where.join(wanted, "line").select("line", "at.row", "at.position"), width), "lines")
-    tested = table(verified(found.select("line", "first").distinct(), texts, width), "tested")
-    similar = F.col("jaccard") >= threshold
-    grouped = table(connected_components(tested.where(similar).select(F.col("line").alias("a"), F.col("first").alias("b"))), "grouped")
-    # Lines unlike their band's first one, against all of that band that are not joined to them
-    # yet. Two lines can be similar only if their sizes are, if their distances from the first one
-    # differ by no more than their own distance may, and if few bits of their maps differ.
-    members = table(found.join(tested, ["line", "first"]).join(texts.drop("line_text"), "line")
-                    .join(grouped.toDF("line", "own"), "line", "left")
-                    .select("band", "line", "size", "jaccard", F.coalesce("own", "line").alias("own"), *_MAP), "members")
-    failed = members.where(~similar)
-    other = members.toDF("other_band", "other", "other_size", "other_jaccard", "other_own", *[f"other_{m}" for m in _MAP])
-    room = 1 - threshold + 1e-9
-    unlike = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"other_{m}"))) for m in _MAP), F.lit(0))
-    again = (failed.join(other, (F.col("band") == F.col("other_band")) & (F.col("own") != F.col("other_own"))
-                         & (F.abs(F.col("jaccard") - F.col("other_jaccard")) <= room)
-                         & (F.least("size", "other_size") >= (threshold - 1e-9) * F.greatest("size", "other_size"))
-                         & (unlike <= room / (1 + threshold) * (F.col("size") + F.col("other_size"))))
-             .select(F.greatest("line", "other").alias("line"), F.least("line", "other").alias("first")).distinct())
-    more = verified(again, texts, width).where(similar)
+    maps = texts.drop("line_text")
+    pairs = table(found.join(maps.toDF("first", "first_size", *[f"first_{m}" for m in _MAP]), "first").join(maps, "line")
+                  .select("line", "first", "size", *_MAP, _may_be_similar(threshold, "", "first_").alias("near")), "pairs")
+    tested = table(verified(pairs.where("near").select("line", "first"), texts, width, threshold), "tested")
+    grouped = table(connected_components(tested.where(F.col("jaccard") >= threshold).select(F.col("line").alias("a"), F.col("first").alias("b"))), "grouped")
+    # Lines unlike the first one of their bands, against all lines with that first one that are not
+    # joined to them yet. Two lines can be similar only if their sizes are, if their distances from
+    # the first one differ by no more than their own distance may, and if few bits of their maps differ.
+    own = Window.partitionBy("first")
+    members = table(pairs.drop("near").join(tested, ["line", "first"], "left").join(grouped.toDF("line", "own"), "line", "left")
+                    .withColumn("own", F.coalesce("own", "line")).withColumn("failed", F.coalesce(F.col("jaccard") < threshold, F.lit(True)))
+                    .withColumn("n", F.count("*").over(own)).withColumn("any_failed", F.max("failed").over(own))
+                    .where("n > 1 and any_failed").drop("n", "any_failed"), "members")
+    other = members.toDF(*["other_" + c for c in members.columns])
+    distances = F.abs(F.col("jaccard") - F.col("other_jaccard"))
+    again = (members.where("failed").join(other, (F.col("first") == F.col("other_first")) & (F.col("own") != F.col("other_own"))
+                                          & (~F.col("other_failed") | (F.col("line") < F.col("other_line")))
+                                          & (distances.isNull() | (distances <= 1 - threshold + 1e-9)) & _may_be_similar(threshold, "", "other_"))
+             .select(F.greatest("line", "other_line").alias("line"), F.least("line", "other_line").alias("first")).distinct())
+    more = verified(again, texts, width, threshold).where(F.col("jaccard") >= threshold)
     joined = (more.join(grouped.toDF("line", "a"), "line", "left").join(grouped.toDF("first", "b"), "first", "left")
               .select(F.coalesce("a", "line").alias("a"), F.coalesce("b", "first").alias("b")))
     merged = connected_components(joined).toDF("component", "least")
