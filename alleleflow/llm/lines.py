@@ -226,6 +226,13 @@ def jaccards(a: list[str], b: list[str], width: int, threshold: float) -> np.nda
     return out
 
 
+def _with_both(pairs: DataFrame, what: DataFrame) -> DataFrame:
+    """`pairs` (line, first) as "pair", with the rows of `what` (line, ...) of the line as "own" and of
+    the first one as "lead". Both sides are the same plan, so that `what` is shuffled once."""
+    return (pairs.alias("pair").join(what.alias("lead"), F.col("pair.first") == F.col("lead.line"))
+            .join(what.alias("own"), F.col("pair.line") == F.col("own.line")))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """line, first, jaccard: the similarity of `pairs` (line, first)."""
     def run(batch):
@@ -234,8 +241,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -
             found = jaccards(some.column("line_text").to_pylist(), some.column("first_text").to_pylist(), width, threshold)
             yield pa.RecordBatch.from_arrays([some.column("line"), some.column("first"), pa.array(found)], names=["line", "first", "jaccard"])
 
-    texts = texts.select("line", "line_text")
-    return (pairs.join(texts.toDF("first", "first_text"), "first").join(texts, "line").select("line", "first", "line_text", "first_text")
+    both = _with_both(pairs, texts.select("line", "line_text"))
+    return (both.select("pair.*", "own.line_text", F.col("lead.line_text").alias("first_text"))
             .mapInArrow(in_slices(run, "line_text", 1 << 20), "line long, first long, jaccard double"))
 
 
@@ -258,8 +265,7 @@ def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3
     where = places.groupBy("line").agg(F.min(F.struct("row", "position")).alias("at"))
     texts = table(line_texts(docs, where.join(wanted, "line").select("line", "at.row", "at.position"), width), "lines")
     maps = texts.drop("line_text")
-    pairs = table(found.join(maps.toDF("first", "first_size", *[f"first_{m}" for m in _MAP]), "first").join(maps, "line")
-                  .select("line", "first", "size", *_MAP, _may_be_similar(threshold, "", "first_").alias("near")), "pairs")
+    pairs = table(_with_both(found, maps).select("pair.*", "own.size", *[f"own.{m}" for m in _MAP], _may_be_similar(threshold, "own.", "lead.").alias("near")), "pairs")
     tested = table(verified(pairs.where("near").select("line", "first"), texts, width, threshold), "tested")
     grouped = table(connected_components(tested.where(F.col("jaccard") >= threshold).select(F.col("line").alias("a"), F.col("first").alias("b"))), "grouped")
     # Lines unlike the first one of their bands, against all lines with that first one that are not
@@ -276,7 +282,9 @@ def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3
                                           & (~F.col("other_failed") | (F.col("line") < F.col("other_line")))
                                           & (distances.isNull() | (distances <= 1 - threshold + 1e-9)) & _may_be_similar(threshold, "", "other_"))
              .select(F.greatest("line", "other_line").alias("line"), F.least("line", "other_line").alias("first")).distinct())
-    more = verified(again, texts, width, threshold).where(F.col("jaccard") >= threshold)
+    again = table(again, "again")
+    few = texts.join(again.select(F.explode(F.array("line", "first")).alias("line")).distinct(), "line", "left_semi")
+    more = verified(again, few, width, threshold).where(F.col("jaccard") >= threshold)
     joined = (more.join(grouped.toDF("line", "a"), "line", "left").join(grouped.toDF("first", "b"), "first", "left")
               .select(F.coalesce("a", "line").alias("a"), F.coalesce("b", "first").alias("b")))
     merged = connected_components(joined).toDF("component", "least")
