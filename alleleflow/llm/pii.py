@@ -11,7 +11,9 @@ the span's shape and votes, which decides about the wider candidates. Strict spa
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "plausible", "gazetteer", "context", "counter")
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9._%+@-]*")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]++")
+# The leftmost match begins where a run of digits does, so that long runs are read once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WIDE = {
@@ -64,6 +67,8 @@ def strict_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "@" in text:
         for run in _EMAIL_RUN.finditer(text):
+            if "@" not in run[0]:
+                continue
             out += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text, run.start(), run.end())]
     out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
     for m in _CARD.finditer(text):
@@ -93,8 +98,9 @@ def _wide_spans(text: str, strict: list[tuple[int, int, str]]) -> list[tuple[int
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(_digits(m[0])) <= 19:
             found.append((m.start(), 2, m.end()))
-    ends = [(a, b) for a, _, b in strict]
-    return [s for s in sorted(set(found)) if not any(a < s[2] and s[0] < b for a, b in ends)]
+    starts = [a for a, _, _ in strict]
+    furthest = list(accumulate((b for _, _, b in strict), max))      # end among the first strict spans
+    return [s for s in sorted(set(found)) if not (k := bisect_left(starts, s[2])) or furthest[k - 1] <= s[0]]
 
 
 def _votes(text: str, start: int, kind: int, end: int, strict: bool) -> tuple[int, int]:
