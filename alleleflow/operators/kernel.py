@@ -2,8 +2,8 @@
 
 The similarities of a row are made and used inside a task and never become columns. Their moment
 matrix is gathered in square blocks, one array each, that are added up in levels; each fit is then
-solved by preconditioned conjugate gradients over its blocks in one task, whose size is set by the
-number of landmarks. Only coefficients reach the driver."""
+solved in one task, whose size is set by the number of landmarks, by an inverse that conjugate
+gradients over the blocks refine. Only coefficients reach the driver."""
 
 from __future__ import annotations
 
@@ -132,7 +132,9 @@ def conjugate_gradients(times, prepare, b: np.ndarray, tolerance: float = 1e-11,
 
 def solve_ridge(m: Blocks, n_targets: int, alpha: float) -> tuple[np.ndarray, np.ndarray, int]:
     """Coefficients (targets, features), intercepts and rounds of the ridge fits on standardised
-    features and targets, from the moment matrix of (1, targets, features)."""
+    features and targets, from the moment matrix of (1, targets, features). Similar landmarks make
+    the matrix worse conditioned with every row, so it is inverted as a whole and the rounds only
+    refine the solution; blocks of its diagonal as preconditioner do not converge on large tables."""
     unit = np.zeros((m.n, 1 + n_targets))
     unit[:1 + n_targets] = np.eye(1 + n_targets)
     head = m.times(unit)                                   # the first columns of the matrix
@@ -148,13 +150,17 @@ def solve_ridge(m: Blocks, n_targets: int, alpha: float) -> tuple[np.ndarray, np
         u = inverse[:, None] * v
         return inverse[:, None] * (m.times(u) - n * mean[:, None] * (mean @ u)) + alpha * v
 
-    parts = []
-    for k, s in enumerate(m.spans):
-        scaled = np.outer(inverse[s], inverse[s])
-        parts.append(np.linalg.inv(scaled * (m.blocks[(k, k)] - n * np.outer(mean[s], mean[s])) + alpha * np.eye(s.stop - s.start)))
+    whole = alpha * np.eye(m.n)                            # the matrix that `times` applies
+    for (i, j), block in m.blocks.items():
+        p, q = m.spans[i], m.spans[j]
+        part = np.outer(inverse[p], inverse[q]) * (block - n * np.outer(mean[p], mean[q]))
+        whole[p, q] += part
+        if i != j:
+            whole[q, p] += part.T
+    whole = np.linalg.inv(whole)
 
     def prepare(r):
-        return np.concatenate([p @ r[s] for p, s in zip(parts, m.spans)])
+        return whole @ r
 
     b = inverse[:, None] * (head[:, 1:] - n * mean[:, None] * mean[1:first]) / sd[1:first]
     w, rounds = conjugate_gradients(times, prepare, b)

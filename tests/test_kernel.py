@@ -79,3 +79,20 @@ def test_blocks_multiply_like_the_matrix():
     b = kn.Blocks({(i, j): m[p, q] for i, p in enumerate(spans) for j, q in enumerate(spans) if i <= j}, 23, 7)
     v = rng.normal(size=(23, 2))
     assert np.allclose(b.times(v), m @ v) and np.allclose(b.diagonal(), np.diag(m))
+
+
+def test_many_rows_on_similar_landmarks_are_solved():
+    """Landmarks that nearly repeat each other, each row counted 10,000 times."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 3))
+    phi = kn.basis_of(np.zeros(3), np.ones(3), x[:400], 4.0).of(x)
+    y = np.sin(x[:, :1])
+    a = np.concatenate([np.ones((2000, 1)), y, phi], axis=1)
+    m = 10_000 * (a.T @ a)
+    spans = kn._spans(len(m), 64)
+    blocks = kn.Blocks({(i, j): m[p, q] for i, p in enumerate(spans) for j, q in enumerate(spans) if i <= j}, len(m), 64)
+    coef, intercept, rounds = kn.solve_ridge(blocks, 1, 1.0)
+    assert rounds < 50
+    order = [0, *range(2, len(m)), 1]
+    head = ridge_from_moments(m[np.ix_(order, order)], [str(i) for i in range(400)], 1.0)
+    assert phi @ coef[0] + intercept[0] == pytest.approx(phi @ head.coef[0] + head.intercept[0], abs=1e-5)
