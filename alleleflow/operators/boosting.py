@@ -155,27 +155,31 @@ def _scores(batch: pa.RecordBatch, fit: _Fit, pending: list[Trees]) -> tuple:
 def _count(fit: _Fit, bins, scores, y, outside, growing: Trees, wanted: np.ndarray, level: int) -> dict:
     """{tree: (wanted nodes, 3, features x bins)} of some rows: count, gradient and curvature of the
     training rows (`outside(i)`) in the nodes that `wanted` numbers (-1: not wanted)."""
-    size = fit.n_features * fit.width
-    places = bins.astype(np.int64) + np.arange(fit.n_features) * fit.width
     slots, out = wanted.max(axis=1) + 1, {}
+    columns = np.ascontiguousarray(bins.T)
     for i in range(len(fit.folds)):
         mine = range(i * fit.n_classes, (i + 1) * fit.n_classes)
         if not slots[mine.start:mine.stop].any():
             continue
         train = outside(i)
+        inside = bins[train]
         s = scores[train, i]
         p = np.exp(s - s.max(axis=1, keepdims=True)) if len(s) else s
         p /= p.sum(axis=1, keepdims=True)
         for c, t in enumerate(mine):
             if not slots[t]:
                 continue
-            slot = wanted[t, growing.nodes(t, bins[train], level)]
+            slot = wanted[t, growing.nodes(t, inside, level)]
             here = np.flatnonzero(slot >= 0)
-            prob = p[here, c]
-            flat = (places[train[here]] + (slot[here] * size)[:, None]).ravel()
-            sums = [np.bincount(flat, w, slots[t] * size) for w in (
-                None, np.repeat(prob - (y[train[here]] == c), fit.n_features), np.repeat(prob * (1 - prob), fit.n_features))]
-            out[t] = np.stack([x.reshape(slots[t], size) for x in sums], axis=1).astype(float)
+            rows, prob = train[here], p[here, c]
+            first, size = slot[here] * fit.width, slots[t] * fit.width
+            gradient, curvature = prob - (y[rows] == c), prob * (1 - prob)
+            sums = np.empty((slots[t], 3, fit.n_features, fit.width))
+            for f, column in enumerate(columns):     # a feature's counts and rows stay in the cache
+                at = first + column[rows]
+                for k, weights in enumerate((None, gradient, curvature)):
+                    sums[:, k, f] = np.bincount(at, weights, size).reshape(slots[t], fit.width)
+            out[t] = sums.reshape(slots[t], 3, -1)
     return out
 
 
