@@ -1,6 +1,8 @@
-"""Near-duplicate documents: MinHash over word shingles, exact Jaccard, one document per component.
+"""Near-duplicate documents: SimHash and MinHash over word shingles, exact Jaccard, one document per component.
 
 Texts are collapsed to their words in lower case, so that any number of copies counts once. Texts
+whose SimHash fingerprints meet in the popcount grid are compared; most pairs at 0.8 differ in more
+bits, so MinHash bands find candidates beside them. Texts
 that share a band are compared with the band's most frequent text, then those that it does not join
 with the rest of the band, as far as sizes, distances and odd maps leave them. Every link is an
 exact Jaccard similarity of word shingles."""
@@ -15,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from alleleflow.llm import simhash
 from alleleflow.llm.components import connected_components
 from alleleflow.llm.lines import _BASE, _MAP, distinct, minima, odd_maps, sizes
 from alleleflow.llm.shared import free_name, in_slices, keyed, own_cache, packed_text, table, text_or_empty, unpack
@@ -54,8 +57,8 @@ def band_keys(texts: list[list[bytes]], width: int, bands: int, rows: int) -> np
 
 def prints(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """row, text_id (of the words), and once per task and text: bands, size (number of distinct
-    shingles) and odd map. Texts without words have no bands."""
-    names = ["row", "text_id", "bands", "size", *_MAP]
+    shingles), odd map and SimHash fingerprint. Texts without words have no bands."""
+    names = ["row", "text_id", "bands", "size", *_MAP, "fp"]
 
     def run(batches):
         from xxhash import xxh3_64_intdigest
@@ -83,14 +86,15 @@ def prints(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 size, maps = sizes(shingles, len(new)), odd_maps(shingles, len(new))
             else:
                 keys, maps, size = np.zeros((0, bands), np.int64), np.zeros((0, len(_MAP)), np.int64), []
+            fps = np.array([simhash.fingerprint(b" ".join(t), width) for t in new], dtype=np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * bands), pa.array(keys.ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), lists.take(take), pa.array(size, pa.int32()).take(take)]
-                + [pa.array(np.ascontiguousarray(maps[:, k])).take(take) for k in range(len(_MAP))], names=names)
+                + [pa.array(np.ascontiguousarray(maps[:, k])).take(take) for k in range(len(_MAP))] + [pa.array(fps, pa.int64()).take(take)], names=names)
 
         yield from in_slices(each)(batches)
 
-    schema = "row long, text_id long, bands array<long>, size int, " + ", ".join(f"{m} long" for m in _MAP)
+    schema = "row long, text_id long, bands array<long>, size int, " + ", ".join(f"{m} long" for m in (*_MAP, "fp"))
     return keyed(docs, "text").select("row", text_or_empty()).mapInArrow(run, schema)
 
 
@@ -116,9 +120,19 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return joined.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, jaccard double")
 
 
+def print_pairs(once: DataFrame, bits: int = 4) -> DataFrame:
+    """a, b: texts whose fingerprints `fp` differ in `bits` or fewer bits, by way of one text for each
+    distinct fingerprint."""
+    marks = table(once.groupBy("fp").agg(F.min("text_id").alias("mark")), "marks")
+    equal = once.select("text_id", "fp").distinct().join(marks, "fp").where("text_id <> mark").select(F.col("text_id").alias("a"), F.col("mark").alias("b"))
+    near = simhash.close_pairs(marks.select("fp"), bits).toDF("fp_a", "fp_b")
+    near = near.join(marks.toDF("fp_a", "a"), "fp_a").join(marks.toDF("fp_b", "b"), "fp_b").select("a", "b")
+    return equal.unionByName(near).distinct()
+
+
 def first_rows(docs: DataFrame, width: int = 5, bands: int = 16, rows: int = 3, threshold: float = 0.8) -> DataFrame:
-    """keep: the first row of each component of texts that links of `threshold` or more join. A
-    pair at 0.8 shares a band with a probability of 0.99999."""
+    """keep: the first row of each component of texts that links of `threshold` or more join.
+    Candidates come from SimHash fingerprints and from bands; a pair at 0.8 shares a band with a probability of 0.99999."""
     printed = table(prints(docs, width, bands, rows), "prints")
     own = table(printed.groupBy("text_id").agg(F.min("row").alias("first"), F.count("*").alias("n")), "texts")
     once = printed.where("bands is not null").drop("row")
@@ -127,13 +141,16 @@ def first_rows(docs: DataFrame, width: int = 5, bands: int = 16, rows: int = 3,
     often = (members.groupBy("band").agg(F.max(F.struct("n", "text_id")).alias("m"), F.min("text_id").alias("least"), F.max("text_id").alias("most"))
              .where("least <> most").select("band", F.col("m.text_id").alias("lead")))
     met = table(members.join(table(often, "leads"), "band").select("band", "text_id", "lead"), "met")
-    wanted = met.select("text_id").distinct().join(own, "text_id").select("text_id", "first")
+    printed_pairs = table(print_pairs(once), "print-pairs")
+    wanted = (met.select("text_id").unionByName(printed_pairs.select(F.explode(F.array("a", "b")).alias("text_id")))
+              .distinct().join(own, "text_id").select("text_id", "first"))
     texts = table(keyed(docs, "text", key="first").select("first", packed_text()).join(wanted, "first").select("text_id", "text"), "packed")
     tested = table(verified(met.where("text_id <> lead").select(F.col("text_id").alias("a"), F.col("lead").alias("b")).distinct(), texts, width), "tested")
-    linked = tested.where(F.col("jaccard") >= threshold).select("a", "b")
+    by_print = verified(printed_pairs, texts, width).where(F.col("jaccard") >= threshold).select("a", "b")
+    linked = table(tested.where(F.col("jaccard") >= threshold).select("a", "b").unionByName(by_print).distinct(), "linked")
     grouped = table(connected_components(linked), "grouped")
     # Texts unlike their band's lead, against all of that band that are not joined to them yet
-    sketch = table(once.dropDuplicates(["text_id"]).drop("bands").join(met.select("text_id").distinct(), "text_id"), "sketches")
+    sketch = table(once.dropDuplicates(["text_id"]).drop("bands", "fp").join(met.select("text_id").distinct(), "text_id"), "sketches")
     far = (met.where("text_id <> lead").join(tested.toDF("text_id", "lead", "jaccard"), ["text_id", "lead"])
            .join(sketch, "text_id").join(grouped.toDF("text_id", "own"), "text_id", "left")
            .select("band", "text_id", "size", "jaccard", F.coalesce("own", "text_id").alias("own"), *_MAP))

@@ -28,7 +28,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that links of 5-word-shingle Jaccard similarity 0.8 or more join."""
+    """The first document of each group that links of 5-word-shingle Jaccard similarity 0.8 or more join.
+    Candidates come from SimHash fingerprints within 4 bits and, for the pairs these miss, from MinHash."""
     return similar.drop_near_duplicates(docs)
 
 
@@ -45,7 +46,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [("toxicity", reject_toxic), ("line dedup", dedup_lines), ("near-dedup", dedup_documents),
           ("benchmark decontamination", decontaminate_documents), ("packing", pack_documents)]
 
-#: Tokenization and MinHash have no SQL form; tests/llm holds the run against brute force.
+#: Tokenization, SimHash and MinHash have no SQL form; tests/llm holds the run against brute force.
 ORACLE_SQL = None
 
 

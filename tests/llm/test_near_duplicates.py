@@ -67,3 +67,19 @@ def test_bands_find_pairs_at_the_threshold():
         b.append([w if isinstance(w, bytes) else w.encode() for w in _changed(rng, base, 4)])   # 180 shingles, 20 changed: 160 / 200
     shared = (similar.band_keys(a, 5, 16, 3) == similar.band_keys(b, 5, 16, 3)).any(axis=1)
     assert shared.mean() >= 0.999
+
+
+def test_fingerprints_give_candidates_that_bands_miss(spark):
+    """With one band of 60 minima hardly a pair shares it; close fingerprints are tested all the same."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(12):
+        base = list(rng.choice(WORDS, 600))
+        texts += [" ".join(base), " ".join(_changed(rng, base, 5))]
+    docs = table(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3), "docs")
+    once = similar.prints(docs, 5, 1, 60).where("bands is not null").drop("row")
+    pairs = {(min(r), max(r)) for r in map(tuple, similar.print_pairs(once).collect())}
+    ids = once.select("text_id", "fp").collect()
+    want = {(min(a[0], b[0]), max(a[0], b[0])) for a in ids for b in ids if a[0] != b[0] and ((a[1] ^ b[1]) & (2 ** 64 - 1)).bit_count() <= 4}
+    assert pairs == want and len(want) >= 3
+    assert similar.first_rows(docs, 5, 1, 60).count() <= len(texts) - len(want)
