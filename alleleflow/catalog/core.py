@@ -521,8 +521,7 @@ N_POPS = 12
 
 def obs12(spark, sf):
     """Multi-allelic observations of twelve populations: nations modulo twelve."""
-    return (v.table(spark, sf, "lineitem").join(v.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(v.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return (v.table(spark, sf, "lineitem").join(v.order_nations(spark, sf), F.col("l_orderkey") == F.col("o_orderkey"))
             .selectExpr("l_suppkey AS locus", f"concat('N', c_nationkey % {N_POPS}) AS pop", "int(ceil(l_quantity / 10)) AS allele"))
 
 

@@ -73,10 +73,16 @@ MULTI_OBS = """multi_obs AS (
   FROM lineitem)"""
 
 
+def order_nations(spark, sf):
+    """(o_orderkey, c_nationkey): orders meet their customers first, so that line items, the largest
+    table, are joined and shuffled once."""
+    return (table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .select("o_orderkey", "c_nationkey"))
+
+
 def obs4(spark, sf):
     return (table(spark, sf, "lineitem")
-            .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(order_nations(spark, sf), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(F.col("l_partkey").alias("locus"),
@@ -101,8 +107,7 @@ OBS4 = """obs4 AS (
 def obs5(spark, sf):
     """Multi-allelic observations of all five regions as populations R0 ... R4."""
     return (table(spark, sf, "lineitem")
-            .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(order_nations(spark, sf), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .selectExpr("l_suppkey AS locus", "concat('R', n_regionkey) AS pop",
                         "int(ceil(l_quantity / 10)) AS allele"))

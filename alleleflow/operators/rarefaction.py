@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alleleflow.functions.arrays import sum_arrays
+from alleleflow.functions.arrays import ship, sum_arrays
 from alleleflow.functions.exprs import absent, log_factorial, smallest
 from alleleflow.operators.counts import (
     count_columns, joint_sfs, shape_of, total_copies, total_sql)
 from alleleflow.plans.contract import BLOCKS, FEATURES
 
+ship(__name__)
+
 
 def _is_cells(counts: DataFrame) -> bool:
     return "cells" in counts.columns
@@ -149,40 +151,85 @@ def subset_richness(counts: DataFrame, max_depth: int | None = None, first_depth
     return rows.selectExpr(*[c for c in rows.columns if c != "_q"], f"{total} AS _subsets")
 
 
-def subset_moments(counts: DataFrame, max_depth: int | None = None, keys=(), rows_at_once: int = 256) -> DataFrame:
+def _half_lattice(q: np.ndarray) -> np.ndarray:
+    """Chances of all presence patterns of some populations, in the last axis, as `subset_lattice`
+    orders them; `q` has the populations in its last axis."""
+    v = np.ones((*q.shape[:-1], 1))
+    for j in range(q.shape[-1]):
+        v = np.concatenate([v * q[..., j:j + 1], v * (1 - q[..., j:j + 1])], axis=-1)
+    return v
+
+
+def _lattice_sums(cells: np.ndarray, top: int):
+    """For each depth 2 ... `top`: sums and sums of squares over loci of every subset's richness.
+    `cells` (loci, alleles, populations) holds counts of loci that all reach `top`; alleles without
+    any copy stand for alleles that a locus lacks and add nothing.
+
+    A pattern's chance is a product over populations, so a locus is one product of two matrices,
+    patterns of the first half of the populations by patterns of the second. Chances of absence
+    go from depth to depth by one factor."""
+    pops = cells.shape[2]
+    total = cells.sum(1, keepdims=True)
+    rest, none = (total - cells).astype(float), ~cells.any(2)
+    q = np.ones(cells.shape)
+    for g in range(1, top + 1):
+        q *= np.maximum(rest - (g - 1), 0) / (total - (g - 1))
+        if g < 2:
+            continue
+        low, high = _half_lattice(q[..., :pops // 2]), _half_lattice(q[..., pops // 2:])
+        low[none] = 0
+        x = np.matmul(high.transpose(0, 2, 1), low).reshape(len(cells), -1)
+        yield g, x.sum(0), np.einsum("lm,lm->m", x, x)
+
+
+def subset_moments(counts: DataFrame, max_depth: int | None = None, keys=(), rows_at_once: int = 16) -> DataFrame:
     """Mean and variance over loci of every subset's private richness at every depth that all loci of
     a key reach: (keys, g, subset, n_loci, mean, variance), `subset` as the number of its bits.
 
-    A task forms the lattices of some rows at a time and adds them up; one array of sums per task,
-    key and depth is shuffled, so what moves depends on depths and subsets, not on loci."""
+    Only those depths are computed. A task forms the lattices of some loci at a time, few enough to
+    stay in the cache, and adds them up; one array of sums per task, key and depth is shuffled, so
+    what moves depends on depths and subsets, not on loci."""
     keys = list(keys)
     wanted = counts.select(*keys, *[c for c in counts.columns if c == "cells" or (c[0] == "c" and c[1:2].isdigit())])
     pops = len(_copies(wanted))
-    rows = absences(wanted, max_depth).select(*keys, "g", "_q")
+    top = shared_depth(wanted, max_depth, keys)
+    wanted = _as_cells(wanted)
+    fields = wanted.schema["cells"].dataType.elementType.names
+    flat = F.flatten(F.transform("cells", lambda c: F.array(*[c[f] for f in fields])))
+    rows = wanted.select(*keys, flat.alias("_c"))
+    rows = rows.join(top, keys) if keys else rows.crossJoin(F.broadcast(top))       # one row
+    # loci are few bytes but much work: spread them over all tasks, where adaptive execution would
+    # merge them into few by size
+    rows = rows.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def add_up(batches):
         held: dict = {}
         types = None
-        for whole in batches:
-            for first in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(first, rows_at_once)
-                types = batch.schema
-                alleles = batch.column("_q")
-                owner = np.repeat(np.arange(batch.num_rows), alleles.value_lengths().to_numpy(zero_copy_only=False))
-                q = alleles.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, pops)
-                v = np.ones((len(q), 1))
-                for j in range(pops):
-                    v = np.concatenate([v * q[:, j:j + 1], v * (1 - q[:, j:j + 1])], axis=1)
-                x = np.add.reduceat(v, np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]), axis=0)
-                groups: dict = {}
-                for k, key in enumerate(zip(*[batch.column(c).to_pylist() for c in (*keys, "g")])):
-                    groups.setdefault(key, []).append(k)
-                for key, at in groups.items():
-                    part = np.concatenate([[len(at)], x[at].sum(0), (x[at] ** 2).sum(0)])
-                    held[key] = held[key] + part if key in held else part
+        for batch in batches:
+            types = batch.schema
+            counted = batch.column("_c")
+            size = counted.value_lengths().to_numpy(zero_copy_only=False)
+            flat, first = counted.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+            groups: dict = {}
+            for k, key in enumerate(zip(*[batch.column(c).to_pylist() for c in (*keys, "_top")])):
+                groups.setdefault(key, []).append(k)
+            for (*key, deepest), at in groups.items():
+                at = np.array(at)[np.argsort(size[at], kind="stable")]      # like numbers of alleles together
+                for start in range(0, len(at), rows_at_once):
+                    some = at[start:start + rows_at_once]
+                    cells = np.zeros((len(some), size[some].max()), np.int64)
+                    for k, row in enumerate(some):
+                        cells[k, :size[row]] = flat[first[row]:first[row] + size[row]]
+                    for g, x, squares in _lattice_sums(cells.reshape(len(some), -1, pops), deepest):
+                        if (*key, g) not in held:
+                            held[(*key, g)] = np.zeros(1 + 2 * 2 ** pops)
+                        part = held[(*key, g)]
+                        part[0] += len(some)
+                        part[1:1 + 2 ** pops] += x
+                        part[1 + 2 ** pops:] += squares
         for key, part in held.items():
-            yield pa.RecordBatch.from_arrays([*[pa.array([k], types.field(c).type) for k, c in zip(key, (*keys, "g"))], pa.array([part.tobytes()], pa.binary())],
-                                             names=[*keys, "g", "v"])
+            yield pa.RecordBatch.from_arrays([*[pa.array([k], types.field(c).type) for k, c in zip(key, keys)], pa.array([key[-1]], pa.int32()),
+                                              pa.array([part.tobytes()], pa.binary())], names=[*keys, "g", "v"])
 
     def finish(batches):
         for batch in batches:
@@ -197,20 +244,18 @@ def subset_moments(counts: DataFrame, max_depth: int | None = None, keys=(), row
                      pa.array(np.full(size, int(n))), pa.array(mean[1:]), pa.array(variance[1:], mask=np.isnan(variance[1:]))],
                     names=[*keys, "g", "subset", "n_loci", "mean", "variance"])
 
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in (*keys, "g"))
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keys) + "g int, "
     sums = sum_arrays(rows.mapInArrow(add_up, kinds + "v binary"), [*keys, "g"], "v")
-    # only depths that all loci reach: few rows per key, so they are compared before entries are made
-    shared = sums.join(depth_grid_of(wanted, max_depth, keys), [*keys, "g"]).select(*keys, "g", "v")
-    return shared.mapInArrow(finish, kinds + "subset int, n_loci long, mean double, variance double")
+    return sums.mapInArrow(finish, kinds + "subset int, n_loci long, mean double, variance double")
 
 
-def depth_grid_of(counts: DataFrame, max_depth: int | None = None, keys=()) -> DataFrame:
-    """Depths 2 ... the smallest copy number over loci and populations (at most `max_depth`), for
-    columns and cells alike."""
+def shared_depth(counts: DataFrame, max_depth: int | None = None, keys=()) -> DataFrame:
+    """`_top` per key: the smallest copy number over loci and populations (at most `max_depth`), where
+    it is 2 or more, for columns and cells alike."""
     top = smallest(_copies(counts))
     if max_depth is not None:
         top = F.least(top, F.lit(max_depth))
-    return counts.groupBy(*keys).agg(F.min(top).alias("_top")).where("_top >= 2").select(*keys, F.explode(F.sequence(F.lit(2), F.col("_top").cast("int"))).alias("g"))
+    return counts.groupBy(*keys).agg(F.min(top).cast("int").alias("_top")).where("_top >= 2")
 
 
 def absence_table(counts: DataFrame, depths) -> DataFrame:

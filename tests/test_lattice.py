@@ -63,3 +63,20 @@ def test_the_plan_grows_linearly(spark):
         df = _counts(spark, [np.ones((2, pops), int) * 3])
         return len(rf.subset_moments(df)._jdf.queryExecution().optimizedPlan().toString())
     assert size(12) < 2.2 * size(6)
+
+
+def test_loci_are_spread_over_tasks_and_lattices_are_products_of_halves(spark):
+    """Few bytes, much work: a table in one partition must not be one task's work."""
+    rng = np.random.default_rng(3)
+    loci = [rng.integers(0, 3, (int(rng.integers(1, 7)), 5)) + np.eye(1, 5, dtype=int)[0] + 1 for _ in range(40)]
+    df = _counts(spark, loci).coalesce(1).cache()
+    df.count()
+    plan = rf.subset_moments(df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(" + spark.conf.get("spark.sql.shuffle.partitions") in plan
+    top = min(3, min(int(c.sum(0).min()) for c in loci))
+    size = max(map(len, loci))
+    sums = {g: (x, squares) for g, x, squares in rf._lattice_sums(np.array([np.pad(c, ((0, size - len(c)), (0, 0))) for c in loci]), top)}
+    assert set(sums) == set(range(2, top + 1))
+    for g, (x, squares) in sums.items():
+        want = np.array([brute(c, g) for c in loci])
+        assert x == pytest.approx(want.sum(0), abs=1e-9) and squares == pytest.approx((want ** 2).sum(0), abs=1e-9)
