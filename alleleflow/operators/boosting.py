@@ -3,22 +3,27 @@
 Columns are cut into bins once. A round grows one tree per fit and class, level by level: one pass
 over the rows adds up gradient histograms (count, gradient, curvature per feature and bin) of the
 nodes of a level for every fit, where only the smaller of two siblings is counted and the other
-one is its parent minus it. Tasks send one array per fit and class, which are added up in levels;
-the driver sees histograms, whose size is set by the parameters, and trees, never rows. Scores of
-rows are kept as a table that is renewed every few rounds.
+one is its parent minus it. Rows are held as blocks of arrays, one per partition, which stay in the
+executors' storage with their scores, so that a pass is one short job. Tasks send one array per fit
+and class; where these are many, they are added up on the way. The driver sees histograms, whose
+size is set by the parameters, and trees, never rows. Scores are added to after every round and
+written to the checkpoint folder every few rounds.
 
 A fitted ensemble is a table of nested arrays (one tree a row) that column expressions walk."""
 
 from __future__ import annotations
 
+import operator
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alleleflow.functions.arrays import doubles, ship, sum_arrays
+from alleleflow.functions.arrays import ship
 from alleleflow.functions.session import checkpointed
 
 TREE = "label_no int, label string, base double, round int, feature array<int>, threshold array<double>, value array<double>"
@@ -141,15 +146,18 @@ class _Fit:
     n_classes: int
 
 
-def _scores(batch: pa.RecordBatch, fit: _Fit, pending: list[Trees]) -> tuple:
+def _arrays(batch: pa.RecordBatch, fit: _Fit) -> tuple:
+    """Bins and scores of some rows."""
     n = batch.num_rows
     bins = np.frombuffer(b"".join(batch.column("_bins").to_pylist()), np.uint8).reshape(n, fit.n_features)
-    scores = np.frombuffer(b"".join(batch.column("_scores").to_pylist())).reshape(n, len(fit.folds), fit.n_classes).copy()
-    for trees in pending:
-        for t in range(len(trees.feature)):
-            i, c = divmod(t, fit.n_classes)
-            scores[:, i, c] += trees.value[t, trees.nodes(t, bins, fit.depth)]
-    return bins, scores
+    return bins, np.frombuffer(b"".join(batch.column("_scores").to_pylist())).reshape(n, len(fit.folds), fit.n_classes).copy()
+
+
+def _advance(fit: _Fit, bins, scores, trees: Trees) -> None:
+    """Add the values of one round's trees to the scores of some rows."""
+    for t in range(len(trees.feature)):
+        i, c = divmod(t, fit.n_classes)
+        scores[:, i, c] += trees.value[t, trees.nodes(t, bins, fit.depth)]
 
 
 def _count(fit: _Fit, bins, scores, y, outside, growing: Trees, wanted: np.ndarray, level: int) -> dict:
@@ -183,29 +191,40 @@ def _count(fit: _Fit, bins, scores, y, outside, growing: Trees, wanted: np.ndarr
     return out
 
 
-def _outside(batch, fit: _Fit):
+def _outside(n: int, folds_of: dict, fit: _Fit):
+    """`folds_of`: the fold of each of `n` rows by fold column."""
     def rows(i):
         column, fold = fit.folds[i]
-        return np.arange(batch.num_rows) if column is None else np.flatnonzero(batch.column(column).to_numpy() != fold)
+        return np.arange(n) if column is None else np.flatnonzero(folds_of[column] != fold)
     return rows
 
 
-def _histograms(state: DataFrame, fit: _Fit, pending: list[Trees], growing: Trees, wanted: np.ndarray, level: int, parts: int) -> dict:
-    """The counts of all rows: one pass for all trees, one array per task and tree."""
-    def work(batches):
-        held: dict = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins, scores = _scores(batch, fit, pending)
-            got = _count(fit, bins, scores, batch.column("_y").to_numpy(), _outside(batch, fit), growing, wanted, level)
-            for t, v in got.items():
-                held[t] = held[t] + v if t in held else v
-        for t, v in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["tree", "v"])
+def _blocks(state: DataFrame, fit: _Fit, fold_cols) -> RDD:
+    """The rows of a partition as one (bins, scores, labels, folds)."""
+    def pack(batches):
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            bins, scores = (np.concatenate(x) for x in zip(*[_arrays(b, fit) for b in batches]))
+            y, *folds = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in ("_y", *fold_cols))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((bins, scores, y, dict(zip(fold_cols, folds))), 5)], pa.binary())], names=["block"])
+    return state.mapInArrow(pack, "block binary").rdd.map(lambda row: pickle.loads(row[0]))
+
 
-    sums = sum_arrays(state.mapInArrow(work, "tree int, v binary"), ["tree"], "v", parts=parts).toArrow()
-    return dict(zip(sums.column("tree").to_pylist(), (v.reshape(-1, 3, fit.n_features * fit.width) for v in doubles(sums.column("v")))))
+def _histograms(blocks: RDD, fit: _Fit, growing: Trees, wanted: np.ndarray, level: int, direct: int = 2 ** 26) -> dict:
+    """The counts of all rows: one pass for all trees, one array per task and tree. Up to `direct`
+    bytes in all go to the driver as they are, more are added up on the way."""
+    def work(part):
+        for bins, scores, y, folds_of in part:
+            yield from _count(fit, bins, scores, y, _outside(len(y), folds_of, fit), growing, wanted, level).items()
+
+    got = blocks.mapPartitions(work)
+    parts = blocks.getNumPartitions()
+    if int((wanted.max(axis=1) + 1).sum()) * 24 * fit.n_features * fit.width * parts > direct:
+        got = got.reduceByKey(operator.add, parts)
+    held: dict = {}
+    for t, v in got.collect():
+        held[t] = held[t] + v if t in held else v
+    return held
 
 
 def best_splits(hists: np.ndarray, least: int, penalty: float):
@@ -232,7 +251,7 @@ def boost(rows: DataFrame, features, label: str, labels, folds=((None, 0),), rou
     of `folds`, trained on the rows outside the fold; (None, 0) trains on all rows.
 
     Returns the heads and the table of `keep` and `_scores`: every row's scores under every fit
-    (fits x classes doubles as bytes), rows of other labels left out. Bin edges, which see no
+    (fits x classes doubles as bytes; computed when used), rows of other labels left out. Bin edges, which see no
     labels, come from all rows. Base scores are log class shares of the training rows. Up to
     `one_task` rows (a few megabytes of bins) each fit is grown by one task; above that, all by
     passes over the rows."""
@@ -257,7 +276,8 @@ def boost(rows: DataFrame, features, label: str, labels, folds=((None, 0),), rou
                           for x in range(len(labels))], float)
         base[i] = np.log(np.maximum(share, 1e-9) / max(share.sum(), 1e-9))
     total = sum(n for (c, *_), n in counts.items() if c == (fold_cols[0] if fold_cols else None))
-    parts = max(1, -(-total * len(folds) * len(labels) // 500_000))
+    work = total * len(folds) * len(labels)
+    parts = max(1, -(-work // 500_000), min(spark.sparkContext.defaultParallelism, work // 50_000))
 
     first = base.tobytes()
     y_of = F.coalesce(*[F.when(F.col(label) == x, F.lit(k)) for k, x in enumerate(labels)])
@@ -275,29 +295,20 @@ def boost(rows: DataFrame, features, label: str, labels, folds=((None, 0),), rou
     kinds = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns] + ["_y int", "_bins binary", "_scores binary"])
     state = checkpointed(taken.repartition(parts).mapInArrow(prepare, kinds))
 
-    def renewed(state, pending):
+    def scored(state, trees):
         def work(batches):
             for batch in batches:
                 if batch.num_rows:
-                    _, scores = _scores(batch, fit, pending)
+                    bins, scores = _arrays(batch, fit)
+                    for one in trees:
+                        _advance(fit, bins, scores, one)
                     new = pa.array([s.tobytes() for s in scores], pa.binary())
                     yield pa.RecordBatch.from_arrays([*batch.columns[:-1], new], names=batch.schema.names)
-        return checkpointed(state.mapInArrow(work, kinds))
-
-    if total <= one_task:
-        grown = _fits_in_tasks(state, fit, rounds, step, least, penalty)
-        state = renewed(state, grown)
-    else:
-        grown, pending = [], []
-        for _ in range(rounds):
-            def count(trees, wanted, level):
-                return _histograms(state, fit, pending, trees, wanted, level, parts)
-            grown.append(_grow(fit, count, step, least, penalty))
-            pending.append(grown[-1])
-            if len(pending) == renew:
-                state, pending = renewed(state, pending), []
-        if pending:
-            state = renewed(state, pending)
+        return state.mapInArrow(work, kinds)
+
+    grow = _fits_in_tasks if total <= one_task else _fits_by_passes
+    grown = grow(state, fit, fold_cols, rounds, step, least, penalty, renew)
+    state = scored(state, grown)
 
     heads = [BoostedHead(features, labels, base[i].tolist(), [[] for _ in labels]) for i in range(len(folds))]
     last = np.array([len(e) - 1 for e in edges])
@@ -310,24 +321,47 @@ def boost(rows: DataFrame, features, label: str, labels, folds=((None, 0),), rou
     return heads, state.select(*keep, "_scores")
 
 
-def _fits_in_tasks(state: DataFrame, fit: _Fit, rounds: int, step: float, least: int, penalty: float) -> list[Trees]:
+def _fits_by_passes(state: DataFrame, fit: _Fit, fold_cols, rounds: int, step: float, least: int, penalty: float, renew: int) -> list[Trees]:
+    """All rounds by passes over the blocks, one for each level. Every round gives new blocks, stored
+    in place of the last; every `renew` rounds they are also checkpointed, which cuts their lineage."""
+    def added(trees):
+        def work(block):
+            bins, scores, y, folds_of = block
+            scores = scores.copy()
+            _advance(fit, bins, scores, trees)
+            return bins, scores, y, folds_of
+        return work
+
+    blocks, last, grown = _blocks(state, fit, fold_cols).persist(StorageLevel.MEMORY_AND_DISK), None, []
+    for r in range(1, rounds + 1):
+        grown.append(_grow(fit, lambda *now: _histograms(blocks, fit, *now), step, least, penalty))
+        if last is not None:
+            last.unpersist()             # what follows from it has been stored by the passes of this round
+        last, blocks = blocks, blocks.map(added(grown[-1])).persist(StorageLevel.MEMORY_AND_DISK)
+        if r % renew == 0:
+            blocks.checkpoint()
+    for held in (last, blocks):
+        if held is not None:
+            held.unpersist()
+    return grown
+
+
+def _fits_in_tasks(state: DataFrame, fit: _Fit, fold_cols, rounds: int, step: float, least: int, penalty: float, renew: int) -> list[Trees]:
     """All rounds for a table small enough that a task can hold its bins: fits do not depend on
     each other, so each is one task's work. The same trees as by passes over the rows."""
     n = len(fit.folds)
-    fold_cols = [c for c in state.columns if c not in ("_y", "_bins", "_scores") and c in {c for c, _ in fit.folds}]
 
     def work(key, table):
         i = key[0].as_py()
         batch = table.combine_chunks().to_batches()[0]
         one = _Fit(fit.width, fit.n_features, fit.depth, [fit.folds[i]], fit.n_classes)
-        bins = np.frombuffer(b"".join(batch.column("_bins").to_pylist()), np.uint8).reshape(batch.num_rows, fit.n_features)
-        scores = np.frombuffer(b"".join(batch.column("_scores").to_pylist())).reshape(batch.num_rows, n, -1)[:, i:i + 1].copy()
-        y, outside = batch.column("_y").to_numpy(), _outside(batch, one)
+        bins, scores = _arrays(batch, fit)
+        scores = scores[:, i:i + 1].copy()
+        y, outside = batch.column("_y").to_numpy(), _outside(batch.num_rows, {c: batch.column(c).to_numpy() for c in fold_cols}, one)
         out = []
         for r in range(rounds):
             trees = _grow(one, lambda *now: _count(one, bins, scores, y, outside, *now), step, least, penalty)
-            for c in range(fit.n_classes):
-                scores[:, 0, c] += trees.value[c, trees.nodes(c, bins, fit.depth)]
+            _advance(one, bins, scores, trees)
             out.append((i, r, trees.feature.tobytes(), trees.cut.tobytes(), trees.value.tobytes()))
         return pa.table([pa.array(x) for x in zip(*out)], names=["_fit", "round", "feature", "cut", "value"])
 
@@ -395,7 +429,7 @@ def boosted_out_of_fold(rows: DataFrame, features, label: str, labels, seeds=(0,
     seeds = [int(s) for s in seeds]
     folds = [(f"fold_{s}", f) for s in seeds for f in range(k)]
     keep = [c for c in rows.columns if c not in features or c == "g"]
-    _, state = boost(rows, features, label, labels, folds, keep=keep, **options)
+    state = checkpointed(boost(rows, features, label, labels, folds, keep=keep, **options)[1])
     out = [c for c in keep if not c.startswith("fold_")]
     n, width = len(labels), k
 

@@ -151,3 +151,22 @@ def test_matrices_are_not_taken_apart(rows):
     direct = clean.groupBy("y").agg(F.sum(F.col("x0") * F.col("x2")).alias("v")).collect()
     got = {r["y"]: r["value"] for r in long.where("i = 1 AND j = 3").collect()}
     assert got == pytest.approx({r["y"]: r["v"] for r in direct})
+
+
+def test_a_pass_is_one_job_and_many_histograms_are_added_on_the_way(spark, rows, monkeypatch):
+    """A level of all trees costs one job; beyond `direct` bytes one array per tree reaches the driver."""
+    calls, counted = [], bo._histograms
+
+    def spy(blocks, fit, growing, wanted, level):
+        group = f"level-{len(calls)}"
+        spark.sparkContext.setJobGroup(group, group)
+        one = counted(blocks, fit, growing, wanted, level)
+        spark.sparkContext.setJobGroup("after", "after")
+        two = counted(blocks, fit, growing, wanted, level, direct=0)
+        assert one.keys() == two.keys() and all(np.allclose(one[t], two[t]) for t in one)
+        calls.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        return one
+    monkeypatch.setattr(bo, "_histograms", spy)
+    bo.boost(rows, X, "y", ["A", "B", "C"], [("fold_0", 0), ("fold_1", 2)], one_task=0, **OPTIONS)
+    assert len(calls) == OPTIONS["rounds"] * OPTIONS["depth"]
+    assert max(calls) <= 2               # the pass; after every `renew` rounds also the checkpoint
