@@ -63,7 +63,8 @@ def wide_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def band_keys(lines: list[str], width: int, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key per line and band."""
-    return minima(*shingle_hashes(lines, width), bands, rows)
+    parts = [lines[k:k + _PART] for k in range(0, len(lines), _PART)]        # their shingles stay in the cache
+    return np.concatenate([minima(*shingle_hashes(part, width), bands, rows) for part in parts])
 
 
 def minima(h: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -72,8 +73,11 @@ def minima(h: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarr
     multiply = draw.integers(1, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
     add = draw.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
     keys = np.zeros((len(starts), bands), dtype=np.uint64)
+    drawn = np.empty_like(h)
     for f in range(bands * rows):
-        least = np.minimum.reduceat(h * multiply[f] + add[f], starts)
+        np.multiply(h, multiply[f], out=drawn)
+        drawn += add[f]
+        least = np.minimum.reduceat(drawn, starts)
         b = f // rows
         key = (keys[:, b] ^ least) * _BASE + np.uint64(f + 1)
         keys[:, b] = key ^ (key >> np.uint64(29))
@@ -88,9 +92,9 @@ def _occurrences(text: str):
 
 
 def lines_of_tasks(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """line (hash), row, position: where each line first stands in a task's rows. bands holds its
-    band keys and firsts the task's first line of each band, null for itself; both are null for
-    lines shorter than `width`."""
+    """line (hash), row, position: where each line first stands in a task's rows. own holds the keys
+    of the bands it is the task's first line of, met those of its other bands and met_firsts their
+    first lines; all are empty for lines shorter than `width`."""
     def run(batches):
         own_cache("lines")
         seen: set[int] = set()
@@ -121,30 +125,46 @@ def lines_of_tasks(docs: DataFrame, width: int, bands: int, rows: int) -> DataFr
                 keys[where] = band_keys(list(long.values()), width, bands, rows)
                 own = np.repeat(h[where], bands).tolist()
                 first[where] = np.array([firsts.setdefault(b, x) for b, x in zip(keys[where].ravel().tolist(), own)], dtype=np.int64).reshape(-1, bands)
-            ends = np.concatenate([[0], np.cumsum(banded * bands)])
-            offsets = pa.array(ends, pa.int32(), mask=np.append(~banded, False))
-            itself = (first == h[:, None])[banded].ravel()
+            itself = (first == h[:, None]) & banded[:, None]
+            other = ~itself & banded[:, None]
+
+            def lists(values, chosen):
+                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(chosen.sum(1))]), pa.int32()), pa.array(values[chosen]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(at), pa.array(k, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(keys[banded].ravel())),
-                 pa.ListArray.from_arrays(offsets, pa.array(first[banded].ravel(), mask=itself))], names=["line", "row", "position", "bands", "firsts"])
+                [pa.array(h), pa.array(at), pa.array(k, pa.int32()), lists(keys, itself), lists(keys, other), lists(first, other)],
+                names=["line", "row", "position", "own", "met", "met_firsts"])
 
         yield from in_slices(each, limit=1 << 20)(batches)
 
     return (keyed(docs, "text").where("text is not null")
-            .mapInArrow(run, "line long, row long, position int, bands array<long>, firsts array<long>"))
+            .mapInArrow(run, "line long, row long, position int, own array<long>, met array<long>, met_firsts array<long>"))
+
+
+def _shared_bands(batches):
+    """The rows (band, line) of the bands that several lines hold; all rows of a band are in the
+    task. Sixteen bytes a row are sorted as arrays, most of which are dropped."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    band, line = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in ("band", "line"))
+    order = np.argsort(band)
+    band, line = band[order], line[order]
+    starts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+    several = np.minimum.reduceat(line, starts) < np.maximum.reduceat(line, starts)
+    keep = np.repeat(several, np.diff(np.append(starts, len(band))))
+    yield pa.RecordBatch.from_arrays([pa.array(band[keep]), pa.array(line[keep])], names=["band", "line"])
 
 
-def candidates(places: DataFrame) -> DataFrame:
+def candidates(places: DataFrame, lines: DataFrame) -> DataFrame:
     """line, first for the lines that share a band, `first` being the line of the band that
     most tasks hold (of equals the smallest hash): a text that was copied and edited is nearer to
-    its copies than these to one another."""
-    banded = places.where("bands is not null").select("line", F.inline(F.arrays_zip(F.col("bands").alias("band"), F.col("firsts").alias("first"))))
-    own = Window.partitionBy("band")
-    met = (banded.where("first is null").select("band", "line", F.min("line").over(own).alias("first"), F.max("line").over(own).alias("last"))
-           .where("first <> last").select("band", "line"))
-    local = banded.where("first is not null").select("band", F.explode(F.array("line", "first")).alias("line"))
+    its copies than these to one another. `lines` has the number of tasks that hold a line as "count"."""
+    met = (places.select(F.explode("own").alias("band"), "line").repartition("band")
+           .mapInArrow(_shared_bands, "band long, line long"))
+    local = (places.select("line", F.inline(F.arrays_zip(F.col("met").alias("band"), F.col("met_firsts").alias("first"))))
+             .select("band", F.explode(F.array("line", "first")).alias("line")))
     members = table(met.unionByName(local).distinct(), "members")
-    often = places.groupBy("line").count().join(members.select("line").distinct(), "line")
+    often = lines.select("line", "count").join(members.select("line").distinct(), "line")
     first = (members.join(often, "line").groupBy("band").agg(F.max(F.struct("count", -F.col("line").cast("decimal(20,0)"), "line")).alias("m"))
              .select("band", F.col("m.line").alias("first")))
     return members.join(table(first, "firsts"), "band").where("line <> first").select("line", "first").distinct()
@@ -256,14 +276,15 @@ def _may_be_similar(threshold: float, one: str, other: str):
 
 
 def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The table of first places (line, row, position), and (line, component) of the lines that
+    """The table of first places (line, row, position; count: tasks that hold the line), and (line, component) of the lines that
     links at `threshold` or more join to other lines. A pair at 0.8 shares a band with a
     probability of 0.997."""
     places = table(lines_of_tasks(docs, width, bands, rows), "places")
-    found = table(candidates(places), "candidates")
+    lines = table(places.groupBy("line").agg(F.count("*").alias("count"), F.min(F.struct("row", "position")).alias("at"))
+                  .select("line", "count", "at.row", "at.position"), "first-places")
+    found = table(candidates(places, lines), "candidates")
     wanted = found.select(F.explode(F.array("line", "first")).alias("line")).distinct()
-    where = places.groupBy("line").agg(F.min(F.struct("row", "position")).alias("at"))
-    texts = table(line_texts(docs, where.join(wanted, "line").select("line", "at.row", "at.position"), width), "lines")
+    texts = table(line_texts(docs, lines.join(wanted, "line").select("line", "row", "position"), width), "lines")
     maps = texts.drop("line_text")
     pairs = table(_with_both(found, maps).select("pair.*", "own.size", *[f"own.{m}" for m in _MAP], _may_be_similar(threshold, "own.", "lead.").alias("near")), "pairs")
     tested = table(verified(pairs.where("near").select("line", "first"), texts, width, threshold), "tested")
@@ -291,7 +312,7 @@ def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3
     # a line of a merged component may have no link of the first kind
     nodes = grouped.toDF("line", "component").unionByName(merged.join(grouped.select("component").distinct(), "component", "left_anti")
                                                           .select(F.col("component").alias("line"), "component"))
-    return places, nodes.join(merged, "component", "left").select("line", F.coalesce("least", "component").alias("component"))
+    return lines, nodes.join(merged, "component", "left").select("line", F.coalesce("least", "component").alias("component"))
 
 
 def remove_similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3, threshold: float = 0.8) -> DataFrame:
@@ -302,7 +323,7 @@ def remove_similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows:
     than `width` characters are similar only if equal. Repeated rows lose their lines to the first
     of them; an empty table gives an empty one. `docs` must be a stored table."""
     places, groups = similar_lines(docs, width, bands, rows, threshold)
-    least = places.groupBy("line").agg(F.min(F.struct("row", "position")).alias("at"))
+    least = places.select("line", F.struct("row", "position").alias("at"))
     kept = (least.join(groups, "line", "left").groupBy(F.coalesce("component", "line").alias("component"))
             .agg(F.min("at").alias("at")).groupBy("at.row").agg(F.collect_list("at.position").alias("kept")))
     docs = docs.drop("n_lines", "n_removed")

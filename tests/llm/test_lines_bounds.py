@@ -59,3 +59,25 @@ def test_recall_at_the_registered_bands():
     a, b = zip(*pairs)
     met = (lines.band_keys(list(a), 7, 8, 3) == lines.band_keys(list(b), 7, 8, 3)).any(axis=1)
     assert met.mean() >= 0.99
+
+
+def test_only_shared_bands_are_kept():
+    """Bands of one line, however often it is there, are dropped; all rows of the others stay."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    band, line = rng.integers(0, 300, 400) - 150, rng.integers(-3, 3, 400) << 60
+    parts = [pa.RecordBatch.from_arrays([pa.array(band[a:a + 130]), pa.array(line[a:a + 130])], names=["band", "line"]) for a in range(0, 400, 130)]
+    got = [tuple(r.values()) for b in lines._shared_bands([parts[0].slice(0, 0), *parts]) for r in b.to_pylist()]
+    want = [(b, x) for b, x in zip(band.tolist(), line.tolist()) if len(set(line[band == b].tolist())) > 1]
+    assert sorted(got) == sorted(want) and want and list(lines._shared_bands([])) == []
+
+
+def test_each_line_has_its_first_place_once(spark):
+    """One row per line, however many tasks hold it, with the number of these tasks."""
+    texts = ["a common line\nx", "b common line\na common line", None, "a common line\nx\nx"]
+    docs = lines.table(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4), "docs")
+    places, _ = lines.similar_lines(docs)
+    got = {r["line"]: r for r in places.collect()}
+    assert places.count() == len(got) == 3
+    assert sorted(got) == sorted(map(lines._line_hash, ["a common line", "b common line", "x"]))
