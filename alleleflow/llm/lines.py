@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alleleflow.llm.components import connected_components
-from alleleflow.llm.shared import free_name, in_slices, keyed, own_cache, packed_text, table, unpack
+from alleleflow.llm.shared import free_name, in_slices, keyed, own_cache, table
 
-_TASK_LINES, _TASK_BANDS = 300_000, 600_000     # remembered in a task; beyond, rows repeat
-_PART = 1000                                    # lines or pairs compared at once
+_TASK_LINES, _TASK_BANDS = 300_000, 600_000     # remembered in a task, or linked at once; beyond, rows repeat
+_PART = 200                                     # lines or pairs compared at once; their shingles stay in the cache
+_BINS = 1024                                    # of bands, which are shuffled in blocks
 _WORDS = 16                                     # of 64 bits in a line's map
 _MAP = [f"m{k}" for k in range(_WORDS)]
+_PLAIN = {"parquet.enable.dictionary": "false"}  # hashes and texts that hardly repeat
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -31,10 +33,13 @@ def _normal(line: str) -> str:
 
 
 def _line_hash(line: str) -> int:
+    return _line_hashes([line])[0]
+
+
+def _line_hashes(lines: list[str]) -> list[int]:
     from xxhash import xxh3_64_intdigest
 
-    value = xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"), 5)
-    return value - (1 << 64) if value >> 63 else value
+    return np.array([xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), 5) for x in lines], dtype=np.uint64).view(np.int64).tolist()
 
 
 def shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,22 +53,35 @@ def wide_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with all 64 bits."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    n = len(points) - width + 1
-    h = points[:n].copy()
-    for k in range(1, width):
-        h = h * _BASE + points[k:k + n]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = _polynomials(points, width)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     ends = np.cumsum(lengths)
     inside = np.ones(len(points), dtype=bool)
     for k in range(1, width):
         inside[ends - k] = False
     starts = np.concatenate([[0], np.cumsum(lengths - width + 1)[:-1]])
-    return h[inside[:n]], starts
+    return h[inside[:len(h)]], starts
+
+
+def _polynomials(points: np.ndarray, width: int) -> np.ndarray:
+    """Of all `width` numbers in a row, the polynomial in _BASE with these coefficients, modulo 2^64:
+    from each length to twice that, and by one more where the binary digits of `width` say so."""
+    h, length = points.copy(), 1
+    for digit in f"{width:b}"[1:]:
+        longer = h[:-length] * np.uint64(pow(int(_BASE), length, 1 << 64))
+        longer += h[length:]
+        h, length = longer, 2 * length
+        if digit == "1":
+            longer = h[:-1] * _BASE
+            longer += points[length:]
+            h, length = longer, length + 1
+    return h
 
 
 def band_keys(lines: list[str], width: int, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key per line and band."""
-    parts = [lines[k:k + _PART] for k in range(0, len(lines), _PART)]        # their shingles stay in the cache
+    parts = [lines[k:k + _PART] for k in range(0, len(lines), _PART)]
     return np.concatenate([minima(*shingle_hashes(part, width), bands, rows) for part in parts])
 
 
@@ -93,51 +111,91 @@ def _occurrences(text: str):
 
 def lines_of_tasks(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """line (hash), row, position: where each line first stands in a task's rows. own holds the keys
-    of the bands it is the task's first line of, met those of its other bands and met_firsts their
-    first lines; all are empty for lines shorter than `width`."""
+    of the bands it is the task's first line of, eight bytes each, met those of its other bands and
+    met_firsts their first lines; all are empty for lines shorter than `width`."""
     def run(batches):
         own_cache("lines")
         seen: set[int] = set()
-        firsts: dict[int, int] = {}
 
         def each(batch):
+            """Hash, row, position and band keys of the lines that are new, and whether they have bands."""
             if len(seen) > _TASK_LINES:
                 seen.clear()
-            if len(firsts) > _TASK_BANDS:
-                firsts.clear()
+            found = [(line, row, k) for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist())
+                     for k, line in _occurrences(text)]
             places, long = [], {}
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-                for k, line in _occurrences(text):
-                    if (h := _line_hash(line)) not in seen:
-                        seen.add(h)
-                        if len(line) >= width:
-                            long[len(places)] = line
-                        places.append((h, row, k))
+            for h, (line, row, k) in zip(_line_hashes([line for line, _, _ in found]), found):
+                if h not in seen:
+                    seen.add(h)
+                    if len(line) >= width:
+                        long[len(places)] = line
+                    places.append((h, row, k))
             if not places:
                 return
             h, at, k = (np.array(c, dtype=np.int64) for c in zip(*places))
-            keys = np.zeros((len(h), bands), dtype=np.int64)
-            first = np.zeros((len(h), bands), dtype=np.int64)
-            banded = np.zeros(len(h), dtype=bool)
+            keys, banded = np.zeros((len(h), bands), dtype=np.int64), np.zeros(len(h), dtype=bool)
             if long:
                 where = list(long)
                 banded[where] = True
                 keys[where] = band_keys(list(long.values()), width, bands, rows)
-                own = np.repeat(h[where], bands).tolist()
-                first[where] = np.array([firsts.setdefault(b, x) for b, x in zip(keys[where].ravel().tolist(), own)], dtype=np.int64).reshape(-1, bands)
+            yield h, at, k, keys, banded
+
+        def linked(parts):
+            h, at, k, keys, banded = map(np.concatenate, zip(*parts))
+            first = np.zeros(keys.shape, dtype=np.int64)
+            if banded.any():
+                band, line = keys[banded].ravel(), np.repeat(h[banded], bands)
+                order = np.argsort(band, kind="stable")
+                starts = np.flatnonzero(np.append(True, band[order[1:]] != band[order[:-1]]))
+                met = np.empty_like(line)
+                met[order] = np.repeat(line[order[starts]], np.diff(np.append(starts, len(order))))
+                first[banded] = met.reshape(-1, bands)
             itself = (first == h[:, None]) & banded[:, None]
             other = ~itself & banded[:, None]
+            ends = np.cumsum(8 * itself.sum(1)).tolist()
+            data = keys[itself].tobytes()
 
             def lists(values, chosen):
                 return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(chosen.sum(1))]), pa.int32()), pa.array(values[chosen]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(at), pa.array(k, pa.int32()), lists(keys, itself), lists(keys, other), lists(first, other)],
+            return pa.RecordBatch.from_arrays(
+                [pa.array(h), pa.array(at), pa.array(k, pa.int32()), pa.array([data[a:b] for a, b in zip([0, *ends], ends)], pa.binary()), lists(keys, other), lists(first, other)],
                 names=["line", "row", "position", "own", "met", "met_firsts"])
 
-        yield from in_slices(each, limit=1 << 20)(batches)
+        parts, n = [], 0
+        for part in in_slices(each, limit=1 << 20)(batches):
+            parts.append(part)
+            n += len(part[0]) * bands
+            if n > _TASK_BANDS:
+                yield linked(parts)
+                parts, n = [], 0
+        if parts:
+            yield linked(parts)
 
     return (keyed(docs, "text").where("text is not null")
-            .mapInArrow(run, "line long, row long, position int, own array<long>, met array<long>, met_firsts array<long>"))
+            .mapInArrow(run, "line long, row long, position int, own binary, met array<long>, met_firsts array<long>"))
+
+
+def _in_blocks(batches):
+    """The (band, line) of all lines' own bands, as blocks: bin of the bands and, sixteen bytes each, its rows."""
+    for batch in batches:
+        own = batch.column("own").to_pylist()
+        band = np.frombuffer(b"".join(own), np.int64)
+        line = np.repeat(batch.column("line").to_numpy(), np.fromiter(map(len, own), np.int64, len(own)) // 8)
+        if not len(band):
+            continue
+        kind = (band & (_BINS - 1)).astype(np.uint16)
+        order = np.argsort(kind, kind="stable")
+        kind, data = kind[order], np.stack([band[order], line[order]], axis=1).tobytes()
+        starts = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
+        ends = np.append(starts[1:], len(kind))
+        yield pa.RecordBatch.from_arrays([pa.array(kind[starts].astype(np.int32)), pa.array([data[16 * a:16 * b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())],
+                                         names=["bin", "block"])
+
+
+def _shared_bands_of_blocks(batches):
+    """`_shared_bands` of rows in blocks; all blocks of a bin are in the task."""
+    rows = (np.frombuffer(b"".join(b.column("block").to_pylist()), np.int64).reshape(-1, 2) for b in batches)
+    return _shared_bands(pa.RecordBatch.from_arrays([pa.array(r[:, 0]), pa.array(r[:, 1])], names=["band", "line"]) for r in rows)
 
 
 def _shared_bands(batches):
@@ -159,15 +217,15 @@ def candidates(places: DataFrame, lines: DataFrame) -> DataFrame:
     """line, first for the lines that share a band, `first` being the line of the band that
     most tasks hold (of equals the smallest hash): a text that was copied and edited is nearer to
     its copies than these to one another. `lines` has the number of tasks that hold a line as "count"."""
-    met = (places.select(F.explode("own").alias("band"), "line").repartition("band")
-           .mapInArrow(_shared_bands, "band long, line long"))
+    met = (places.select("line", "own").mapInArrow(_in_blocks, "bin int, block binary").repartition("bin")
+           .mapInArrow(_shared_bands_of_blocks, "band long, line long"))
     local = (places.select("line", F.inline(F.arrays_zip(F.col("met").alias("band"), F.col("met_firsts").alias("first"))))
              .select("band", F.explode(F.array("line", "first")).alias("line")))
-    members = table(met.unionByName(local).distinct(), "members")
-    often = lines.select("line", "count").join(members.select("line").distinct(), "line")
-    first = (members.join(often, "line").groupBy("band").agg(F.max(F.struct("count", -F.col("line").cast("decimal(20,0)"), "line")).alias("m"))
-             .select("band", F.col("m.line").alias("first")))
-    return members.join(table(first, "firsts"), "band").where("line <> first").select("line", "first").distinct()
+    members = table(met.unionByName(local).distinct(), "members", **_PLAIN)
+    often = lines.where("count > 1").select("line", "count")
+    first = (members.join(often, "line", "left").groupBy("band").agg(F.max(F.struct(F.coalesce("count", F.lit(1)), F.bitwise_not("line").alias("least"))).alias("m"))
+             .select("band", F.bitwise_not("m.least").alias("first")))
+    return members.join(table(first, "firsts", **_PLAIN), "band").where("line <> first").select("line", "first").distinct()
 
 
 def distinct_shingles(lines: list[str], width: int) -> np.ndarray:
@@ -208,22 +266,22 @@ def line_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     `wanted` (line, row, position)."""
     def run(batch):
         out: dict[int, str] = {}
-        for data, positions in zip(batch.column("text").to_pylist(), batch.column("positions").to_pylist()):
-            lines = unpack(data).decode("utf-8", "surrogatepass").split("\n")
-            for k in positions:
-                line = _normal(lines[k])
-                out[_line_hash(line)] = line
+        for text, positions in zip(batch.column("text").to_pylist(), batch.column("positions").to_pylist()):
+            lines = text.split("\n")
+            some = [_normal(lines[k]) for k in positions]
+            out.update(zip(_line_hashes(some), some))
         texts = list(out.values())
+        size, maps = np.empty(len(texts), dtype=np.int32), np.empty((len(texts), _WORDS), dtype=np.int64)
         for part in range(0, len(texts), _PART):
             some = texts[part:part + _PART]
             shingles = distinct_shingles(some, width)
-            size, maps = sizes(shingles, len(some)), odd_maps(shingles, len(some))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(out)[part:part + _PART], pa.int64()), pa.array(some, pa.string()), pa.array(size, pa.int32())]
-                + [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(_WORDS)], names=["line", "line_text", "size", *_MAP])
+            size[part:part + _PART], maps[part:part + _PART] = sizes(shingles, len(some)), odd_maps(shingles, len(some))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(out), pa.int64()), pa.array(texts, pa.string()), pa.array(size)]
+            + [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(_WORDS)], names=["line", "line_text", "size", *_MAP])
 
     by_row = wanted.groupBy("row").agg(F.collect_list("position").alias("positions"))
-    texts = keyed(docs, "text").where("text is not null").select("row", packed_text())
+    texts = keyed(docs, "text").where("text is not null")
     return texts.join(by_row, "row").mapInArrow(in_slices(run, limit=1 << 20), "line long, line_text string, size int, " + ", ".join(f"{m} long" for m in _MAP))
 
 
@@ -276,17 +334,18 @@ def _may_be_similar(threshold: float, one: str, other: str):
 
 
 def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The table of first places (line, row, position; count: tasks that hold the line), and (line, component) of the lines that
-    links at `threshold` or more join to other lines. A pair at 0.8 shares a band with a
+    """The table of first places (line, row, position; count: tasks that hold the line), and these places with the component
+    (line, component, row, position) of the lines that links at `threshold` or more join to other lines. A pair at 0.8 shares a band with a
     probability of 0.997."""
-    places = table(lines_of_tasks(docs, width, bands, rows), "places")
-    lines = table(places.groupBy("line").agg(F.count("*").alias("count"), F.min(F.struct("row", "position")).alias("at"))
-                  .select("line", "count", "at.row", "at.position"), "first-places")
-    found = table(candidates(places, lines), "candidates")
+    places = table(lines_of_tasks(docs, width, bands, rows), "places", **_PLAIN)
+    # a row holds one place of a line at most
+    lines = table(places.groupBy("line").agg(F.count("*").alias("count"), F.min("row").alias("row"), F.min_by("position", "row").alias("position")), "first-places", **_PLAIN)
+    found = table(candidates(places, lines), "candidates", **_PLAIN)
     wanted = found.select(F.explode(F.array("line", "first")).alias("line")).distinct()
-    texts = table(line_texts(docs, lines.join(wanted, "line").select("line", "row", "position"), width), "lines")
+    wanted = table(lines.join(wanted, "line").select("line", "row", "position"), "wanted", **_PLAIN)
+    texts = table(line_texts(docs, wanted, width), "lines", **_PLAIN)
     maps = texts.drop("line_text")
-    pairs = table(_with_both(found, maps).select("pair.*", "own.size", *[f"own.{m}" for m in _MAP], _may_be_similar(threshold, "own.", "lead.").alias("near")), "pairs")
+    pairs = table(_with_both(found, maps).select("pair.*", _may_be_similar(threshold, "own.", "lead.").alias("near")), "pairs", **_PLAIN)
     tested = table(verified(pairs.where("near").select("line", "first"), texts, width, threshold), "tested")
     grouped = table(connected_components(tested.where(F.col("jaccard") >= threshold).select(F.col("line").alias("a"), F.col("first").alias("b"))), "grouped")
     # Lines unlike the first one of their bands, against all lines with that first one that are not
@@ -296,7 +355,7 @@ def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3
     members = table(pairs.drop("near").join(tested, ["line", "first"], "left").join(grouped.toDF("line", "own"), "line", "left")
                     .withColumn("own", F.coalesce("own", "line")).withColumn("failed", F.coalesce(F.col("jaccard") < threshold, F.lit(True)))
                     .withColumn("n", F.count("*").over(own)).withColumn("any_failed", F.max("failed").over(own))
-                    .where("n > 1 and any_failed").drop("n", "any_failed"), "members")
+                    .where("n > 1 and any_failed").drop("n", "any_failed").join(maps, "line"), "members", **_PLAIN)
     other = members.toDF(*["other_" + c for c in members.columns])
     distances = F.abs(F.col("jaccard") - F.col("other_jaccard"))
     again = (members.where("failed").join(other, (F.col("first") == F.col("other_first")) & (F.col("own") != F.col("other_own"))
@@ -312,7 +371,7 @@ def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3
     # a line of a merged component may have no link of the first kind
     nodes = grouped.toDF("line", "component").unionByName(merged.join(grouped.select("component").distinct(), "component", "left_anti")
                                                           .select(F.col("component").alias("line"), "component"))
-    return lines, nodes.join(merged, "component", "left").select("line", F.coalesce("least", "component").alias("component"))
+    return lines, nodes.join(merged, "component", "left").select("line", F.coalesce("least", "component").alias("component")).join(wanted, "line")
 
 
 def remove_similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3, threshold: float = 0.8) -> DataFrame:
@@ -323,30 +382,32 @@ def remove_similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows:
     than `width` characters are similar only if equal. Repeated rows lose their lines to the first
     of them; an empty table gives an empty one. `docs` must be a stored table."""
     places, groups = similar_lines(docs, width, bands, rows, threshold)
-    least = places.select("line", F.struct("row", "position").alias("at"))
-    kept = (least.join(groups, "line", "left").groupBy(F.coalesce("component", "line").alias("component"))
-            .agg(F.min("at").alias("at")).groupBy("at.row").agg(F.collect_list("at.position").alias("kept")))
+    groups = table(groups.select("component", F.struct("row", "position").alias("at")), "groups")
+    gone = groups.join(groups.groupBy("component").agg(F.min("at").alias("least")), "component").where("at <> least")
+    # a first place is its position, one of them that goes the position's complement beside it
+    marks = places.select("row", "position").unionByName(gone.select("at.row", F.bitwise_not("at.position").alias("position")))
     docs = docs.drop("n_lines", "n_removed")
     columns = docs.columns
-    own_row, packed, null_text, stay_at = (free_name(n, columns) for n in ("_row", "_packed", "_null", "_kept"))
+    own_row, marks_at = (free_name(n, columns) for n in ("_row", "_marks"))
 
     def run(batch):
         texts, total, gone = [], [], []
-        for data, null, kept in zip(batch.column(packed).to_pylist(), batch.column(null_text).to_pylist(), batch.column(stay_at).to_pylist()):
-            stay, n, out = set(kept or ()), 0, []
-            for k, line in enumerate(unpack(data).decode("utf-8", "surrogatepass").split("\n")):
-                if _normal(line):
+        for text, marks in zip(batch.column("text").to_pylist(), batch.column(marks_at).to_pylist()):
+            stay, n, out = set(marks or ()), 0, []
+            stay -= {~k for k in stay if k < 0}
+            for k, line in enumerate((text or "").split("\n")):
+                if line and not line.isspace():
                     n += 1
                     if k not in stay:
                         continue
                 out.append(line)
-            texts.append(None if null else "\n".join(out))
+            texts.append(None if text is None else "\n".join(out))
             total.append(n)
-            gone.append(n - len(stay))
+            gone.append(n - sum(k >= 0 for k in stay))
         arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
         yield pa.RecordBatch.from_arrays(arrays + [pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*columns, "n_lines", "n_removed"])
 
-    texts = keyed(docs, *columns, key=own_row).select(own_row, *[c for c in columns if c != "text"], F.col("text").isNull().alias(null_text), packed_text().alias(packed))
-    joined = texts.join(kept.toDF(own_row, stay_at), own_row, "left").drop(own_row)
+    marks = marks.groupBy("row").agg(F.collect_list("position")).toDF(own_row, marks_at)
+    joined = keyed(docs, *columns, key=own_row).join(marks, own_row, "left").drop(own_row)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_lines long, n_removed long"])
-    return joined.mapInArrow(in_slices(run, packed, 1 << 20), schema)
+    return joined.mapInArrow(in_slices(run, "text", 1 << 20), schema)

@@ -81,3 +81,49 @@ def test_each_line_has_its_first_place_once(spark):
     got = {r["line"]: r for r in places.collect()}
     assert places.count() == len(got) == 3
     assert sorted(got) == sorted(map(lines._line_hash, ["a common line", "b common line", "x"]))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 0x10FFFF), min_size=12, max_size=40), st.integers(1, 12))
+def test_polynomials(points, width):
+    base, got = int(lines._BASE), lines._polynomials(np.array(points, dtype=np.uint64), width)
+    want = [sum(p * base ** (width - 1 - i) for i, p in enumerate(points[k:k + width])) % (1 << 64) for k in range(len(points) - width + 1)]
+    assert got.tolist() == want
+
+
+def test_bands_in_blocks():
+    """Blocks hold each own band once, in the block of its bin, and give the shared bands of the plain rows."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    own = [rng.integers(-2000, 2000, rng.integers(0, 9)).astype("<i8") for _ in range(700)]
+    line = rng.integers(-1 << 62, 1 << 62, len(own))
+    rows = sorted((b, x) for bands, x in zip(own, line.tolist()) for b in bands.tolist())
+    parts = [pa.RecordBatch.from_arrays([pa.array(line[a:a + 300]), pa.array([b.tobytes() for b in own[a:a + 300]], pa.binary())], names=["line", "own"])
+             for a in range(0, len(own), 300)]
+    blocks = list(lines._in_blocks([parts[0].slice(0, 0), *parts]))
+    assert sum(b.num_rows for b in blocks) < len(rows)
+    got = []
+    for b in blocks:
+        for kind, data in zip(b.column("bin").to_pylist(), b.column("block").to_pylist()):
+            pairs = np.frombuffer(data, "<i8").reshape(-1, 2)
+            assert set((pairs[:, 0] & (lines._BINS - 1)).tolist()) == {kind}
+            got += map(tuple, pairs.tolist())
+    assert sorted(got) == rows
+    times = {}
+    for b, x in rows:
+        times.setdefault(b, set()).add(x)
+    shared = [tuple(r.values()) for b in lines._shared_bands_of_blocks(blocks) for r in b.to_pylist()]
+    assert sorted(shared) == [r for r in rows if len(times[r[0]]) > 1] and shared
+
+
+def test_bands_leave_the_first_pass_in_bytes(spark):
+    """Each banded line comes with its eight bands, as own ones or as links to the task's first line."""
+    docs = lines.table(spark.createDataFrame([(k, t) for k, t in enumerate(["a common line\nshort\nx", None, "a common line!\n\nx"])], "doc_id long, text string").coalesce(1), "docs")
+    got = {r["line"]: r for r in lines.lines_of_tasks(docs, 7, 8, 3).collect()}
+    assert sorted(got) == sorted(map(lines._line_hash, ["a common line", "a common line!", "short", "x"]))
+    a, b = (got[lines._line_hash(t)] for t in ("a common line", "a common line!"))
+    keys = lines.band_keys(["a common line", "a common line!"], 7, 8, 3)
+    assert np.frombuffer(a["own"], "<i8").tolist() == keys[0].tolist() and not a["met"]
+    assert sorted([*np.frombuffer(b["own"], "<i8").tolist(), *b["met"]]) == sorted(keys[1].tolist())
+    assert b["met"] and set(b["met_firsts"]) == {a["line"]} and len(got[lines._line_hash("short")]["own"]) == 0
