@@ -24,7 +24,7 @@ _PART = 200                                     # lines or pairs compared at onc
 _BINS = 1024                                    # of bands, which are shuffled in blocks
 _WORDS = 16                                     # of 64 bits in a line's map
 _MAP = [f"m{k}" for k in range(_WORDS)]
-_PLAIN = {"parquet.enable.dictionary": "false"}  # hashes and texts that hardly repeat
+_PLAIN = {"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"}  # hashes and texts that hardly repeat
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,7 +39,7 @@ def _line_hash(line: str) -> int:
 def _line_hashes(lines: list[str]) -> list[int]:
     from xxhash import xxh3_64_intdigest
 
-    return np.array([xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), 5) for x in lines], dtype=np.uint64).view(np.int64).tolist()
+    return np.array([xxh3_64_intdigest(x, 5) for x in lines], dtype=np.uint64).view(np.int64).tolist()
 
 
 def shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +67,7 @@ def wide_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
 def _polynomials(points: np.ndarray, width: int) -> np.ndarray:
     """Of all `width` numbers in a row, the polynomial in _BASE with these coefficients, modulo 2^64:
     from each length to twice that, and by one more where the binary digits of `width` say so."""
-    h, length = points.copy(), 1
+    h, length = points if width > 1 else points.copy(), 1
     for digit in f"{width:b}"[1:]:
         longer = h[:-length] * np.uint64(pow(int(_BASE), length, 1 << 64))
         longer += h[length:]
@@ -105,7 +105,7 @@ def minima(h: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarr
 def _occurrences(text: str):
     """(position, normal form) of the lines that are not blank."""
     for k, line in enumerate(text.split("\n")):
-        if normal := _normal(line):
+        if normal := line.strip().lower():
             yield k, normal
 
 
@@ -215,7 +215,7 @@ def _shared_bands(batches):
 
 def candidates(places: DataFrame, lines: DataFrame) -> DataFrame:
     """line, first for the lines that share a band, `first` being the line of the band that
-    most tasks hold (of equals the smallest hash): a text that was copied and edited is nearer to
+    most tasks hold (of equals the one whose hash has the smallest upper 40 bits): a text that was copied and edited is nearer to
     its copies than these to one another. `lines` has the number of tasks that hold a line as "count"."""
     met = (places.select("line", "own").mapInArrow(_in_blocks, "bin int, block binary").repartition("bin")
            .mapInArrow(_shared_bands_of_blocks, "band long, line long"))
@@ -223,8 +223,8 @@ def candidates(places: DataFrame, lines: DataFrame) -> DataFrame:
              .select("band", F.explode(F.array("line", "first")).alias("line")))
     members = table(met.unionByName(local).distinct(), "members", **_PLAIN)
     often = lines.where("count > 1").select("line", "count")
-    first = (members.join(often, "line", "left").groupBy("band").agg(F.max(F.struct(F.coalesce("count", F.lit(1)), F.bitwise_not("line").alias("least"))).alias("m"))
-             .select("band", F.bitwise_not("m.least").alias("first")))
+    order = F.least(F.coalesce("count", F.lit(1)), F.lit(1 << 22)) * F.lit(1 << 40) + F.shiftright(F.bitwise_not("line"), 24)
+    first = (members.join(often, "line", "left").groupBy("band").agg(F.max_by("line", order).alias("first")))
     return members.join(table(first, "firsts", **_PLAIN), "band").where("line <> first").select("line", "first").distinct()
 
 
@@ -236,8 +236,9 @@ def distinct_shingles(lines: list[str], width: int) -> np.ndarray:
 
 def distinct(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The same for the sets of 64-bit hashes in `h` that begin at `starts`."""
-    owner = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.append(starts, len(h))))
-    both = np.sort(owner << np.uint64(44) | h >> np.uint64(20))
+    both = np.repeat(np.arange(len(starts), dtype=np.uint64) << np.uint64(44), np.diff(np.append(starts, len(h))))
+    both |= h >> np.uint64(20)
+    both.sort()
     return both[np.append(True, both[1:] != both[:-1])]
 
 
@@ -250,15 +251,16 @@ def odd_maps(shingles: np.ndarray, n: int) -> np.ndarray:
     for part in range(0, n, _PART):
         stop = min(part + _PART, n)
         some = shingles[slice(*np.searchsorted(shingles, np.array([part, stop], dtype=np.uint64) << np.uint64(44)))]
-        spots = ((some >> np.uint64(44)) - np.uint64(part)) * np.uint64(size) + some % np.uint64(size)
-        bits = np.bincount(spots.astype(np.int64), minlength=(stop - part) * size).astype(np.uint8) & 1
+        spots = ((some >> np.uint64(44)) - np.uint64(part)) * np.uint64(size)
+        spots += some & np.uint64(size - 1)
+        bits = np.bincount(spots.view(np.int64), minlength=(stop - part) * size).astype(np.uint8) & 1
         maps[part:stop] = np.packbits(bits.reshape(-1, size), axis=1, bitorder="little").view("<i8")
     return maps
 
 
 def sizes(shingles: np.ndarray, n: int) -> np.ndarray:
     """Number of elements of each of the `n` sets in `shingles`."""
-    return np.bincount((shingles >> np.uint64(44)).astype(np.int64), minlength=n)
+    return np.bincount((shingles >> np.uint64(44)).view(np.int64), minlength=n)
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -287,7 +289,8 @@ def line_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def _exact(a: str, b: str, width: int) -> float:
     x, y = ({s[k:k + width] for k in range(len(s) - width + 1)} for s in (a, b))
-    return len(x & y) / len(x | y)
+    shared = len(x & y)
+    return shared / (len(x) + len(y) - shared)
 
 
 def jaccards(a: list[str], b: list[str], width: int, threshold: float) -> np.ndarray:
@@ -324,6 +327,12 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -
             .mapInArrow(in_slices(run, "line_text", 1 << 20), "line long, first long, jaccard double"))
 
 
+def _never_null(df: DataFrame) -> DataFrame:
+    """`df` with sizes and maps that Spark knows to hold no null. Without the tests for nulls the code
+    of `_may_be_similar` is short enough for the JVM to compile it."""
+    return df.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("size", *_MAP)})
+
+
 def _may_be_similar(threshold: float, one: str, other: str):
     """Condition on sizes and odd maps that all pairs at `threshold` or more meet; the names of the
     columns begin with `one` and `other`."""
@@ -344,7 +353,7 @@ def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3
     wanted = found.select(F.explode(F.array("line", "first")).alias("line")).distinct()
     wanted = table(lines.join(wanted, "line").select("line", "row", "position"), "wanted", **_PLAIN)
     texts = table(line_texts(docs, wanted, width), "lines", **_PLAIN)
-    maps = texts.drop("line_text")
+    maps = _never_null(texts.drop("line_text"))
     pairs = table(_with_both(found, maps).select("pair.*", _may_be_similar(threshold, "own.", "lead.").alias("near")), "pairs", **_PLAIN)
     tested = table(verified(pairs.where("near").select("line", "first"), texts, width, threshold), "tested")
     grouped = table(connected_components(tested.where(F.col("jaccard") >= threshold).select(F.col("line").alias("a"), F.col("first").alias("b"))), "grouped")
@@ -352,10 +361,12 @@ def similar_lines(docs: DataFrame, width: int = 7, bands: int = 8, rows: int = 3
     # joined to them yet. Two lines can be similar only if their sizes are, if their distances from
     # the first one differ by no more than their own distance may, and if few bits of their maps differ.
     own = Window.partitionBy("first")
-    members = table(pairs.drop("near").join(tested, ["line", "first"], "left").join(grouped.toDF("line", "own"), "line", "left")
+    unlike = pairs.where(~F.col("near")).select("line", "first", F.lit(None).cast("double").alias("jaccard"))
+    members = table(tested.unionByName(unlike).join(grouped.toDF("line", "own"), "line", "left")
                     .withColumn("own", F.coalesce("own", "line")).withColumn("failed", F.coalesce(F.col("jaccard") < threshold, F.lit(True)))
                     .withColumn("n", F.count("*").over(own)).withColumn("any_failed", F.max("failed").over(own))
                     .where("n > 1 and any_failed").drop("n", "any_failed").join(maps, "line"), "members", **_PLAIN)
+    members = _never_null(members)
     other = members.toDF(*["other_" + c for c in members.columns])
     distances = F.abs(F.col("jaccard") - F.col("other_jaccard"))
     again = (members.where("failed").join(other, (F.col("first") == F.col("other_first")) & (F.col("own") != F.col("other_own"))
