@@ -1,10 +1,12 @@
 """Gradient boosting on quantile bins, for all folds and seeds together.
 
-Columns are cut into bins once. A round grows one tree per fit and class, level by level: one pass
-over the rows adds up gradient histograms (count, gradient, curvature per feature and bin) of the
+Columns are cut into bins once, and rows with the same bins become one with their number per fit and
+class: trees cannot tell them apart. A round grows one tree per fit and class, level by level: one pass
+over these rows adds up gradient histograms (count, gradient, curvature per feature and bin) of the
 nodes of a level for every fit, where only the smaller of two siblings is counted and the other
 one is its parent minus it. Rows are held as blocks of arrays, one per partition, which stay in the
-executors' storage with their scores, so that a pass is one short job. Tasks send one array per fit
+executors' storage with their scores, so that a pass is one short job. There are as many blocks as cores,
+more only where a block would grow too large, as every task sends one array per fit
 and class; where these are many, they are added up on the way. The driver sees histograms, whose
 size is set by the parameters, and trees, never rows. Scores are added to after every round and
 written to the checkpoint folder every few rounds.
@@ -46,13 +48,25 @@ class Trees:
         size = 2 ** (depth + 1) - 1
         return Trees(np.full((n, size), -1, np.int32), np.zeros((n, size), np.int32), np.zeros((n, size)))
 
-    def nodes(self, t: int, bins: np.ndarray, depth: int) -> np.ndarray:
-        """Where tree `t` leads the rows of `bins` (rows, features)."""
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        for _ in range(depth):
-            f = self.feature[t, at]
-            at = np.where(f < 0, at, 2 * at + 2 - (bins[rows, f] <= self.cut[t, at]))
-        return at
+    def parts(self, t: int, columns: np.ndarray, rows: np.ndarray, ends=()):
+        """(node, its rows) of the nodes `ends` of tree `t`, or of all its leaves, where `rows` numbers
+        rows of `columns` (features, rows). Only ways that lead there are walked."""
+        ways = set(ends)
+        for node in ends:
+            while node:
+                node = (node - 1) // 2
+                ways.add(node)
+        todo = [(0, rows)]
+        while todo:
+            node, rows = todo.pop()
+            f = self.feature[t, node]
+            if f < 0 or node in ends:
+                yield node, rows
+                continue
+            left = columns[f].take(rows) <= self.cut[t, node]
+            for child, side in ((2 * node + 1, left), (2 * node + 2, ~left)):
+                if not ways or child in ways:
+                    todo.append((child, rows[side]))
 
 
 @dataclass
@@ -136,77 +150,103 @@ def _binned(values: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
 
 # ------------------------------------------------------------------ fitting
 
+#: Bytes of a block of rows.
+BLOCK = 2 ** 27
+
+
 @dataclass
 class _Fit:
-    """What tasks need: bins of a feature, depth, and for each fit its fold column and fold."""
+    """What tasks need: bins of a feature, features, depth, fits and classes."""
     width: int
     n_features: int
     depth: int
-    folds: list[tuple[str | None, int]]
+    n_fits: int
     n_classes: int
 
 
-def _arrays(batch: pa.RecordBatch, fit: _Fit) -> tuple:
-    """Bins and scores of some rows."""
-    n = batch.num_rows
-    bins = np.frombuffer(b"".join(batch.column("_bins").to_pylist()), np.uint8).reshape(n, fit.n_features)
-    return bins, np.frombuffer(b"".join(batch.column("_scores").to_pylist())).reshape(n, len(fit.folds), fit.n_classes).copy()
+def _columns(batches, fit: _Fit) -> np.ndarray:
+    """Bins (features, rows) of some rows."""
+    flat = np.frombuffer(b"".join(x for b in batches for x in b.column("_bins").to_pylist()), np.uint8)
+    return np.ascontiguousarray(flat.reshape(-1, fit.n_features).T)
+
+
+def _block(batches, fit: _Fit, base: np.ndarray) -> tuple:
+    """Some rows as bins (features, rows), scores and numbers of training rows (fits, classes, rows)."""
+    columns = _columns(batches, fit)
+    weights = np.concatenate([_flat(b.column("_w")) for b in batches]).reshape(-1, fit.n_fits, fit.n_classes)
+    weights = weights.astype(np.min_scalar_type(weights.max(initial=0)))
+    return columns, np.repeat(base[:, :, None], columns.shape[1], axis=2), np.ascontiguousarray(weights.transpose(1, 2, 0))
+
 
+def _flat(values: pa.Array) -> np.ndarray:
+    while pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        values = values.flatten()
+    return values.to_numpy(zero_copy_only=False)
 
-def _advance(fit: _Fit, bins, scores, trees: Trees) -> None:
-    """Add the values of one round's trees to the scores of some rows."""
+
+def _advance(fit: _Fit, columns, scores, trees: Trees, rows=None) -> None:
+    """Add the values of one round's trees to the scores of some rows, or of `rows(i)` for fit `i`."""
+    everyone = np.arange(columns.shape[1])
     for t in range(len(trees.feature)):
         i, c = divmod(t, fit.n_classes)
-        scores[:, i, c] += trees.value[t, trees.nodes(t, bins, fit.depth)]
+        own = scores[i, c]
+        for node, part in trees.parts(t, columns, everyone if rows is None else rows[i]):
+            own[part] += trees.value[t, node]
+
+
+def _tally(at, number, both, shape) -> np.ndarray:
+    """(3, *shape): count, gradient and curvature of each cell, where `at` gives the rows' cells."""
+    n, sums = np.zeros(np.prod(shape)), np.zeros(np.prod(shape), complex)
+    np.add.at(n, at, number)
+    np.add.at(sums, at, both)
+    return np.stack([n, sums.real, sums.imag]).reshape(3, *shape)
 
 
-def _count(fit: _Fit, bins, scores, y, outside, growing: Trees, wanted: np.ndarray, level: int) -> dict:
+def _count(fit: _Fit, columns, scores, weights, growing: Trees, wanted: np.ndarray, level: int) -> dict:
     """{tree: (wanted nodes, 3, features x bins)} of some rows: count, gradient and curvature of the
-    training rows (`outside(i)`) in the nodes that `wanted` numbers (-1: not wanted)."""
-    slots, out = wanted.max(axis=1) + 1, {}
-    columns = np.ascontiguousarray(bins.T)
-    for i in range(len(fit.folds)):
+    training rows in the nodes of a level that `wanted` numbers (-1: not wanted)."""
+    slots, width, out = wanted.max(axis=1) + 1, fit.width, {}
+    first = 2 ** level - 1
+    # cells of two features at once, whose margins are the features' own: half the work where rows are many
+    pairs = [(f, columns[f].astype(np.uint16) * width + columns[f + 1]) for f in range(0, fit.n_features - 1, 2)]
+    for i in range(fit.n_fits):
         mine = range(i * fit.n_classes, (i + 1) * fit.n_classes)
         if not slots[mine.start:mine.stop].any():
             continue
-        train = outside(i)
-        inside = bins[train]
-        s = scores[train, i]
-        p = np.exp(s - s.max(axis=1, keepdims=True)) if len(s) else s
-        p /= p.sum(axis=1, keepdims=True)
+        number = weights[i].sum(axis=0, dtype=float)
+        train = np.flatnonzero(number)
+        p = np.exp(scores[i] - scores[i].max(axis=0))
+        p /= p.sum(axis=0)
         for c, t in enumerate(mine):
             if not slots[t]:
                 continue
-            slot = wanted[t, growing.nodes(t, inside, level)]
-            here = np.flatnonzero(slot >= 0)
-            rows, prob = train[here], p[here, c]
-            first, size = slot[here] * fit.width, slots[t] * fit.width
-            gradient, curvature = prob - (y[rows] == c), prob * (1 - prob)
-            sums = np.empty((slots[t], 3, fit.n_features, fit.width))
-            for f, column in enumerate(columns):     # a feature's counts and rows stay in the cache
-                at = first + column[rows]
-                for k, weights in enumerate((None, gradient, curvature)):
-                    sums[:, k, f] = np.bincount(at, weights, size).reshape(slots[t], fit.width)
-            out[t] = sums.reshape(slots[t], 3, -1)
+            nodes = {first + k: slot for k, slot in enumerate(wanted[t, first:2 * first + 1].tolist()) if slot >= 0}
+            found = [(nodes[node], part) for node, part in growing.parts(t, columns, train, nodes)]
+            rows = np.concatenate([part for _, part in found])
+            slot = np.repeat([k for k, _ in found], [len(part) for _, part in found])
+            n, prob = number[rows], p[c][rows]
+            both = np.empty(len(rows), complex)          # gradient and curvature are added up as one
+            both.real, both.imag = n * prob - weights[i, c][rows], n * prob * (1 - prob)
+            sums = np.empty((3, slots[t], fit.n_features, width))
+            many = len(rows) > 2 * slots[t] * width ** 2
+            if many:
+                start = slot * width ** 2
+                for f, cells in pairs:
+                    got = _tally(start + cells[rows], n, both, (slots[t], width, width))
+                    sums[:, :, f], sums[:, :, f + 1] = got.sum(axis=3), got.sum(axis=2)
+            start = slot * width
+            for f in range(2 * len(pairs) if many else 0, fit.n_features):   # a feature's counts and rows stay in the cache
+                sums[:, :, f] = _tally(start + columns[f][rows], n, both, (slots[t], width))
+            out[t] = sums.swapaxes(0, 1).reshape(slots[t], 3, -1)
     return out
 
 
-def _outside(n: int, folds_of: dict, fit: _Fit):
-    """`folds_of`: the fold of each of `n` rows by fold column."""
-    def rows(i):
-        column, fold = fit.folds[i]
-        return np.arange(n) if column is None else np.flatnonzero(folds_of[column] != fold)
-    return rows
-
-
-def _blocks(state: DataFrame, fit: _Fit, fold_cols) -> RDD:
-    """The rows of a partition as one (bins, scores, labels, folds)."""
+def _blocks(state: DataFrame, fit: _Fit, base: np.ndarray) -> RDD:
+    """The rows of a partition as one (bins, scores, numbers of training rows)."""
     def pack(batches):
         batches = [b for b in batches if b.num_rows]
         if batches:
-            bins, scores = (np.concatenate(x) for x in zip(*[_arrays(b, fit) for b in batches]))
-            y, *folds = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in ("_y", *fold_cols))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((bins, scores, y, dict(zip(fold_cols, folds))), 5)], pa.binary())], names=["block"])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_block(batches, fit, base), 5)], pa.binary())], names=["block"])
     return state.mapInArrow(pack, "block binary").rdd.map(lambda row: pickle.loads(row[0]))
 
 
@@ -214,8 +254,8 @@ def _histograms(blocks: RDD, fit: _Fit, growing: Trees, wanted: np.ndarray, leve
     """The counts of all rows: one pass for all trees, one array per task and tree. Up to `direct`
     bytes in all go to the driver as they are, more are added up on the way."""
     def work(part):
-        for bins, scores, y, folds_of in part:
-            yield from _count(fit, bins, scores, y, _outside(len(y), folds_of, fit), growing, wanted, level).items()
+        for block in part:
+            yield from _count(fit, *block, growing, wanted, level).items()
 
     got = blocks.mapPartitions(work)
     parts = blocks.getNumPartitions()
@@ -246,14 +286,14 @@ def best_splits(hists: np.ndarray, least: int, penalty: float):
 
 
 def boost(rows: DataFrame, features, label: str, labels, folds=((None, 0),), rounds: int = 150, step: float = 0.08,
-          depth: int = 5, bins: int = 64, least: int = 20, penalty: float = 0.0, keep=(), renew: int = 4, one_task: int = 200_000):
+          depth: int = 5, bins: int = 64, least: int = 20, penalty: float = 0.0, keep=(), renew: int = 16, one_task: int = 200_000):
     """Fit softmax boosting with one tree per class and round, one fit for each (fold column, fold)
     of `folds`, trained on the rows outside the fold; (None, 0) trains on all rows.
 
-    Returns the heads and the table of `keep` and `_scores`: every row's scores under every fit
-    (fits x classes doubles as bytes; computed when used), rows of other labels left out. Bin edges, which see no
+    Returns the heads and the table of `keep` and `_scores`: every row's scores (fits x classes doubles as
+    bytes; computed when used) under the fits that hold it out, rows of other labels left out. Bin edges, which see no
     labels, come from all rows. Base scores are log class shares of the training rows. Up to
-    `one_task` rows (a few megabytes of bins) each fit is grown by one task; above that, all by
+    `one_task` rows of different bins (a few megabytes of bins) each fit is grown by one task; above that, all by
     passes over the rows."""
     features, labels, keep = list(features), list(labels), list(keep)
     folds = [(c, int(f)) for c, f in folds]
@@ -261,25 +301,7 @@ def boost(rows: DataFrame, features, label: str, labels, folds=((None, 0),), rou
     rows = rows.where(F.col(label).isin(labels))
     edges = quantile_edges(rows, features, bins)
     fold_cols = sorted({c for c, _ in folds if c})
-    # one aggregation: class counts per fold column and fold
-    counts: dict = {}
-    per = rows.groupBy(label, *fold_cols).count().collect() if len(fold_cols) < 2 else [
-        r for c in fold_cols for r in rows.groupBy(label, c).count().collect()]
-    for r in per:
-        for c in fold_cols or [None]:
-            if c is None or c in r.__fields__:
-                counts[(c, r[c] if c else 0, labels.index(r[label]))] = r["count"]
-    fit = _Fit(max(len(e) for e in edges) + 1, len(features), depth, folds, len(labels))
-    base = np.zeros((len(folds), len(labels)))
-    for i, (c, f) in enumerate(folds):
-        share = np.array([sum(n for (cc, ff, k), n in counts.items() if cc == c and k == x and (c is None or ff != f))
-                          for x in range(len(labels))], float)
-        base[i] = np.log(np.maximum(share, 1e-9) / max(share.sum(), 1e-9))
-    total = sum(n for (c, *_), n in counts.items() if c == (fold_cols[0] if fold_cols else None))
-    work = total * len(folds) * len(labels)
-    parts = max(1, -(-work // 500_000), min(spark.sparkContext.defaultParallelism, work // 50_000))
-
-    first = base.tobytes()
+    fit = _Fit(max(len(e) for e in edges) + 1, len(features), depth, len(folds), len(labels))
     y_of = F.coalesce(*[F.when(F.col(label) == x, F.lit(k)) for k, x in enumerate(labels)])
     columns = list(dict.fromkeys([*keep, *fold_cols]))
     taken = rows.select(*columns, y_of.alias("_y"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
@@ -287,28 +309,52 @@ def boost(rows: DataFrame, features, label: str, labels, folds=((None, 0),), rou
     def prepare(batches):
         for batch in batches:
             x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(features))
-            b = _binned(x, edges)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in columns], batch.column("_y"), pa.array([r.tobytes() for r in b], pa.binary()), pa.array([first] * len(b), pa.binary())],
-                names=[*columns, "_y", "_bins", "_scores"])
-
-    kinds = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns] + ["_y int", "_bins binary", "_scores binary"])
-    state = checkpointed(taken.repartition(parts).mapInArrow(prepare, kinds))
+                [*[batch.column(c) for c in columns], batch.column("_y"), pa.array([r.tobytes() for r in _binned(x, edges)], pa.binary())],
+                names=[*columns, "_y", "_bins"])
+
+    kinds = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns] + ["_y int", "_bins binary"])
+    binned = checkpointed(taken.mapInArrow(prepare, kinds))
+
+    # rows of the same bins as one: _n in all, _w by fit and class of those outside the fit's fold
+    def number(c, f, k):
+        mine = F.col("_y") == k
+        return F.count_if(mine if c is None else mine & ~F.col(c).eqNullSafe(F.lit(f)))
+
+    state = checkpointed(binned.groupBy("_bins").agg(
+        F.count(F.lit(1)).alias("_n"), F.array(*[F.array(*[number(c, f, k) for k in range(len(labels))]) for c, f in folds]).alias("_w")))
+    share = np.array([[F.sum(F.col("_w")[i][k]) for k in range(len(labels))] for i in range(len(folds))])
+    total, *share = state.agg(F.count(F.lit(1)), *share.ravel()).first()
+    share = np.array([n or 0 for n in share], float).reshape(len(folds), len(labels))
+    base = np.log(np.maximum(share, 1e-9) / np.maximum(share.sum(axis=1, keepdims=True), 1e-9))
+
+    # as many parts as cores, more only if their blocks would be too large: every part sends histograms
+    work, cores = len(folds) * len(labels), spark.sparkContext.defaultParallelism
+    parts = max(1, min(cores, total * work // 50_000))
+    size = total * (len(features) + 10 * work)
+    if size > parts * BLOCK:
+        parts = -(-size // (cores * BLOCK)) * cores
+    state = state.repartition(parts)
 
     def scored(state, trees):
         def work(batches):
+            batches = [b for b in batches if b.num_rows]
+            if not batches:
+                return
+            columns, scores, weights = _block(batches, fit, base)
+            number = np.concatenate([b.column("_n").to_numpy() for b in batches])
+            held_out = [np.flatnonzero(w.sum(axis=0, dtype=int) < number) for w in weights]
+            for one in trees:
+                _advance(fit, columns, scores, one, held_out)
+            at = 0
             for batch in batches:
-                if batch.num_rows:
-                    bins, scores = _arrays(batch, fit)
-                    for one in trees:
-                        _advance(fit, bins, scores, one)
-                    new = pa.array([s.tobytes() for s in scores], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], new], names=batch.schema.names)
-        return state.mapInArrow(work, kinds)
+                own = np.ascontiguousarray(scores[:, :, at:at + batch.num_rows].transpose(2, 0, 1))
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column("_bins"), pa.array([x.tobytes() for x in own], pa.binary())], names=["_bins", "_scores"])
+        return state.mapInArrow(work, "_bins binary, _scores binary")
 
     grow = _fits_in_tasks if total <= one_task else _fits_by_passes
-    grown = grow(state, fit, fold_cols, rounds, step, least, penalty, renew)
-    state = scored(state, grown)
+    grown = grow(state, fit, base, rounds, step, least, penalty, renew)
 
     heads = [BoostedHead(features, labels, base[i].tolist(), [[] for _ in labels]) for i in range(len(folds))]
     last = np.array([len(e) - 1 for e in edges])
@@ -318,21 +364,21 @@ def boost(rows: DataFrame, features, label: str, labels, folds=((None, 0),), rou
         threshold = np.where(trees.feature < 0, 0.0, table[at, np.minimum(trees.cut, last[at])])
         for t in range(len(at)):
             heads[t // len(labels)].trees[t % len(labels)].append((trees.feature[t], threshold[t], trees.value[t]))
-    return heads, state.select(*keep, "_scores")
+    return heads, binned.join(scored(state, grown), "_bins").select(*keep, "_scores")
 
 
-def _fits_by_passes(state: DataFrame, fit: _Fit, fold_cols, rounds: int, step: float, least: int, penalty: float, renew: int) -> list[Trees]:
+def _fits_by_passes(state: DataFrame, fit: _Fit, base: np.ndarray, rounds: int, step: float, least: int, penalty: float, renew: int) -> list[Trees]:
     """All rounds by passes over the blocks, one for each level. Every round gives new blocks, stored
     in place of the last; every `renew` rounds they are also checkpointed, which cuts their lineage."""
     def added(trees):
         def work(block):
-            bins, scores, y, folds_of = block
+            columns, scores, weights = block
             scores = scores.copy()
-            _advance(fit, bins, scores, trees)
-            return bins, scores, y, folds_of
+            _advance(fit, columns, scores, trees)
+            return columns, scores, weights
         return work
 
-    blocks, last, grown = _blocks(state, fit, fold_cols).persist(StorageLevel.MEMORY_AND_DISK), None, []
+    blocks, last, grown = _blocks(state, fit, base).persist(StorageLevel.MEMORY_AND_DISK), None, []
     for r in range(1, rounds + 1):
         grown.append(_grow(fit, lambda *now: _histograms(blocks, fit, *now), step, least, penalty))
         if last is not None:
@@ -346,26 +392,23 @@ def _fits_by_passes(state: DataFrame, fit: _Fit, fold_cols, rounds: int, step: f
     return grown
 
 
-def _fits_in_tasks(state: DataFrame, fit: _Fit, fold_cols, rounds: int, step: float, least: int, penalty: float, renew: int) -> list[Trees]:
+def _fits_in_tasks(state: DataFrame, fit: _Fit, base: np.ndarray, rounds: int, step: float, least: int, penalty: float, renew: int) -> list[Trees]:
     """All rounds for a table small enough that a task can hold its bins: fits do not depend on
     each other, so each is one task's work. The same trees as by passes over the rows."""
-    n = len(fit.folds)
+    n = fit.n_fits
+    one = _Fit(fit.width, fit.n_features, fit.depth, 1, fit.n_classes)
 
     def work(key, table):
         i = key[0].as_py()
-        batch = table.combine_chunks().to_batches()[0]
-        one = _Fit(fit.width, fit.n_features, fit.depth, [fit.folds[i]], fit.n_classes)
-        bins, scores = _arrays(batch, fit)
-        scores = scores[:, i:i + 1].copy()
-        y, outside = batch.column("_y").to_numpy(), _outside(batch.num_rows, {c: batch.column(c).to_numpy() for c in fold_cols}, one)
+        columns, scores, weights = _block(table.to_batches(), one, base[i:i + 1])
         out = []
         for r in range(rounds):
-            trees = _grow(one, lambda *now: _count(one, bins, scores, y, outside, *now), step, least, penalty)
-            _advance(one, bins, scores, trees)
+            trees = _grow(one, lambda *now: _count(one, columns, scores, weights, *now), step, least, penalty)
+            _advance(one, columns, scores, trees)
             out.append((i, r, trees.feature.tobytes(), trees.cut.tobytes(), trees.value.tobytes()))
         return pa.table([pa.array(x) for x in zip(*out)], names=["_fit", "round", "feature", "cut", "value"])
 
-    dealt = state.select("_y", "_bins", "_scores", *fold_cols, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_fit"))
+    dealt = state.select("_bins", F.posexplode("_w").alias("_fit", "_w")).where(F.exists("_w", lambda x: x > 0))
     rows = (dealt.repartition(n, "_fit").groupBy("_fit").applyInArrow(work, "_fit long, round long, feature binary, cut binary, value binary")
             .collect())                                           # trees: fits x rounds rows
     out = [Trees.empty(n * fit.n_classes, fit.depth) for _ in range(rounds)]
@@ -379,7 +422,7 @@ def _fits_in_tasks(state: DataFrame, fit: _Fit, fold_cols, rounds: int, step: fl
 def _grow(fit: _Fit, count, step: float, least: int, penalty: float) -> Trees:
     """One round: the trees of all fits and classes, level by level. `count(trees, wanted, level)`
     gives the histograms of all rows in the wanted nodes."""
-    trees = Trees.empty(len(fit.folds) * fit.n_classes, fit.depth)
+    trees = Trees.empty(fit.n_fits * fit.n_classes, fit.depth)
     wanted = np.full(trees.feature.shape, -1)
     wanted[:, 0] = 0
     known: dict = {}                         # (tree, node): histogram of the level above

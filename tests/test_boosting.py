@@ -170,3 +170,53 @@ def test_a_pass_is_one_job_and_many_histograms_are_added_on_the_way(spark, rows,
     bo.boost(rows, X, "y", ["A", "B", "C"], [("fold_0", 0), ("fold_1", 2)], one_task=0, **OPTIONS)
     assert len(calls) == OPTIONS["rounds"] * OPTIONS["depth"]
     assert max(calls) <= 2               # the pass; after every `renew` rounds also the checkpoint
+
+
+def test_rows_of_equal_bins_are_fitted_as_one(spark, rows, data, monkeypatch):
+    """Copies of rows in other folds count by number: the trees are those of all rows, held out or not."""
+    def passes(*_):
+        raise AssertionError("300 rows of different bins fit in a task")
+    monkeypatch.setattr(bo, "_fits_by_passes", passes)
+    plain = rows.select("replicate", "y", *X)
+    copies = pr.with_folds(plain.crossJoin(spark.range(12)).selectExpr("int(replicate + 100 * id) AS replicate", "y", *X), "replicate", 3, (0, 1)).persist()
+    options = OPTIONS | {"one_task": 300}
+    head, out = bo.boost(copies, X, "y", ["A", "B", "C"], [("fold_1", 2)], keep=["replicate", *X], **options)
+    t = copies.where("fold_1 != 2").toPandas()
+    x, y = t[X].to_numpy(float), np.array(["ABC".index(v) for v in t.y])
+    edges = bo.quantile_edges(copies, X, OPTIONS["bins"])
+    base, trees, value = brute_fit(x, y, edges, OPTIONS["step"], OPTIONS["depth"], OPTIONS["least"], OPTIONS["rounds"])
+    held = copies.where("fold_1 = 2")
+    got = {(r["replicate"], r["x0"], r["x2"]): np.frombuffer(r["_scores"]) for r in out.collect()}
+    assert out.count() == 3600 and held.count() > 0
+    probabilities = {(r["replicate"], r["x0"], r["x2"]): r["p_A"] for r in head[0].apply(held).collect()}
+    for r in held.collect():
+        key = (r["replicate"], r["x0"], r["x2"])
+        want = base + sum(np.array([value(tree, [r[c] if r[c] is not None else np.nan for c in X]) for tree in new]) for new in trees)
+        assert got[key] == pytest.approx(want, abs=1e-9)
+        assert probabilities[key] == pytest.approx(np.exp(want[0]) / np.exp(want).sum(), abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [40, 4000])
+def test_histograms_of_few_and_of_many_rows(n):
+    """Many rows are counted by cells of two features at once; the sums are those of each feature."""
+    rng = np.random.default_rng(1)
+    fit = bo._Fit(6, 3, 2, 2, 3)
+    columns, scores = rng.integers(0, 6, (3, n)).astype(np.uint8), rng.normal(size=(2, 3, n))
+    weights = rng.integers(0, 3, (2, 3, n)).astype(np.uint8)
+    trees = bo.Trees.empty(6, 2)
+    trees.feature[:, 0], trees.cut[:, 0] = [0, 1, 2, 0, 1, -1], 2
+    wanted = np.full(trees.feature.shape, -1)
+    wanted[:5, 1], wanted[0, 2] = 0, 1
+    got = bo._count(fit, columns, scores, weights, trees, wanted, 1)
+    assert sorted(got) == [0, 1, 2, 3, 4] and got[0].shape == (2, 3, 18)
+    for t in got:
+        i, c = divmod(t, 3)
+        number = weights[i].sum(axis=0).astype(float)
+        p = np.exp(scores[i, c]) / np.exp(scores[i]).sum(axis=0)
+        left = columns[trees.feature[t, 0]] <= 2
+        for slot, here in enumerate([left, ~left][:len(got[t])]):
+            for f in range(3):
+                for b in range(6):
+                    at = here & (columns[f] == b)
+                    want = [number[at].sum(), (number * p - weights[i, c])[at].sum(), (number * p * (1 - p))[at].sum()]
+                    assert got[t][slot, :, 6 * f + b] == pytest.approx(want, abs=1e-9)
