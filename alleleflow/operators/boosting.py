@@ -66,7 +66,7 @@ class Trees:
             left = columns[f].take(rows) <= self.cut[t, node]
             for child, side in ((2 * node + 1, left), (2 * node + 2, ~left)):
                 if not ways or child in ways:
-                    todo.append((child, rows[side]))
+                    todo.append((child, rows.compress(side)))
 
 
 @dataclass
@@ -224,19 +224,19 @@ def _count(fit: _Fit, columns, scores, weights, growing: Trees, wanted: np.ndarr
             found = [(nodes[node], part) for node, part in growing.parts(t, columns, train, nodes)]
             rows = np.concatenate([part for _, part in found])
             slot = np.repeat([k for k, _ in found], [len(part) for _, part in found])
-            n, prob = number[rows], p[c][rows]
+            n, prob = number.take(rows), p[c].take(rows)
             both = np.empty(len(rows), complex)          # gradient and curvature are added up as one
-            both.real, both.imag = n * prob - weights[i, c][rows], n * prob * (1 - prob)
+            both.real, both.imag = n * prob - weights[i, c].take(rows), n * prob * (1 - prob)
             sums = np.empty((3, slots[t], fit.n_features, width))
             many = len(rows) > 2 * slots[t] * width ** 2
             if many:
                 start = slot * width ** 2
                 for f, cells in pairs:
-                    got = _tally(start + cells[rows], n, both, (slots[t], width, width))
+                    got = _tally(start + cells.take(rows), n, both, (slots[t], width, width))
                     sums[:, :, f], sums[:, :, f + 1] = got.sum(axis=3), got.sum(axis=2)
             start = slot * width
             for f in range(2 * len(pairs) if many else 0, fit.n_features):   # a feature's counts and rows stay in the cache
-                sums[:, :, f] = _tally(start + columns[f][rows], n, both, (slots[t], width))
+                sums[:, :, f] = _tally(start + columns[f].take(rows), n, both, (slots[t], width))
             out[t] = sums.swapaxes(0, 1).reshape(slots[t], 3, -1)
     return out
 

@@ -220,3 +220,21 @@ def test_histograms_of_few_and_of_many_rows(n):
                     at = here & (columns[f] == b)
                     want = [number[at].sum(), (number * p - weights[i, c])[at].sum(), (number * p * (1 - p))[at].sum()]
                     assert got[t][slot, :, 6 * f + b] == pytest.approx(want, abs=1e-9)
+
+
+def test_blocks_are_as_many_as_cores_unless_too_large(spark, rows, monkeypatch):
+    """Parts follow the cores; blocks over their bound are cut further, with the same sums."""
+    parts, sums, counted = [], [], bo._histograms
+
+    def spy(blocks, *now):
+        parts.append(blocks.getNumPartitions())
+        sums.append(counted(blocks, *now))
+        return sums[-1]
+    monkeypatch.setattr(bo, "_histograms", spy)
+    folds, cores = [(f"fold_{s}", f) for s in (0, 1) for f in range(3)], spark.sparkContext.defaultParallelism
+    for block, want in ((bo.BLOCK, 1), (4096, -(-300 * 183 // (cores * 4096)) * cores)):
+        monkeypatch.setattr(bo, "BLOCK", block)
+        bo.boost(rows, X, "y", ["A", "B", "C"], folds, one_task=0, **OPTIONS | {"rounds": 1, "depth": 1})
+        assert parts[-1] == want
+    one, two = sums
+    assert one.keys() == two.keys() and all(np.allclose(one[t], two[t]) for t in one)
