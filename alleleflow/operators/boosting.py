@@ -392,6 +392,13 @@ def _fits_by_passes(state: DataFrame, fit: _Fit, base: np.ndarray, rounds: int,
     return grown
 
 
+def _dealt(state: DataFrame, n: int) -> DataFrame:
+    """The training rows of each of `n` fits in a partition of their own. Dealt by ranges, finer than the
+    fits: hashes put several fits into one partition and leave others empty."""
+    fits = state.select("_bins", F.posexplode("_w").alias("_fit", "_w")).where(F.exists("_w", lambda x: x > 0))
+    return fits.repartitionByRange(4 * n, "_fit")
+
+
 def _fits_in_tasks(state: DataFrame, fit: _Fit, base: np.ndarray, rounds: int, step: float, least: int, penalty: float, renew: int) -> list[Trees]:
     """All rounds for a table small enough that a task can hold its bins: fits do not depend on
     each other, so each is one task's work. The same trees as by passes over the rows."""
@@ -408,8 +415,7 @@ def _fits_in_tasks(state: DataFrame, fit: _Fit, base: np.ndarray, rounds: int, s
             out.append((i, r, trees.feature.tobytes(), trees.cut.tobytes(), trees.value.tobytes()))
         return pa.table([pa.array(x) for x in zip(*out)], names=["_fit", "round", "feature", "cut", "value"])
 
-    dealt = state.select("_bins", F.posexplode("_w").alias("_fit", "_w")).where(F.exists("_w", lambda x: x > 0))
-    rows = (dealt.repartition(n, "_fit").groupBy("_fit").applyInArrow(work, "_fit long, round long, feature binary, cut binary, value binary")
+    rows = (_dealt(state, n).groupBy("_fit").applyInArrow(work, "_fit long, round long, feature binary, cut binary, value binary")
             .collect())                                           # trees: fits x rounds rows
     out = [Trees.empty(n * fit.n_classes, fit.depth) for _ in range(rounds)]
     for row in rows:

@@ -238,3 +238,9 @@ def test_blocks_are_as_many_as_cores_unless_too_large(spark, rows, monkeypatch):
         assert parts[-1] == want
     one, two = sums
     assert one.keys() == two.keys() and all(np.allclose(one[t], two[t]) for t in one)
+
+
+def test_each_fit_has_a_partition_of_its_own(spark):
+    state = spark.range(0, 2000, 1, 4).selectExpr("binary(string(id)) AS _bins", "array_repeat(array(1L, 0L), 15) AS _w")
+    got = bo._dealt(state, 15).groupBy("_fit", F.spark_partition_id().alias("part")).count().collect()
+    assert len(got) == len({r["part"] for r in got}) == 15 and {r["count"] for r in got} == {2000}
